@@ -5,13 +5,15 @@ substitution) at most turns one into the other. A line is repeated when an equal
 (doc_id, line number) order; the earliest line of every class therefore stays, and what is dropped does not depend on
 the order of work.
 
-Plan. (1) Equal lines: one aggregation by a 128-bit hash with map-side combine gives each distinct line its first
-place; a line that fills a third of the corpus is one row after that. (2) Few distinct lines have a near partner, so
-before any neighbourhood is built, a pigeonhole test on the distinct lines alone keeps those that share their first or
-last half with another (one edit leaves one half whole): only counts are compared, never pairs. (3) The lines kept fetch
-their words once and emit every variant with one word deleted as a hashed key: (position, rest) meets a substitution,
-the bare rest meets the full line that lacks the word. Per key only the earliest member is aggregated, so a crowded key
-gives one row; the join back is an equi-join that the engine may split. (4) Each link is verified by its edit distance.
+Plan. (1) Texts are read once: a table of line hashes in the shared folder serves all later steps. (2) Equal lines: one
+aggregation by a 128-bit hash with map-side combine gives each distinct line its first place; a line that fills a third
+of the corpus is one row after that. (3) Few distinct lines have a near partner, so before any neighbourhood is built a
+pigeonhole test on the distinct lines alone keeps those that share their first or last half with another (one edit
+leaves one half whole): only counts are compared, never pairs. (4) The lines kept fetch their words once and emit every
+variant with one word deleted, in the half that need not be whole, as a hashed key. Lines with the same rest at the same
+position are a substitution apart; a line equal to another's rest lacks one word of it. Per key only the earliest member
+is aggregated, so a crowded key gives one row; joins are equi-joins that the engine may split. (5) Each link is verified
+by its edit distance.
 
 Lines under ``min_words`` words are never dropped; lines under ``near_words`` words only as exact repeats. Null text:
 the document has no lines. Rows that repeat a doc_id have the same line places, so they never drop each other's lines.
@@ -28,14 +30,19 @@ MIN_WORDS, NEAR_WORDS = 5, 10
 
 
 def _norm(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    """Single spaces between words; lines that have them already are not touched."""
+    uneven = line.startswith(" ") | line.endswith(" ")
+    for part in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        uneven = uneven | line.contains(part)
+    return F.when(uneven, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
 def lines_of(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """doc_id, line_no (from 0), line (single spaces) and n_words of every line with enough words."""
     cut = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
     named = cut.select("doc_id", "line_no", _norm(F.col("raw")).alias("line"))
-    counted = named.withColumn("n_words", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1))
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    counted = named.withColumn("n_words", F.when(F.col("line") == "", 0).otherwise(spaces + 1))
     return counted.where(F.col("n_words") >= min_words)
 
 
@@ -49,16 +56,22 @@ def _halves() -> Column:
 
 
 def _near_lines(docs: DataFrame, distinct: DataFrame, text: str) -> DataFrame:
-    """h1, doc_id, line_no, words of the distinct lines that share a half with another one."""
-    keyed = distinct.where("halves IS NOT NULL").select("h1", "first", F.explode("halves").alias("half"))
+    """h1, doc_id, line_no, words, low, high of the distinct lines that share a half with another one.
+
+    An edit that leaves the shared half whole lies at a word from ``low`` to before ``high``.
+    """
+    keyed = distinct.where("halves IS NOT NULL").select("h1", "first", "n_words", F.posexplode("halves").alias("which", "half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    some = keyed.join(shared, "half", "left_semi").select("h1", "first").distinct()
-    wanted = some.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_set(F.struct("first.line_no", "h1")).alias("wanted"))
+    n = F.col("n_words") - F.floor(F.col("which") / 2)  # the length whose halves these are
+    low = F.when(F.col("which") % 2 == 0, F.floor(n / 2)).otherwise(0)
+    high = F.when(F.col("which") % 2 == 0, F.col("n_words")).otherwise(F.col("n_words") - n + F.floor(n / 2))
+    some = keyed.join(shared, "half", "left_semi").groupBy("h1").agg(F.min("first").alias("first"), F.min(low).cast("int").alias("low"), F.max(high).cast("int").alias("high"))
+    wanted = some.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct("first.line_no", "h1", "low", "high")).alias("wanted"))
     with_text = wanted.join(docs.select(F.col("doc_id").alias("id"), F.col(text).alias("_text")), "id")
     raw = with_text.select("id", "wanted", F.split("_text", "\n").alias("raws"))
-    each = raw.select(F.col("id").alias("doc_id"), F.explode(F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["h1"].alias("h1"), F.get("raws", w["line_no"]).alias("raw")))).alias("l"))
-    line = each.select("l.h1", "doc_id", "l.line_no", _norm(F.col("l.raw")).alias("line")).where(F.xxhash64("line") == F.col("h1"))
-    return line.select("h1", "doc_id", "line_no", F.split("line", " ").alias("words")).dropDuplicates(["h1"])
+    each = raw.select(F.col("id").alias("doc_id"), F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("raws", w["line_no"]).alias("raw")))).alias("l"))
+    line = each.select("l.w.h1", "doc_id", "l.w.line_no", "l.w.low", "l.w.high", _norm(F.col("l.raw")).alias("line")).where(F.xxhash64("line") == F.col("h1"))
+    return line.select("h1", "doc_id", "line_no", "low", "high", F.split("line", " ").alias("words")).dropDuplicates(["h1"])
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -72,21 +85,18 @@ def _one_edit(a: str, b: str) -> Column:
 
 
 def _near_links(near: DataFrame) -> DataFrame:
-    """h1 and the place (of_doc_id, of_line) of the earliest near line before it."""
-    variants = F.expr(
-        "flatten(transform(sequence(0, size(words) - 1), i -> transform(array(concat_ws(' ', slice(words, 1, i), slice(words, i + 2, size(words)))), "
-        "rest -> array(struct(xxhash64('at', i, rest) AS key, 'at' AS kind), struct(xxhash64('rest', rest) AS key, 'rest' AS kind)))[0]))"
-    )
-    whole = F.expr("array(struct(xxhash64('rest', concat_ws(' ', words)) AS key, 'full' AS kind))")
+    """h1 and the place (of) of the earliest near line before it."""
+    rests = F.expr("transform(sequence(low, high - 1), i -> struct(i AS at, xxhash64(concat_ws(' ', slice(words, 1, i), slice(words, i + 2, size(words)))) AS rest))")
     place = F.struct("doc_id", "line_no", "h1")
-    emitted = near.select("h1", place.alias("place"), F.explode(F.concat(variants, whole)).alias("v")).select("h1", "place", "v.key", "v.kind")
-    full = F.col("kind") == "full"
-    least = emitted.groupBy("key").agg(F.min(F.when(~full, F.col("place"))).alias("part"), F.min(F.when(full, F.col("place"))).alias("whole"), F.count("*").alias("n"))
-    met = emitted.join(least.where("n > 1"), "key")
-    # Under (position, rest) all members are one edit apart; under a bare rest only the full line and a longer line are.
-    partner = F.when(F.col("kind") == "rest", F.col("whole")).otherwise(F.col("part"))
-    at_position = met.withColumn("partner", partner).where("partner < place")
-    return at_position.groupBy("h1").agg(F.min("partner").alias("of"))
+    variants = stored(near.where("high > low").select("h1", place.alias("place"), F.explode(rests).alias("v")).select("h1", "place", "v.at", "v.rest"), "line-variants")
+    whole = near.select(F.xxhash64(F.concat_ws(" ", "words")).alias("rest"), "h1", place.alias("place"))
+    firsts = variants.groupBy("rest", "at").agg(F.min("place").alias("of"), F.count("*").alias("n")).where("n > 1").select("rest", "at", "of")
+    swapped = variants.join(firsts, ["rest", "at"]).where("of < place").select("h1", "of")
+    longer = variants.select("rest", F.col("h1").alias("long_h1"), F.col("place").alias("long_place"))
+    meets = longer.join(whole, "rest")
+    added = meets.where("place < long_place").select(F.col("long_h1").alias("h1"), F.col("place").alias("of"))
+    lacking = meets.where("long_place < place").select("h1", F.col("long_place").alias("of"))
+    return swapped.unionAll(added).unionAll(lacking).groupBy("h1").agg(F.min("of").alias("of"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, text: str = "text") -> DataFrame:
@@ -95,9 +105,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     For an exact repeat the place is that of its first equal line, for the rest that of the earliest near line.
     """
     lines = lines_of(docs, min_words, text)
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.when(F.col("n_words") >= near_words, _halves()).alias("halves"))
+    hashed = stored(lines.select("doc_id", "line_no", "n_words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.when(F.col("n_words") >= near_words, _halves()).alias("halves")), "line-hashes")
     place = F.struct("doc_id", "line_no")
-    distinct = stored(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")), "distinct-lines")
+    distinct = stored(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("n_words").alias("n_words"), F.any_value("halves").alias("halves")), "distinct-lines")
     near = stored(_near_lines(docs, distinct, text), "near-lines")
     links = _near_links(near)
     texts = near.select(F.col("h1").alias("h"), "words")
