@@ -35,7 +35,7 @@ OTHER_SPACE = re.compile("[" + "".join(map(chr, [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0
 #: A text without these can be cut at every single space: no run of white space is torn.
 UNEVEN_SPACE = re.compile(OTHER_SPACE.pattern[:-1] + "\t\r]|  | \n")
 #: Entries that a worker keeps. A full cache keeps what it has (frequent chunks come early) and forgets a slice's new ones.
-CHUNKS, PIECES, PAIRS = 600_000, 500_000, 1_000_000
+CHUNKS, PIECES, PAIRS = 200_000, 200_000, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:

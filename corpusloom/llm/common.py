@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.shipping import ready
 
 #: Documents that a Python worker holds as Python objects at one time.
-SLICE = 512
+SLICE = 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,23 @@ def map_documents(docs: DataFrame, rows: Callable[[list, list], dict], schema: s
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
+def filter_documents(docs: DataFrame, keep: Callable[[list], list], text: str = "text") -> DataFrame:
+    """The rows whose text ``keep`` accepts (one truth value a text of a bounded slice), all columns as they came.
+
+    Rows pass as Arrow slices, so nothing is joined back and only a slice's texts become Python objects.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                yield part.filter(pa.array([bool(x) for x in keep([t or "" for t in part.column(at).to_pylist()])]))
+
+    ready(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
     root = checkpoint_dir(spark)

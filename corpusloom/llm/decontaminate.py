@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import filter_documents
 from corpusloom.shipping import ready
 
 WORD = re.compile(r"[^\W_]+")
@@ -119,20 +120,22 @@ class Matcher:
         return found
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """One row for each document and item that it holds: the least distance, the number of places, first and last end word.
-
-    ``items`` has ``item_key`` and ``item_text``. Its size is measured first and decides the number of blocks.
-    """
-    spark = ready(docs.sparkSession)
+def _blocks(spark: SparkSession, items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_bytes``; the total is measured first and decides how many there are."""
     named = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("item")).where("item IS NOT NULL")
     total = named.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0)).alias("b")).first()["b"]
-    n_blocks = -(-total // block_bytes) or 1
+    n = -(-total // block_bytes) or 1
+    for block in range(n):
+        mine = named if n == 1 else named.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == block)
+        yield [(r["item_id"], r["item"]) for r in mine.collect()]
+
+
+def find_items(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """One row for each document and item that it holds: the least distance, the number of places, first and last end word."""
+    spark = ready(docs.sparkSession)
     out = None
-    for block in range(n_blocks):
-        mine = named if n_blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n_blocks)) == block)
-        some = spark.sparkContext.broadcast([(r["item_id"], r["item"]) for r in mine.collect()])
-        part = _find_block(docs, some, rate, text)
+    for block in _blocks(spark, items, item_key, item_text, block_bytes):
+        part = _find_block(docs, spark.sparkContext.broadcast(block), rate, text)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -152,33 +155,20 @@ def _find_block(docs: DataFrame, some, rate: float, text: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, FOUND)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no test item, all columns as they came.
 
-    The verdict is made where the document is: it carries its match count through the same narrow stage, so nothing is
-    joined back and rows that repeat a doc_id are judged one by one.
+    The verdict is made where the document is, so nothing is joined back and rows that repeat a doc_id are judged one by one.
     """
-    from pyspark.sql import types as T
-
     spark = ready(docs.sparkSession)
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item IS NOT NULL")
-    total = named.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0)).alias("b")).first()["b"]
-    n_blocks = -(-total // BLOCK_BYTES) or 1
     clean = docs
-    for block in range(n_blocks):
-        mine = named if n_blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n_blocks)) == block)
-        some = spark.sparkContext.broadcast([(r["item_id"], r["item"]) for r in mine.collect()])
-
-        def holds(texts: Iterator, some=some) -> Iterator:
-            import pandas as pd
-
-            matcher = Matcher(some.value, rate)
-            for s in texts:
-                yield pd.Series([bool(matcher.find(t or "")) for t in s], dtype=bool)
+    for block in _blocks(spark, items, "item_id", "text", block_bytes):
+        some, built = spark.sparkContext.broadcast(block), {}
 
-        holds.__annotations__ = {}
-        from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
+        def keep(texts: list, some=some, built=built) -> list:
+            if "matcher" not in built:  # once a task
+                built["matcher"] = Matcher(some.value, rate)
+            return [not built["matcher"].find(t) for t in texts]
 
-        test = pandas_udf(holds, T.BooleanType(), PandasUDFType.SCALAR_ITER)
-        clean = clean.where(~test(F.coalesce(F.col("text"), F.lit(""))))
+        clean = filter_documents(clean, keep)
     return clean

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_documents
+from corpusloom.llm.common import filter_documents, map_documents
 from corpusloom.shipping import ready
 
 #: The bound on labelled documents that a fit may use, and lines in one training sequence (longer texts are several).
@@ -234,15 +234,4 @@ def score_documents(docs: DataFrame, model: LineCRF, text: str = "text", thresho
 def keep_good(docs: DataFrame, model: LineCRF, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least ``threshold``, all columns kept. The score is taken in place: no join."""
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
-
-    def score(batches):
-        import pandas as pd
-
-        for texts in batches:
-            parts = [shared.value.score([t or "" for t in texts.iloc[k : k + 512]]) for k in range(0, len(texts), 512)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-    from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
-    from pyspark.sql import types as T
-
-    return docs.where(pandas_udf(score, T.DoubleType(), PandasUDFType.SCALAR_ITER)("text") >= threshold)
+    return filter_documents(docs, lambda texts: shared.value.score(texts) >= threshold)
