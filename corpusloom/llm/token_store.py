@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bpe import byte_alphabet
 from corpusloom.llm.common import map_documents, remove, shared_path, stored
 from corpusloom.shipping import ready
 
@@ -33,7 +34,7 @@ END_ID = 1
 #: Ids a block holds before it is closed.
 BLOCK_IDS = 65_536
 #: Entries a worker keeps from words to ids; a full cache keeps what it has.
-WORDS, PIECES = 500_000, 400_000
+WORDS, PIECES = 800_000, 700_000
 
 #: control byte -> lengths of its four values
 LENGTHS = np.array([[1 + (c >> (2 * k) & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -81,16 +82,25 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.packed = [np.uint32(i).astype("<u4").tobytes() for i in range(self.tokenizer.get_vocab_size() + 1)]
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
+    def _run(self, run: str) -> bytes:
+        """Ids of one run of lower-case letters or of marks: nothing is left to normalize or to split, so only the model works."""
+        if not run.isascii():
+            run = "".join([self.alphabet[b] for b in run.encode()])
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(run)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         new = [w for w in set().union(*cut) if w not in self.words] if cut else []
-        # A word of ASCII letters with other ASCII marks around falls into runs that the library also takes one by one.
+        # A run of letters with ASCII marks around falls into three runs that the library's model also takes one by one.
         known, plain, odd = self.pieces, [], []
         for w in new:
             core = w.strip(MARKS)
@@ -100,7 +110,7 @@ class WordCoder:
             else:
                 odd.append(w)
         need = list({p for _, *ps in plain for p in ps if p and p not in known})
-        known.update(zip(need, self._library(need), strict=True))
+        known.update(zip(need, map(self._run, need), strict=True))
         for w, a, b, c in plain:
             self.words[w] = (known[a] if a else b"") + known[b] + (known[c] if c else b"")
         self.words.update(zip(odd, self._library(odd), strict=True))
