@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.storage import stored
 
 THRESHOLD, MIN_WORDS = 0.85, 15
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that later rounds read to the folder all machines share; its lineage ends there."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dedupe_hits(hits: DataFrame, scope: str = "source", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Hits (query_id, rank, key, scope, text) without later rows that repeat an accepted one of the same scope.
 
@@ -45,7 +35,7 @@ def similar_pairs(docs: DataFrame, scope: list[str], key: str = "doc_id", thresh
     """
     sets = docs.select(key, *scope, T.word_set(F.col("text")).alias("words")).where(F.size("words") > 0)
     keyed = sets.withColumn("set_key", F.sha2(F.concat_ws(" ", F.array_sort("words")), 256))
-    members = _stored(keyed.groupBy(*scope, "set_key").agg(F.min(key).alias("id"), F.first("words").alias("words")), "word-sets")
+    members = stored(keyed.groupBy(*scope, "set_key").agg(F.min(key).alias("id"), F.first("words").alias("words")), "word-sets")
     rarity = members.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     ranked = members.select("id", *scope, F.size("words").alias("n"), F.explode("words").alias("w")).join(rarity, "w")
     order = Window.partitionBy("id").orderBy("df", "w")
@@ -66,19 +56,19 @@ def first_independent(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100)
     ``edges`` are (a, b), a < b: a drops b. Rounds decide every id without an undecided smaller neighbour, then drop its
     larger neighbours; each round is written out, so lineage stays short.
     """
-    undecided = _stored(nodes.select("id"), "undecided")
-    live = _stored(edges.select("a", "b"), "edges")
+    undecided = stored(nodes.select("id"), "undecided")
+    live = stored(edges.select("a", "b"), "edges")
     kept = None
     for _ in range(max_rounds):
         blocked = live.select(F.col("b").alias("id")).distinct()
-        chosen = _stored(undecided.join(blocked, "id", "left_anti"), "chosen")
+        chosen = stored(undecided.join(blocked, "id", "left_anti"), "chosen")
         kept = chosen if kept is None else kept.unionAll(chosen)
         dropped = live.join(chosen.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        undecided = _stored(undecided.join(chosen, "id", "left_anti").join(dropped, "id", "left_anti"), "undecided")
+        undecided = stored(undecided.join(chosen, "id", "left_anti").join(dropped, "id", "left_anti"), "undecided")
         if undecided.isEmpty():
             return kept
         left = undecided.withColumnRenamed("id", "a")
-        live = _stored(live.join(left, "a", "left_semi").join(left.withColumnRenamed("a", "b"), "b", "left_semi"), "edges")
+        live = stored(live.join(left, "a", "left_semi").join(left.withColumnRenamed("a", "b"), "b", "left_semi"), "edges")
     raise RuntimeError("the rounds did not settle")
 
 
@@ -89,12 +79,12 @@ def dedupe_corpus(docs: DataFrame, scope: list[str], key: str = "doc_id", thresh
     """
     prepared = docs.select(key, *scope, "text", T.fingerprint(F.col("text")).alias("hash")).where(T.normalize_for_dedup(F.col("text")) != "")
     firsts = prepared.groupBy(*scope, "hash").agg(F.min(key).alias(key))
-    distinct = _stored(prepared.join(firsts.select(key), key, "left_semi"), "distinct-texts")
+    distinct = stored(prepared.join(firsts.select(key), key, "left_semi"), "distinct-texts")
     sized = distinct.select(F.col(key).alias("id"), F.size(T.word_set(F.col("text"))).alias("n"), F.sha2(F.concat_ws(" ", F.array_sort(T.word_set(F.col("text")))), 256).alias("set_key"), *scope)
     pairs = similar_pairs(distinct, scope, key, threshold)
     # Rows of one word set but different text are near one another too: each to the set's first row, and sets to sets.
     first = sized.groupBy(*scope, "set_key").agg(F.min("id").alias("rep"))
-    rep = _stored(sized.join(first, [*scope, "set_key"]).select("id", "n", "rep"), "representatives")
+    rep = stored(sized.join(first, [*scope, "set_key"]).select("id", "n", "rep"), "representatives")
     inside = rep.where("id <> rep AND n >= 15").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     left = rep.select(F.col("rep").alias("a"), F.col("id").alias("x"), F.col("n").alias("nx"))
     right = rep.select(F.col("rep").alias("b"), F.col("id").alias("y"), F.col("n").alias("ny"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_queries", "retrieval_queries", "chunk_queries", "profile_queries", "quality_queries"]
+MODULES = ["text_queries", "retrieval_queries", "chunk_queries", "profile_queries", "quality_queries", "registry_queries", "source_queries"]
 
 
 def load() -> None:
