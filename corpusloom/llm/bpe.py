@@ -34,8 +34,9 @@ CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 OTHER_SPACE = re.compile("[" + "".join(map(chr, [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 #: A text without these can be cut at every single space: no run of white space is torn.
 UNEVEN_SPACE = re.compile(OTHER_SPACE.pattern[:-1] + "\t\r]|  | \n")
-#: Entries that a worker keeps. A full cache keeps what it has (frequent chunks come early) and forgets a slice's new ones.
-CHUNKS, PIECES, PAIRS = 200_000, 200_000, 300_000
+#: Chunks that a worker keeps (and 5/6 as many pieces, 5/3 as many token pairs), at some 700 bytes a chunk for all three.
+#: A full cache keeps what it has (frequent chunks come early) and forgets a slice's new ones.
+CACHE = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,6 +91,7 @@ class TrieBPE:
                         break
                     until, at = parts[at][2], parts[at][side]
                 edge[i] = chain
+        self.cache = CACHE
         self.pairs: dict[int, bool] = {}
         ok = {i for i in model["vocab"].values() if i not in parts and len(self.bytes_of[i]) == 1}
         for i in sorted(parts, key=lambda x: parts[x][2]):
@@ -120,7 +122,7 @@ class TrieBPE:
     def encode_pieces(self, pieces: set[bytes]) -> None:
         """Depth-first walk over the trie of these pieces (their sorted order); fills the cache."""
         token, pairs, packed, reach, crosses = self.token.get, self.pairs, self.packed, self.reach.get, self._crosses
-        if len(pairs) > PAIRS:
+        if len(pairs) > self.cache * 5 // 3:
             pairs.clear()
         path: list[int] = []  # last token of the encoding of each prefix on the current path
         coded: list[bytes] = []  # and that prefix's ids
@@ -165,7 +167,7 @@ class TrieBPE:
         added = self._fill()
         for k in again:
             out[k] = b"".join(map(chunk, cut[k][0])) + b"".join(map(spaced, cut[k][1]))
-        if len(self.chunks) + len(self.spaced) > CHUNKS:
+        if len(self.chunks) + len(self.spaced) > self.cache:
             for known, c, _ in added:
                 del known[c]
         return out
@@ -181,7 +183,7 @@ class TrieBPE:
         found = self.pieces
         for known, c, ps in todo:
             known[c] = b"".join([self.packed[p] if isinstance(p, int) else found[p] for p in ps])
-        if len(found) > PIECES:
+        if len(found) > self.cache * 5 // 6:
             for p in new:
                 del found[p]
         return todo
@@ -207,10 +209,11 @@ class TrieBPE:
 _loaded: dict[str, TrieBPE] = {}
 
 
-def load(path: str) -> TrieBPE:
+def load(path: str, cache: int = CACHE) -> TrieBPE:
     """One encoder a Python worker: later tasks of the worker find its caches filled."""
     if path not in _loaded:
         _loaded[path] = TrieBPE(path)
+    _loaded[path].cache = cache
     return _loaded[path]
 
 
@@ -224,11 +227,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     return map_documents(docs, rows, "doc_id long, n_tokens long, ids binary", text)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded text; the ids never leave the task."""
 
     def rows(ids: list, texts: list[str]) -> dict:
-        bpe = load(path)
+        bpe = load(path, cache)
         coded = bpe.encode(texts)
         return {
             "doc_id": ids,
