@@ -112,7 +112,11 @@ def language_of(ws: Column) -> Column:
 def language_by_count(ws: Column) -> Column:
     """The language with the most function words in the whole text; ties in the order tried, none: en."""
     english = "the of and to in that is was for it".split()
-    scored = F.array(*[F.struct(F.size(F.filter(ws, lambda w, s=stop: w.isin(s))).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("l")) for i, (lang, stop) in enumerate({"en": english, **LANGUAGES}.items())])
+
+    def hits(stop: list[str]) -> Column:
+        return F.size(F.filter(ws, lambda w: w.isin(stop)))
+
+    scored = F.array(*[F.struct(hits(stop).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("l")) for i, (lang, stop) in enumerate({"en": english, **LANGUAGES}.items())])
     best = F.array_max(scored)
     return F.when(best["n"] > 0, best["l"]).otherwise("en")
 

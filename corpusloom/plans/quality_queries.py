@@ -25,9 +25,9 @@ def greedy(scope: str) -> str:
     """Recursive SQL: rows of a query accepted one by one in rank order."""
     near = "(len(n.ws) >= 15 AND len(a.ws) > 0 AND len(list_intersect(n.ws, a.ws)) / CAST(len(n.ws) + len(a.ws) - len(list_intersect(n.ws, a.ws)) AS DOUBLE) >= 0.85)"
     return (
-        f"hw AS (SELECT query_id, doc_id, rank, {scope} AS scope, sha256({NORM}) AS hash, {WORDS} AS ws FROM h10), "
+        f"hw AS MATERIALIZED (SELECT query_id, doc_id, rank, {scope} AS scope, sha256({NORM}) AS hash, {WORDS} AS ws FROM h10), "
         f"pair AS (SELECT n.query_id, n.rank AS nr, a.rank AS ar FROM hw n JOIN hw a ON n.query_id = a.query_id AND a.rank < n.rank AND (n.doc_id = a.doc_id OR (n.scope = a.scope AND (n.hash = a.hash OR {near})))), "
-        "pl AS (SELECT query_id, nr, list(ar) AS ars FROM pair GROUP BY ALL), "
+        "pl AS MATERIALIZED (SELECT query_id, nr, list(ar) AS ars FROM pair GROUP BY ALL), "
         "g AS (SELECT query_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS acc FROM (SELECT DISTINCT query_id FROM hw) UNION ALL SELECT g.query_id, g.r + 1, CASE WHEN pl.ars IS NULL OR len(list_intersect(pl.ars, g.acc)) = 0 THEN list_append(g.acc, g.r + 1) ELSE g.acc END FROM g JOIN hw ON hw.query_id = g.query_id AND hw.rank = g.r + 1 LEFT JOIN pl ON pl.query_id = g.query_id AND pl.nr = g.r + 1), "
         "fin AS (SELECT query_id, acc FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC) AS z FROM g) WHERE z = 1) "
         "SELECT hw.query_id, hw.doc_id, CAST(list_position(acc, hw.rank) AS INTEGER) AS rank FROM hw JOIN fin USING (query_id) WHERE list_contains(acc, hw.rank)"
@@ -57,7 +57,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {PAIRS}, ed AS (SELECT y, list(x) AS xs FROM p WHERE j >= 0.85 AND ny >= 15 GROUP BY y), o AS (SELECT y, xs, row_number() OVER (ORDER BY y) AS k FROM ed), "
+    f"WITH RECURSIVE {PAIRS}, ed AS (SELECT y, list(x) AS xs FROM p WHERE j >= 0.85 AND ny >= 15 GROUP BY y), o AS MATERIALIZED (SELECT y, xs, row_number() OVER (ORDER BY y) AS k FROM ed), "
     "g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT g.k + 1, CASE WHEN len(list_filter(o.xs, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, o.y) ELSE g.gone END FROM g JOIN o ON o.k = g.k + 1), "
     "z AS (SELECT gone FROM g ORDER BY k DESC LIMIT 1) SELECT doc_id FROM d, z WHERE NOT list_contains(gone, doc_id)"
 )

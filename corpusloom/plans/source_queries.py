@@ -56,6 +56,14 @@ def read_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_xml_records(spark, path, "item").select("s_suppkey", "s_name")
 
 
+@query("WITH b AS (SELECT s_suppkey, unnest([struct_pack(i := 0, t := 'heading', l := 1, c := 'item'), struct_pack(i := 1, t := 'paragraph', l := NULL, c := 'name: ' || s_name), struct_pack(i := 2, t := 'heading', l := 2, c := 'place'), struct_pack(i := 3, t := 'paragraph', l := NULL, c := 'nation: ' || s_nationkey)]) AS b FROM supplier) SELECT s_suppkey, CAST(b.i AS INTEGER) AS block_index, b.t AS type, CAST(b.l AS INTEGER) AS level, b.c AS content FROM b")
+def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as nested XML texts (with a namespace) and flattened again."""
+    s = table(spark, sf_dir, "supplier")
+    doc = F.concat(F.lit('<n:item xmlns:n="urn:x"><n:name>'), "s_name", F.lit("</n:name><n:place><n:nation>"), F.col("s_nationkey").cast("string"), F.lit("</n:nation></n:place></n:item>"))
+    return files.xml_flatten(s.select("s_suppkey", doc.alias("doc")), "s_suppkey", "doc")
+
+
 @query()
 def html_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every page; order, kinds and dropped elements are tested in tests/."""

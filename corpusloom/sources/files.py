@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,6 +111,41 @@ def read_xml_records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return df.toDF(*[c.split(":")[-1] for c in df.columns])
 
 
+def xml_flatten(rows: DataFrame, key: str, doc: str) -> DataFrame:
+    """(key, block_index, type, level, content) of an XML text: a heading a container, 'tag: text' a leaf, in document order.
+
+    Namespaces are dropped; a text that is no XML gives no block. Rows stream through the task one by one.
+    """
+    ready(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
+                try:
+                    stack = [(ElementTree.fromstring(raw or ""), 1)]
+                except ElementTree.ParseError:
+                    continue
+                n = 0
+                while stack:
+                    node, level = stack.pop()
+                    tag = node.tag.rpartition("}")[2]
+                    text = " ".join((node.text or "").split())
+                    if len(node):
+                        out.append((k, n, "heading", min(level, 6), tag))
+                        stack += [(child, level + 1) for child in reversed(node)]
+                    elif text:
+                        out.append((k, n, "paragraph", None, f"{tag}: {text}"))
+                    else:
+                        continue
+                    n += 1
+            frame = pd.DataFrame(out, columns=[key, "block_index", "type", "level", "content"])
+            frame["level"] = frame["level"].astype("Int32")
+            yield frame
+
+    return rows.select(key, doc).mapInPandas(run, f"{key} long, block_index int, type string, level int, content string")
+
+
 class _Blocks(HTMLParser):
     """Collects (type, level, content) in document order."""
 
