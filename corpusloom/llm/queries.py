@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, decontaminate, licenses, line_dedup, quality_crf, quality_rules, secrets, simhash, token_store, url_filter
 from corpusloom.llm.common import documents
+from corpusloom.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def vocabulary(name: str) -> str:
@@ -62,5 +65,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_bpe, op5_line_dedup, op6_url_filter, op7_quality_classifier, op8_secret_scan, op9_token_store, op10_simhash)}
-
-ORACLE_SQL: dict[str, str] = {}
