@@ -15,7 +15,7 @@ def evidence_gate(hits: DataFrame, queries: DataFrame) -> DataFrame:
     The share is taken per hit before anything is grouped, so texts are not shuffled with their query.
     """
     asked = queries.select("query_id", T.key_terms(F.col("query")).alias("terms"), T.any_of(F.lower("query"), T.OVERVIEW).alias("overview"))
-    held = hits.join(F.broadcast(asked), "query_id").select("query_id", F.size(F.filter("terms", lambda t: F.lower("text").contains(t))).alias("found"))
+    held = hits.join(asked, "query_id").select("query_id", F.size(F.filter("terms", lambda t: F.lower("text").contains(t))).alias("found"))
     best = held.groupBy("query_id").agg(F.max("found").alias("found"))
     n = F.size("terms")
     enough = F.when(n <= 2, F.col("found") == n).otherwise(F.col("found") / n >= 0.6)

@@ -143,7 +143,7 @@ def probe_turns(spark: SparkSession, sf_dir: str, n: int, seed: int = 42) -> Dat
     order = sources.withColumn("pos", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(str(seed)), "source")))) - 1)
     total = d.agg(F.count_distinct("source").alias("s"), F.count("*").alias("total"))
     rounds = d.withColumn("round", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where(F.col("round") <= n)
-    turns = rounds.join(F.broadcast(order), "source").crossJoin(F.broadcast(total)).withColumn("turn", (F.col("round") - 1) * F.col("s") + F.col("pos"))
+    turns = rounds.join(order, "source").crossJoin(F.broadcast(total)).withColumn("turn", (F.col("round") - 1) * F.col("s") + F.col("pos"))
     return turns.where("turn < total").orderBy("turn").limit(n).select("doc_id", "source", "turn")
 
 
@@ -157,7 +157,7 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (n / 6)-th document of a source that was not retrieved (ids divisible by three stand for the retrieved)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     totals = d.groupBy("source").agg(F.count("*").alias("total"))
-    n = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).join(F.broadcast(totals), "source")
+    n = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).join(totals, "source")
     step = F.greatest(F.lit(1), F.floor(F.col("total") / F.least(F.lit(6), F.col("total"))))
     chosen = n.where((F.col("n") - 1) % step == 0).select("source", "doc_id")
     return chosen.join(d.where("doc_id % 3 = 0").select("doc_id"), "doc_id", "left_anti").select("source", "doc_id")

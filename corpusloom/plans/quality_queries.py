@@ -18,7 +18,7 @@ TOP = f"WITH RECURSIVE {Q}, {TERMS}, {SCORES}, h10 AS (SELECT query_id, doc_id,
 def top_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The k best documents of every query with their text and source. The text joins k rows a query only."""
     hits = lexical.top_k(bm25_scores(spark, sf_dir), k)
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(F.broadcast(hits), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(hits, "doc_id")
 
 
 def greedy(scope: str) -> str:
@@ -196,7 +196,7 @@ def evaluate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All probes retrieved, ranked and summed up in one plan."""
     r, hits = probe_hits(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return evaluation.retrieval_metrics(r, d.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id"), d)
+    return evaluation.retrieval_metrics(r, d.join(hits.select("doc_id").distinct(), "doc_id"), d)
 
 
 NOCLAIM = "could not find|insufficient|not found|does not contain|no information"
@@ -264,7 +264,7 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retrieval pipeline: hits, citations and the size of the context, for all queries in one plan."""
     hits = top_hits(spark, sf_dir, 5)
     n = hits.groupBy("query_id").agg(F.count("*").alias("n_context"))
-    return hits.join(F.broadcast(n), "query_id").select("query_id", "doc_id", "score", T.citation(F.col("source"), F.lit(None), F.lit(None)).alias("citation"), "n_context")
+    return hits.join(n, "query_id").select("query_id", "doc_id", "score", T.citation(F.col("source"), F.lit(None), F.lit(None)).alias("citation"), "n_context")
 
 
 @query("WITH c AS (SELECT doc_id, source, n_chars, lang, doc_id % 7 + 1 AS page FROM documents) SELECT doc_id FROM c WHERE source IN ('src1', 'src2', 'src3') AND page IN (1, 2, 3) AND lang = 'en'")

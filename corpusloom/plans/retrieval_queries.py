@@ -63,10 +63,10 @@ def bm25_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {Q}, {TERMS}, {SCORES} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, '[Source: ' || source || ']' AS citation FROM sp JOIN documents USING (doc_id) WHERE rank <= {K}")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: ranked, cited hits of every query. The document side of the last join is pruned to two columns."""
+    """The flagship: ranked, cited hits of every query. The last join reads two columns; a few hits are broadcast at run time."""
     hits = lexical.top_k(bm25_scores(spark, sf_dir), K)
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return sources.join(F.broadcast(hits), "doc_id").select("query_id", "doc_id", "score", "rank", T.citation(F.col("source"), F.lit(None), F.lit(None)).alias("citation"))
+    return sources.join(hits, "doc_id").select("query_id", "doc_id", "score", "rank", T.citation(F.col("source"), F.lit(None), F.lit(None)).alias("citation"))
 
 
 @query(f"WITH {VEC} SELECT query_id, vec_id, score, rank FROM h WHERE rank <= {K}")
