@@ -379,3 +379,28 @@ def test_pipeline_stages(spark, sf_dir):
     kept = {r["doc_id"] for r in out}
     assert kept and kept < {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert not any(labels.get(i) == 0 for i in kept) and sum(labels.get(i) == 1 for i in kept) > 0.6 * sum(v == 1 for v in labels.values())
+
+
+def test_matcher_against_all_substrings():
+    rng = random.Random(8)
+    for _ in range(60):
+        items = [(n, " ".join(rng.choice("abcd") * 2 for _ in range(rng.choice([1, 3, 7, 8, 14, 20])))) for n in range(4)]
+        text = []
+        for _ in range(rng.randrange(0, 4)):
+            ws = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(0, 3)):
+                ws[rng.randrange(len(ws))] = rng.choice(["x", "aa", "y"])
+            text += ws + ["zz"] * rng.randrange(0, 3)
+        found = {k: min(d for _, d, _ in v) for k, v in decontaminate.Matcher(items, 0.15).find(" ".join(text)).items()}
+        want = {}
+        for n, t in items:
+            p = t.split()
+            row = [0] * (len(text) + 1)  # an occurrence may start anywhere
+            for i, x in enumerate(p, 1):
+                prev, row = row, [i]
+                for j, y in enumerate(text, 1):
+                    row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+            best = min(row[1:], default=99)
+            if best <= decontaminate.budget(len(p)):
+                want[n] = best
+        assert found == want
