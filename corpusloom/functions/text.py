@@ -67,7 +67,7 @@ def chunk_id(source_id: Column, prefix: str, index: Column, text: Column) -> Col
 
 def normalize_for_dedup(text: Column) -> Column:
     """Page markers and layout-file footers removed, white space collapsed, lower case."""
-    marks = F.regexp_replace(text, r"(?i)--- Page \d+ (?:End|Start) ---", " ")
+    marks = F.when(text.contains("---"), F.regexp_replace(text, r"(?i)--- Page \d+ (?:End|Start) ---", " ")).otherwise(text)
     footers = F.when(marks.contains(".indd"), F.regexp_replace(marks, r"(?i)(?:\d+[\s\-]*)?(?:\d+(?:st|nd|rd|th)[\s\-]*)?[a-zA-Z0-9_\s\-]+?\.indd[^\n\r]*", " ")).otherwise(marks)
     return F.lower(F.trim(F.regexp_replace(footers, r"\s+", " ")))
 

@@ -26,6 +26,12 @@ def dedupe_hits(hits: DataFrame, scope: str = "source", key: str = "doc_id", thr
     return kept.select("query_id", (F.col("i") + 1).alias("rank"), F.col("h.id").alias(key), F.col("h.scope").alias(scope))
 
 
+def _prepared(docs: DataFrame, scope: list[str], key: str) -> DataFrame:
+    """key, scope, hash and word set of every text that is not blank; normalized once."""
+    norm = docs.select(key, *scope, T.normalize_for_dedup(F.col("text")).alias("norm")).where("norm <> ''")
+    return norm.select(key, *scope, F.sha2("norm", 256).alias("hash"), F.array_distinct(F.regexp_extract_all(F.col("norm"), F.lit("[a-z0-9_]{3,}"), F.lit(0))).alias("words"))
+
+
 def similar_pairs(docs: DataFrame, scope: list[str], key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard): pairs of distinct word sets of one scope with at least this similarity. Exact.
 
@@ -33,8 +39,11 @@ def similar_pairs(docs: DataFrame, scope: list[str], key: str = "doc_id", thresh
     |x| - ceil(t |x|) + 1 of each. Only those words are joined, with the length filter in the join; candidates are
     verified on the sets. Rows of one word set are one member here, so a group of copies never meets itself.
     """
-    sets = docs.select(key, *scope, T.word_set(F.col("text")).alias("words")).where(F.size("words") > 0)
-    keyed = sets.withColumn("set_key", F.sha2(F.concat_ws(" ", F.array_sort("words")), 256))
+    return _set_pairs(_prepared(docs, scope, key), scope, key, threshold)
+
+
+def _set_pairs(sets: DataFrame, scope: list[str], key: str, threshold: float) -> DataFrame:
+    keyed = sets.where(F.size("words") > 0).withColumn("set_key", F.sha2(F.concat_ws(" ", F.array_sort("words")), 256))
     members = stored(keyed.groupBy(*scope, "set_key").agg(F.min(key).alias("id"), F.first("words").alias("words")), "word-sets")
     rarity = members.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     ranked = members.select("id", *scope, F.size("words").alias("n"), F.explode("words").alias("w")).join(rarity, "w")
@@ -77,11 +86,11 @@ def dedupe_corpus(docs: DataFrame, scope: list[str], key: str = "doc_id", thresh
 
     Equal texts go first (one aggregation); word sets under 15 words never make a later row near.
     """
-    prepared = docs.select(key, *scope, "text", T.fingerprint(F.col("text")).alias("hash")).where(T.normalize_for_dedup(F.col("text")) != "")
-    firsts = prepared.groupBy(*scope, "hash").agg(F.min(key).alias(key))
-    distinct = stored(prepared.join(firsts.select(key), key, "left_semi"), "distinct-texts")
-    sized = distinct.select(F.col(key).alias("id"), F.size(T.word_set(F.col("text"))).alias("n"), F.sha2(F.concat_ws(" ", F.array_sort(T.word_set(F.col("text")))), 256).alias("set_key"), *scope)
-    pairs = similar_pairs(distinct, scope, key, threshold)
+    base = stored(_prepared(docs, scope, key), "prepared-texts")
+    firsts = base.groupBy(*scope, "hash").agg(F.min(key).alias(key))
+    distinct = stored(base.join(firsts.select(key), key, "left_semi"), "distinct-texts")
+    sized = distinct.select(F.col(key).alias("id"), F.size("words").alias("n"), F.sha2(F.concat_ws(" ", F.array_sort("words")), 256).alias("set_key"), *scope)
+    pairs = _set_pairs(distinct, scope, key, threshold)
     # Rows of one word set but different text are near one another too: each to the set's first row, and sets to sets.
     first = sized.groupBy(*scope, "set_key").agg(F.min("id").alias("rep"))
     rep = stored(sized.join(first, [*scope, "set_key"]).select("id", "n", "rep"), "representatives")
