@@ -38,6 +38,8 @@ WIDTH = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A block value with more distinct fingerprints is dealt again by more bits; rows of one numpy walk; pairs of a step.
 LIMIT, WALK, FRONTIER = 200_000, 1 << 18, 1 << 20
+#: Leaves of up to so many rows are compared row by row; larger ones through their heads.
+FEW = 4
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
@@ -96,7 +98,7 @@ def blocks(width: int, budget: int) -> list[tuple[int, int]]:
 def walk(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j of ``values`` (``width`` bits) within the budget, inside each of the groups [start, end).
 
-    ``values`` is sorted within groups. A trie node is a range of equal leading bits; a frontier row is a pair of nodes
+    ``values`` is sorted within groups and each is there once a group. A trie node is a range of equal leading bits; a frontier row is a pair of nodes
     with the bits in which their prefixes differ. A node paired with itself stands for the pairs inside it.
     """
     ones = np.zeros((width, len(values) + 1), np.int32)
@@ -119,13 +121,6 @@ def walk(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int,
             a0, a1, b0, b1, diff = (v[~leaf] for v in (a0, a1, b0, b1, diff))
         if not len(a0):
             continue
-        if level < 0:  # nodes of equal values: every member with the first of either node is enough to link them all
-            for p0, p1, q0, q1 in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True):
-                if p0 != q0:
-                    yield np.array([p0]), np.array([q0])
-                else:
-                    yield np.full(p1 - p0 - 1, p0), np.arange(p0 + 1, p1)
-            continue
         one = ones[level]
         am, bm = a1 - (one[a1] - one[a0]), b1 - (one[b1] - one[b0])  # first index whose bit is 1
         same = a0 == b0
@@ -153,6 +148,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[other], names[root[other]]
 
 
+def members_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a member of leaf a[k] and a member of leaf b[k], as row numbers."""
+    n = size[a] * size[b]
+    pair = np.repeat(np.arange(len(a)), n)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    return rows[first[a][pair] + at // size[b][pair]], rows[first[b][pair] + at % size[b][pair]]
+
+
 def _bits(word: Column, shift: int, n: int) -> Column:
     return F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1))
 
@@ -195,6 +198,9 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
     """Spanning links (a, b) between the ids of ``prints`` (id, f0, f1, ...).
 
     A pair is met when one table's bits differ by ``budget`` at most, and linked when all bits differ by ``total`` at most.
+    Rows with the same bits of a table are one leaf. Inside a large leaf the first row takes all it is near to, the first of
+    the rest likewise, until none is left; these heads stand for the leaf when it meets another. With one table of all bits a
+    leaf is one row and every link is found.
     """
     n_words, total = len(prints.columns) - 1, budget if total is None else total
     n = int(ready(prints.sparkSession).conf.get("spark.sql.shuffle.partitions"))
@@ -202,6 +208,20 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
     def links(rows: list[np.ndarray]) -> pa.RecordBatch | None:
         key, t, ids, words = rows[0], rows[1], rows[2], rows[3:]
         found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def far(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(i), np.int64)
+            for x in words:
+                out += np.bitwise_count(x[i].view(np.uint64) ^ x[j].view(np.uint64))
+            return out
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            near = (far(i, j) <= total) & (i != j)
+            if near.any():
+                found.append(forest(ids[i[near]], ids[j[near]]))
+                if len(found) > 64:
+                    found[:] = [forest(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+
         for table in np.unique(t):
             w, shift, width = tables[table]
             mine = np.flatnonzero(t == table)
@@ -209,17 +229,29 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
             order = np.lexsort((value, key[mine]))
             mine, value = mine[order], value[order]
             k = key[mine]
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            for i, j in walk(value, cut, np.append(cut[1:], len(k)), budget, width):
-                i, j = mine[i], mine[j]
-                far = np.zeros(len(i), np.int64)
-                for x in words:
-                    far += np.bitwise_count(x[i].view(np.uint64) ^ x[j].view(np.uint64))
-                near = far <= total
-                if near.any():
-                    found.append(forest(ids[i[near]], ids[j[near]]))
-                    if len(found) > 64:
-                        found = [forest(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (value[1:] != value[:-1])])
+            first = np.flatnonzero(new)  # rows of one key and value are one leaf of the trie
+            size = np.diff(np.append(first, len(k)))
+            leaf_key = k[first]
+            cut = np.flatnonzero(np.concatenate([[True], leaf_key[1:] != leaf_key[:-1]]))
+            heads: dict[int, np.ndarray] = {}
+            for leaf in np.flatnonzero(size > FEW):
+                members = mine[first[leaf] : first[leaf] + size[leaf]]
+                left, chosen = members, []
+                while len(left):
+                    chosen.append(left[0])
+                    keep(np.full(len(members), left[0]), members)
+                    left = left[far(np.full(len(left), left[0]), left) > total]
+                heads[leaf] = np.array(chosen)
+            some = np.flatnonzero((size > 1) & (size <= FEW))
+            keep(*members_of(mine, first, size, some, some))
+            for a, b in walk(value[first], cut, np.append(cut[1:], len(first)), budget, width):
+                few = size[a] * size[b] <= FEW * FEW
+                keep(*members_of(mine, first, size, a[few], b[few]))
+                for x, y in zip(a[~few].tolist(), b[~few].tolist(), strict=True):
+                    here = heads.get(x, mine[first[x] : first[x] + size[x]])
+                    there = mine[first[y] : first[y] + size[y]]
+                    keep(np.repeat(here, len(there)), np.tile(there, len(here)))
         if not found:
             return None
         a, b = forest(*(np.concatenate(c) for c in zip(*found, strict=True)))

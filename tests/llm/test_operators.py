@@ -404,3 +404,21 @@ def test_matcher_against_all_substrings():
             if best <= decontaminate.budget(len(p)):
                 want[n] = best
         assert found == want
+
+
+def test_trie_links_with_shared_leaves(spark):
+    """Two words a row; the 21-bit tables of the first hold many rows that share a leaf without being near."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(30):
+        a, b = int(rng.integers(0, 8)) * 1_000_003, int(rng.integers(0, 2**62))
+        for _ in range(5):
+            flips = [1 << int(k) for k in rng.integers(0, 62, 3)]
+            rows.append((len(rows), a, b ^ flips[0] ^ flips[1] ^ flips[2], g))
+    df = spark.createDataFrame([r[:3] for r in rows], "id long, f0 long, f1 long")
+    links = simhash.trie_links(df, [(0, s, 21) for s in (0, 21, 42)], 2, 8)
+    root = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    low = {}
+    for i, _, _, g in rows:
+        low.setdefault(g, i)
+    assert all(root.get(i, i) == low[g] for i, _, _, g in rows)
