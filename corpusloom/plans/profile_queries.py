@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
 from corpusloom.operators import profile, recommend
 from corpusloom.plans.chunk_queries import LINES, MARKED, marked
 from corpusloom.plans.registry import query, table
