@@ -15,7 +15,9 @@ jumping over tables in the shared folder.
 
 Two uses: :func:`group_documents` joins one 64-bit fingerprint within 2 bits. :func:`drop_near_copies` looks for a
 shingle similarity of 0.8, at which 64-bit fingerprints differ in about ten bits, too many to prune by. It takes 512
-bits, walks twelve tries over 21 of them each with a budget of 2, and accepts a pair by all 512 bits.
+bits of the distinct shingles, walks twelve tries over 21 of them each with a budget of 2, and takes pairs within 128 of
+all bits as candidates. Candidates are joined back to their shingle sets (as 64-bit hashes), and only pairs with a Jaccard
+similarity of 0.8 or more are links.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id are one document
 with several rows: each is returned with its own fingerprint and its group's smallest doc_id.
@@ -23,7 +25,7 @@ with several rows: each is returned with its own fingerprint and its group's sma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A block value with more distinct fingerprints is dealt again by more bits; rows of one numpy walk; pairs of a step.
 LIMIT, WALK, FRONTIER = 200_000, 1 << 18, 1 << 20
 #: Leaves of up to so many rows are compared row by row; larger ones through their heads.
-FEW = 4
+#: A key with more candidate pairs a row than DENSE gives one pair a row at first.
+FEW, DENSE = 4, 4
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
@@ -194,6 +197,72 @@ def deal(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, lim
     return calm
 
 
+def cross(x: np.ndarray, y: np.ndarray, label: np.ndarray, step: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a member of x and one of y whose labels differ, in bounded blocks; x is y for the pairs inside one leaf."""
+    of_x, of_y = label[x], label[y]
+    for name in np.unique(of_x):
+        i, j = x[of_x == name], y[of_y > name] if x is y else y[of_y != name]
+        if len(j):
+            per = max(1, step // len(j))
+            for at in range(0, len(i), per):
+                part = i[at : at + per]
+                yield np.repeat(part, len(j)), np.tile(j, len(part))
+
+
+def _differing(words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(i), np.int64)
+    for x in words:
+        out += np.bitwise_count(x[i].view(np.uint64) ^ x[j].view(np.uint64))
+    return out
+
+
+def _leaves(key: np.ndarray, t: np.ndarray, words: list[np.ndarray], tables: list[tuple[int, int, int]], budget: int) -> Iterator[tuple]:
+    """For every table: its rows (one leaf after the other), first and size of each leaf, and the leaf pairs that meet.
+
+    A leaf's rows share a key and the table's bits. Leaves of several rows meet themselves.
+    """
+    for table in np.unique(t):
+        w, shift, width = tables[table]
+        mine = np.flatnonzero(t == table)
+        value = (words[w][mine].view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        order = np.lexsort((value, key[mine]))
+        mine, value = mine[order], value[order]
+        k = key[mine]
+        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (value[1:] != value[:-1])]))
+        size = np.diff(np.append(first, len(k)))
+        leaf_key = k[first]
+        cut = np.flatnonzero(np.concatenate([[True], leaf_key[1:] != leaf_key[:-1]]))
+        several = np.flatnonzero(size > 1)
+
+        def met(value: np.ndarray = value[first], cut: np.ndarray = cut, several: np.ndarray = several) -> Iterator[tuple]:
+            yield several, several
+            yield from walk(value, cut, np.append(cut[1:], len(value)), budget, width)
+
+        yield mine, first, size, met()
+
+
+def _join(spread: DataFrame, links: Callable[[list[np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``links`` over the rows of whole keys, a bounded number of rows at a time."""
+    n = int(ready(spread.sparkSession).conf.get("spark.sql.shuffle.partitions"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size > WALK:  # rows come sorted by key: whole groups can go, the last one may go on
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                done = rows[0] != rows[0][-1]
+                if done.any() and (got := links([r[done] for r in rows])) is not None:
+                    yield got
+                held, size = [[r[~done] for r in rows]], int((~done).sum())
+        if size and (got := links([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
+            yield got
+
+    return spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(join, schema)
+
+
 def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, WIDTH)], budget: int = 2, total: int | None = None, limit: int = LIMIT) -> DataFrame:  # noqa: B006
     """Spanning links (a, b) between the ids of ``prints`` (id, f0, f1, ...).
 
@@ -203,77 +272,116 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
     leaf is one row and every link is found.
     """
     n_words, total = len(prints.columns) - 1, budget if total is None else total
-    n = int(ready(prints.sparkSession).conf.get("spark.sql.shuffle.partitions"))
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        key, t, ids, words = rows[0], rows[1], rows[2], rows[3:]
+        ids, words = rows[2], rows[3:]
         found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def far(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(i), np.int64)
-            for x in words:
-                out += np.bitwise_count(x[i].view(np.uint64) ^ x[j].view(np.uint64))
-            return out
+        heads: dict[int, np.ndarray] = {}
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
-            near = (far(i, j) <= total) & (i != j)
+            near = (_differing(words, i, j) <= total) & (i != j)
             if near.any():
                 found.append(forest(ids[i[near]], ids[j[near]]))
                 if len(found) > 64:
                     found[:] = [forest(*(np.concatenate(c) for c in zip(*found, strict=True)))]
 
-        for table in np.unique(t):
-            w, shift, width = tables[table]
-            mine = np.flatnonzero(t == table)
-            value = (words[w][mine].view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            order = np.lexsort((value, key[mine]))
-            mine, value = mine[order], value[order]
-            k = key[mine]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (value[1:] != value[:-1])])
-            first = np.flatnonzero(new)  # rows of one key and value are one leaf of the trie
-            size = np.diff(np.append(first, len(k)))
-            leaf_key = k[first]
-            cut = np.flatnonzero(np.concatenate([[True], leaf_key[1:] != leaf_key[:-1]]))
-            heads: dict[int, np.ndarray] = {}
-            for leaf in np.flatnonzero(size > FEW):
-                members = mine[first[leaf] : first[leaf] + size[leaf]]
-                left, chosen = members, []
-                while len(left):
-                    chosen.append(left[0])
-                    keep(np.full(len(members), left[0]), members)
-                    left = left[far(np.full(len(left), left[0]), left) > total]
-                heads[leaf] = np.array(chosen)
-            some = np.flatnonzero((size > 1) & (size <= FEW))
-            keep(*members_of(mine, first, size, some, some))
-            for a, b in walk(value[first], cut, np.append(cut[1:], len(first)), budget, width):
+        for mine, first, size, met in _leaves(rows[0], rows[1], words, tables, budget):
+            for a, b in met:
                 few = size[a] * size[b] <= FEW * FEW
                 keep(*members_of(mine, first, size, a[few], b[few]))
                 for x, y in zip(a[~few].tolist(), b[~few].tolist(), strict=True):
-                    here = heads.get(x, mine[first[x] : first[x] + size[x]])
-                    there = mine[first[y] : first[y] + size[y]]
-                    keep(np.repeat(here, len(there)), np.tile(there, len(here)))
+                    here = mine[first[x] : first[x] + size[x]]
+                    there = here if x == y else mine[first[y] : first[y] + size[y]]
+                    if x == y:
+                        left, chosen = here, []
+                        while len(left):
+                            chosen.append(left[0])
+                            keep(np.full(len(here), left[0]), here)
+                            left = left[_differing(words, np.full(len(left), left[0]), left) > total]
+                        heads[(int(here[0]))] = np.array(chosen)
+                    else:
+                        here = heads.get(int(here[0]), here)
+                        keep(np.repeat(here, len(there)), np.tile(there, len(here)))
         if not found:
             return None
         a, b = forest(*(np.concatenate(c) for c in zip(*found, strict=True)))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            size += batch.num_rows
-            if size > WALK:  # rows come sorted by key: whole groups can go, the last one may go on
-                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-                done = rows[0] != rows[0][-1]
-                if done.any() and (got := links([r[done] for r in rows])) is not None:
-                    yield got
-                held, size = [[r[~done] for r in rows]], int((~done).sum())
-        if size and (got := links([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
-            yield got
+    return _join(deal(prints, tables, budget, limit).select("key", "t", "id", *(f"f{k}" for k in range(n_words))), links, "a long, b long")
+
+
+def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, total: int, limit: int = LIMIT, crowded: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of ``prints`` (id, n, label, f0, f1, ...), met and bounded as in :func:`trie_links`.
+
+    Sets of n members can't have a similarity of 0.8 if their sizes are further apart than that, nor is a pair of one label
+    asked for. Without ``crowded``, a key with over DENSE pairs a row gives one pair a row only, and a row (null, null, key)
+    that names it: with ``crowded`` (key), these keys give every pair that is left between different labels.
+    """
+    names = [c for c in prints.columns if c not in ("id", "n", "label")]
+    whole = crowded is not None
+
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch | None:
+        key, ids, n, label, words = rows[0], rows[2], rows[3], rows[4], rows[5:]
+        keys, key_no = np.unique(key, return_inverse=True)
+        dense = np.zeros(len(keys), bool)
+        in_key = np.bincount(key_no)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def accepted(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ok = (ids[i] != ids[j]) & (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            d = _differing(words, i, j)
+            return i[d <= total], j[d <= total], d[d <= total]
+
+        def thin(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """All pairs, but of a dense key the nearest of smaller row number for each row."""
+            i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            if whole:
+                return i, j, d
+            dense[np.bincount(key_no[i], minlength=len(keys)) > DENSE * in_key] = True
+            much = dense[key_no[i]]
+            x, y, e = np.minimum(i, j)[much], np.maximum(i, j)[much], d[much]
+            order = np.lexsort((x, e, y))
+            x, y, e = x[order], y[order], e[order]
+            one = np.concatenate([[True], y[1:] != y[:-1]]) if len(y) else np.zeros(0, bool)
+            return np.concatenate([i[~much], x[one]]), np.concatenate([j[~much], y[one]]), np.concatenate([d[~much], e[one]])
+
+        for mine, first, size, met in _leaves(key, rows[1], words, tables, budget):
+            found = [(np.zeros(0, np.int64),) * 3]
+            held = 0
+            for a, b in met:
+                few = size[a] * size[b] <= FEW * FEW
+                af, bf = a[few], b[few]
+                for at in range(0, len(af), FRONTIER // (FEW * FEW)):
+                    part = slice(at, at + FRONTIER // (FEW * FEW))
+                    found.append(accepted(*members_of(mine, first, size, af[part], bf[part])))
+                    held += len(found[-1][0])
+                for x, y in zip(a[~few].tolist(), b[~few].tolist(), strict=True):
+                    here = mine[first[x] : first[x] + size[x]]
+                    there = here if x == y else mine[first[y] : first[y] + size[y]]
+                    if whole:
+                        steps = cross(here, there, label)
+                    else:  # all others wait for the links that these give
+                        dense[key_no[here[0]]] = True
+                        steps = iter([(np.full(len(there), here[0]), there), (here[:-1], here[1:])])
+                    for i, j in steps:
+                        found.append(accepted(i, j))
+                        held += len(found[-1][0])
+                if held > FRONTIER:
+                    found = [thin(found)]
+                    held = 0
+            i, j, _ = thin(found)
+            out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+        pairs = np.unique(np.concatenate([np.stack(p, axis=1) for p in out]), axis=0)
+        named = keys[dense]
+        if not len(pairs) + len(named):
+            return None
+        none = [None] * len(named)
+        columns = [pa.array([*pairs[:, 0].tolist(), *none], pa.int64()), pa.array([*pairs[:, 1].tolist(), *none], pa.int64()), pa.array([*[None] * len(pairs), *named.tolist()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
 
-    spread = deal(prints, tables, budget, limit).select("key", "t", "id", *(f"f{k}" for k in range(n_words)))
-    return spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
+    spread = deal(prints, tables, budget, limit).select("key", "t", "id", "n", "label", *names)
+    return _join(spread.join(crowded, "key", "left_semi") if whole else spread, links, "a long, b long, key long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -312,20 +420,65 @@ def group_documents(docs: DataFrame, words: int = 3, budget: int = 2, seed: int
 
 #: 512 bits in eight words, and twelve tries over 21 bits each of the first four. At a shingle similarity of 0.8 a bit
 #: differs with probability 0.15 (arccos of 2 * 0.8 / 1.8, over pi), so some trie meets such a pair within 2 bits in
-#: 99.5 % of cases, and 78 of all bits differ on average (standard deviation 8): a pair is accepted up to 88.
-NEAR_WORDS, NEAR_TABLES, NEAR_BUDGET, NEAR_TOTAL = 8, [(w, s, 21) for w in range(4) for s in (0, 21, 42)], 2, 88
+#: 99.5 % of cases, and 78 of all bits differ on average (standard deviation 8; 96 and 9 for sets of four and five). Up to
+#: 128 bits a pair is a candidate; whether it is a link is decided on the shingle sets.
+NEAR_WORDS, NEAR_TABLES, NEAR_BUDGET, NEAR_TOTAL = 8, [(w, s, 21) for w in range(4) for s in (0, 21, 42)], 2, 128
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int, prints: bool, text: str = "text") -> DataFrame:
+    """doc_id and id (a hash of the distinct shingles) of every row; with ``prints`` n and f0, f1, ..., else the set itself."""
+    names = [f"f{k}" for k in range(NEAR_WORDS)]
+
+    def rows(ids: list, texts: list[str]) -> dict:
+        sets = [np.unique(shingle_hashes(t, words, seed)) for t in texts]
+        out: dict = {"doc_id": ids, "id": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), "n": [len(s) for s in sets]}
+        if not prints:
+            return {**out, "shingles": [s.view(np.int64) for s in sets]}
+        for k, name in enumerate(names):
+            out[name] = np.array([fingerprint(mix(s, k) if k else s) for s in sets], np.uint64).view(np.int64)
+        return out
+
+    rest = [f"{name} long" for name in names] if prints else ["shingles array<long>"]
+    return map_documents(docs, rows, ", ".join(["doc_id long, id long, n int", *rest]), text)
+
+
+def similar(pairs: DataFrame, least: DataFrame, docs: DataFrame, words: int, seed: int, text: str = "text") -> DataFrame:
+    """The pairs (a, b) of set ids whose shingle sets have a Jaccard similarity of 0.8 or more. Only their documents are read."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = least.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    sets = stored(shingle_sets(docs.select("doc_id", text).join(wanted, "doc_id", "left_semi"), words, seed, False, text).dropDuplicates(["id"]).select("id", "shingles"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")  # n / (a + b - n) >= 0.8
+
+
+def near_links(docs: DataFrame, least: DataFrame, words: int, seed: int, limit: int = LIMIT, text: str = "text") -> DataFrame:
+    """Links (a, b) of set ids, each of similarity 0.8 or more, that connect what the candidates' links connect.
+
+    Of crowded keys one pair a row is verified first; then every candidate pair whose rows these links leave apart.
+    """
+    names = [f"f{k}" for k in range(NEAR_WORDS)]
+    tries = (NEAR_TABLES, NEAR_BUDGET, NEAR_TOTAL, limit)
+    first = stored(trie_pairs(least.select("id", "n", F.col("id").alias("label"), *names), *tries), "candidates")
+    links = stored(similar(first.where("a IS NOT NULL").select("a", "b").distinct(), least, docs, words, seed, text), "similar")
+    crowded = stored(first.where("key IS NOT NULL").select("key").distinct(), "crowded-keys")
+    if crowded.isEmpty():
+        return links
+    labels = components(links)
+    labelled = least.join(labels, least["id"] == labels["node"], "left").select("id", "n", F.coalesce("root", "id").alias("label"), *names)
+    more = stored(trie_pairs(labelled, *tries, crowded).select("a", "b").distinct(), "candidates")
+    return links.unionAll(stored(similar(more, least, docs, words, seed, text), "similar"))
 
 
 def near_copies(docs: DataFrame, words: int = 5, seed: int = 42, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """doc_id and component_id of every document that has a near copy with a smaller doc_id (five-word shingles, 0.8)."""
     names = [f"f{k}" for k in range(NEAR_WORDS)]
-    rows = stored(fingerprints(docs, words, seed, NEAR_WORDS, text).where("doc_id IS NOT NULL"), "fingerprints")
-    least = stored(rows.groupBy(*names).agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    labels = components(trie_links(least.select("id", *names), NEAR_TABLES, NEAR_BUDGET, NEAR_TOTAL, limit))
-    copies = rows.join(least, names).where("doc_id <> id").select("doc_id", F.col("id").alias("rep"))
-    reps = labels.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-    moved = copies.join(labels, copies["rep"] == labels["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
-    return reps.unionAll(moved)
+    rows = stored(shingle_sets(docs.where("doc_id IS NOT NULL"), words, seed, True, text), "fingerprints")
+    least = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("n", *names))), "distinct-sets")
+    labels = components(near_links(docs, least, words, seed, limit, text))
+    owned = least.join(labels, least["id"] == labels["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    group = owned.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = owned.join(group, "root").select("id", "component_id")
+    return rows.select("doc_id", "id").join(of, "id").where("doc_id <> component_id").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:

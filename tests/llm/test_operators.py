@@ -422,3 +422,31 @@ def test_trie_links_with_shared_leaves(spark):
     for i, _, _, g in rows:
         low.setdefault(g, i)
     assert all(root.get(i, i) == low[g] for i, _, _, g in rows)
+
+
+def test_near_copies_are_verified(spark):
+    """Groups of copies with more and more edits, one large, and texts of one line repeated, against all pairs of shingle sets."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for g in range(40):
+        ws = [rng.choice(words) for _ in range(rng.choice([60, 120, 300]))]
+        for _ in range(150 if g == 0 else 6):
+            copy = list(ws)
+            for k in rng.sample(range(len(copy)), max(1, round(len(copy) * rng.uniform(0, 0.045)))):
+                copy[k] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["one two three four five " * 40 + " ".join(rng.choice(words) for _ in range(n)) for n in (12, 12, 12)]
+    sets = [set(simhash.shingle_hashes(t, 5, 42).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for _ in range(len(sets)):
+        low = list(root)
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == root:
+            break
+        root = low
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert 50 < len(near) and got == {i: r for i, r in enumerate(root) if i != r}
