@@ -40,7 +40,7 @@ WIDTH = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A block value with more distinct fingerprints is dealt again by more bits; rows of one numpy walk; pairs of a step.
 LIMIT, WALK, FRONTIER = 200_000, 1 << 18, 1 << 20
-#: Leaves of up to so many rows are compared row by row; larger ones through their heads.
+#: Leaves of up to so many rows are compared row by row; in larger ones rows that are connected already are not compared.
 #: A key with more candidate pairs a row than DENSE gives one pair a row at first.
 FEW, DENSE = 4, 4
 
@@ -242,7 +242,7 @@ def _leaves(key: np.ndarray, t: np.ndarray, words: list[np.ndarray], tables: lis
 
 
 def _join(spread: DataFrame, links: Callable[[list[np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``links`` over the rows of whole keys, a bounded number of rows at a time."""
+    """``links`` over the rows of whole keys, a bounded number of rows at a time; rows come in the order of key and id."""
     n = int(ready(spread.sparkSession).conf.get("spark.sql.shuffle.partitions"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,28 +260,39 @@ def _join(spread: DataFrame, links: Callable[[list[np.ndarray]], pa.RecordBatch
         if size and (got := links([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
             yield got
 
-    return spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(join, schema)
+    return spread.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(join, schema)
 
 
 def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, WIDTH)], budget: int = 2, total: int | None = None, limit: int = LIMIT) -> DataFrame:  # noqa: B006
     """Spanning links (a, b) between the ids of ``prints`` (id, f0, f1, ...).
 
     A pair is met when one table's bits differ by ``budget`` at most, and linked when all bits differ by ``total`` at most.
-    Rows with the same bits of a table are one leaf. Inside a large leaf the first row takes all it is near to, the first of
-    the rest likewise, until none is left; these heads stand for the leaf when it meets another. With one table of all bits a
-    leaf is one row and every link is found.
+    Rows with the same bits of a table are one leaf. In large leaves the first row takes all it is near to, the first of the
+    rest likewise, until none is left; then all members that are not connected yet are compared, so no link that would
+    connect two groups is left out.
     """
     n_words, total = len(prints.columns) - 1, budget if total is None else total
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch | None:
         ids, words = rows[2], rows[3:]
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        heads: dict[int, np.ndarray] = {}
+        top = np.arange(len(ids))
+
+        def roots(i: np.ndarray) -> np.ndarray:
+            r = top[i]
+            while (top[r] != r).any():
+                r = top[r]
+            return r
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             near = (_differing(words, i, j) <= total) & (i != j)
             if near.any():
-                found.append(forest(ids[i[near]], ids[j[near]]))
+                i, j = forest(i[near], j[near])
+                found.append((ids[i], ids[j]))
+                while (apart := roots(i) != roots(j)).any():
+                    i, j = i[apart], j[apart]
+                    a, b = roots(i), roots(j)
+                    np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
                 if len(found) > 64:
                     found[:] = [forest(*(np.concatenate(c) for c in zip(*found, strict=True)))]
 
@@ -292,16 +303,15 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
                 for x, y in zip(a[~few].tolist(), b[~few].tolist(), strict=True):
                     here = mine[first[x] : first[x] + size[x]]
                     there = here if x == y else mine[first[y] : first[y] + size[y]]
-                    if x == y:
-                        left, chosen = here, []
-                        while len(left):
-                            chosen.append(left[0])
-                            keep(np.full(len(here), left[0]), here)
-                            left = left[_differing(words, np.full(len(left), left[0]), left) > total]
-                        heads[(int(here[0]))] = np.array(chosen)
-                    else:
-                        here = heads.get(int(here[0]), here)
-                        keep(np.repeat(here, len(there)), np.tile(there, len(here)))
+                    left = here if x == y else here[:0]
+                    while len(left):
+                        keep(np.full(len(left), left[0]), left)
+                        left = left[roots(left) != roots(left[:1])]
+                    label = np.zeros(len(ids), np.int64)
+                    label[here], label[there] = roots(here), roots(there)
+                    for i, j in cross(here, there, label):
+                        apart = roots(i) != roots(j)
+                        keep(i[apart], j[apart])
         if not found:
             return None
         a, b = forest(*(np.concatenate(c) for c in zip(*found, strict=True)))

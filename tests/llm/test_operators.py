@@ -450,3 +450,12 @@ def test_near_copies_are_verified(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
     assert 50 < len(near) and got == {i: r for i, r in enumerate(root) if i != r}
+
+
+def test_large_leaf_links_members_that_are_no_heads(spark):
+    """1-2 and 3-4 are near by their heads 1 and 3; only 2 and 4 connect them. The order of the rows does not matter."""
+    rows = [(1, 7, 0), (2, 7, (1 << 8) - 1), (3, 7, (1 << 24) - 1), (4, 7, (1 << 16) - 1), (5, 7, (1 << 25) - 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "id long, f0 long, f1 long")
+        links = simhash.trie_links(df, [(0, 0, 21)], 2, 8)
+        assert {r["node"]: r["root"] for r in simhash.components(links).collect()} == dict.fromkeys(range(1, 6), 1)
