@@ -15,7 +15,8 @@ position are a substitution apart; a line equal to another's rest lacks one word
 is aggregated, so a crowded key gives one row; joins are equi-joins that the engine may split. (5) Each link is verified
 by its edit distance.
 
-Lines under ``min_words`` words are never dropped; lines under ``near_words`` words only as exact repeats. Null text:
+Every line with a word is dropped as an exact repeat; lines under ``near_words`` words only as such, since one word is a
+large part of them. Lines under ``min_words`` words are never dropped. Null text:
 the document has no lines. Rows that repeat a doc_id have the same line places, so they never drop each other's lines.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stored
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 5
 
 
 def _norm(line: Column) -> Column:

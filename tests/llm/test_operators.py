@@ -459,3 +459,11 @@ def test_large_leaf_links_members_that_are_no_heads(spark):
         df = spark.createDataFrame(order, "id long, f0 long, f1 long")
         links = simhash.trie_links(df, [(0, 0, 21)], 2, 8)
         assert {r["node"]: r["root"] for r in simhash.components(links).collect()} == dict.fromkeys(range(1, 6), 1)
+
+
+def test_short_lines_repeat_too(spark):
+    """Exact repeats from one word, near ones from five words."""
+    texts = ["Les.\none two three\na b c d e", "Les.\none two four\na b x d e", "one  two three\na b c d\n\na b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup.repeated_lines(df).collect()))
+    assert got == [(1, 0, "exact", 0, 0), (1, 2, "near", 0, 2), (2, 0, "exact", 0, 1), (2, 3, "near", 0, 2)]
