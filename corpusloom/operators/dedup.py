@@ -37,13 +37,32 @@ def similar_pairs(docs: DataFrame, scope: list[str], key: str = "doc_id", thresh
 
     Prefix filter: words are ordered by rarity in the corpus; two sets of similarity t share a word among the first
     |x| - ceil(t |x|) + 1 of each. Only those words are joined, with the length filter in the join; candidates are
-    verified on the sets. Rows of one word set are one member here, so a group of copies never meets itself.
+    verified on the sets. Rows of one word set are one member here, so a group of copies never meets itself;
+    :func:`set_members` names the rows that a member stands for.
     """
     return _set_pairs(_prepared(docs, scope, key), scope, key, threshold)
 
 
+def set_members(docs: DataFrame, scope: list[str], key: str = "doc_id") -> DataFrame:
+    """key and representative (the smallest key of the same word set and scope) of every row with a word.
+
+    Rows of one representative have a similarity of 1; with the pairs of :func:`similar_pairs` these are all near duplicates.
+    """
+    rows = stored(_keyed(_prepared(docs, scope, key)).select(key, *scope, "set_key"), "set-keys")
+    least = rows.groupBy(*scope, "set_key").agg(F.min(key).alias("representative"))
+    a, b = rows.alias("a"), least.alias("b")
+    same = F.col("a.set_key") == F.col("b.set_key")
+    for s in scope:
+        same = same & F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}"))
+    return a.join(b, same).select(F.col(f"a.{key}").alias(key), "representative")
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    return sets.where(F.size("words") > 0).withColumn("set_key", F.sha2(F.concat_ws(" ", F.array_sort("words")), 256))
+
+
 def _set_pairs(sets: DataFrame, scope: list[str], key: str, threshold: float) -> DataFrame:
-    keyed = sets.where(F.size("words") > 0).withColumn("set_key", F.sha2(F.concat_ws(" ", F.array_sort("words")), 256))
+    keyed = _keyed(sets)
     members = stored(keyed.groupBy(*scope, "set_key").agg(F.min(key).alias("id"), F.first("words").alias("words")), "word-sets")
     rarity = members.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     ranked = members.select("id", *scope, F.size("words").alias("n"), F.explode("words").alias("w")).join(rarity, "w")

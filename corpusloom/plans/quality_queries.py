@@ -56,6 +56,12 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"WITH {ALL} SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(ws)) AS representative FROM w WHERE len(ws) > 0")
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The representative in near_duplicate_pairs of every document with a word; equal ones have a similarity of 1."""
+    return dedup.set_members(table(spark, sf_dir, "documents"), [])
+
+
 @query(
     f"WITH RECURSIVE {PAIRS}, ed AS (SELECT y, list(x) AS xs FROM p WHERE j >= 0.85 AND ny >= 15 GROUP BY y), o AS MATERIALIZED (SELECT y, xs, row_number() OVER (ORDER BY y) AS k FROM ed), "
     "g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT g.k + 1, CASE WHEN len(list_filter(o.xs, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, o.y) ELSE g.gone END FROM g JOIN o ON o.k = g.k + 1), "

@@ -206,3 +206,10 @@ def test_embedding_slot(spark):
 
     rows = embed(spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string"), model).orderBy("id").collect()
     assert [[round(x, 4) for x in r["embedding"]] for r in rows] == [[0.9487, 0.3162], [0.0, 1.0]]
+
+
+def test_members_of_equal_word_sets(spark):
+    """Different texts of one word set are linked through their representative, within a scope."""
+    df = spark.createDataFrame([(1, "x", "red green blue"), (2, "x", "Blue red green red"), (3, None, "green blue red"), (4, None, "red green blue"), (5, "x", "other words"), (6, "x", "a b"), (7, "x", "")], "doc_id long, source string, text string")
+    assert {r["doc_id"]: r["representative"] for r in dedup.set_members(df, []).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    assert {r["doc_id"]: r["representative"] for r in dedup.set_members(df, ["source"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
