@@ -4,21 +4,38 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.shipping import ready
 
-#: Documents that a Python worker holds as Python objects at one time.
-SLICE = 256
+#: Documents, and bytes of their texts, that a Python worker holds as Python objects at one time (one text at least).
+SLICE, SLICE_BYTES = 256, 2 << 20
+
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most SLICE rows and about SLICE_BYTES of the column ``text``; a longer text is one part."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        upto = min(max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))), at + SLICE)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_documents(docs: DataFrame, rows: Callable[[list, list], dict], schema: str, text: str = "text") -> DataFrame:
     """One narrow stage: ``rows(doc_ids, texts)`` gives the columns of ``schema`` for a bounded slice of documents.
 
@@ -32,10 +49,8 @@ def map_documents(docs: DataFrame, rows: Callable[[list, list], dict], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                columns = rows(ids, texts)
+            for part in slices(batch, 1):
+                columns = rows(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
@@ -50,8 +65,7 @@ def filter_documents(docs: DataFrame, keep: Callable[[list], list], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for part in slices(batch, at):
                 yield part.filter(pa.array([bool(x) for x in keep([t or "" for t in part.column(at).to_pylist()])]))
 
     ready(docs.sparkSession)
@@ -65,9 +79,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests in one process), one under the warehouse."""
+    """The cluster's checkpoint folder; where none is set, one under the warehouse if all runs in one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -78,13 +94,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result that is read more than once to the shared folder and read it back; lineage ends there."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if (made := _scratch.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`stored` makes inside are deleted at the end; what is kept must be written elsewhere before."""
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for folder in made:
+            _delete(spark, folder)
