@@ -6,11 +6,14 @@ marginal of "good"; weighted by line length they average to the document's quali
 probability of label 1.
 
 Training: the labels are of documents, so each line takes its document's label. At most ``MAX_TRAIN`` labelled rows are
-used (the lowest by hash of the id, never a held-out row): a documented bound, so the fit's data fits on the driver at
-any corpus size. Scoring is one narrow stage over every whole text, and reads nothing but the text.
-
-Null and empty texts have no line with a character: score 0. Rows that repeat a doc_id are scored one by one; of labels
-that repeat an id one is used. A very long document is one sequence; its memory is a few numbers a line.
+used (the lowest by hash of the id, never a held-out row), and of each at most ``RUNS`` runs of ``TRAIN_LINES`` lines, evenly
+spaced: documented bounds, so the fit's data fits on the driver at any corpus size. Features and their sample are made in tasks; the driver
+gets numbers, never texts. Scoring is one narrow stage over every whole text, and reads nothing but the text.
+
+Null and empty texts have no line with a character: score 0. Rows that repeat a doc_id are scored one by one, and one of
+them is used for the fit; of labels that repeat an id the largest counts. Without labels of both classes (or without
+documents) nothing can be learnt: every text with a character scores the share of label 1 among the labels that there are,
+and BASE_RATE without any. A very long document is one sequence; its memory is a few numbers a line.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import filter_documents, map_documents
 from corpusloom.shipping import ready
 
-#: The bound on labelled documents that a fit may use, and lines in one training sequence (longer texts are several).
-MAX_TRAIN, TRAIN_LINES = 4_000, 64
+#: The bounds on labelled documents and on runs of lines of each that a fit may use, and the lines of a run.
+MAX_TRAIN, RUNS, TRAIN_LINES = 4_000, 2, 64
 THRESHOLD = 0.7
+#: The score of every text with a character where there are no labels at all: nothing is rejected.
+BASE_RATE = 1.0
 
 CLASSES = ["lower", "upper", "digit", "symbol", "shout", "stop", "pipe", "space", "high", "other"]
 _TABLE = np.full(256, 9, np.uint8)
@@ -120,10 +125,9 @@ class LineCRF:
     slope: float = 1.0
     offset: float = 0.0
 
-    def line_marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(P(good) a line, bytes a line, lines a text)."""
-        x, size, per_text = line_features(texts)
-        score = x.astype(np.float64) @ self.weights
+    def line_marginals(self, x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+        """P(good) of every line, from the features of the lines and the lines of each text."""
+        score = np.concatenate([x[k : k + 65_536].astype(np.float64) @ self.weights for k in range(0, len(x), 65_536)])
         good = np.empty(len(score))
         first = np.cumsum(per_text) - per_text
         order = np.argsort(per_text, kind="stable")
@@ -138,26 +142,43 @@ class LineCRF:
             padded, mask = _padded(score[rows], per_text[some])
             good[rows] = marginals(padded, mask, self.trans, self.begin)[0][mask]
             at = upto
-        return good, size, per_text
+        return good
 
-    def document_quality(self, texts: list[str]) -> np.ndarray:
+    def mean_marginal(self, x: np.ndarray, size: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """Length-weighted mean marginal of each text, before calibration; nan for texts without a character."""
-        good, size, per_text = self.line_marginals(texts)
-        which = np.repeat(np.arange(len(texts)), per_text)
-        total = np.bincount(which, size, len(texts))
+        good = self.line_marginals(x, per_text)
+        which = np.repeat(np.arange(len(per_text)), per_text)
+        total = np.bincount(which, size, len(per_text))
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.bincount(which, size * good, len(texts)) / total
+            return np.bincount(which, size * good, len(per_text)) / total
 
     def score(self, texts: list[str]) -> np.ndarray:
-        q = np.clip(self.document_quality(texts), 1e-6, 1 - 1e-6)
+        if not texts:
+            return np.zeros(0)
+        q = np.clip(self.mean_marginal(*line_features(texts)), 1e-6, 1 - 1e-6)
         p = 1 / (1 + np.exp(-(self.slope * np.log(q / (1 - q)) + self.offset)))
         return np.where(np.isnan(q), 0.0, p)
 
 
+@dataclass
+class Constant:
+    """Stands for a model where nothing can be learnt."""
+
+    share: float
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return np.array([self.share if t.strip("\n") else 0.0 for t in texts])
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 150, ridge: float = 1e-3) -> LineCRF:
+    """:func:`fit_lines` on whole texts."""
+    x, size, per_text = line_features(texts)
+    return fit_lines(x, size, per_text, labels, rounds, ridge)
+
+
+def fit_lines(features: np.ndarray, size: np.ndarray, per_text: np.ndarray, labels: list[int], rounds: int = 150, ridge: float = 1e-3) -> LineCRF:
     """Maximum likelihood by Adam on all training sequences at once, then a logistic calibration."""
-    x, _, per_text = line_features(texts)
-    y = np.repeat(np.array(labels, np.float64), per_text)
+    x, y = features, np.repeat(np.array(labels, np.float64), per_text)
     cut = np.concatenate([[min(TRAIN_LINES, n - k) for k in range(0, n, TRAIN_LINES)] for n in per_text]).astype(int)
     order = np.argsort(cut, kind="stable")
     first = np.cumsum(cut) - cut
@@ -188,7 +209,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, ridge: float = 1
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     crf = LineCRF(theta[:N_FEATURES].copy(), theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2).copy(), float(theta[-1]))
-    q = crf.document_quality(texts)
+    q = crf.mean_marginal(features, size, per_text)
     known = ~np.isnan(q)
     q, target = np.clip(q[known], 1e-6, 1 - 1e-6), np.array(labels, np.float64)[known]
     z = np.log(q / (1 - q))
@@ -209,18 +230,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text: str = "text") -> LineCRF:
+def training_lines(docs: DataFrame, runs: int = RUNS, text: str = "text") -> DataFrame:
+    """doc_id, size (bytes of each sampled line) and features (their numbers in a row) of every text."""
+
+    def rows(ids: list, texts: list[str]) -> dict:
+        x, size, per_text = line_features(texts)
+        picked = []
+        for first, n in zip((np.cumsum(per_text) - per_text).tolist(), per_text.tolist(), strict=True):
+            starts = [0] if n <= TRAIN_LINES else np.linspace(0, n - TRAIN_LINES, runs).astype(int)
+            inside = np.arange(n) if n <= runs * TRAIN_LINES else np.concatenate([np.arange(s, s + TRAIN_LINES) for s in starts])
+            picked.append(first + inside)
+        return {"doc_id": ids, "size": [size[p] for p in picked], "features": [x[p].tobytes() for p in picked]}
+
+    return map_documents(docs, rows, "doc_id long, size array<long>, features binary", text)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text: str = "text") -> LineCRF | Constant:
     """Fit on at most ``max_train`` labelled documents that are not held out; a sample by hash of the id."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))[: 2 * max_train]
-    if len({r["label"] for r in rows}) < 2:
-        raise ValueError("training needs labelled documents of both classes")
-    return fit([r["text"] for r in rows], [int(r["label"]) for r in rows])
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows that repeat an id
+    rows = sorted(training_lines(one).join(F.broadcast(sample), "doc_id").collect(), key=lambda r: r["doc_id"])
+    found = [int(r["label"]) for r in rows]
+    if len(set(found)) < 2:
+        return Constant(float(np.mean(found)) if found else BASE_RATE)
+    x = np.concatenate([np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES) for r in rows])
+    return fit_lines(x, np.concatenate([r["size"] for r in rows]).astype(np.int64), np.array([len(r["size"]) for r in rows]), found)
 
 
-def score_documents(docs: DataFrame, model: LineCRF, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, model: LineCRF | Constant, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
 
@@ -231,7 +270,12 @@ def score_documents(docs: DataFrame, model: LineCRF, text: str = "text", thresho
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, model: LineCRF, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least ``threshold``, all columns kept. The score is taken in place: no join."""
+def keep_good(docs: DataFrame, model: LineCRF | Constant, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least ``threshold``, all columns kept. The score is taken in place: no join.
+
+    With a :class:`Constant` in place of a model there is no ground to reject any, so all stay.
+    """
+    if isinstance(model, Constant):
+        return docs
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
     return filter_documents(docs, lambda texts: shared.value.score(texts) >= threshold)
