@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as Parquet in the shared folder
 and gives the reread table to the next. All stages but the last return the columns of ``documents``.
+
+Null and empty texts have no quality and go in the first stage, unless there is nothing to learn quality from (no labels,
+or labels of one class): then that stage keeps every document. A null doc_id loses no line and is no one's copy. Rows that
+repeat a doc_id are judged one by one; of equal texts the smallest doc_id stays. Empty tables give an empty result. Columns
+besides ``doc_id`` and ``text`` pass through the first four stages as they came (``n_chars`` follows the text).
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import bpe, decontaminate, line_dedup, quality_crf, simhash
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import scratch, shared_path
 from corpusloom.llm.queries import vocabulary
 
 
@@ -46,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage stores on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
