@@ -14,10 +14,11 @@ group of near copies never makes the square of its size. Components come from ro
 jumping over tables in the shared folder.
 
 Two uses: :func:`group_documents` joins one 64-bit fingerprint within 2 bits. :func:`drop_near_copies` looks for a
-shingle similarity of 0.8, at which 64-bit fingerprints differ in about ten bits, too many to prune by. It takes 512
-bits of the distinct shingles, walks twelve tries over 21 of them each with a budget of 2, and takes pairs within 128 of
-all bits as candidates. Candidates are joined back to their shingle sets (as 64-bit hashes), and only pairs with a Jaccard
-similarity of 0.8 or more are links.
+shingle similarity of 0.8, at which 64-bit fingerprints differ in about ten bits, too many to prune by. It takes 512 bits
+or more of the distinct shingles and walks several tries over a few of them each; how many tries, how many bits each and
+with which budget follows from the number of rows (:func:`near_plan`), so that chance meetings stay a constant number a
+row. Pairs that differ in no more of all bits than a similarity of 0.8 makes likely are candidates. Candidates are joined
+back to their shingle sets (as 64-bit hashes), and only pairs with a Jaccard similarity of 0.8 or more are links.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id are one document
 with several rows: each is returned with its own fingerprint and its group's smallest doc_id.
@@ -25,6 +26,7 @@ with several rows: each is returned with its own fingerprint and its group's sma
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_documents, stored
+from corpusloom.llm.common import map_documents, remove, stored
 from corpusloom.shipping import ready
 
 WIDTH = 64
@@ -167,7 +169,7 @@ def deal(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, lim
     """The rows of ``prints`` under every key (key, t) by which a partner may be met; t is the table.
 
     A table (word, shift, bits) is joined by budget + 1 blocks. A key with over ``limit`` rows is replaced by keys that
-    add a block of the table's remaining bits.
+    add a block of the table's remaining bits, and one that is still too large by pairs of salts.
     """
     columns = prints.columns
 
@@ -180,12 +182,12 @@ def deal(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, lim
     first = parts[0]
     for p in parts[1:]:
         first = first.unionAll(p)
-    crowded = first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
-    crowded = stored(crowded, "crowded")
+    crowded = stored(_over(first, limit).select("key"), "crowded")
     if crowded.isEmpty():
         return first.select(*columns, "t", "key")
     calm = first.join(crowded, "key", "left_anti").select(*columns, "t", "key")
     hot = first.join(crowded, "key", "left_semi")
+    finer = None
     for t, (w, s, n) in enumerate(tables):
         for k, (shift, size) in enumerate(blocks(n, budget)):
             value = _bits(F.col(f"f{w}"), s, n)
@@ -193,8 +195,26 @@ def deal(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, lim
             rest = above.bitwiseOR(_bits(value, 0, shift)) if shift else above
             mine = hot.where((F.col("t") == t) & (F.col("k") == k))
             keys = [F.xxhash64("key", F.lit(j), _bits(rest, s2, n2)) for j, (s2, n2) in enumerate(blocks(n - size, budget))]
-            calm = calm.unionAll(mine.select(*columns, "t", F.explode(F.array(*keys)).alias("key")))
-    return calm
+            more = mine.select(*columns, "t", F.explode(F.array(*keys)).alias("key"))
+            finer = more if finer is None else finer.unionAll(more)
+    return calm.unionAll(salted(finer, limit))
+
+
+def _over(keyed: DataFrame, limit: int) -> DataFrame:
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+
+
+def salted(keyed: DataFrame, limit: int) -> DataFrame:
+    """Keys with over ``limit`` rows cut into pairs of salts, about ``limit`` rows a salt: every two rows of the key still
+    meet, in tasks of bounded size. Other keys stay as they are."""
+    large = stored(_over(keyed, limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("_salts")), "large-keys")
+    if large.isEmpty():
+        return keyed
+    mine = F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    spread = keyed.join(large, "key").withColumn("_mine", mine).withColumn("_other", other)
+    named = spread.withColumn("key", F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))).select(*keyed.columns)
+    return keyed.join(large.select("key"), "key", "left_anti").select(*keyed.columns).unionAll(named)
 
 
 def cross(x: np.ndarray, y: np.ndarray, label: np.ndarray, step: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -320,12 +340,13 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
     return _join(deal(prints, tables, budget, limit).select("key", "t", "id", *(f"f{k}" for k in range(n_words))), links, "a long, b long")
 
 
-def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, total: int, limit: int = LIMIT, crowded: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of ``prints`` (id, n, label, f0, f1, ...), met and bounded as in :func:`trie_links`.
+def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, total: tuple[int, int], limit: int = LIMIT, crowded: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of ``prints`` (id, n, label, f0, f1, ...), met as in :func:`trie_links`.
 
-    Sets of n members can't have a similarity of 0.8 if their sizes are further apart than that, nor is a pair of one label
-    asked for. Without ``crowded``, a key with over DENSE pairs a row gives one pair a row only, and a row (null, null, key)
-    that names it: with ``crowded`` (key), these keys give every pair that is left between different labels.
+    ``total`` bounds the differing bits, first of pairs with a set of up to four members, then of all others. Sets of n
+    members can't have a similarity of 0.8 if their sizes are further apart than that, nor is a pair of one label asked
+    for. Without ``crowded``, a key with over DENSE pairs a row gives one pair a row only, and a row (null, null, key) that
+    names it: with ``crowded`` (key), these keys give every pair that is left between different labels.
     """
     names = [c for c in prints.columns if c not in ("id", "n", "label")]
     whole = crowded is not None
@@ -341,7 +362,8 @@ def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: in
             ok = (ids[i] != ids[j]) & (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             d = _differing(words, i, j)
-            return i[d <= total], j[d <= total], d[d <= total]
+            near = d <= np.where(np.minimum(n[i], n[j]) <= 4, *total)
+            return i[near], j[near], d[near]
 
         def thin(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """All pairs, but of a dense key the nearest of smaller row number for each row."""
@@ -394,26 +416,27 @@ def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: in
     return _join(spread.join(crowded, "key", "left_semi") if whole else spread, links, "a long, b long, key long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the undirected links (a, b) can reach.
 
     A round gives each node the least label among its neighbours (aggregated with map-side combine), then jumps: a
     label is replaced by its own label. Both joins are plain equi-joins that the engine may split when skewed. Labels
-    are written to the shared folder every round, so lineage stays short and a lost executor costs one round at most.
+    are written to the shared folder every round, so lineage stays short and a lost executor costs one round at most;
+    those of the round before are deleted. Rounds go on until no label changes.
     """
     both = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    after = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")).select("node", F.lit(None).cast("long").alias("old"), "root"), "labels")
+    while True:
+        labels = after.select("node", "root")
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("low"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "low").alias("low"))
         jump = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
         moved = lower.join(jump, F.col("low") == F.col("at"), "left").select("node", F.col("root").alias("old"), F.least("low", "beyond").alias("root"))
-        after = stored(moved, "labels")
-        changed = not after.where("root <> old").limit(1).isEmpty()
-        labels = after.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, after = after, stored(moved, "labels")
+        remove(before)
+        if after.where("root <> old").limit(1).isEmpty():
+            remove(both)
+            return after.select("node", "root")
 
 
 def group_documents(docs: DataFrame, words: int = 3, budget: int = 2, seed: int = 42, limit: int = LIMIT, text: str = "text") -> DataFrame:
@@ -428,16 +451,32 @@ def group_documents(docs: DataFrame, words: int = 3, budget: int = 2, seed: int
     return rows.join(of, "f0").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: 512 bits in eight words, and twelve tries over 21 bits each of the first four. At a shingle similarity of 0.8 a bit
-#: differs with probability 0.15 (arccos of 2 * 0.8 / 1.8, over pi), so some trie meets such a pair within 2 bits in
-#: 99.5 % of cases, and 78 of all bits differ on average (standard deviation 8; 96 and 9 for sets of four and five). Up to
-#: 128 bits a pair is a candidate; whether it is a link is decided on the shingle sets.
-NEAR_WORDS, NEAR_TABLES, NEAR_BUDGET, NEAR_TOTAL = 8, [(w, s, 21) for w in range(4) for s in (0, 21, 42)], 2, 128
+#: At a shingle similarity of 0.8 a bit differs with probability DIFFER (arccos of 2 * 0.8 / 1.8, over pi); with up to
+#: four shingles, where ties weigh, with SMALL_DIFFER. Chance meetings that a row may have in one trie, the share of pairs
+#: at 0.8 that some trie must meet, and by how many standard deviations a pair may differ in more bits than it does on average.
+DIFFER, SMALL_DIFFER, CHANCE, RECALL, DEVIATIONS = 0.1515, 0.19, 64, 0.996, 4
+#: Words that every fingerprint has at least, and the bits that a trie's pairs may differ in.
+NEAR_WORDS, NEAR_BUDGET = 8, 2
+
+
+def near_plan(rows: int, budget: int = NEAR_BUDGET) -> tuple[int, list[tuple[int, int, int]], int, tuple[int, int]]:
+    """(words a fingerprint, tables, budget, bounds of differing bits) for a corpus of ``rows`` rows.
+
+    A table gets the fewest bits with which a row meets at most CHANCE others by chance, and there are as many tables as it
+    takes to meet a pair at 0.8 with probability RECALL: 20 bits and 11 tables for 200 thousand rows, 27 and 22 for 15 million.
+    """
+    ball = lambda width: sum(math.comb(width, i) for i in range(budget + 1))
+    width = next(w for w in range(4 * (budget + 1), 65) if rows * ball(w) <= CHANCE * 2**w or w == 64)
+    met = sum(math.comb(width, i) * DIFFER**i * (1 - DIFFER) ** (width - i) for i in range(budget + 1))
+    count, each = math.ceil(math.log(1 - RECALL) / math.log(1 - met)), 64 // width
+    words = max(NEAR_WORDS, -(-count // each))
+    most = lambda p: round(p * 64 * words + DEVIATIONS * math.sqrt(64 * words * p * (1 - p)))
+    return words, [(k // each, k % each * width, width) for k in range(count)], budget, (most(SMALL_DIFFER), most(DIFFER))
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int, prints: bool, text: str = "text") -> DataFrame:
-    """doc_id and id (a hash of the distinct shingles) of every row; with ``prints`` n and f0, f1, ..., else the set itself."""
-    names = [f"f{k}" for k in range(NEAR_WORDS)]
+def shingle_sets(docs: DataFrame, words: int, seed: int, prints: int, text: str = "text") -> DataFrame:
+    """doc_id and id (a hash of the distinct shingles) of every row; with ``prints`` n and so many f0, f1, ..., else the set itself."""
+    names = [f"f{k}" for k in range(prints)]
 
     def rows(ids: list, texts: list[str]) -> dict:
         sets = [np.unique(shingle_hashes(t, words, seed)) for t in texts]
@@ -456,35 +495,38 @@ def similar(pairs: DataFrame, least: DataFrame, docs: DataFrame, words: int, see
     """The pairs (a, b) of set ids whose shingle sets have a Jaccard similarity of 0.8 or more. Only their documents are read."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = least.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.select("doc_id", text).join(wanted, "doc_id", "left_semi"), words, seed, False, text).dropDuplicates(["id"]).select("id", "shingles"), "shingle-sets")
+    sets = stored(shingle_sets(docs.select("doc_id", text).join(wanted, "doc_id", "left_semi"), words, seed, 0, text).dropDuplicates(["id"]).select("id", "shingles"), "shingle-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")  # n / (a + b - n) >= 0.8
+    links = stored(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")  # n / (a + b - n) >= 0.8
+    remove(sets)
+    return links
 
 
-def near_links(docs: DataFrame, least: DataFrame, words: int, seed: int, limit: int = LIMIT, text: str = "text") -> DataFrame:
+def near_links(docs: DataFrame, least: DataFrame, words: int, seed: int, plan: tuple, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """Links (a, b) of set ids, each of similarity 0.8 or more, that connect what the candidates' links connect.
 
     Of crowded keys one pair a row is verified first; then every candidate pair whose rows these links leave apart.
     """
-    names = [f"f{k}" for k in range(NEAR_WORDS)]
-    tries = (NEAR_TABLES, NEAR_BUDGET, NEAR_TOTAL, limit)
-    first = stored(trie_pairs(least.select("id", "n", F.col("id").alias("label"), *names), *tries), "candidates")
-    links = stored(similar(first.where("a IS NOT NULL").select("a", "b").distinct(), least, docs, words, seed, text), "similar")
+    names = [f"f{k}" for k in range(plan[0])]
+    first = stored(trie_pairs(least.select("id", "n", F.col("id").alias("label"), *names), *plan[1:], limit), "candidates")
+    links = similar(first.where("a IS NOT NULL").select("a", "b").distinct(), least, docs, words, seed, text)
     crowded = stored(first.where("key IS NOT NULL").select("key").distinct(), "crowded-keys")
+    remove(first)
     if crowded.isEmpty():
         return links
     labels = components(links)
     labelled = least.join(labels, least["id"] == labels["node"], "left").select("id", "n", F.coalesce("root", "id").alias("label"), *names)
-    more = stored(trie_pairs(labelled, *tries, crowded).select("a", "b").distinct(), "candidates")
-    return links.unionAll(stored(similar(more, least, docs, words, seed, text), "similar"))
+    more = stored(trie_pairs(labelled, *plan[1:], limit, crowded).select("a", "b").distinct(), "candidates")
+    return links.unionAll(similar(more, least, docs, words, seed, text))
 
 
 def near_copies(docs: DataFrame, words: int = 5, seed: int = 42, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """doc_id and component_id of every document that has a near copy with a smaller doc_id (five-word shingles, 0.8)."""
-    names = [f"f{k}" for k in range(NEAR_WORDS)]
-    rows = stored(shingle_sets(docs.where("doc_id IS NOT NULL"), words, seed, True, text), "fingerprints")
+    plan = near_plan(docs.count())
+    names = [f"f{k}" for k in range(plan[0])]
+    rows = stored(shingle_sets(docs.where("doc_id IS NOT NULL"), words, seed, plan[0], text), "fingerprints")
     least = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("n", *names))), "distinct-sets")
-    labels = components(near_links(docs, least, words, seed, limit, text))
+    labels = components(near_links(docs, least, words, seed, plan, limit, text))
     owned = least.join(labels, least["id"] == labels["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     group = owned.groupBy("root").agg(F.min("least").alias("component_id"))
     of = owned.join(group, "root").select("id", "component_id")
@@ -497,5 +539,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFra
     Documents without a word are no one's copy and stay; a null doc_id cannot be named as a copy and stays.
     """
     texts = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    gone = stored(near_copies(texts, words, seed).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stored(near_copies(texts, words, seed).select(F.col("doc_id").alias("_copy_id")).distinct(), "near-copies")
+    return docs.join(gone, docs["doc_id"] == gone["_copy_id"], "left_anti")
