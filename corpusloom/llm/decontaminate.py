@@ -5,17 +5,22 @@ Texts are lower-cased and cut into words. A test item of n words may be found wi
 Exact piece hits come from one multi-pattern automaton run over the document; every hit is verified around its place
 with the bit-parallel edit distance of Myers, in which one machine word per item holds a column of the table.
 
-The benchmark side is the small side and is checked: items are broadcast in blocks of at most ``block_bytes`` of text
-each, and a larger benchmark is met by more passes over the documents, block by block, never by a bigger broadcast. The
-document side streams through a narrow stage: no shuffle, so hot passages and large groups of copies are harmless.
-
-Null or empty texts and items match nothing. Repeated item ids are matched as separate items and reported under their
-id once a document (the smallest distance). Ties between places go to the first one.
+The benchmark side is the small side and is checked: items are broadcast in blocks of about ``block_bytes`` of text
+each, and a larger benchmark is met by more passes over the documents, block by block, never by a bigger broadcast; what a
+pass gives is stored, so a task holds one automaton. The document side streams through a narrow stage: no shuffle, so hot
+passages and large groups of copies are harmless.
+
+Null or empty texts and items match nothing, and items without an id are left out. Items of one id are in one block; they
+are matched as separate items and reported under their id once a document (the smallest distance, all places). Ties between
+places go to the first one. Under 1 / EDIT_RATE words an item has no edit budget and is found as it stands;
+:func:`decontaminate` drops no document for items under MIN_WORDS words, which any text may hold by chance. Rows that repeat a
+doc_id are judged one by one. An empty table on either side gives no find and drops nothing.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import filter_documents
+from corpusloom.llm.common import filter_documents, stored
 from corpusloom.shipping import ready
 
 WORD = re.compile(r"[^\W_]+")
 #: Share of an item's words that may be edited, and the bytes of item text in one broadcast.
 EDIT_RATE, BLOCK_BYTES = 0.15, 8 << 20
-FOUND = "doc_id long, item_id long, distance long, n_places long, first_word long, last_word long"
+#: Words of an item for which a document may go.
+MIN_WORDS = 5
+FOUND = "doc_id long, item_id long, distance long, n_places long, first_end long, last_end long"
+
+_matchers: dict[str, Matcher] = {}
 
 
 def words_of(text: str) -> list[str]:
@@ -75,12 +84,12 @@ def myers(pattern: list[str], text: list[str], k: int) -> tuple[int, int] | None
 class Matcher:
     """The automaton of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_words: int = 1) -> None:
         self.items: list[tuple[int, list[str], int]] = []
         self.automaton = ahocorasick.Automaton()
         for item_id, text in items:
             words = words_of(text or "")
-            if not words:
+            if len(words) < max(1, min_words):
                 continue
             k = budget(len(words), rate)
             for a, b in pieces(len(words), k):
@@ -120,13 +129,21 @@ class Matcher:
         return found
 
 
+def _matcher(name: str, items, rate: float, min_words: int = 1) -> Matcher:
+    """The matcher of a broadcast block, built once a Python worker; the one before it is let go."""
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(items.value, rate, min_words)
+    return _matchers[name]
+
+
 def _blocks(spark: SparkSession, items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block_bytes``; the total is measured first and decides how many there are."""
-    named = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("item")).where("item IS NOT NULL")
+    named = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("item")).where("item_id IS NOT NULL AND item IS NOT NULL")
     total = named.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0)).alias("b")).first()["b"]
     n = -(-total // block_bytes) or 1
     for block in range(n):
-        mine = named if n == 1 else named.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == block)
+        mine = named if n == 1 else named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
         yield [(r["item_id"], r["item"]) for r in mine.collect()]
 
 
@@ -136,13 +153,15 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block
     out = None
     for block in _blocks(spark, items, item_key, item_text, block_bytes):
         part = _find_block(docs, spark.sparkContext.broadcast(block), rate, text)
-        out = part if out is None else out.unionAll(part)
+        out = part if out is None else stored(out.unionAll(part), "found-items")
     return out
 
 
 def _find_block(docs: DataFrame, some, rate: float, text: str) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(some.value, rate)
+        matcher = _matcher(name, some, rate)
         for b in batches:
             rows: list[tuple] = []
             for doc_id, t in zip(b.column(0), b.column(1), strict=True):
@@ -150,25 +169,24 @@ def _find_block(docs: DataFrame, some, rate: float, text: str) -> DataFrame:
                     ends = sorted({e for e, _, _ in places})
                     rows.append((doc_id.as_py(), item_id, min(d for _, d, _ in places), len(ends), ends[0], ends[-1]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "n_places", "first_word", "last_word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "n_places", "first_end", "last_end"])
 
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, FOUND)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that hold no test item, all columns as they came.
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents that hold no test item of ``min_words`` words or more, all columns as they came.
 
     The verdict is made where the document is, so nothing is joined back and rows that repeat a doc_id are judged one by one.
     """
     spark = ready(docs.sparkSession)
     clean = docs
-    for block in _blocks(spark, items, "item_id", "text", block_bytes):
-        some, built = spark.sparkContext.broadcast(block), {}
+    for k, block in enumerate(_blocks(spark, items, "item_id", "text", block_bytes)):
+        some, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def keep(texts: list, some=some, built=built) -> list:
-            if "matcher" not in built:  # once a task
-                built["matcher"] = Matcher(some.value, rate)
-            return [not built["matcher"].find(t) for t in texts]
+        def keep(texts: list, some=some, name=name) -> list:
+            matcher = _matcher(name, some, rate, min_words)
+            return [not matcher.find(t) for t in texts]
 
-        clean = filter_documents(clean, keep)
+        clean = filter_documents(stored(clean, "clean-so-far") if k else clean, keep)
     return clean
