@@ -4,14 +4,15 @@ A word's encoding is found left to right: for every prefix, the last token of th
 vocabulary token that ends there and may follow the last token of the shorter prefix. "May follow" depends on the two
 tokens only, so the state of a prefix is one token id. Words are inserted into a trie by sorting them; the walk over the
 sorted words is the depth-first traversal, its stack holds the last token of every prefix on the current path, and a
-prefix shared by many words is computed once.
+prefix shared by many words is computed once. A word's ids are read off its path from the end, so memory and time are
+linear in its length.
 
 Spark deals the documents; each task keeps a bounded cache from text chunks to ids, fills it with one traversal per
 slice of documents, and needs no shuffle. The tokenizer file's path is a parameter and the file must be readable on
 every executor.
 
 Null text: as an empty one (no tokens). The special token's string in a text becomes its id, as the tokenizers library
-does by default. Repeated rows each give a row.
+does by default. Repeated rows each give a row, an empty table none; columns besides doc_id and the text are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ UNEVEN_SPACE = re.compile(OTHER_SPACE.pattern[:-1] + "\t\r]|  | \n")
 #: Chunks that a worker keeps (and 5/6 as many pieces, 5/3 as many token pairs), at some 700 bytes a chunk for all three.
 #: A full cache keeps what it has (frequent chunks come early) and forgets a slice's new ones.
 CACHE = 600_000
+#: Longer chunks and pieces (in characters, bytes) are not kept.
+LONG = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -125,13 +128,15 @@ class TrieBPE:
         if len(pairs) > self.cache * 5 // 3:
             pairs.clear()
         path: list[int] = []  # last token of the encoding of each prefix on the current path
-        coded: list[bytes] = []  # and that prefix's ids
+        size = list(map(len, self.bytes_of))
         prior = b""
         for word in sorted(pieces):
             shared, most = 0, min(len(prior), len(word))
+            if most > LONG and prior[:most] == word[:most]:
+                shared = most
             while shared < most and prior[shared] == word[shared]:
                 shared += 1
-            del path[shared:], coded[shared:]
+            del path[shared:]
             for end in range(shared + 1, len(word) + 1):
                 start = end - reach(word[end - 2 : end] if end > 1 else word[:1], 1)
                 for start in range(start if start > 0 else 0, end):
@@ -140,7 +145,6 @@ class TrieBPE:
                         continue
                     if start == 0:
                         path.append(t)
-                        coded.append(packed[t])
                         break
                     pair = path[start - 1] << 20 | t
                     fits = pairs.get(pair)
@@ -148,11 +152,20 @@ class TrieBPE:
                         fits = pairs[pair] = not crosses(pair >> 20, t, 1 << 30)
                     if fits:
                         path.append(t)
-                        coded.append(coded[start - 1] + packed[t])
                         break
                 else:
                     raise ValueError("a prefix has no encoding: the vocabulary lacks a byte")
-            self.pieces[word] = coded[-1]
+            end = len(word)
+            t = path[end - 1]
+            if size[t] == end:
+                self.pieces[word] = packed[t]
+            else:
+                ids = []
+                while end:
+                    t = path[end - 1]
+                    ids.append(packed[t])
+                    end -= size[t]
+                self.pieces[word] = b"".join(ids[::-1])
             prior = word
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -167,12 +180,13 @@ class TrieBPE:
         added = self._fill()
         for k in again:
             out[k] = b"".join(map(chunk, cut[k][0])) + b"".join(map(spaced, cut[k][1]))
-        if len(self.chunks) + len(self.spaced) > self.cache:
-            for known, c, _ in added:
+        full = len(self.chunks) + len(self.spaced) > self.cache
+        for known, c in added:
+            if full or len(c) > LONG:
                 del known[c]
         return out
 
-    def _fill(self) -> list[tuple]:
+    def _fill(self) -> list[tuple[Found, str]]:
         """Encode every chunk that was asked for and not known, with one traversal; says what it added."""
         todo = []
         for known, before in ((self.chunks, ""), (self.spaced, " ")):
@@ -183,10 +197,11 @@ class TrieBPE:
         found = self.pieces
         for known, c, ps in todo:
             known[c] = b"".join([self.packed[p] if isinstance(p, int) else found[p] for p in ps])
-        if len(found) > self.cache * 5 // 6:
-            for p in new:
+        full = len(found) > self.cache * 5 // 6
+        for p in new:
+            if full or len(p) > LONG:
                 del found[p]
-        return todo
+        return [(known, c) for known, c, _ in todo]
 
     def _cut(self, text: str) -> tuple[list[str], list[str]]:
         """Chunks as they stand, and chunks that follow a single space."""
