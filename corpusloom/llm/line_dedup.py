@@ -16,8 +16,10 @@ is aggregated, so a crowded key gives one row; joins are equi-joins that the eng
 by its edit distance.
 
 Every line with a word is dropped as an exact repeat; lines under ``near_words`` words only as such, since one word is a
-large part of them. Lines under ``min_words`` words are never dropped. Null text:
-the document has no lines. Rows that repeat a doc_id have the same line places, so they never drop each other's lines.
+large part of them. Lines under ``min_words`` words are never dropped. Null text: the document has no lines. A row with a
+null doc_id has no place, so its lines neither go nor make others go. Rows that repeat a doc_id have the same line places, so
+they never drop each other's lines; a line that goes in one of them goes in all. Other columns may have any name. An
+empty table gives no repeats.
 """
 
 from __future__ import annotations
@@ -57,22 +59,22 @@ def _halves() -> Column:
 
 
 def _near_lines(docs: DataFrame, distinct: DataFrame, text: str) -> DataFrame:
-    """h1, doc_id, line_no, words, low, high of the distinct lines that share a half with another one.
+    """place (doc_id, line_no, h1), words, low, high of the distinct lines that share a half with another one.
 
     An edit that leaves the shared half whole lies at a word from ``low`` to before ``high``.
     """
-    keyed = distinct.where("halves IS NOT NULL").select("h1", "first", "n_words", F.posexplode("halves").alias("which", "half"))
+    keyed = distinct.where("halves IS NOT NULL").select("h1", "h2", "first", "n_words", F.posexplode("halves").alias("which", "half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     n = F.col("n_words") - F.floor(F.col("which") / 2)  # the length whose halves these are
     low = F.when(F.col("which") % 2 == 0, F.floor(n / 2)).otherwise(0)
     high = F.when(F.col("which") % 2 == 0, F.col("n_words")).otherwise(F.col("n_words") - n + F.floor(n / 2))
-    some = keyed.join(shared, "half", "left_semi").groupBy("h1").agg(F.min("first").alias("first"), F.min(low).cast("int").alias("low"), F.max(high).cast("int").alias("high"))
+    some = keyed.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min(low).cast("int").alias("low"), F.max(high).cast("int").alias("high"))
     wanted = some.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct("first.line_no", "h1", "low", "high")).alias("wanted"))
     with_text = wanted.join(docs.select(F.col("doc_id").alias("id"), F.col(text).alias("_text")), "id")
     raw = with_text.select("id", "wanted", F.split("_text", "\n").alias("raws"))
     each = raw.select(F.col("id").alias("doc_id"), F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("raws", w["line_no"]).alias("raw")))).alias("l"))
-    line = each.select("l.w.h1", "doc_id", "l.w.line_no", "l.w.low", "l.w.high", _norm(F.col("l.raw")).alias("line")).where(F.xxhash64("line") == F.col("h1"))
-    return line.select("h1", "doc_id", "line_no", "low", "high", F.split("line", " ").alias("words")).dropDuplicates(["h1"])
+    line = each.select(F.struct("doc_id", "l.w.line_no", "l.w.h1").alias("place"), "l.w.low", "l.w.high", _norm(F.col("l.raw")).alias("line")).where(F.xxhash64("line") == F.col("place.h1"))
+    return line.select("place", "low", "high", F.split("line", " ").alias("words")).dropDuplicates(["place"])
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -86,18 +88,17 @@ def _one_edit(a: str, b: str) -> Column:
 
 
 def _near_links(near: DataFrame) -> DataFrame:
-    """h1 and the place (of) of the earliest near line before it."""
-    rests = F.expr("transform(sequence(low, high - 1), i -> struct(i AS at, xxhash64(concat_ws(' ', slice(words, 1, i), slice(words, i + 2, size(words)))) AS rest))")
-    place = F.struct("doc_id", "line_no", "h1")
-    variants = stored(near.where("high > low").select("h1", place.alias("place"), F.explode(rests).alias("v")).select("h1", "place", "v.at", "v.rest"), "line-variants")
-    whole = near.select(F.xxhash64(F.concat_ws(" ", "words")).alias("rest"), "h1", place.alias("place"))
-    firsts = variants.groupBy("rest", "at").agg(F.min("place").alias("of"), F.count("*").alias("n")).where("n > 1").select("rest", "at", "of")
-    swapped = variants.join(firsts, ["rest", "at"]).where("of < place").select("h1", "of")
-    longer = variants.select("rest", F.col("h1").alias("long_h1"), F.col("place").alias("long_place"))
-    meets = longer.join(whole, "rest")
-    added = meets.where("place < long_place").select(F.col("long_h1").alias("h1"), F.col("place").alias("of"))
-    lacking = meets.where("long_place < place").select("h1", F.col("long_place").alias("of"))
-    return swapped.unionAll(added).unionAll(lacking).groupBy("h1").agg(F.min("of").alias("of"))
+    """place of a line and the place (of) of the earliest near line before it. Variants meet by 128 bits of hash."""
+    rests = F.expr("transform(sequence(low, high - 1), i -> transform(array(concat_ws(' ', slice(words, 1, i), slice(words, i + 2, size(words)))), r -> struct(i AS at, xxhash64(r) AS rest, xxhash64('second', r) AS rest2))[0])")
+    variants = stored(near.where("high > low").select("place", F.explode(rests).alias("v")).select("place", "v.at", "v.rest", "v.rest2"), "line-variants")
+    line = F.concat_ws(" ", "words")
+    whole = near.select(F.xxhash64(line).alias("rest"), F.xxhash64(F.lit("second"), line).alias("rest2"), F.col("place").alias("short"))
+    firsts = variants.groupBy("rest", "rest2", "at").agg(F.min("place").alias("of"), F.count("*").alias("n")).where("n > 1").select("rest", "rest2", "at", "of")
+    swapped = variants.join(firsts, ["rest", "rest2", "at"]).where("of < place").select("place", "of")
+    meets = variants.select("rest", "rest2", F.col("place").alias("long")).join(whole, ["rest", "rest2"])
+    added = meets.where("short < long").select(F.col("long").alias("place"), F.col("short").alias("of"))
+    lacking = meets.where("long < short").select(F.col("short").alias("place"), F.col("long").alias("of"))
+    return swapped.unionAll(added).unionAll(lacking).groupBy("place").agg(F.min("of").alias("of"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, text: str = "text") -> DataFrame:
@@ -110,11 +111,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     place = F.struct("doc_id", "line_no")
     distinct = stored(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("n_words").alias("n_words"), F.any_value("halves").alias("halves")), "distinct-lines")
     near = stored(_near_lines(docs, distinct, text), "near-lines")
-    links = _near_links(near)
-    texts = near.select(F.col("h1").alias("h"), "words")
-    pairs = links.join(near.select("h1", "words"), "h1").join(texts.withColumnRenamed("h", "of_h").withColumnRenamed("words", "of_words"), F.col("of.h1") == F.col("of_h"))
-    verified = pairs.where(_one_edit("words", "of_words")).select(F.col("h1").alias("near_h1"), F.struct(F.col("of.doc_id").alias("doc_id"), F.col("of.line_no").alias("line_no")).alias("near_of"))
-    classes = distinct.join(verified, distinct["h1"] == verified["near_h1"], "left").where("n > 1 OR near_of IS NOT NULL").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first", "near_of")
+    words = near.select(F.col("place").alias("p"), "words")
+    pairs = _near_links(near).join(words, F.col("place") == F.col("p")).select("place", "of", "words").join(words.withColumnsRenamed({"p": "q", "words": "of_words"}), F.col("of") == F.col("q"))
+    verified = pairs.where(_one_edit("words", "of_words")).select("place", F.struct(F.col("of.doc_id").alias("doc_id"), F.col("of.line_no").alias("line_no")).alias("near_of"))
+    same = (F.col("h1") == F.col("place.h1")) & (F.col("first.doc_id") == F.col("place.doc_id")) & (F.col("first.line_no") == F.col("place.line_no"))
+    classes = distinct.join(verified, same, "left").where("n > 1 OR near_of IS NOT NULL").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first", "near_of")
     at = hashed.select("doc_id", "line_no", "h1", "h2").join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
     later = F.col("first") < place
     found = at.where(later | F.col("near_of").isNotNull())
@@ -127,11 +128,11 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words:
 
     A document that loses every line with a word is dropped; one that had none, or lost none, stays as it was.
     """
-    gone = repeated_lines(docs, min_words, near_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    cut = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x AS x, i AS i)), l -> NOT array_contains(_gone, l.i)), l -> l.x), '\\n')")
-    kept = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut))
-    kept = kept.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    gone = repeated_lines(docs, min_words, near_words).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("gone"))
+    joined = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("id"), "left")
+    cut = F.expr("transform(array(split(row.text, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\\n'))[0]")
+    kept = joined.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(cut).alias("left")).where("gone IS NULL OR left RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return kept.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
