@@ -11,11 +11,13 @@ their running offset; (4) the bases of the ranges are a running sum over one row
 Spark as a Parquet table of binary streams, so any store that Spark reaches works, and a lost task is written again.
 
 Null text: as an empty one (the end id alone). Rows that repeat a doc_id stand next to each other, each with its own
-start. A text longer than a block is a block of its own.
+start. A text longer than a block is a block of its own. Ids are kept in 16 bits while they are counted if the whole
+vocabulary fits, else in 32. An empty table gives no block and no row.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -83,7 +85,11 @@ class WordCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.packed = [np.uint32(i).astype("<u4").tobytes() for i in range(self.tokenizer.get_vocab_size() + 1)]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(not a or a.split() != [a] for a in added):
+            raise ValueError("added tokens with white space cross words")
+        self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
+        self.packed = [int(i).to_bytes(4, "little") for i in range(vocabulary_of(path))]
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
@@ -104,7 +110,7 @@ class WordCoder:
         known, plain, odd = self.pieces, [], []
         for w in new:
             core = w.strip(MARKS)
-            if core and "<|" not in w and core.isalpha() and (core.isascii() or LATIN.issuperset(core)):
+            if core and not self.holds_added(w) and core.isalpha() and (core.isascii() or LATIN.issuperset(core)):
                 at = w.index(core)
                 plain.append((w, w[:at], core.lower(), w[at + len(core) :]))
             else:
@@ -139,24 +145,38 @@ def coder(path: str) -> WordCoder:
     return _coders[path]
 
 
+def vocabulary_of(path: str, end_id: int = END_ID) -> int:
+    """One more than the largest id that the tokenizer or the end mark can give."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
+def width_of(vocabulary: int) -> str:
+    """The type of stored ids: 16 bits if all ids fit, else 32."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian u16 when the vocabulary allows, as stated by ``width``) with the end id."""
+    """doc_id, ids (binary, little-endian integers of the ``width`` of the vocabulary) with the end id."""
+    width = width_of(vocabulary_of(path, end_id))
 
     def rows(ids: list, texts: list[str]) -> dict:
         end = np.array([end_id], "<u4").tobytes()
-        return {"doc_id": ids, "ids": [np.frombuffer(c + end, "<u4").astype("<u2").tobytes() for c in coder(path).encode(texts)]}
+        return {"doc_id": ids, "ids": [np.frombuffer(c + end, "<u4").astype(width).tobytes() for c in coder(path).encode(texts)]}
 
     return map_documents(docs, rows, "doc_id long, ids binary", text)
 
 
 def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """ids in order of falling frequency (ties: smaller id first), over all rows. The result is bounded by the vocabulary."""
+    width = width_of(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for v in b.column(0):
-                total += np.bincount(np.frombuffer(v.as_buffer(), "<u2"), minlength=vocabulary)
+                total += np.bincount(np.frombuffer(v.as_buffer(), width), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["id", "n"])
 
@@ -170,9 +190,11 @@ def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 BLOCKS = "part int, seq int, base long, n_ids long, doc_ids binary, no_id binary, lengths binary, control binary, data binary"
 
 
-def write_store(docs: DataFrame, tokenizer: str, path: str, vocabulary: int = 49_408, end_id: int = END_ID, text: str = "text", block_ids: int = BLOCK_IDS) -> np.ndarray:
+def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, text: str = "text", block_ids: int = BLOCK_IDS) -> np.ndarray:
     """Write the corpus as blocks in ascending doc_id order under ``path``; returns the rank table (bounded by the vocabulary)."""
     spark = docs.sparkSession
+    vocabulary = vocabulary_of(tokenizer, end_id)
+    width = width_of(vocabulary)
     tokens = stored(tokenize(docs, tokenizer, end_id, text), "token-ids")
     by_rank = frequency_ranks(tokens, vocabulary)
     rank_of = np.empty(vocabulary, np.uint32)
@@ -194,7 +216,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, vocabulary: int = 49
         size = 0
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                one = np.frombuffer(v.as_buffer(), "<u2")
+                one = np.frombuffer(v.as_buffer(), width)
                 if held and size + len(one) > block_ids:
                     yield block()
                     seq, base, ids, held, size = seq + 1, base + size, [], [], 0
