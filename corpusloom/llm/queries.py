@@ -53,7 +53,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir))
-    return found.select("doc_id", "word_no", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), F.round("score", 6).alias("score"), "is_secret")
+    return found.select("doc_id", "word_no", "place", "kind", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), F.round("score", 6).alias("score"), "is_secret")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
