@@ -9,47 +9,80 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import LAYOUT_FOOTER, PAGE_MARK
 from corpusloom.shipping import ready
 
-_WORD = re.compile(r"[a-z0-9_]+")
-_END = re.compile(r"(?<=[.!?])\s+")
+#: A sentence keeps the bracket that follows its end mark; what a citation alone looks like; a word that counts.
+SENTENCE = re.compile(r"([^.!?]+(?:[.!?]+(?:\s*\[[a-zA-Z0-9_:\s,\.-]+\])?|$))")
+CITATION = re.compile(r"^\[(?:chk_[a-zA-Z0-9_]+|Source:[^\]]+)\]$")
+WORD = re.compile(r"\b[a-z0-9_]{3,}\b")
+FOOTER, MARK = re.compile(LAYOUT_FOOTER), re.compile(PAGE_MARK)
+#: Words from which similarity counts and the similarity at which a repeat goes, inside a paragraph, across
+#: paragraphs, and of whole paragraphs; a fragment without an end mark has fewer words than the last.
+INSIDE, ACROSS, WHOLE, FRAGMENT = (4, 0.70), (4, 0.55), (6, 0.55), 8
 
 
-def _similar(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+def _plain(text: str) -> str:
+    return " ".join(FOOTER.sub(" ", MARK.sub(" ", text)).split()).lower()
 
 
-def clean_text(text: str, within: float = 0.7, across: float = 0.55) -> str:
-    """One text: a sentence goes if it is like an accepted one (of its paragraph from ``within``, of earlier ones from
-    ``across``, both for sentences of four words or more); so does a paragraph of six words or more, and a fragment under
-    eight words without an end mark. An unfinished last sentence is cut if another one stands before it.
+class _Accepted:
+    """Texts accepted so far: equal ones and, from some words on, similar ones are known again."""
+
+    def __init__(self, rule: tuple[int, float], exact: bool) -> None:
+        self.least, self.limit = rule
+        self.exact: set[str] | None = set() if exact else None
+        self.bags: list[set[str]] = []
+
+    def repeats(self, plain: str) -> bool:
+        """Whether the text is a repeat; if not, it is accepted."""
+        if self.exact is not None and plain in self.exact:
+            return True
+        bag = set(WORD.findall(plain))
+        if len(bag) >= self.least and any(b and len(bag & b) / len(bag | b) >= self.limit for b in self.bags):
+            return True
+        if self.exact is not None:
+            self.exact.add(plain)
+        self.bags.append(bag)
+        return False
+
+
+def sentences_with_citations(text: str) -> list[str]:
+    """Sentences with the citations that follow them; a citation that stands alone joins the sentence before."""
+    out: list[str] = []
+    for part in (m.strip() for m in SENTENCE.findall(text)):
+        if part and out and CITATION.match(part):
+            out[-1] += " " + part
+        elif part:
+            out.append(part)
+    return out
+
+
+def clean_text(text: str) -> str:
+    """One text: a sentence goes if it equals an accepted one of its paragraph or is like it, or like one of any earlier
+    paragraph; a paragraph if it equals or is like an accepted one, or is a short fragment without an end mark; a paragraph
+    that is a citation alone joins the one before. An unfinished end is cut back to the last end mark or bracket.
     """
+    if not text.strip():
+        return text
     paragraphs: list[str] = []
-    earlier: list[frozenset] = []
-    whole: list[frozenset] = []
-    for para in re.split(r"\n\s*\n", text):
-        bag = frozenset(_WORD.findall(para.lower()))
-        if not bag or (len(bag) >= 6 and any(_similar(bag, w) >= across for w in whole)):
+    said, whole = _Accepted(ACROSS, False), _Accepted(WHOLE, True)
+    for para in filter(None, (p.strip() for p in re.split(r"\n\s*\n", FOOTER.sub("", text)))):
+        if CITATION.match(para):
+            if paragraphs:
+                paragraphs[-1] += " " + para
             continue
-        here: list[frozenset] = []
-        kept: list[str] = []
-        for s in _END.split(para.strip()):
-            words = frozenset(_WORD.findall(s.lower()))
-            if len(words) >= 4 and (any(_similar(words, h) >= within for h in here) or any(_similar(words, e) >= across for e in earlier)):
-                continue
-            if len(s.split()) < 8 and kept and not s.rstrip().endswith((".", "!", "?", ":")):
-                continue
-            here.append(words)
-            kept.append(s)
-        if kept:
-            paragraphs.append(" ".join(kept))
-            whole.append(bag)
-            earlier += here
-    out = "\n\n".join(paragraphs)
-    if out and not out.rstrip().endswith((".", "!", "?")):
-        cut = max(out.rfind(m) for m in ".!?")
-        out = out[: cut + 1] if cut > 0 else out
-    return out.strip()
+        here, parts = _Accepted(INSIDE, True), sentences_with_citations(para)
+        if len(parts) > 1:
+            parts = sentences_with_citations(" ".join(s for s in parts if _plain(s) and not here.repeats(_plain(s))))
+        final = " ".join(s for s in parts if not said.repeats(_plain(s)))
+        fragment = not re.search(r"[.!?]$", final) and len(final.split()) < FRAGMENT
+        if final and not fragment and _plain(final) and not whole.repeats(_plain(final)):
+            paragraphs.append(final)
+    if paragraphs and not re.search(r"[.!?\]]$", paragraphs[-1]):
+        cut = paragraphs[-1][: max(paragraphs[-1].rfind(m) for m in ".!?]") + 1].strip()
+        paragraphs[-1:] = [cut] if cut else []
+    return "\n\n".join(paragraphs)
 
 
 def dedupe_answers(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -30,6 +30,23 @@ QUANTITY = "sum|total|average|avg|count|min|max|minimum|maximum|mean|highest|low
 COMPARISON = "greater than|less than|more than|at least|at most|above|below|between|exceeding"
 NULL_WORDS = ["null", "none", "na", "n/a", "nan"]
 ANSWER_PHRASES = ["the answer is", "according to", "in this story", "is a renowned", "was born in"]
+HONORIFIC = r"(dr\.?|doctor|mr\.?|mrs\.?|ms\.?|prof\.?|professor)"
+POSSESSIVE = r"([A-Z][a-zA-Z\.\s]+)(?:’s|'s)\s*[\?]?$"
+AUTHOR_OF = r"^(.*?)\s+(?:author|writer|poet)\s*(?:name)?\s*[\?]?$"
+BARE_AUTHOR = ["author of book", "author of book?", "author of the book", "author of the book?"]
+OPENERS = "who|what|why|how|where|when|tell me|explain"
+ASKERS = "who|what|why|how|where|when|is|are|was|were|do|does|did|can|could|would|should"
+PAGE_MARK = r"(?i)--- Page \d+ (?:End|Start) ---"
+LAYOUT_FOOTER = r"(?i)(?:\d+[\s\-]*)?(?:\d+(?:st|nd|rd|th)[\s\-]*)?[a-zA-Z0-9_\s\-]+?\.indd[^\n\r]*"
+NUMBER_MARK = r"(?i)[$€£₹]|\b\d+(\.\d+)?\b|\bQ[1-4]\b"
+ANSWER_MARKS = [r"\[chk_[a-zA-Z0-9_\-]+\]", r"\[Source:[^\]]+\]", r"(?i)\b(rag|source|version|page|build|chunk)=\"[^\"]*\"", r"(?i)\b(rag|source|version|page|build|chunk)='[^']*'", r"<[^>]+>"]
+#: A word of three or more ASCII letters, digits or underscores that stands alone: no letter or digit of any script beside it.
+WORD = r"(?<![\p{L}\p{N}_])[a-z0-9_]{3,}(?![\p{L}\p{N}_])"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def any_of(text: Column, parts: list[str]) -> Column:
@@ -67,8 +84,8 @@ def chunk_id(source_id: Column, prefix: str, index: Column, text: Column) -> Col
 
 def normalize_for_dedup(text: Column) -> Column:
     """Page markers and layout-file footers removed, white space collapsed, lower case."""
-    marks = F.when(text.contains("---"), F.regexp_replace(text, r"(?i)--- Page \d+ (?:End|Start) ---", " ")).otherwise(text)
-    footers = F.when(marks.contains(".indd"), F.regexp_replace(marks, r"(?i)(?:\d+[\s\-]*)?(?:\d+(?:st|nd|rd|th)[\s\-]*)?[a-zA-Z0-9_\s\-]+?\.indd[^\n\r]*", " ")).otherwise(marks)
+    marks = F.when(text.contains("---"), F.regexp_replace(text, PAGE_MARK, " ")).otherwise(text)
+    footers = F.when(F.lower(marks).contains(".indd"), F.regexp_replace(marks, LAYOUT_FOOTER, " ")).otherwise(marks)
     return F.lower(F.trim(F.regexp_replace(footers, r"\s+", " ")))
 
 
@@ -78,7 +95,12 @@ def fingerprint(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct words of three or more ASCII letters, digits or underscores, for similarity."""
-    return F.array_distinct(F.regexp_extract_all(normalize_for_dedup(text), F.lit(r"[a-z0-9_]{3,}"), F.lit(0)))
+    return words_of_normal(normalize_for_dedup(text))
+
+
+def words_of_normal(norm: Column) -> Column:
+    """The word set of a text that is normalized already."""
+    return F.array_distinct(F.regexp_extract_all(norm, F.lit(WORD), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -153,7 +175,7 @@ def section_boost(text: Column) -> Column:
 def is_quantitative(query: Column) -> Column:
     keyword = query.rlike(rf"(?i)\b({QUANTITY})\b")
     compared = query.rlike(rf"(?i)\b({COMPARISON})\b|[><=]")
-    number = query.rlike(r"(?i)[$€£₹]|\b\d+(\.\d+)?\b|\bQ[1-4]\b")
+    number = query.rlike(NUMBER_MARK)
     return keyword | (compared & number)
 
 
@@ -164,27 +186,50 @@ def intent_of(query: Column) -> Column:
     return F.when(strip(query) == "", "empty").otherwise(out)
 
 
-def standardize_query(query: Column) -> Column:
-    """Spelling repaired, question openers capitalized, closing marks tidied; '?' only after a question word."""
-    q = strip(query)
+def standardized(query: Column) -> Column:
+    """Struct (query, changes): spelling repaired, possessives and author phrases turned into questions, openers capitalized,
+    closing marks tidied, '?' only after a question word. ``changes`` names what was done, in order."""
+    state = lambda q, changes: F.struct(q.alias("query"), changes.alias("changes"))
+    noted = lambda s, done, note: F.when(done, F.concat(s["changes"], F.array(F.lit(note)))).otherwise(s["changes"])
+    out = state(strip(query), F.array().cast("array<string>"))
+
+    def repaired(wrong: str, right: str):
+        return lambda s: state(F.regexp_replace(s["query"], rf"(?i)\b{wrong}\b", right), noted(s, s["query"].rlike(rf"(?i)\b{wrong}\b"), f"{wrong} -> {right}"))
+
     for wrong, right in SPELLING.items():
-        q = F.regexp_replace(q, rf"(?i)\b{wrong}\b", right)
-    q = F.when(q.rlike(r"(?i)^(who|what|why|how|where|when|tell me|explain)\s"), F.concat(F.upper(q.substr(1, 1)), q.substr(2, 1_000_000))).otherwise(q)
-    q = F.regexp_replace(q, r"[?.!\s]+$", "")
-    asks = q.rlike(r"(?i)^(who|what|why|how|where|when|is|are|was|were|do|does|did|can|could|would|should)\s")
-    return F.when(asks, F.concat(q, F.lit("?"))).otherwise(q)
+        out = let(out, repaired(wrong, right))
 
+    def possessive(s: Column) -> Column:
+        q, hit = s["query"], s["query"].rlike(POSSESSIVE)
+        entity = strip(F.regexp_extract(q, POSSESSIVE, 1))
+        asked = F.lower(q).startswith("who is") | F.lower(q).startswith("what is")
+        named = F.when(entity.rlike(rf"(?i)\b{HONORIFIC}\b"), F.concat(F.lit("Who is "), entity, F.lit("?"))).otherwise(entity)
+        return state(F.when(hit & asked, F.regexp_replace(q, r"(?:’s|'s)\s*[\?]?$", "?")).when(hit, named).otherwise(q), noted(s, hit, "resolved malformed possessive entity"))
 
-def spelling_changes(query: Column) -> Column:
-    """The repairs that :func:`standardize_query` makes, as 'wrong -> right'."""
-    return F.array_compact(F.array(*[F.when(query.rlike(rf"(?i)\b{w}\b"), f"{w} -> {r}") for w, r in SPELLING.items()]))
+    def author(s: Column) -> Column:
+        q, subject = s["query"], strip(F.regexp_extract(s["query"], "(?i)" + AUTHOR_OF, 1))
+        of = (intent_of(query) == "author_lookup") & q.rlike("(?i)" + AUTHOR_OF) & (subject != "")
+        asks, bare = of & ~subject.rlike(r"(?i)^(who|what)\s+"), (intent_of(query) == "author_lookup") & ~of & F.lower(strip(q)).isin(BARE_AUTHOR)
+        done = F.when(asks, F.concat(s["changes"], F.array(F.lit("formulated natural author question")))).when(bare, F.concat(s["changes"], F.array(F.lit("normalized informal author query")))).otherwise(s["changes"])
+        return state(F.when(asks, F.concat(F.lit("What is the author of "), subject, F.lit("?"))).when(bare, "What is the author of the book?").otherwise(q), done)
+
+    def tidy(s: Column) -> Column:
+        opened = F.when(s["query"].rlike(rf"(?i)^({OPENERS})\s+"), F.concat(F.upper(s["query"].substr(1, 1)), s["query"].substr(2, 1_000_000))).otherwise(s["query"])
+        closed = let(F.regexp_replace(opened, r"[?.!\s]+$", ""), lambda q: F.when(q.rlike(rf"(?i)^({ASKERS})\s+"), F.concat(q, F.lit("?"))).otherwise(q))
+        return state(closed, s["changes"])
+
+    return let(let(let(out, possessive), author), tidy)
+
+
+def standardize_query(query: Column) -> Column:
+    return standardized(query)["query"]
 
 
 def rewrite_is_valid(raw: Column, rewritten: Column) -> Column:
     """False for answers, for 'who is' that nobody asked, and for rewrites that share no key word with the query."""
     low, before = F.lower(rewritten), F.lower(raw)
     who = low.startswith("who is ") | low.startswith("who was ")
-    person = before.rlike(r"\b(dr\.?|doctor|mr\.?|mrs\.?|ms\.?|prof\.?|professor)\b")
+    person = before.rlike(rf"\b{HONORIFIC}\b")
     words = F.filter(F.regexp_extract_all(before, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 3)
     shared = (F.size(words) == 0) | F.exists(words, lambda w: low.contains(w) | low.contains(w.substr(1, 4)))
     return (F.length(rewritten) >= 2) & ~any_of(low, ANSWER_PHRASES) & ~(who & ~before.contains("who") & ~person) & shared
@@ -197,7 +242,7 @@ def citation_keys(answer: Column) -> Column:
 def sanitize_answer(text: Column) -> Column:
     """Citation marks, leaked attributes and tags removed; spacing tidied."""
     out = text
-    for pattern in (r"\[chk_[a-zA-Z0-9_\-]+\]", r"\[Source:[^\]]+\]", r"(?i)\b(rag|source|version|page|build|chunk)=\"[^\"]*\"", r"(?i)\b(rag|source|version|page|build|chunk)='[^']*'", r"<[^>]+>"):
+    for pattern in ANSWER_MARKS:
         out = F.regexp_replace(out, pattern, "")
     return strip(F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"\s+([,.!?])", "$1"))
 
@@ -225,6 +270,12 @@ def key_terms(query: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS))
 
 
+def canonical_hash(*columns: str | Column) -> Column:
+    """SHA-256 of the named columns as compact JSON with its keys in order."""
+    names = sorted(columns)
+    return F.sha2(F.to_json(F.struct(*names)), 256)
+
+
 def escape_markup(text: Column) -> Column:
     out = text
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

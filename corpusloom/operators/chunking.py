@@ -1,18 +1,21 @@
 """Chunkers. One document's blocks are folded on the JVM; no Python runs and no document leaves its row.
 
-Blocks reach a fold as an ordered array (:func:`by_document`). The fold keeps index ranges, not texts: a state of two
-numbers and the cuts made so far. Chunk texts are sliced from the array afterwards.
+Blocks reach a fold as an ordered array ``bs``: :func:`line_documents` makes it inside the document's row, so nothing is
+shuffled; :func:`by_document` gathers it from a table of blocks. The fold keeps index ranges, not texts: a state of two
+numbers and the cuts made so far. Chunks are built as an array in the row and only then become rows of their own, so a
+document's blocks are never copied for each chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
 #: What the folds read of a block.
 BLOCK = ["block_index", "type", "level", "content", "page_number"]
+TEXT = "array_join(transform(slice(bs, {0} + 1, {1} - {0}), b -> b.content), '\\n\\n')"
 
 
 def by_document(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -21,6 +24,19 @@ def by_document(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return counted.groupBy(key).agg(F.array_sort(F.collect_list("b")).alias("bs"))
 
 
+def line_documents(docs: DataFrame, key: str = "doc_id", per_page: int = 40, text: str = "text", mark=None, extra: list[str] | None = None) -> DataFrame:
+    """key and ``bs`` with a block a line, made in the document's row. ``mark`` (index, content) -> (type, level, content)
+    may tell headings from paragraphs; ``extra`` columns are kept. Documents without a line with a character are left out."""
+
+    def block(raw: Column, i: Column) -> Column:
+        content = T.strip(raw)
+        kind, level, content = mark(i, content) if mark else (F.lit("paragraph"), F.lit(None).cast("int"), content)
+        return F.struct(i.alias("block_index"), kind.alias("type"), level.alias("level"), content.alias("content"), (F.floor(i / per_page) + 1).cast("int").alias("page_number"), T.token_count(content).alias("tok"))
+
+    bs = F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda l: l["x"].rlike(r"\S")), lambda l: block(l["x"], l["i"]))
+    return docs.where(F.col(text).rlike(r"\S")).select(key, *(extra or []), bs.alias("bs"))
+
+
 def _cuts(blocks: str, size: int, overlap: int, at_headings: bool) -> str:
     """SQL: ranges (s, e) of the array ``blocks`` that are chunks, greedily filled to ``size`` tokens.
 
@@ -49,26 +65,39 @@ def heading_path(blocks: str, upto: str) -> str:
     )
 
 
+def _paths(blocks: str) -> str:
+    """SQL: (at, path) of every heading: the path after it, found in one fold."""
+    step = (
+        "concat(CASE WHEN coalesce(h.b.level, 1) <= size(a.path) THEN slice(a.path, 1, coalesce(h.b.level, 1) - 1) ELSE a.path END, array(h.b.content))"
+    )
+    return (
+        f"aggregate(filter(transform({blocks}, (b, i) -> named_struct('b', b, 'i', i)), x -> x.b.type = 'heading'), named_struct('path', cast(array() AS array<string>), 'all', cast(array() AS array<struct<at: int, path: array<string>>>)), "
+        f"(a, h) -> transform(array({step}), p -> named_struct('path', p, 'all', concat(a.all, array(named_struct('at', h.i, 'path', p)))))[0], a -> a.all)"
+    )
+
+
 def _chunks(docs: DataFrame, key: str, prefix: str, size: int, overlap: int, at_headings: bool, strict: bool) -> DataFrame:
     """One row a chunk: its range, text, tokens, id, page and heading path.
 
     By default page and path are those after the block that closed the chunk; ``strict`` takes the chunk's own last
     block. A heading that closes a chunk is not yet in its path.
     """
-    cut = docs.select(key, "bs", F.posexplode(F.expr(_cuts("bs", size, overlap, at_headings))).alias("chunk_index", "c"))
     stop = "c.e" if strict else f"least(size(bs), c.e + {'if(coalesce(get(bs, c.e).type, \"\") = \"heading\", 0, 1)' if at_headings else '1'})"
-    seen = cut.withColumn("text", F.expr("array_join(transform(slice(bs, c.s + 1, c.e - c.s), b -> b.content), '\\n\\n')")).withColumn("path", F.expr(heading_path("bs", stop)))
-    page = F.expr("bs[c.e - 1].page_number" if strict else "bs[least(size(bs) - 1, c.e)].page_number")
-    return seen.select(
+    page = "bs[c.e - 1].page_number" if strict else "bs[least(size(bs) - 1, c.e)].page_number"
+    path = f"coalesce(try_element_at(filter(ps, p -> p.at < {stop}), -1).path, cast(array() AS array<string>))"
+    chunk = f"named_struct('text', {TEXT.format('c.s', 'c.e')}, 'page_number', {page}, 'heading_path', {path}, 'first_block', c.s, 'end_block', c.e)"
+    # Exploded as an expression: the filter that is inferred for a column would compute the blocks again for each use.
+    each = docs.select(key, F.posexplode(F.expr(f"transform(array({_paths('bs')}), ps -> transform({_cuts('bs', size, overlap, at_headings)}, c -> {chunk}))[0]")).alias("chunk_index", "c"))
+    return each.select(
         key,
         "chunk_index",
-        T.chunk_id(F.col(key).cast("string"), prefix, F.col("chunk_index"), F.col("text")).alias("chunk_id"),
-        "text",
-        T.token_count(F.col("text")).alias("token_count"),
-        page.alias("page_number"),
-        F.col("path").alias("heading_path"),
-        F.expr("c.s").alias("first_block"),
-        F.expr("c.e").alias("end_block"),
+        T.chunk_id(F.col(key).cast("string"), prefix, F.col("chunk_index"), F.col("c.text")).alias("chunk_id"),
+        "c.text",
+        T.token_count(F.col("c.text")).alias("token_count"),
+        "c.page_number",
+        "c.heading_path",
+        "c.first_block",
+        "c.end_block",
     )
 
 
@@ -89,34 +118,46 @@ def chunk_hierarchical(docs: DataFrame, child: int = 192, parent: int = 768, key
 
     chunk_type is parent_chunk or child_chunk; a child has parent_chunk_id, and both counters run over the document.
     """
-    pieces = f"flatten(transform({_cuts('bs', parent, 0, True)}, (p, n) -> transform({_cuts('slice(bs, p.s + 1, p.e - p.s)', child, 0, False).replace('(a, i)', '(a, i)')}, c -> named_struct('n', n, 's', p.s + c.s, 'e', p.s + c.e, 'ps', p.s, 'pe', p.e))))"
-    children = docs.select(key, "bs", F.posexplode(F.expr(pieces)).alias("child_index", "c"))
-    text = "array_join(transform(slice(bs, {0} + 1, {1} - {0}), b -> b.content), '\\n\\n')"
-    named = children.select(key, "child_index", F.expr("c.n").alias("parent_index"), F.expr(text.format("c.s", "c.e")).alias("text"), F.expr(text.format("c.ps", "c.pe")).alias("parent_text"), F.expr("bs[least(size(bs) - 1, c.pe)].page_number").alias("page_number"))
-    source = F.col(key).cast("string")
-    with_id = named.withColumn("parent_chunk_id", T.chunk_id(source, "par", F.col("parent_index"), F.col("parent_text")))
-    kids = with_id.select(key, F.lit("child_chunk").alias("chunk_type"), F.col("child_index").alias("chunk_index"), T.chunk_id(source, "chi", F.col("child_index"), F.col("text")).alias("chunk_id"), "parent_chunk_id", "text", "page_number")
-    firsts = with_id.withColumn("f", F.expr("row_number() over (partition by %s, parent_index order by child_index)" % key)).where("f = 1")
-    parents = firsts.select(key, F.lit("parent_chunk").alias("chunk_type"), F.col("parent_index").alias("chunk_index"), F.col("parent_chunk_id").alias("chunk_id"), F.lit(None).cast("string").alias("parent_chunk_id"), F.col("parent_text").alias("text"), "page_number")
-    return kids.unionByName(parents).withColumn("token_count", T.token_count(F.col("text")))
-
-
-def chunk_tabular(rows: DataFrame, name: str, columns: list[str], order: str, size: int = 512, per_range: int = 2_000) -> DataFrame:
-    """Rows as 'Row n: column: value; ...' packed to ``size`` tokens under a header with their range.
+    name = lambda prefix, n, text: f"concat('chk_', replace(substring(_id, 1, 8), '-', ''), '_{prefix}_', lpad(cast({n} AS string), 5, '0'), '_', substring(sha2({text}, 256), 1, 8))"
+    inner = _cuts("slice(bs, p.s + 1, p.e - p.s)", child, 0, False)
+    kids = f"transform({inner}, c -> {TEXT.format('(p.s + c.s)', '(p.s + c.e)')})"
+    page = "bs[least(size(bs) - 1, p.e)].page_number"
+    parents = f"transform({_cuts('bs', parent, 0, True)}, (p, n) -> named_struct('n', n, 'text', {TEXT.format('p.s', 'p.e')}, 'page', {page}, 'kids', {kids}))"
+    docs = docs.select(key, F.col(key).cast("string").alias("_id"), "bs").select(key, "_id", F.expr(parents).alias("ps"))
+    row = "named_struct('chunk_type', '{0}', 'chunk_index', {1}, 'chunk_id', {2}, 'parent_chunk_id', {3}, 'text', {4}, 'page_number', p.page)"
+    before = "aggregate(slice(ps, 1, p.n), 0, (a, x) -> a + size(x.kids))"
+    kid = row.format("child_chunk", "b + j", name("chi", "b + j", "k"), "pid", "k")
+    whole = row.format("parent_chunk", "p.n", "pid", "cast(NULL AS string)", "p.text")
+    both = f"flatten(transform(ps, p -> transform(array({name('par', 'p.n', 'p.text')}), pid -> transform(array({before}), b -> concat(array({whole}), transform(p.kids, (k, j) -> {kid})))[0])[0]))"
+    return docs.select(key, F.explode(F.expr(both)).alias("c")).select(key, "c.*").withColumn("token_count", T.token_count(F.col("text")))
+
+
+def schema_chunk(rows: DataFrame, name: str, columns: list[str], kinds: DataFrame, sheet: str = "main") -> DataFrame:
+    """One row (chunk_type, text): the sheet's name, size, columns and their types. ``kinds`` has (column, inferred_type), as
+    :func:`corpusloom.operators.profile.column_profile` gives it, so the text costs one aggregation."""
+    order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(columns)])
+    listed = kinds.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("column", "inferred_type"))).alias("of"))
+    typed = listed.select(F.concat_ws(", ", F.transform(order, lambda x: F.concat(x["c"], F.lit(" ("), F.coalesce(F.col("of")[x["c"]], F.lit("string")), F.lit(")")))).alias("typed"))
+    text = F.concat_ws("\n", F.lit(f"Dataset: {name}"), F.lit(f"Sheet: {sheet}"), F.concat(F.lit("Total Rows: "), F.col("n").cast("string")), F.lit(f"Total Columns: {len(columns)}"), F.concat(F.lit("Columns & Types: "), "typed"))
+    return rows.agg(F.count("*").alias("n")).crossJoin(typed).select(F.lit("tabular_schema").alias("chunk_type"), text.alias("text"))
+
+
+def chunk_tabular(rows: DataFrame, name: str, columns: list[str], position: str, size: int = 512, per_range: int = 2_000, sheet: str = "main") -> DataFrame:
+    """(range, in_range, first_row, last_row, text): rows as 'Row n: column: value; ...' packed to ``size`` tokens under a
+    header with their range; :func:`schema_chunk` is the sheet's other chunk.
 
     A table is unbounded, so it is cut into ranges of ``per_range`` consecutive rows first and each range is packed on its
-    own: chunks equal those of one long fold up to the first range border, and no task sees the whole table. The row
-    number comes from ``order``, which must hold the rows' positions 0, 1, 2, ....
+    own: chunks equal those of one long fold up to the first range border, and no task sees the whole table. ``position``
+    counts the rows from 0 without gaps (:func:`corpusloom.operators.sampling.numbered` gives it).
     """
     filled = F.array_compact(F.array(*[F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns]))
-    number = (F.col(order) + 1).cast("long")
+    number = (F.col(position) + 1).cast("long")
     line = F.concat(F.lit("Row "), number.cast("string"), F.lit(": "), F.concat_ws("; ", filled))
-    numbered = rows.select(F.floor(F.col(order) / per_range).alias("range"), F.struct(number.alias("block_index"), F.lit("row").alias("type"), line.alias("content"), T.token_count(line).alias("tok")).alias("b"))
+    numbered = rows.select(F.floor(F.col(position) / per_range).alias("range"), F.struct(number.alias("block_index"), F.lit("row").alias("type"), line.alias("content"), T.token_count(line).alias("tok")).alias("b"))
     ranges = numbered.groupBy("range").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    cut = ranges.select("range", "bs", F.posexplode(F.expr(_cuts("bs", size, 0, False))).alias("in_range", "c"))
-    first, last = F.expr("bs[c.s].block_index"), F.expr("bs[c.e - 1].block_index")
-    head = F.concat(F.lit(f"Dataset: {name} | Sheet: main (Rows "), first.cast("string"), F.lit("–"), last.cast("string"), F.lit(")\n"))
-    return cut.select("range", "in_range", first.alias("first_row"), last.alias("last_row"), F.concat(head, F.expr("array_join(transform(slice(bs, c.s + 1, c.e - c.s), b -> b.content), '\\n')")).alias("text"))
+    text = f"concat('Dataset: {name} | Sheet: {sheet} (Rows ', cast(bs[c.s].block_index AS string), '–', cast(bs[c.e - 1].block_index AS string), ')\\n', {TEXT.replace(chr(92) + 'n' + chr(92) + 'n', chr(92) + 'n').format('c.s', 'c.e')})"
+    chunks = F.expr(f"transform({_cuts('bs', size, 0, False)}, c -> named_struct('first_row', bs[c.s].block_index, 'last_row', bs[c.e - 1].block_index, 'text', {text}))")
+    return ranges.select("range", F.posexplode(chunks).alias("in_range", "c")).select("range", "in_range", "c.*")
 
 
 def token_safe_split(chunks: DataFrame, limit: int = 512, overlap: int = 50, key: str = "chunk_id") -> DataFrame:
@@ -133,5 +174,5 @@ def token_safe_split(chunks: DataFrame, limit: int = 512, overlap: int = 50, key
     safe = f"flatten(transform({units}, u -> CASE WHEN {tokens('u')} > {limit} THEN {batch} ELSE array(u) END))"
     counted = chunks.select(key, "text", F.expr(f"CASE WHEN {tokens('text')} <= {limit} THEN array(text) ELSE {safe} END").alias("us"))
     packed = counted.select(key, F.expr(f"transform(us, u -> named_struct('content', u, 'type', 'u', 'tok', {tokens('u')}))").alias("bs"))
-    cut = packed.select(key, "bs", F.posexplode(F.expr(_cuts("bs", limit, overlap, False))).alias("sub_index", "c"))
-    return cut.select(key, "sub_index", F.expr("array_join(transform(slice(bs, c.s + 1, c.e - c.s), b -> b.content), '\\n\\n')").alias("text"))
+    texts = F.expr(f"transform({_cuts('bs', limit, overlap, False)}, c -> {TEXT.format('c.s', 'c.e')})")
+    return packed.select(key, F.posexplode(texts).alias("sub_index", "text"))

@@ -20,12 +20,15 @@ def probe_ranks(probes: DataFrame, hits: DataFrame, key: str = "doc_id") -> Data
     return j.withColumns({"hit_at_1": within(1), "hit_at_3": within(3), "hit_at_5": within(5), "reciprocal_rank": F.coalesce(1.0 / F.col("rank"), F.lit(0.0))})
 
 
-def retrieval_metrics(ranked: DataFrame, hit_sources: DataFrame, all_sources: DataFrame) -> DataFrame:
-    """One row: hits@1/3/5, MRR and the share of all sources that some hit came from."""
-    m = ranked.agg(*[F.round(F.avg(c), 4).alias(a) for c, a in (("hit_at_1", "hits_at_1"), ("hit_at_3", "hits_at_3"), ("hit_at_5", "hits_at_5"), ("reciprocal_rank", "mrr"))])
-    seen = hit_sources.select("source").distinct().join(all_sources.select("source").distinct(), "source").agg(F.count("*").alias("seen"))
+def retrieval_metrics(ranked: DataFrame, hit_sources: DataFrame, all_sources: DataFrame, cited: DataFrame) -> DataFrame:
+    """One row: hits@1/3/5 and MRR over the probes, the share of all sources that some hit came from, and the share of
+    citations that are verified (null without any). ``cited`` has verified, one row a citation of any probe. Without probes
+    hits and MRR are 0."""
+    m = ranked.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(a) for c, a in (("hit_at_1", "hits_at_1"), ("hit_at_3", "hits_at_3"), ("hit_at_5", "hits_at_5"), ("reciprocal_rank", "mrr"))])
+    seen = hit_sources.select("source").distinct().join(all_sources.select("source").distinct(), "source", "left_semi").agg(F.count("*").alias("seen"))
     total = all_sources.agg(F.count_distinct("source").alias("total"))
-    return m.crossJoin(seen).crossJoin(total).select("hits_at_1", "hits_at_3", "hits_at_5", "mrr", F.round(F.col("seen") / F.col("total"), 4).alias("source_coverage"))
+    precision = cited.agg(F.round(F.try_divide(F.count_if("verified"), F.count("*")), 4).alias("citation_precision"))
+    return m.crossJoin(seen).crossJoin(total).crossJoin(precision).select("hits_at_1", "hits_at_3", "hits_at_5", "mrr", F.round(F.col("seen") / F.greatest(F.col("total"), F.lit(1)), 4).alias("source_coverage"), "citation_precision")
 
 
 def claims(answer: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.storage import stored
 
 #: Key words of the domains, in order; on equal overlap the first domain counts.
 DOMAINS = {
@@ -17,8 +18,26 @@ DOMAINS = {
 }
 #: A language's function words, in the order in which languages are tried.
 LANGUAGES = {"de": "der die das und ist".split(), "es": "el la los las es en".split(), "fr": "le la les et est".split()}
+#: Marks of research texts, words that are no entities, and formats of nested data.
 ACADEMIC = ["abstract", "methodology", "references", "doi:", "bibliography"]
 PLAIN_OPENERS = ["the", "this", "and", "for", "with", "from"]
+NESTED_FORMATS = ["json", "xml"]
+#: What is said of a source, by modality; {} are filled in order. The last entry is for all other modalities.
+CHARACTERISTICS = {
+    "tabular_dataset": ("Structured dataset with {} table sheet(s) and {} rows.", ["table_count", "total_rows"]),
+    "hierarchical_document": ("Hierarchical section structure with heading depth {}.", ["heading_depth"]),
+    "slide_presentation": ("Slide deck presentation with {} distinct slides.", ["slide_count"]),
+    "other": ("Narrative document text with approx {} words.", ["total_words"]),
+}
+NUMERIC_NOTE = "Contains numerical quantitative attributes suitable for aggregation."
+PARAGRAPH_NOTE = "Contains {} words across narrative paragraphs."
+DOMAIN_NOTE = "Content reflects {} domain terminology and structure."
+SUMMARIES = {
+    "tabular_dataset": ("This {} dataset contains structured records and metrics{}. It is organized into {} sheet(s) with defined column schemas.", "table_count"),
+    "hierarchical_document": ("This {} document contains hierarchical sections and headings{}. It describes operational standards across {} pages.", "page_count"),
+    "slide_presentation": ("This presentation contains structured slide content concerning {} topics{}. Information is formatted into bullet points and section headers.", None),
+    "other": ("This document contains narrative text focused on {} topics{}. It presents descriptive information in sequential paragraphs.", None),
+}
 
 
 def long_cells(rows: DataFrame, columns: list[str], order: Column) -> DataFrame:
@@ -84,6 +103,15 @@ def structure(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return g.select(key, "heading_depth", ((F.col("levels") >= 2) | (F.col("heading_depth") >= 2)).alias("hierarchical"), "table_count", F.round(F.col("table_count") / F.col("n_blocks"), 4).alias("tabular_ratio"), "total_words", "page_count")
 
 
+def document_structure(docs: DataFrame, key: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """The same of documents with a block array ``bs``, in their rows: nothing is shuffled. ``extra`` columns are kept."""
+    level = F.transform(F.filter("bs", lambda b: b["type"] == "heading"), lambda b: F.coalesce(b["level"], F.lit(1)))
+    tables = F.size(F.filter("bs", lambda b: b["type"] == "table")).cast("long")
+    d = docs.select(key, *(extra or []), "bs", F.least(F.lit(5), F.coalesce(F.array_max(level), F.lit(0))).alias("heading_depth"), F.size(F.array_distinct(level)).alias("levels"), tables.alias("table_count"))
+    n_words = F.aggregate("bs", F.lit(0).cast("long"), lambda a, b: a + T.word_count(b["content"]))
+    return d.select(key, *(extra or []), "heading_depth", ((F.col("levels") >= 2) | (F.col("heading_depth") >= 2)).alias("hierarchical"), "table_count", F.round(F.col("table_count") / F.size("bs"), 4).alias("tabular_ratio"), n_words.alias("total_words"), F.array_max(F.transform("bs", lambda b: b["page_number"])).alias("page_count"))
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of two or more ASCII letters that stand alone."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z]{2,}(?![\p{L}\p{N}_])"), F.lit(0)), F.lower)
@@ -127,35 +155,121 @@ def entities_of(text: Column, at_most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda w: ~F.lower(w).isin(PLAIN_OPENERS))), 1, at_most)
 
 
-def modality_of(text: Column) -> Column:
-    """On the columns of :func:`structure`: tabular, hierarchical, research or narrative."""
-    return F.when(F.col("tabular_ratio") >= 0.7, "tabular_dataset").when(F.col("hierarchical"), "hierarchical_document").when(T.any_of(F.lower(text), ACADEMIC), "scientific_research").otherwise("narrative_text")
+def dataset_entities(sheets: Column, at_most: int = 8) -> Column:
+    """The entities of a dataset: the names of its sheets and columns, once each in order. ``sheets`` is an array of structs
+    (sheet, columns)."""
+    return F.slice(F.array_distinct(F.flatten(F.transform(sheets, lambda s: F.concat(F.array(s["sheet"]), s["columns"])))), 1, at_most)
 
 
-def entity_density(n_entities: Column) -> Column:
-    return F.when(F.col("tabular_ratio") >= 0.7, "medium").when(F.col("hierarchical") & (n_entities >= 5), "medium").otherwise("low")
+def dataset_text(rows: DataFrame, name: str, columns: list[str], key: str, n: int = 10) -> DataFrame:
+    """One row (sheet, text): the sheet's name, its columns and the values of its first n rows by key."""
+    some = rows.select(key, *columns).orderBy(key).limit(n)
+    line = F.concat_ws(" ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in columns])
+    listed = some.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("line")))).alias("rows"))
+    return listed.select(F.lit(name).alias("sheet"), F.concat_ws(" ", F.lit(name), *map(F.lit, columns), F.col("rows.line")).alias("text"))
 
 
-def summary_of(modality: Column, domain: Column, entities: Column, words_: Column) -> Column:
-    like = F.when(F.size(entities) > 0, F.concat(F.lit(" such as "), F.concat_ws(", ", F.slice(entities, 1, 3)))).otherwise("")
-    hierarchical = F.concat(F.lit("This "), domain, F.lit(" document has sections and headings"), like, F.lit(": "), words_.cast("string"), F.lit(" words."))
-    return F.when(modality == "hierarchical_document", hierarchical).otherwise(F.concat(F.lit("This document is text on "), domain, F.lit(" topics"), like, F.lit(": "), words_.cast("string"), F.lit(" words.")))
+def sheet_facts(sheets: dict[str, DataFrame]) -> DataFrame:
+    """One row a sheet: rows, columns, whether a column is numeric, and an estimate of words (two a column name, one a cell of
+    up to 500 rows)."""
+    out = None
+    for name, df in sheets.items():
+        numeric = any(t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal") for _, t in df.dtypes)
+        one = df.agg(F.lit(name).alias("sheet"), F.count("*").alias("rows"), F.lit(len(df.columns)).cast("long").alias("cols"), F.lit(numeric).alias("has_numerical"))
+        out = one if out is None else out.unionAll(one)
+    return out.withColumn("word_estimate", F.col("cols") * 2 + F.least(F.col("rows"), F.lit(500)) * F.col("cols"))
+
+
+def dataset_facts(sheets: DataFrame) -> DataFrame:
+    """One row for all sheets of a dataset, from :func:`sheet_facts`."""
+    return sheets.agg(F.count("*").alias("total_sheets"), F.sum("rows").alias("total_rows"), F.sum("cols").alias("total_columns"), F.bool_or("has_numerical").alias("has_numerical"), F.sum("word_estimate").alias("total_words"))
 
 
-def corpus_profile(observed: DataFrame, corpus: str = "source") -> DataFrame:
-    """One row a corpus: shares of modalities (4 decimals), the dominant one, homogeneity, most frequent domain.
+def modality_of(text: Column, dataset: Column | None = None, fmt: Column | None = None, slides: Column | None = None) -> Column:
+    """On the columns of :func:`structure`: tabular, slides, hierarchical, nested data, research or narrative, in this order.
 
-    Counts by (corpus, modality, domain) come first; everything after works on those few rows.
+    ``dataset`` says that the source is a table, ``fmt`` is its format, ``slides`` the number of its slides.
     """
-    counts = observed.groupBy(corpus, "modality", "domain").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(corpus).agg(F.sum("n").alias("total"))
-    by_modality = counts.groupBy(corpus, "modality").agg(F.sum("n").alias("n")).join(totals, corpus).withColumn("share", F.round(F.col("n") / F.col("total"), 4))
-    m = by_modality.groupBy(corpus).agg(F.max("total").alias("n_files"), F.max(F.struct("n", F.col("modality"))).alias("top"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", "share")))).alias("shares"), F.count("*").alias("kinds"))
-    d = counts.groupBy(corpus, "domain").agg(F.sum("n").alias("n")).groupBy(corpus).agg(F.max(F.struct("n", "domain")).alias("d"))
-    return m.join(d, corpus).select(corpus, "n_files", F.col("top.modality").alias("dominant"), "shares", (F.col("kinds") == 1).alias("homogeneous"), F.col("d.domain").alias("domain"))
+    none = F.lit(False)
+    deck = (F.coalesce(fmt == "pptx", none) if fmt is not None else none) | (F.coalesce(slides > 0, none) if slides is not None else none)
+    nested = F.coalesce(fmt.isin(NESTED_FORMATS), none) if fmt is not None else none
+    return (
+        F.when((F.col("tabular_ratio") >= 0.7) | (dataset if dataset is not None else none), "tabular_dataset")
+        .when(deck, "slide_presentation")
+        .when(F.col("hierarchical") | (F.col("heading_depth") >= 2), "hierarchical_document")
+        .when(nested, "semi_structured_code")
+        .when(T.any_of(F.lower(text), ACADEMIC), "scientific_research")
+        .otherwise("narrative_text")
+    )
+
+
+def secondary_of(modality: Column) -> Column:
+    """tabular_dataset for documents that hold tables, else null."""
+    return F.when(modality.isin("hierarchical_document", "scientific_research", "narrative_text") & (F.col("table_count") > 0), "tabular_dataset")
+
+
+def entity_density(n_entities: Column, numeric: Column | None = None) -> Column:
+    tabular = F.col("tabular_ratio") >= 0.7
+    return F.when(tabular & (numeric if numeric is not None else F.lit(False)) & (n_entities >= 4), "high").when(tabular, "medium").when(F.col("hierarchical") & (n_entities >= 5), "medium").otherwise("low")
+
+
+def extraction_quality(n_warnings: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.6), F.lit(1.0) - n_warnings * 0.1), 2)
 
 
-def shared_entities(entities: DataFrame, corpus: str = "source") -> DataFrame:
-    """Entities (corpus, doc_id, entity) that at least two documents of a corpus name; case ignored, last spelling kept."""
-    g = entities.where(F.length("entity") > 2).groupBy(corpus, F.lower("entity").alias("key")).agg(F.count_distinct("doc_id").alias("n"), F.max("entity").alias("entity"))
+def _filled(template: str, *values: Column) -> Column:
+    """The template with its {} replaced by the values."""
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))])
+
+
+def _or_multiple(column: str) -> Column:
+    return F.coalesce(F.nullif(F.col(column), F.lit(0)).cast("string"), F.lit("multiple"))
+
+
+def characteristics_of(modality: Column, domain: Column, numeric: Column | None = None) -> Column:
+    """What is observed of a source, as an array of sentences. Reads table_count, total_rows, heading_depth, slide_count and
+    total_words."""
+    said = lambda m: _filled(CHARACTERISTICS[m][0], *[_or_multiple(c) if c in ("total_rows", "slide_count") else F.col(c).cast("string") for c in CHARACTERISTICS[m][1]])
+    note = F.when(modality == "hierarchical_document", _filled(PARAGRAPH_NOTE, F.col("total_words").cast("string")))
+    note = F.when((modality == "tabular_dataset") & (numeric if numeric is not None else F.lit(False)), NUMERIC_NOTE).otherwise(note)
+    first = F.lit(None).cast("string")
+    for m in ("tabular_dataset", "hierarchical_document", "slide_presentation"):
+        first = F.when(modality == m, said(m)).otherwise(first)
+    return F.array_compact(F.array(F.coalesce(first, said("other")), note, _filled(DOMAIN_NOTE, F.initcap(domain))))
+
+
+def summary_of(modality: Column, domain: Column, entities: Column) -> Column:
+    """One or two plain sentences on a source. Reads table_count and page_count."""
+    like = F.when(F.size(entities) > 0, F.concat(F.lit(" such as "), F.concat_ws(", ", F.slice(entities, 1, 3)))).otherwise("")
+
+    def said(m: str) -> Column:
+        template, column = SUMMARIES[m]
+        return _filled(template, domain, like, *([] if column is None else [_or_multiple(column) if column == "page_count" else F.col(column).cast("string")]))
+
+    out = said("other")
+    for m in ("tabular_dataset", "hierarchical_document", "slide_presentation"):
+        out = F.when(modality == m, said(m)).otherwise(out)
+    return out
+
+
+def corpus_profile(observed: DataFrame, corpus: str = "source", order: str = "doc_id") -> DataFrame:
+    """One row a corpus: shares of modalities (4 decimals), the dominant one, homogeneity, most frequent domain, greatest
+    heading depth. Of equal counts the one observed first (smallest ``order``) is taken.
+
+    One pass counts by (corpus, modality, domain) with map-side combine; everything after works on those few rows.
+    """
+    counts = stored(observed.groupBy(corpus, "modality", "domain").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max("heading_depth").alias("depth")), "profile-counts")
+    most = lambda kind: F.max(F.struct("n", (-F.col("first")).alias("f"), F.col(kind)))
+    m = counts.groupBy(corpus, "modality").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("depth").alias("depth"))
+    m = m.groupBy(corpus).agg(F.sum("n").alias("n_files"), most("modality").alias("top"), F.collect_list(F.struct("modality", "n")).alias("ms"), F.max("depth").alias("depth"))
+    d = counts.groupBy(corpus, "domain").agg(F.sum("n").alias("n"), F.min("first").alias("first")).groupBy(corpus).agg(most("domain").alias("d"))
+    shares = F.map_from_entries(F.transform("ms", lambda x: F.struct(x["modality"].alias("k"), F.round(x["n"] / F.col("n_files"), 4).alias("v"))))
+    return m.join(d, corpus).select(corpus, "n_files", F.col("top.modality").alias("dominant"), shares.alias("shares"), (F.size("ms") == 1).alias("homogeneous"), F.col("d.domain").alias("domain"), "depth")
+
+
+def shared_entities(entities: DataFrame, corpus: str = "source", order: str = "doc_id") -> DataFrame:
+    """Entities (corpus, doc_id, pos, entity) that are named at least twice in a corpus, case ignored; a document names an
+    entity once. The last spelling (by document and position) is kept."""
+    g = entities.where(F.length(F.trim("entity")) > 2).groupBy(corpus, F.lower(F.trim("entity")).alias("key")).agg(F.count("*").alias("n"), F.max_by("entity", F.struct(order, "pos")).alias("entity"))
     return g.where("n >= 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: rule -> (architecture, confidence, priority)
+#: Rule -> (architecture, confidence, priority), and all options in order.
 RULES = {
     "mixed_modality": ("hybrid_rag", 0.95, 100),
     "tabular_dominant": ("structured_rag", 0.9, 90),
@@ -19,8 +19,9 @@ OPTIONS = ["document_rag", "hierarchical_rag", "hybrid_rag", "structured_rag", "
 def _conditions() -> dict[str, Column]:
     share = lambda m: F.coalesce(F.col("shares")[m], F.lit(0.0))
     tabular = share("tabular_dataset")
+    documents = share("narrative_text") + share("hierarchical_document") + share("scientific_research")
     return {
-        "mixed_modality": (F.lit(1.0) - tabular > 0.2) & (tabular > 0.2),
+        "mixed_modality": (documents > 0.2) & (tabular > 0.2),
         "tabular_dominant": tabular >= 0.7,
         "scientific_research": (F.col("dominant") == "scientific_research") | (share("scientific_research") >= 0.5) | (F.col("domain") == "research") | F.col("dense_research"),
         "hierarchical_longform": ((F.col("dominant") == "hierarchical_document") | (share("hierarchical_document") >= 0.5)) & (F.col("depth") >= 2),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import profile, recommend
-from corpusloom.plans.chunk_queries import LINES, MARKED, marked
+from corpusloom.plans.chunk_queries import LINES, MARKED, marked_documents
 from corpusloom.plans.registry import query, table
 
 KIND = "CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'null', 'none', 'na', 'n/a', 'nan') THEN 'null' WHEN lower(v) IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match(v, '[+-]?\\d+') THEN 'integer' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 'float' WHEN regexp_full_match(v, '\\d{4}-\\d\\d?-\\d\\d?') THEN 'datetime' ELSE 'string' END"
@@ -69,21 +69,40 @@ STRUCT = f"WITH {LINES}, {MARKED}, st AS (SELECT doc_id, CAST(least(5, coalesce(
 
 @query(f"{STRUCT} SELECT * FROM st")
 def structural_facts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.structure(marked(spark, sf_dir))
+    return profile.document_structure(marked_documents(spark, sf_dir))
 
 
 SHEETS = ["region", "nation", "customer", "supplier", "part"]
 
 
-@query("SELECT sheet, rows, cols, cols * 2 + least(rows, 500) * cols AS word_estimate FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS sheet, (SELECT count(*) FROM {t}) AS rows, (SELECT count(*) FROM (DESCRIBE {t})) AS cols" for t in SHEETS) + ")")
-def structural_facts_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+SHEET_FACTS = "sf AS (" + " UNION ALL ".join(f"SELECT '{t}' AS sheet, (SELECT count(*) FROM {t}) AS rows, (SELECT count(*) FROM (DESCRIBE {t})) AS cols" for t in SHEETS) + "), sw AS (SELECT sheet, rows, cols, true AS has_numerical, cols * 2 + least(rows, 500) * cols AS word_estimate FROM sf)"
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sheet_facts({t: table(spark, sf_dir, t) for t in SHEETS})
+
+
+@query(f"WITH {SHEET_FACTS} SELECT * FROM sw")
+def structural_facts_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of a dataset: rows, columns and an estimate of words."""
-    out = None
-    for t in SHEETS:
+    return sheets(spark, sf_dir)
+
+
+@query(f"WITH {SHEET_FACTS} SELECT count(*) AS total_sheets, CAST(sum(rows) AS BIGINT) AS total_rows, CAST(sum(cols) AS BIGINT) AS total_columns, bool_or(has_numerical) AS has_numerical, CAST(sum(word_estimate) AS BIGINT) AS total_words FROM sw")
+def structural_facts_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.dataset_facts(sheets(spark, sf_dir))
+
+
+@query("WITH n AS (SELECT 'region' AS s, 1 AS o UNION ALL SELECT 'nation', 2), c AS (SELECT s, o, 0 AS p, s AS name FROM n UNION ALL SELECT 'region', 1, row_number() OVER (), column_name FROM (DESCRIBE region) UNION ALL SELECT 'nation', 2, row_number() OVER (), column_name FROM (DESCRIBE nation)), d AS (SELECT name, min(o * 100 + p) AS place FROM c GROUP BY name) SELECT string_agg(name, ',' ORDER BY place) AS entities FROM (SELECT * FROM d ORDER BY place LIMIT 8)")
+def key_entities_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of two sheets and their columns, as the entities of a dataset."""
+    rows = None
+    for i, t in enumerate(("region", "nation")):
         df = table(spark, sf_dir, t)
-        one = df.agg(F.lit(t).alias("sheet"), F.count("*").alias("rows"), F.lit(len(df.columns)).cast("long").alias("cols"))
-        out = one if out is None else out.unionAll(one)
-    return out.withColumn("word_estimate", F.col("cols") * 2 + F.least(F.col("rows"), F.lit(500)) * F.col("cols"))
+        one = df.agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), F.struct(F.lit(t).alias("sheet"), F.array(*map(F.lit, df.columns)).alias("columns")).alias("s"))
+        rows = one if rows is None else rows.unionAll(one)
+    listed = rows.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("sheets"))
+    return listed.select(F.concat_ws(",", profile.dataset_entities(F.col("sheets"))).alias("entities"))
 
 
 # RE2 has no look-around: words next to a letter, digit or underscore of another script are removed by splitting there.
@@ -131,15 +150,31 @@ def key_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structure and observations of every document. Every seventh document is given as a table, to make mixed corpora."""
-    facts = profile.structure(marked(spark, sf_dir)).withColumn("hierarchical", F.col("hierarchical") & (F.col("doc_id") % 3 != 1)).withColumn("tabular_ratio", F.when(F.col("doc_id") % 7 == 0, 1.0).otherwise(F.col("tabular_ratio")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    j = d.join(facts, "doc_id")
+    """Structure and observations of every document, in its own row. Some documents are given as tables with numbers, as
+    decks or as nested data, by id, so that all kinds occur; text and structure come from one scan."""
+    k = F.col("doc_id")
+    d = profile.document_structure(marked_documents_with(spark, sf_dir), extra=["source", "text"])
+    d = d.withColumn("hierarchical", F.col("hierarchical") & (k % 3 != 1)).withColumn("heading_depth", F.when(k % 3 == 1, F.least(F.lit(1), F.col("heading_depth"))).otherwise(F.col("heading_depth")))
+    d = d.withColumns({"tabular_ratio": F.when(k % 7 == 0, 1.0).otherwise(F.col("tabular_ratio")), "fmt": F.when(k % 13 == 5, "json").otherwise("txt"), "slide_count": F.when(k % 11 == 3, k % 5).otherwise(0), "total_rows": k % 4, "numeric": k % 2 == 0})
     e = profile.entities_of(F.col("text"))
-    return j.select("doc_id", "source", "heading_depth", "total_words", profile.modality_of(F.col("text")).alias("modality"), profile.domain_of(profile.words(F.col("text"))).alias("domain"), e.alias("entities"), profile.entity_density(F.size(e)).alias("entity_density"), F.round(F.greatest(F.lit(0.6), F.lit(1.0) - 0.1 * (F.col("doc_id") % 6)), 2).alias("quality"))
+    d = d.withColumns({"modality": profile.modality_of(F.col("text"), k % 7 == 0, F.col("fmt"), F.col("slide_count")), "domain": profile.domain_of(profile.words(F.col("text"))), "entities": e})
+    return d.withColumns({"entity_density": profile.entity_density(F.size("entities"), F.col("numeric")), "quality": profile.extraction_quality(k % 6)}).drop("text")
 
 
-MOD = f"{STRUCT}, {FIRSTS}, ne AS (SELECT doc_id, count(*) AS n FROM en GROUP BY ALL), ob AS (SELECT doc_id, source, total_words, heading_depth, CASE WHEN doc_id % 7 = 0 THEN 'tabular_dataset' WHEN hierarchical AND doc_id % 3 <> 1 THEN 'hierarchical_document' WHEN regexp_matches(lower(text), 'abstract|methodology|references|doi:|bibliography') THEN 'scientific_research' ELSE 'narrative_text' END AS modality, CASE WHEN doc_id % 7 = 0 THEN 'medium' WHEN hierarchical AND doc_id % 3 <> 1 AND coalesce(n, 0) >= 5 THEN 'medium' ELSE 'low' END AS entity_density, CAST(round(greatest(0.6, 1.0 - 0.1 * (doc_id % 6)), 2) AS DOUBLE) AS quality FROM st JOIN documents USING (doc_id) LEFT JOIN ne USING (doc_id))"
+def marked_documents_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block arrays with the source and the text of their document."""
+    from corpusloom.operators import chunking
+    from corpusloom.plans.chunk_queries import marked_line
+
+    d = table(spark, sf_dir, "documents")
+    return chunking.line_documents(d, mark=marked_line, extra=["source", "text"])
+
+
+MOD = (
+    f"{STRUCT}, {FIRSTS}, ne AS (SELECT doc_id, count(*) AS n FROM en GROUP BY ALL), o1 AS (SELECT doc_id, source, text, total_words, page_count, table_count, doc_id % 4 AS total_rows, doc_id % 2 = 0 AS numeric, CASE WHEN doc_id % 11 = 3 THEN doc_id % 5 ELSE 0 END AS slide_count, CASE WHEN doc_id % 3 = 1 THEN least(1, heading_depth) ELSE heading_depth END AS heading_depth, hierarchical AND doc_id % 3 <> 1 AS hierarchical, coalesce(n, 0) AS n FROM st JOIN documents USING (doc_id) LEFT JOIN ne USING (doc_id)), "
+    "ob AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'tabular_dataset' WHEN slide_count > 0 THEN 'slide_presentation' WHEN hierarchical OR heading_depth >= 2 THEN 'hierarchical_document' WHEN doc_id % 13 = 5 THEN 'semi_structured_code' WHEN regexp_matches(lower(text), 'abstract|methodology|references|doi:|bibliography') THEN 'scientific_research' ELSE 'narrative_text' END AS modality, "
+    "CASE WHEN doc_id % 7 = 0 AND numeric AND n >= 4 THEN 'high' WHEN doc_id % 7 = 0 THEN 'medium' WHEN hierarchical AND n >= 5 THEN 'medium' ELSE 'low' END AS entity_density, CAST(round(greatest(0.6, 1.0 - 0.1 * (doc_id % 6)), 2) AS DOUBLE) AS quality FROM o1)"
+)
 
 
 @query(f"{MOD} SELECT doc_id, modality, entity_density, quality FROM ob")
@@ -147,43 +182,60 @@ def classify_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed(spark, sf_dir).select("doc_id", "modality", "entity_density", "quality")
 
 
-@query(f"WITH {LINES}, {MARKED}, w AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(content, '\\S+'))) AS BIGINT) AS n FROM mk GROUP BY ALL), e AS (SELECT doc_id, list_distinct({ENT}) AS d, {ENT} AS e FROM documents), o AS (SELECT doc_id, list_sort(list_transform(d, lambda x: struct_pack(p := list_position(e, x), x := x)))[1:3] AS t FROM e) SELECT doc_id, 'This document is text on general topics' || CASE WHEN len(t) > 0 THEN ' such as ' || array_to_string(list_transform(t, lambda x: x.x), ', ') ELSE '' END || ': ' || n || ' words.' AS summary FROM w JOIN o USING (doc_id)")
+LIKE = "e AS (SELECT doc_id, coalesce(' such as ' || string_agg(entity, ', ' ORDER BY r), '') AS such FROM (SELECT doc_id, e AS entity, row_number() OVER (PARTITION BY doc_id ORDER BY min(p)) AS r FROM (SELECT doc_id, unnest({0}) AS e, generate_subscripts({0}, 1) AS p FROM documents) GROUP BY doc_id, e) WHERE r <= 3 GROUP BY doc_id)"
+
+
+@query(
+    f"{MOD}, {LIKE.format(ENT)} SELECT doc_id, CASE modality WHEN 'tabular_dataset' THEN 'This general dataset contains structured records and metrics' || coalesce(such, '') || '. It is organized into ' || table_count || ' sheet(s) with defined column schemas.' "
+    "WHEN 'hierarchical_document' THEN 'This general document contains hierarchical sections and headings' || coalesce(such, '') || '. It describes operational standards across ' || page_count || ' pages.' "
+    "WHEN 'slide_presentation' THEN 'This presentation contains structured slide content concerning general topics' || coalesce(such, '') || '. Information is formatted into bullet points and section headers.' "
+    "ELSE 'This document contains narrative text focused on general topics' || coalesce(such, '') || '. It presents descriptive information in sequential paragraphs.' END AS summary, "
+    "CASE modality WHEN 'tabular_dataset' THEN 'Structured dataset with ' || table_count || ' table sheet(s) and ' || CASE WHEN total_rows = 0 THEN 'multiple' ELSE CAST(total_rows AS VARCHAR) END || ' rows.' || CASE WHEN numeric THEN '|Contains numerical quantitative attributes suitable for aggregation.' ELSE '' END "
+    "WHEN 'hierarchical_document' THEN 'Hierarchical section structure with heading depth ' || heading_depth || '.|Contains ' || total_words || ' words across narrative paragraphs.' WHEN 'slide_presentation' THEN 'Slide deck presentation with ' || slide_count || ' distinct slides.' "
+    "ELSE 'Narrative document text with approx ' || total_words || ' words.' END || '|Content reflects General domain terminology and structure.' AS characteristics FROM ob LEFT JOIN e USING (doc_id)"
+)
 def describe_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = profile.structure(marked(spark, sf_dir)).select("doc_id", "total_words")
-    j = table(spark, sf_dir, "documents").select("doc_id", "text").join(facts, "doc_id")
-    return j.select("doc_id", profile.summary_of(F.lit("narrative_text"), profile.domain_of(profile.words(F.col("text"))), profile.entities_of(F.col("text")), F.col("total_words")).alias("summary"))
+    o = observed(spark, sf_dir)
+    m, d = F.col("modality"), F.col("domain")
+    return o.select("doc_id", profile.summary_of(m, d, F.col("entities")).alias("summary"), F.concat_ws("|", profile.characteristics_of(m, d, F.col("numeric"))).alias("characteristics"))
+
 
+def share(modality: str) -> str:
+    return f"coalesce((SELECT round(n / CAST(total AS DOUBLE), 4) FROM mc WHERE mc.source = tt.source AND modality = '{modality}'), 0.0)"
 
-PROFILE = f"{MOD}, mc AS (SELECT source, modality, count(*) AS n FROM ob GROUP BY ALL), tt AS (SELECT source, CAST(sum(n) AS BIGINT) AS total, count(*) AS kinds FROM mc GROUP BY ALL), pr AS (SELECT source, total AS n_files, (SELECT modality FROM mc WHERE mc.source = tt.source ORDER BY n DESC, modality DESC LIMIT 1) AS dominant, kinds = 1 AS homogeneous, coalesce((SELECT round(n / CAST(total AS DOUBLE), 4) FROM mc WHERE mc.source = tt.source AND modality = 'tabular_dataset'), 0.0) AS tabular, coalesce((SELECT round(n / CAST(total AS DOUBLE), 4) FROM mc WHERE mc.source = tt.source AND modality = 'hierarchical_document'), 0.0) AS hierarchical, coalesce((SELECT round(n / CAST(total AS DOUBLE), 4) FROM mc WHERE mc.source = tt.source AND modality = 'scientific_research'), 0.0) AS research, (SELECT max(heading_depth) FROM ob WHERE ob.source = tt.source) AS depth FROM tt)"
+
+PROFILE = (
+    f"{MOD}, mc AS (SELECT source, modality, count(*) AS n, min(doc_id) AS f FROM ob GROUP BY ALL), tt AS (SELECT source, CAST(sum(n) AS BIGINT) AS total, count(*) AS kinds FROM mc GROUP BY ALL), pr AS (SELECT source, total AS n_files, (SELECT modality FROM mc WHERE mc.source = tt.source ORDER BY n DESC, f LIMIT 1) AS dominant, kinds = 1 AS homogeneous, "
+    f"{share('tabular_dataset')} AS tabular, {share('hierarchical_document')} AS hierarchical, {share('scientific_research')} AS research, {share('narrative_text')} AS narrative, (SELECT max(heading_depth) FROM ob WHERE ob.source = tt.source) AS depth FROM tt)"
+)
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observed(spark, sf_dir)
-    depth = o.groupBy("source").agg(F.max("heading_depth").alias("depth"))
-    return profile.corpus_profile(o.select("source", "modality", "domain")).join(depth, "source").withColumn("dense_research", F.lit(False))
+    return profile.corpus_profile(observed(spark, sf_dir).select("source", "doc_id", "modality", "domain", "heading_depth")).withColumn("dense_research", F.lit(False))
 
 
-@query(f"{PROFILE} SELECT source, n_files, dominant, homogeneous, tabular, 'general' AS domain FROM pr")
+@query(f"{PROFILE} SELECT source, n_files, dominant, homogeneous, tabular, hierarchical, narrative, research, CAST(depth AS INTEGER) AS depth, 'general' AS domain FROM pr")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profiles(spark, sf_dir)
-    return p.select("source", "n_files", "dominant", "homogeneous", F.coalesce(F.col("shares")["tabular_dataset"], F.lit(0.0)).alias("tabular"), "domain")
+    part = lambda m: F.coalesce(F.col("shares")[m], F.lit(0.0))
+    return p.select("source", "n_files", "dominant", "homogeneous", part("tabular_dataset").alias("tabular"), part("hierarchical_document").alias("hierarchical"), part("narrative_text").alias("narrative"), part("scientific_research").alias("research"), "depth", "domain")
 
 
-@query(f"WITH {FIRSTS} SELECT source, lower(entity) AS key, count(DISTINCT doc_id) AS n, max(entity) AS entity FROM en GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2")
+@query(f"WITH {FIRSTS.replace('SELECT doc_id, source, entity FROM', 'SELECT doc_id, source, entity, r FROM')} SELECT source, lower(entity) AS key, count(*) AS n, arg_max(entity, doc_id * 100 + r) AS entity FROM en GROUP BY ALL HAVING count(*) >= 2")
 def shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(profile.entities_of(F.col("text"))).alias("entity"))
+    e = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(profile.entities_of(F.col("text"))).alias("pos", "entity"))
     return profile.shared_entities(e)
 
 
 CONDITIONS = {
-    "mixed_modality": "1 - tabular > 0.2 AND tabular > 0.2",
+    "mixed_modality": "narrative + hierarchical + research > 0.2 AND tabular > 0.2",
     "tabular_dominant": "tabular >= 0.7",
     "scientific_research": "dominant = 'scientific_research' OR research >= 0.5",
     "hierarchical_longform": "(dominant = 'hierarchical_document' OR hierarchical >= 0.5) AND depth >= 2",
     "default_document": "true",
 }
 #: Profiles at the borders of the rules: the share of tables of each source moves with its number.
-SHIFTED = "pr2 AS (SELECT source, n_files, dominant, homogeneous, round(CAST(substr(source, 4) AS INTEGER) * 0.05, 2) AS tabular, hierarchical, research, depth FROM pr)"
+SHIFTED = "pr2 AS (SELECT source, n_files, dominant, homogeneous, round(CAST(substr(source, 4) AS INTEGER) * 0.05, 2) AS tabular, hierarchical, research, narrative, depth FROM pr)"
 MATCHED = ", mr AS (" + " UNION ALL ".join(f"SELECT source, '{r}' AS rule, '{a}' AS architecture, CAST({c} AS DOUBLE) AS confidence, CAST({p} AS INTEGER) AS priority FROM pr2 WHERE {CONDITIONS[r]}" for r, (a, c, p) in recommend.RULES.items()) + ")"
 
 

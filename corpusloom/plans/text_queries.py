@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import embedding, profile
 from corpusloom.plans.registry import query, table
+from corpusloom.sources import files
 
 NORM = "trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^ | $', '', 'g'))"
-WORDS = "list_distinct(regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[a-z0-9_]{3,}'))"
+# RE2 has no look-around: words of all scripts are found first, and those of ASCII letters, digits and underscores kept.
+WORDS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9_]{3,}')))"
 
 
 @query(
@@ -34,8 +37,7 @@ def normalize_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """String cells and column names trimmed."""
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(" custkey"), F.col("c_name").alias("name "), F.concat(F.lit(" "), "c_mktsegment").alias(" mktsegment"))
-    strings = {f.name for f in customer.schema if f.dataType.simpleString() == "string"}
-    return customer.select(*[(T.strip(F.col(f"`{c}`")) if c in strings else F.col(f"`{c}`")).alias(c.strip()) for c in customer.columns])
+    return files.normalize_cells(customer)
 
 
 @query("SELECT doc_id, CAST(CASE WHEN n > 0 THEN greatest(1, trunc(n * CAST(1.33 AS DOUBLE))) ELSE 0 END AS INTEGER) AS n_tokens FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)")
@@ -60,10 +62,10 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(norm, 256).alias("fingerprint"), F.length(norm).cast("long").alias("n_chars"))
 
 
-@query(f"SELECT doc_id, len({WORDS}) AS n_words, array_to_string(list_sort({WORDS})[:20], ' ') AS first_words FROM documents")
+@query(f"SELECT doc_id, len({WORDS}) AS n_words, sha256(array_to_string(list_sort({WORDS}), ' ')) AS words_sha256 FROM documents")
 def word_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = T.word_set(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.concat_ws(" ", F.slice(F.array_sort(words), 1, 20)).alias("first_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.concat_ws(" ", F.array_sort(words)), 256).alias("words_sha256"))
 
 
 @query(
@@ -126,13 +128,12 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("vec_id", F.round(T.norm(F.col("e")), 5).alias("before"), F.round(F.get("u", F.lit(0)), 5).alias("first_unit"), F.round(T.norm(F.col("u")), 5).alias("after"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 5) AS mean_first, round(avg(CAST(embedding[64] AS DOUBLE)), 5) AS mean_last FROM embeddings GROUP BY label")
+@query("WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 5 <> 0), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM m GROUP BY label) SELECT label, CAST(i AS INTEGER) AS dimension, round(m / norm, 6) AS value FROM m JOIN n USING (label)")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of the vectors of each label, dimension by dimension."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "x"))
-    mean = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    pooled = mean.groupBy("label").agg(F.max("n").alias("n"), F.max(F.when(F.col("i") == 0, F.col("m"))).alias("f"), F.max(F.when(F.col("i") == 63, F.col("m"))).alias("l"))
-    return pooled.select("label", "n", F.round("f", 5).alias("mean_first"), F.round("l", 5).alias("mean_last"))
+    """Vectors stand for the tokens of a text (their label); every fifth is masked. All components of the unit mean."""
+    e = table(spark, sf_dir, "embeddings").select("label", "embedding", (F.col("vec_id") % 5 != 0).alias("mask"))
+    pooled = embedding.mean_pool(e, "label")
+    return pooled.select("label", F.posexplode("embedding").alias("i", "x")).select("label", (F.col("i") + 1).alias("dimension"), F.round("x", 6).alias("value"))
 
 
 @query(
@@ -169,16 +170,26 @@ def detect_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent_of(F.concat("text", suffix)).alias("intent"))
 
 
+ASK = "(?i)^(who|what|why|how|where|when|is|are|was|were|do|does|did|can|could|would|should)\\s"
+
+
 @query(
-    """SELECT conv_id, turn, CASE WHEN regexp_matches(q, '(?i)^(who|what|why|how|where|when|is|are|was|were|do|does|did|can|could|would|should)\\s') THEN q || '?' ELSE q END AS standardized, changes FROM (
-       SELECT conv_id, turn, regexp_replace(CASE WHEN conv_id % 3 = 0 THEN 'What is ' || trim(text) WHEN conv_id % 3 = 1 THEN trim(text) || ' author' ELSE trim(text) || ' summary' END, '[?.!\\s]+$', '') AS q,
-       CASE WHEN conv_id % 3 = 0 THEN 'wat is -> what is' WHEN conv_id % 3 = 1 THEN 'auther -> author' ELSE 'sumery -> summary' END AS changes FROM conversations)"""
+    f"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[\\s’]+', ' ', 'g')) AS t FROM conversations),
+       a AS (SELECT *, CASE conv_id % 6 WHEN 0 THEN 'What is ' || t WHEN 1 THEN 'What is the author of ' || t WHEN 2 THEN t || ' summary' WHEN 3 THEN 'Who is Dr. Jane Smith' WHEN 4 THEN 'Grumble Family' ELSE 'What is the author of the book' END AS q,
+       CASE conv_id % 6 WHEN 0 THEN 'wat is -> what is' WHEN 1 THEN 'auther -> author; formulated natural author question' WHEN 2 THEN 'sumery -> summary' WHEN 3 THEN 'resolved malformed possessive entity' WHEN 4 THEN 'resolved malformed possessive entity' ELSE 'normalized informal author query' END AS changes,
+       regexp_matches(t, '(?i)^(who|what)\\s') AS asks FROM c),
+       b AS (SELECT conv_id, turn, regexp_replace(CASE WHEN conv_id % 6 = 1 AND asks THEN upper(t[1]) || substr(t, 2) || ' author' ELSE q END, '[?.!\\s]+$', '') AS q, CASE WHEN conv_id % 6 = 1 AND asks THEN 'auther -> author' ELSE changes END AS changes FROM a)
+       SELECT conv_id, turn, CASE WHEN regexp_matches(q, '(?i)^(who|what|why|how|where|when|tell me|explain)\\s') THEN upper(q[1]) || substr(q, 2) ELSE q END || CASE WHEN regexp_matches(q, '{ASK}') THEN '?' ELSE '' END AS standardized, changes FROM b"""
 )
 def standardize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with a spelling mistake each (by conversation), repaired and tidied."""
-    k, text = F.col("conv_id") % 3, F.col("text")
-    raw = F.when(k == 0, F.concat(F.lit("wat is "), T.strip(text))).when(k == 1, F.concat(T.strip(text), F.lit(" auther"))).otherwise(F.concat(T.strip(text), F.lit(" sumery ? ")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.standardize_query(raw).alias("standardized"), F.concat_ws("; ", T.spelling_changes(raw)).alias("changes"))
+    """Messages with a spelling mistake, a possessive or an author phrase each (by conversation), repaired and tidied."""
+    k, text = F.col("conv_id") % 6, F.trim(F.regexp_replace("text", r"[\s’]+", " "))
+    raw = (
+        F.when(k == 0, F.concat(F.lit("wat is "), text)).when(k == 1, F.concat(text, F.lit(" auther name?"))).when(k == 2, F.concat(text, F.lit(" sumery ? ")))
+        .when(k == 3, F.lit("Dr. Jane Smith's?")).when(k == 4, F.lit("Grumble Family's")).otherwise(F.lit("author of the book?"))
+    )
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.standardized(raw).alias("s"))
+    return s.select("conv_id", "turn", F.col("s.query").alias("standardized"), F.concat_ws("; ", "s.changes").alias("changes"))
 
 
 @query(
@@ -227,16 +238,14 @@ def conversation_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of a configuration as compact JSON with its keys in order."""
     config = table(spark, sf_dir, "documents").select("source").distinct().select("source", (F.length("source") * 32 + 256).alias("chunk_size"), F.lit(64).alias("chunk_overlap"), F.lit(5).alias("top_k"))
-    return config.select("source", F.sha2(F.to_json(F.struct(*sorted(config.columns))), 256).alias("config_hash"))
+    return config.select("source", T.canonical_hash(*config.columns).alias("config_hash"))
 
 
 @query(
-    """WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n, 'p_name: ' || p_name || ' p_brand: ' || p_brand AS line FROM part)
-       SELECT 'part' AS sheet, 'part p_name p_brand ' || string_agg(line, ' ' ORDER BY p_partkey) AS text FROM r WHERE n <= 25"""
+    "WITH r AS (SELECT 'part' AS sheet, p_partkey AS k, 'p_name p_brand' AS head, 'p_name: ' || p_name || ' p_brand: ' || p_brand AS line FROM part UNION ALL SELECT 'customer', c_custkey, 'c_name c_mktsegment', 'c_name: ' || c_name || ' c_mktsegment: ' || c_mktsegment FROM customer), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY k) AS n FROM r) SELECT sheet, sheet || ' ' || head || ' ' || string_agg(line, ' ' ORDER BY k) AS text FROM n WHERE n <= 10 GROUP BY sheet, head"
 )
 def dataset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dataset's sample (its first 25 rows by key) as one text: sheet, column names and values."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").orderBy("p_partkey").limit(25)
-    line = F.concat(F.lit("p_name: "), "p_name", F.lit(" p_brand: "), "p_brand")
-    rows = part.agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("rows"))
-    return rows.select(F.lit("part").alias("sheet"), F.concat(F.lit("part p_name p_brand "), F.concat_ws(" ", F.col("rows.line"))).alias("text"))
+    """The sheets of a dataset as texts for the analyzer: name, column names and the values of its first ten rows."""
+    part = profile.dataset_text(table(spark, sf_dir, "part"), "part", ["p_name", "p_brand"], "p_partkey")
+    return part.unionByName(profile.dataset_text(table(spark, sf_dir, "customer"), "customer", ["c_name", "c_mktsegment"], "c_custkey"))

@@ -72,6 +72,12 @@ def detect_format(files: DataFrame, content: str = "content", path: str = "path"
     return plain.unionByName(packed).select(path, "format", ((extension != "") & (extension != F.col("format"))).alias("mismatch"))
 
 
+def normalize_cells(rows: DataFrame) -> DataFrame:
+    """String cells and column names trimmed."""
+    strings = {f.name for f in rows.schema if f.dataType.simpleString() == "string"}
+    return rows.select(*[(T.strip(F.col(f"`{c}`")) if c in strings else F.col(f"`{c}`")).alias(c.strip()) for c in rows.columns])
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A delimited file with a header; all columns strings, blank names become col_i, short rows are padded with null."""
     df = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", quote='"', escape='"', multiLine=True)
