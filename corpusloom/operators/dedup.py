@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +12,30 @@ from corpusloom.storage import stored
 THRESHOLD, MIN_WORDS = 0.85, 15
 
 
-def dedupe_hits(hits: DataFrame, scope: str = "source", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def dedupe_hits(hits: DataFrame, scope: list[str] | str = "source", key: list[str] | str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Hits (query_id, rank, key, scope, text) without later rows that repeat an accepted one of the same scope.
 
     A row is dropped for an empty text, the same key, the same text, or, from 15 words, for a word-set similarity of
-    ``threshold`` to an accepted row. Acceptance depends on the order, so the rows of a query are folded in the row; a
+    ``threshold`` to an accepted row. Scope and key may be several columns: with the corpus in both, rows of different
+    corpora never drop one another. Acceptance depends on the order, so the rows of a query are folded in the row; a
     query's hit list is bounded by its k.
     """
-    prepared = hits.select("query_id", F.struct("rank", F.col(key).alias("id"), F.col(scope).cast("string").alias("scope"), T.fingerprint(F.col("text")).alias("hash"), T.word_set(F.col("text")).alias("words"), (T.normalize_for_dedup(F.col("text")) == "").alias("blank")).alias("h"))
-    lists = prepared.groupBy("query_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    scopes, keys = ([x] if isinstance(x, str) else list(x) for x in (scope, key))
+    kept_columns = list(dict.fromkeys([*keys, *scopes]))
+    norm = T.normalize_for_dedup(F.col("text"))
+    plain = hits.select("query_id", "rank", *kept_columns, norm.alias("norm"))
+    row = F.struct("rank", F.struct(*keys).alias("id"), F.struct(*scopes).alias("scope"), F.sha2("norm", 256).alias("hash"), T.words_of_normal(F.col("norm")).alias("words"), (F.col("norm") == "").alias("blank"), F.struct(*kept_columns).alias("row"))
+    lists = plain.select("query_id", row.alias("h")).groupBy("query_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
     near = f"(size(h.words) >= {MIN_WORDS} AND size(a.words) > 0 AND size(array_intersect(h.words, a.words)) / size(array_union(h.words, a.words)) >= {threshold}D)"
-    fold = f"aggregate(hs, filter(hs, h -> false), (acc, h) -> CASE WHEN h.blank OR exists(acc, a -> a.id = h.id OR (a.scope = h.scope AND (a.hash = h.hash OR {near}))) THEN acc ELSE concat(acc, array(h)) END)"
+    fold = f"aggregate(hs, filter(hs, h -> false), (acc, h) -> CASE WHEN h.blank OR exists(acc, a -> a.id <=> h.id OR (a.scope <=> h.scope AND (a.hash = h.hash OR {near}))) THEN acc ELSE concat(acc, array(h)) END)"
     kept = lists.select("query_id", F.posexplode(F.expr(fold)).alias("i", "h"))
-    return kept.select("query_id", (F.col("i") + 1).alias("rank"), F.col("h.id").alias(key), F.col("h.scope").alias(scope))
+    return kept.select("query_id", (F.col("i") + 1).alias("rank"), "h.row.*")
 
 
 def _prepared(docs: DataFrame, scope: list[str], key: str) -> DataFrame:
     """key, scope, hash and word set of every text that is not blank; normalized once."""
     norm = docs.select(key, *scope, T.normalize_for_dedup(F.col("text")).alias("norm")).where("norm <> ''")
-    return norm.select(key, *scope, F.sha2("norm", 256).alias("hash"), F.array_distinct(F.regexp_extract_all(F.col("norm"), F.lit("[a-z0-9_]{3,}"), F.lit(0))).alias("words"))
+    return norm.select(key, *scope, F.sha2("norm", 256).alias("hash"), T.words_of_normal(F.col("norm")).alias("words"))
 
 
 def similar_pairs(docs: DataFrame, scope: list[str], key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -78,43 +84,95 @@ def _set_pairs(sets: DataFrame, scope: list[str], key: str, threshold: float) ->
     return full.withColumn("jaccard", T.jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: Rounds after which what is left is cut into components, and edges of a component that one task decides by itself.
+ROUNDS, TASK_EDGES = 8, 200_000
+
+
+def first_independent(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, task_edges: int = TASK_EDGES) -> DataFrame:
     """The ids that a greedy pass in id order accepts: an id is dropped if an accepted smaller neighbour exists.
 
-    ``edges`` are (a, b), a < b: a drops b. Rounds decide every id without an undecided smaller neighbour, then drop its
-    larger neighbours; each round is written out, so lineage stays short.
+    ``edges`` are (a, b), a < b: a drops b. A round decides every id without an undecided smaller neighbour and drops its
+    larger neighbours. Long chains would take a round for every two ids, so after some rounds the components that are left
+    are decided in one task each if they are small; larger ones go on in rounds until nothing is left. Every round is
+    written out, so lineage stays short.
     """
-    undecided = stored(nodes.select("id"), "undecided")
+    undecided = nodes.select("id")
     live = stored(edges.select("a", "b"), "edges")
-    kept = None
-    for _ in range(max_rounds):
-        blocked = live.select(F.col("b").alias("id")).distinct()
-        chosen = stored(undecided.join(blocked, "id", "left_anti"), "chosen")
-        kept = chosen if kept is None else kept.unionAll(chosen)
-        dropped = live.join(chosen.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        undecided = stored(undecided.join(chosen, "id", "left_anti").join(dropped, "id", "left_anti"), "undecided")
-        if undecided.isEmpty():
-            return kept
-        left = undecided.withColumnRenamed("id", "a")
-        live = stored(live.join(left, "a", "left_semi").join(left.withColumnRenamed("a", "b"), "b", "left_semi"), "edges")
-    raise RuntimeError("the rounds did not settle")
+    dropped_all = None
+    done = 0
+    while not live.isEmpty():
+        if done == rounds:
+            small, live = _split_small(live, task_edges)
+            out = stored(_decide(small), "dropped")
+            dropped_all = out if dropped_all is None else dropped_all.unionAll(out)
+            done = 0
+            continue
+        blocked = live.select(F.col("b").alias("a")).distinct()
+        free = live.join(blocked, "a", "left_anti")
+        dropped = stored(free.select("b").distinct(), "dropped")
+        left = live.join(free.select("a").distinct(), "a", "left_anti").join(dropped, "b", "left_anti")
+        left = left.join(dropped.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b")
+        live, done = stored(left, "edges"), done + 1
+        dropped_all = dropped if dropped_all is None else dropped_all.unionAll(dropped)
+    return undecided if dropped_all is None else undecided.join(dropped_all.select(F.col("b").alias("id")), "id", "left_anti")
+
+
+def _split_small(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(edges of components with at most so many, with their root; the others)."""
+    labels = stored(components(edges), "components")
+    rooted = stored(edges.join(labels, edges["a"] == labels["node"]).select("a", "b", "root"), "rooted-edges")
+    large = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root")
+    return rooted.join(large, "root", "left_anti"), rooted.join(large, "root", "left_semi").select("a", "b")
+
+
+def _decide(rooted: DataFrame) -> DataFrame:
+    """b of every id that a greedy pass drops, component by component."""
+
+    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
+        out: set[int] = set()
+        for b, smaller in frame.sort_values("b").groupby("b", sort=True)["a"]:
+            if any(a not in out for a in smaller):
+                out.add(b)
+        return pd.DataFrame({"b": sorted(out)}, dtype="int64")
+
+    return rooted.groupBy("root").applyInPandas(greedy, "b long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node of the undirected edges (a, b) can reach. Minimum labels spread along
+    edges and jump over their own labels; every round is a pair of equi-joins on tables that are written out."""
+    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    while True:
+        lowest = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
+        step = labels.join(lowest, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "low").alias("low"))
+        own = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
+        after = stored(step.join(own, F.col("low") == F.col("at"), "left").select("node", "old", F.least("low", "beyond").alias("root")), "labels")
+        labels = after.select("node", "root")
+        if after.where("root <> old").isEmpty():
+            return labels
 
 
 def dedupe_corpus(docs: DataFrame, scope: list[str], key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Ids of the documents a greedy pass in id order keeps: no blank text, no earlier equal text, no accepted near one.
 
-    Equal texts go first (one aggregation); word sets under 15 words never make a later row near.
+    Equal texts go first (one aggregation). Of the rows of one word set with 15 words or more only the first can be kept: if
+    it is dropped, whatever dropped it drops the others too. So only first rows and the pairs of their sets decide, and a
+    large group is one node. Rows under 15 words are never near, so all of them stay; their first row may drop others.
     """
-    base = stored(_prepared(docs, scope, key), "prepared-texts")
-    firsts = base.groupBy(*scope, "hash").agg(F.min(key).alias(key))
-    distinct = stored(base.join(firsts.select(key), key, "left_semi"), "distinct-texts")
-    sized = distinct.select(F.col(key).alias("id"), F.size("words").alias("n"), F.sha2(F.concat_ws(" ", F.array_sort("words")), 256).alias("set_key"), *scope)
-    pairs = _set_pairs(distinct, scope, key, threshold)
-    # Rows of one word set but different text are near one another too: each to the set's first row, and sets to sets.
-    first = sized.groupBy(*scope, "set_key").agg(F.min("id").alias("rep"))
-    rep = stored(sized.join(first, [*scope, "set_key"]).select("id", "n", "rep"), "representatives")
-    inside = rep.where("id <> rep AND n >= 15").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    left = rep.select(F.col("rep").alias("a"), F.col("id").alias("x"), F.col("n").alias("nx"))
-    right = rep.select(F.col("rep").alias("b"), F.col("id").alias("y"), F.col("n").alias("ny"))
-    across = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("n")).where(f"n >= {MIN_WORDS}").select("a", "b")
-    return first_independent(sized.select("id"), inside.unionAll(across).distinct())
+    base = _prepared(docs, scope, key).select(key, *scope, "hash", "words", F.sha2(F.concat_ws(" ", F.array_sort("words")), 256).alias("set_key"), F.size("words").alias("n"))
+    first = F.min(key).alias("id")
+    sized = stored(base.groupBy(*scope, "hash").agg(first, F.any_value("set_key").alias("set_key"), F.any_value("words").alias("words"), F.any_value("n").alias("n")), "distinct-texts")
+    reps = stored(sized.groupBy(*scope, "set_key").agg(F.min("id").alias("id"), F.any_value("n").alias("n")), "first-rows")
+    pairs = _set_pairs(sized.select(F.col("id").alias(key), *scope, "words"), scope, key, threshold)
+    edges = pairs.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(F.col("nb") >= MIN_WORDS).select("a", "b")
+    kept = first_independent(reps.select("id"), edges)
+    return kept.unionAll(sized.where(F.col("n") < MIN_WORDS).select("id")).distinct()
+
+
+def duplicate_content(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, first, duplicate): the first row with the same bytes. Aggregated and joined back, so a hot text is not one task's
+    window."""
+    d = docs.select(key, F.sha2(text, 256).alias("h"))
+    firsts = d.groupBy("h").agg(F.min(key).alias("first"))
+    return d.join(firsts, "h").select(key, "first", (F.col(key) != F.col("first")).alias("duplicate"))

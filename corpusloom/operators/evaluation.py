@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import sampling
 
 #: Phrases with which an answer says that it has no answer.
 NO_CLAIM = ["could not find", "insufficient", "not found", "does not contain", "no information"]
 DISCLAIMERS = ["could not find information", "insufficient information", "insufficient evidence", "not found in the provided", "does not contain information", "no information", "cannot find", "cannot answer"]
 
 
+#: Questions that no corpus answers, in the order in which they are taken.
+OUT_OF_DOMAIN = [
+    "What is the average surface temperature of Venus in winter?",
+    "Explain the recipe for authentic Neapolitan pizza dough.",
+    "What are the rules of curling in the Winter Olympic Games?",
+    "Who won the 1982 FIFA World Cup final and what was the score?",
+    "How do photosynthesis and cellular respiration interact in deep sea hydrothermal vents?",
+    "What is the history and development of origami paper folding in Japan?",
+]
+
+
+def probe_split(size: int) -> tuple[int, int]:
+    """How many probes of a sample are in and out of domain; a sample has 3 to 50."""
+    size = max(3, min(50, size))
+    out = max(1, min(2, size // 5)) if size >= 6 else 1
+    return max(1, size - out), out
+
+
+def generate_probes(chunks: DataFrame, size: int, key: str = "doc_id", group: str = "source", seed: int = 42) -> DataFrame:
+    """(probe_id, probe_type, question, key, group): a round-robin sample of the chunks (key, group, text, heading), each
+    asked by its heading or its source about its first fact, and questions out of domain."""
+    n_in, n_out = probe_split(size)
+    turns = sampling.stratified(chunks, group, key, n_in, seed).select(key, F.row_number().over(Window.orderBy("turn")).alias("n"))  # of n_in rows
+    c = chunks.select(key, group, "heading", T.declarative_fact(F.col("text")).alias("fact")).join(F.broadcast(turns), key)
+    by_heading = F.concat(F.lit("What does the section '"), "heading", F.lit("' state regarding: "), "fact", F.lit("?"))
+    by_source = F.concat(F.lit("According to "), group, F.lit(", what is reported about: "), "fact", F.lit("?"))
+    name = lambda kind, n: F.concat(F.lit(f"probe_{kind}_"), F.lpad(n.cast("string"), 2, "0")).alias("probe_id")
+    inside = c.select(name("in", F.col("n")), F.lit("in_domain").alias("probe_type"), F.coalesce(by_heading, by_source).alias("question"), key, group)
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("n"), F.lit(OUT_OF_DOMAIN[i % len(OUT_OF_DOMAIN)]).alias("question")) for i in range(n_out)])
+    outside = chunks.select(F.lit(1).alias("one")).limit(1).select(F.explode(rows).alias("o"))
+    null = lambda c: F.lit(None).cast(chunks.schema[c].dataType).alias(c)
+    return inside.unionByName(outside.select(name("out", F.col("o.n")), F.lit("out_of_domain").alias("probe_type"), F.col("o.question").alias("question"), null(key), null(group)))
+
+
 def probe_ranks(probes: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rank of each probe's own passage in its hits (null if missed), hit flags and reciprocal rank."""
     own = hits.select(F.col("query_id").alias("probe_id"), key, "rank")

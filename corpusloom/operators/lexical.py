@@ -1,6 +1,6 @@
 """BM25 as tables: postings, mergeable statistics, and scores of many queries in one plan.
 
-``index`` tables have (doc_id, term, tf, doc_len). Statistics are kept as counts (df, documents, tokens), never as idf, so
+``index`` tables have (doc_id, doc_len, term, tf); :func:`build_index` stores one and takes the statistics from it. Statistics are kept as counts (df, documents, tokens), never as idf, so
 they merge when a corpus grows. Scoring joins the few query terms with the postings: only matching postings move, and
 the term join is an equi-join on small keys that the engine may broadcast or split.
 """
@@ -11,14 +11,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.storage import stored
 
 K1, B = 1.5, 0.75
 
 
+#: SQL: (term, tf) of every distinct token of the array t, counted by sorting it in the row.
+_COUNTED = (
+    "transform(array(array_sort(t)), s -> transform(array(filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])), "
+    "b -> transform(b, (i, k) -> named_struct('term', s[i], 'tf', cast(coalesce(get(b, k + 1), size(s)) - i AS bigint))))[0])[0]"
+)
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document and term. The length is taken in the row, so documents are never grouped again for it."""
-    terms = docs.select(key, T.tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("doc_len"), F.explode("t").alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("doc_len").cast("long").alias("doc_len"))
+    """One row a document and term: (key, doc_len, term, tf). Tokens are counted in the document's row, so nothing is shuffled."""
+    tokens = docs.select(key, T.tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    return tokens.select(key, F.size("t").cast("long").alias("doc_len"), F.explode(F.expr(_COUNTED)).alias("p")).select(key, "doc_len", "p.term", "p.tf")
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics): the texts are read and tokenized once; both come from the stored postings."""
+    index = stored(postings(docs, key, text), "postings")
+    tokens = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    return index, docs.agg(F.count("*").alias("n_docs")).crossJoin(tokens)
 
 
 def term_stats(index: DataFrame) -> DataFrame:

@@ -43,12 +43,48 @@ def detach(rows: DataFrame, refs: str, removed: str, keep_empty) -> DataFrame:
     return cut.where((F.size(refs) > 0) | keep_empty)
 
 
-def version_delta(base: DataFrame, target: DataFrame) -> DataFrame:
-    """Per artifact: sources added, removed and retained, and the change of counts. Versions hold source_ids and n_chunks."""
-    b = base.select("artifact_id", F.col("source_ids").alias("b"), F.col("n_chunks").alias("bn"))
-    t = target.select("artifact_id", F.col("source_ids").alias("t"), F.col("n_chunks").alias("tn"))
-    j = b.join(t, "artifact_id")
-    return j.select("artifact_id", F.array_sort(F.array_except("t", "b")).alias("added"), F.array_sort(F.array_except("b", "t")).alias("removed"), F.array_sort(F.array_intersect("b", "t")).alias("retained"), (F.col("tn") - F.col("bn")).alias("chunk_delta"))
+def set_changes(base: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
+    """The key columns and change (added, removed or retained) of two tables of members. A full outer join of distinct rows:
+    members of one artifact stay rows, so a large one is no single task's."""
+    b, t = base.select(*key).distinct().withColumn("_b", F.lit(True)), target.select(*key).distinct().withColumn("_t", F.lit(True))
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_t").isNull(), "removed").otherwise("retained")
+    return b.join(t, key, "full_outer").select(*key, change.alias("change"))
+
+
+def version_delta(base: DataFrame, target: DataFrame, artifact: str = "artifact_id", source: str = "source_id") -> DataFrame:
+    """Per artifact that has both versions: how many sources were added, removed and retained, and the change of their number."""
+    both = base.select(artifact).distinct().join(target.select(artifact).distinct(), artifact)
+    c = set_changes(base, target, [artifact, source]).join(both, artifact, "left_semi")
+    n = lambda k: F.count_if(F.col("change") == k)
+    return c.groupBy(artifact).agg(n("added").alias("n_added"), n("removed").alias("n_removed"), n("retained").alias("n_retained"), (n("added") - n("removed")).alias("chunk_delta"))
+
+
+def provenance(chunks: DataFrame, sources: DataFrame, key: str = "source_id", text: str = "text") -> DataFrame:
+    """Chunks with their source's name and hash (null where it is gone). The hash is taken before the join, so no text moves."""
+    s = sources.select(key, "source", F.sha2(text, 256).alias("source_hash"))
+    return chunks.join(s, key, "left")
+
+
+def distinct_sorted(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, values): the distinct values of each group in order. Distinct rows come first, so hot groups are small."""
+    return rows.select(group, value).distinct().groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def merge_ids(known, new) -> F.Column:
+    """New members appended to a list that has some of them; the order of the list is kept."""
+    return F.array_union(known, new)
+
+
+def search_conversations(messages: DataFrame, titles: DataFrame, corpora: DataFrame, term: str) -> DataFrame:
+    """conv_id of conversations whose title, first user message or attached corpus name holds the term, case ignored; an
+    empty term finds all. ``titles`` has (conv_id, title), ``corpora`` (conv_id, name)."""
+    low = term.strip().lower()
+    if not low:
+        return messages.select("conv_id").distinct()
+    firsts = messages.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("said"))
+    by_text = firsts.where(F.lower("said").contains(low)).select("conv_id")
+    by_title = titles.where(F.lower("title").contains(low)).select("conv_id")
+    return by_text.unionAll(by_title).unionAll(corpora.where(F.lower("name").contains(low)).select("conv_id")).distinct()
 
 
 def integrity_audit(files: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import dedup, evaluation, fusion, grounding, lexical
-from corpusloom.plans.chunk_queries import ROUND, probe_turns
+from corpusloom.operators import dedup, evaluation, fusion, grounding, lexical, questions, registry, retrieval
+from corpusloom.plans.chunk_queries import ROUND
 from corpusloom.plans.registry import query, table
-from corpusloom.plans.retrieval_queries import SCORES, TERMS, Q, bm25_scores, text_queries
+from corpusloom.plans.retrieval_queries import BOOSTED, DENSE_DOCS, SCORES, SECTIONS, TERMS, Q, bm25_scores, document_vectors, text_queries
 from corpusloom.plans.text_queries import FACT, NORM, WORDS
+from corpusloom.storage import stored
 
 TOP = f"WITH RECURSIVE {Q}, {TERMS}, {SCORES}, h10 AS (SELECT query_id, doc_id, rank, score, source, text FROM sp JOIN documents USING (doc_id) WHERE rank <= 10)"
 
@@ -21,28 +22,33 @@ def top_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(hits, "doc_id")
 
 
-def greedy(scope: str) -> str:
+def greedy(scope: str, hits: str = "h10", key: str = "doc_id") -> str:
     """Recursive SQL: rows of a query accepted one by one in rank order."""
     near = "(len(n.ws) >= 15 AND len(a.ws) > 0 AND len(list_intersect(n.ws, a.ws)) / CAST(len(n.ws) + len(a.ws) - len(list_intersect(n.ws, a.ws)) AS DOUBLE) >= 0.85)"
     return (
-        f"hw AS MATERIALIZED (SELECT query_id, doc_id, rank, {scope} AS scope, sha256({NORM}) AS hash, {WORDS} AS ws FROM h10), "
-        f"pair AS (SELECT n.query_id, n.rank AS nr, a.rank AS ar FROM hw n JOIN hw a ON n.query_id = a.query_id AND a.rank < n.rank AND (n.doc_id = a.doc_id OR (n.scope = a.scope AND (n.hash = a.hash OR {near})))), "
-        "pl AS MATERIALIZED (SELECT query_id, nr, list(ar) AS ars FROM pair GROUP BY ALL), "
-        "g AS (SELECT query_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS acc FROM (SELECT DISTINCT query_id FROM hw) UNION ALL SELECT g.query_id, g.r + 1, CASE WHEN pl.ars IS NULL OR len(list_intersect(pl.ars, g.acc)) = 0 THEN list_append(g.acc, g.r + 1) ELSE g.acc END FROM g JOIN hw ON hw.query_id = g.query_id AND hw.rank = g.r + 1 LEFT JOIN pl ON pl.query_id = g.query_id AND pl.nr = g.r + 1), "
-        "fin AS (SELECT query_id, acc FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC) AS z FROM g) WHERE z = 1) "
-        "SELECT hw.query_id, hw.doc_id, CAST(list_position(acc, hw.rank) AS INTEGER) AS rank FROM hw JOIN fin USING (query_id) WHERE list_contains(acc, hw.rank)"
+        f"hw AS MATERIALIZED (SELECT query_id, doc_id, rank, {key} AS own, {scope} AS scope, sha256({NORM}) AS hash, {WORDS} AS ws FROM {hits}), "
+        f"pair AS (SELECT n.query_id, n.rank AS nr, a.rank AS ar FROM hw n JOIN hw a ON n.query_id = a.query_id AND a.rank < n.rank AND (n.own = a.own OR (n.scope = a.scope AND (n.hash = a.hash OR {near})))), "
+        "pl AS MATERIALIZED (SELECT query_id, nr, list(ar) AS ars FROM pair GROUP BY ALL), ord AS MATERIALIZED (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS o FROM hw), "
+        "g AS (SELECT query_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS acc FROM (SELECT DISTINCT query_id FROM hw) UNION ALL SELECT g.query_id, g.r + 1, CASE WHEN pl.ars IS NULL OR len(list_intersect(pl.ars, g.acc)) = 0 THEN list_append(g.acc, ord.rank) ELSE g.acc END FROM g JOIN ord ON ord.query_id = g.query_id AND ord.o = g.r + 1 LEFT JOIN pl ON pl.query_id = g.query_id AND pl.nr = ord.rank), "
+        "fin AS (SELECT query_id, acc FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC) AS z FROM g) WHERE z = 1), "
+        "acc AS (SELECT hw.query_id, hw.doc_id, hw.own, hw.scope, CAST(list_position(acc, hw.rank) AS INTEGER) AS rank FROM hw JOIN fin USING (query_id) WHERE list_contains(acc, hw.rank))"
     )
 
 
-@query(f"{TOP}, {greedy('source')}")
+@query(f"{TOP}, {greedy('source')} SELECT query_id, doc_id, rank FROM acc")
 def dedupe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedupe_hits(top_hits(spark, sf_dir)).select("query_id", "doc_id", "rank")
 
 
-@query(f"{TOP}, {greedy(repr('x'))}")
-def dedupe_hits_one_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The multi-corpus form's rule with the corpus as scope; here all sources are one corpus."""
-    return dedup.dedupe_hits(top_hits(spark, sf_dir).withColumn("corpus", F.lit("x")), "corpus").select("query_id", "doc_id", "rank")
+TWICE = "tw AS (SELECT query_id, doc_id, 2 * rank - 1 + c AS rank, 'rag' || c AS corpus, text FROM h10, (VALUES (0), (1)) x(c) WHERE doc_id % 5 <> c)"
+
+
+@query(f"{TOP}, {TWICE}, {greedy('corpus', 'tw', 'corpus || doc_id')} SELECT query_id, scope AS corpus, doc_id, rank FROM acc")
+def dedupe_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two corpora that share most of their documents: equal hits stay apart by corpus, and only repeats inside one go."""
+    hits = top_hits(spark, sf_dir).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).where("doc_id % 5 <> c")
+    two = hits.select("query_id", "doc_id", (2 * F.col("rank") - 1 + F.col("c")).alias("rank"), F.concat(F.lit("rag"), F.col("c").cast("string")).alias("corpus"), "text")
+    return dedup.dedupe_hits(two, ["corpus"], ["corpus", "doc_id"]).select("query_id", "corpus", "doc_id", "rank")
 
 
 ALL = f"w AS (SELECT doc_id, source, sha256({NORM}) AS hash, {WORDS} AS ws FROM documents WHERE {NORM} <> '')"
@@ -74,10 +80,8 @@ def dedupe_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS duplicate FROM documents")
 def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document with the same bytes. Aggregated and joined back, so a hot text is not one task's window."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    firsts = d.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"))
-    return d.join(firsts, "h").select("doc_id", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("duplicate"))
+    """The first document with the same bytes."""
+    return dedup.duplicate_content(table(spark, sf_dir, "documents")).withColumnRenamed("first", "first_doc_id")
 
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -93,11 +97,13 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.evidence_gate(hits, changed)
 
 
-@query("WITH f AS (SELECT conv_id, min_by(text, turn) AS first_text FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT conv_id FROM f WHERE contains(lower(first_text), 'th')")
+@query("WITH f AS (SELECT conv_id, min_by(text, turn) AS first_text FROM conversations WHERE role = 'user' GROUP BY conv_id), t AS (SELECT conv_id, max_by(text, turn) AS title FROM conversations GROUP BY conv_id) SELECT DISTINCT conv_id FROM (SELECT conv_id FROM f WHERE contains(lower(first_text), 'the') UNION ALL SELECT conv_id FROM t WHERE contains(lower(CASE WHEN len(trim(title, ' ' || chr(10))) > 50 THEN substr(trim(title, ' ' || chr(10)), 1, 48) || '...' ELSE trim(title, ' ' || chr(10)) END), 'the') UNION ALL SELECT conv_id FROM conversations WHERE conv_id % 25 = 7)")
 def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations whose first user message holds the search term."""
-    firsts = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
-    return firsts.where(F.lower("first_text").contains("th")).select("conv_id")
+    """Conversations whose first user message, title (made from the last message) or attached corpus holds the term."""
+    c = table(spark, sf_dir, "conversations")
+    titles = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("t")).select("conv_id", T.title_of(T.strip(F.col("t"))).alias("title"))
+    corpora = c.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 25 == 7, "The Handbook").otherwise(F.concat(F.lit("src"), (F.col("conv_id") % 25).cast("string"))).alias("name"))
+    return registry.search_conversations(c, titles, corpora, " The ")
 
 
 ANSWERS = "an AS (SELECT query_id AS answer_id, query_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1] || ' [' || CASE WHEN query_id % 5 = 0 THEN 'chk_none' ELSE chunk_id END || '] and [' || chunk_id || '_x].' AS answer FROM h WHERE rank = 1)"
@@ -162,31 +168,35 @@ def grounded_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-# Probes: documents in round-robin order; the question is the document's first fact.
-PROBES = f"{ROUND}, pb AS (SELECT t.doc_id AS probe_id, t.doc_id, t.source, {FACT} AS query FROM t JOIN documents USING (doc_id) WHERE turn < 40)"
+# Probes: documents in round-robin order, with a section heading by id for every second one.
+SECTION_NAMES = "['Abstract', 'Introduction', 'Methods', 'Results', 'Discussion', 'Conclusion', 'References']"
+PROBES = (
+    f"{ROUND.replace('t AS (SELECT doc_id, source, (round', 'turns AS (SELECT doc_id, source, (round')}, pt AS (SELECT doc_id, source, row_number() OVER (ORDER BY turn) AS n FROM turns WHERE turn < (SELECT count(*) FROM documents) ORDER BY turn LIMIT 38), "
+    f"pb AS (SELECT 'probe_in_' || lpad(CAST(n AS VARCHAR), 2, '0') AS probe_id, doc_id, pt.source, CASE WHEN doc_id % 2 = 0 THEN 'What does the section ' || chr(39) || {SECTION_NAMES}[doc_id % 7 + 1] || chr(39) || ' state regarding: ' ELSE 'According to ' || pt.source || ', what is reported about: ' END || {FACT} || '?' AS query FROM pt JOIN documents USING (doc_id))"
+)
 
 
-def probes(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    chosen = probe_turns(spark, sf_dir, n)
-    d = table(spark, sf_dir, "documents").select("doc_id", T.declarative_fact(F.col("text")).alias("query"))
-    return d.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("probe_id"), "doc_id", "source", "query")
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty probes, two of them out of domain."""
+    name = F.element_at(F.array(*map(F.lit, SECTIONS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.when(F.col("doc_id") % 2 == 0, name).alias("heading"))
+    return evaluation.generate_probes(d, 40)
 
 
-@query(f"WITH {PROBES} SELECT probe_id, 'in_domain' AS probe_type, 'According to ' || source || ', is it stated that: ' || query AS question FROM pb UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 'out_of_domain', 'Who won the last chess world championship?'), (CAST(-2 AS BIGINT), 'out_of_domain', 'How deep is the deepest lake?'))")
+@query(f"WITH {PROBES} SELECT probe_id, 'in_domain' AS probe_type, query AS question, doc_id, source FROM pb UNION ALL SELECT 'probe_out_01', 'out_of_domain', 'What is the average surface temperature of Venus in winter?', NULL, NULL UNION ALL SELECT 'probe_out_02', 'out_of_domain', 'Explain the recipe for authentic Neapolitan pizza dough.', NULL, NULL")
 def generate_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = probes(spark, sf_dir).select("probe_id", F.lit("in_domain").alias("probe_type"), F.concat(F.lit("According to "), "source", F.lit(", is it stated that: "), "query").alias("question"))
-    outside = spark.createDataFrame([(-1, "out_of_domain", "Who won the last chess world championship?"), (-2, "out_of_domain", "How deep is the deepest lake?")], "probe_id long, probe_type string, question string")
-    return inside.unionByName(outside)
+    return probes(spark, sf_dir)
 
 
 PSCORES = SCORES.replace("FROM q)", "FROM (SELECT probe_id AS query_id, query FROM pb))")
-RANKED = f"WITH {PROBES.replace('t AS (SELECT doc_id, source, (round', 'turns AS (SELECT doc_id, source, (round').replace('FROM t JOIN documents', 'FROM turns t JOIN documents')}, {TERMS}, {PSCORES}, rk AS (SELECT pb.probe_id, CAST(s.rank AS INTEGER) AS rank FROM pb LEFT JOIN (SELECT * FROM sp WHERE rank <= 10) s ON s.query_id = pb.probe_id AND s.doc_id = pb.doc_id)"
+RANKED = f"WITH {PROBES}, {TERMS}, {PSCORES}, rk AS (SELECT pb.probe_id, CAST(s.rank AS INTEGER) AS rank FROM pb LEFT JOIN (SELECT * FROM sp WHERE rank <= 10) s ON s.query_id = pb.probe_id AND s.doc_id = pb.doc_id)"
 
 
 def probe_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    p = probes(spark, sf_dir)
-    hits = lexical.top_k(lexical.score(lexical.postings(docs), lexical.corpus_stats(docs), p.select(F.col("probe_id").alias("query_id"), "query")), 10)
+    """Ranks of the probes in domain and all their hits, each stored once."""
+    p = stored(probes(spark, sf_dir).where("probe_type = 'in_domain'"), "probes")
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    hits = stored(lexical.top_k(lexical.score(*index, p.select(F.col("probe_id").alias("query_id"), F.col("question").alias("query"))), 10), "probe-hits")
     return evaluation.probe_ranks(p.select("probe_id", "doc_id"), hits), hits
 
 
@@ -197,12 +207,14 @@ def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("probe_id", "rank", "hit_at_1", "hit_at_3", "hit_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
-@query(f"{RANKED}, cv AS (SELECT count(DISTINCT source) AS seen FROM (SELECT doc_id FROM sp WHERE rank <= 10) JOIN documents USING (doc_id)) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 4) AS hits_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 4) AS hits_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 4) AS hits_at_5, round(avg(coalesce(1.0 / rank, 0)), 4) AS mrr, round(max(seen) / CAST((SELECT count(DISTINCT source) FROM documents) AS DOUBLE), 4) AS source_coverage FROM rk, cv")
+@query(f"{RANKED}, cv AS (SELECT count(DISTINCT source) AS seen FROM (SELECT doc_id FROM sp WHERE rank <= 10) JOIN documents USING (doc_id)), ci AS (SELECT count(*) FILTER (rank <= 2) AS good, count(*) AS n FROM sp WHERE rank <= 3 AND doc_id % 4 <> 0) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 4) AS hits_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 4) AS hits_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 4) AS hits_at_5, round(avg(coalesce(1.0 / rank, 0)), 4) AS mrr, round(max(seen) / CAST((SELECT count(DISTINCT source) FROM documents) AS DOUBLE), 4) AS source_coverage, round(max(good) / CAST(max(n) AS DOUBLE), 4) AS citation_precision FROM rk, cv, ci")
 def evaluate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All probes retrieved, ranked and summed up in one plan."""
+    """All probes retrieved, ranked and summed up. The three best hits of a probe stand for its citations (not those of every
+    fourth document), of which the third is not verified."""
     r, hits = probe_hits(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return evaluation.retrieval_metrics(r, d.join(hits.select("doc_id").distinct(), "doc_id"), d)
+    cited = hits.where("rank <= 3 AND doc_id % 4 <> 0").select((F.col("rank") <= 2).alias("verified"))
+    return evaluation.retrieval_metrics(r, d.join(hits.select("doc_id").distinct(), "doc_id"), d, cited)
 
 
 NOCLAIM = "could not find|insufficient|not found|does not contain|no information"
@@ -265,12 +277,57 @@ def evaluation_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.delta(reports(spark, sf_dir), ["hits3", "mrr", "faithfulness"], 0, 1)
 
 
-@query(f"{TOP}, lo AS (SELECT query_id, doc_id, rank, '[Source: ' || source || ']' AS citation, round(score, 6) AS score FROM h10 WHERE rank <= 5) SELECT l.query_id, l.doc_id, l.score, l.citation, cx.n AS n_context FROM lo l JOIN (SELECT query_id, count(*) AS n FROM lo GROUP BY ALL) cx USING (query_id)")
+RETRIEVED = (
+    f"WITH RECURSIVE {Q}, {TERMS}, {SCORES}, {DENSE_DOCS}, {BOOSTED}, qk AS (SELECT query_id, CASE WHEN query_id % 7 = 6 THEN 21 WHEN query_id % 7 = 0 THEN 5 ELSE query_id % 7 + 3 END AS k, query_id % 3 AS a FROM q), "
+    "hy AS (SELECT query_id, doc_id, CAST(round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 6) AS DOUBLE) AS score FROM (SELECT * FROM de WHERE rank <= 80) d FULL JOIN (SELECT * FROM sp WHERE rank <= 80) s USING (query_id, doc_id)), "
+    "c AS (SELECT query_id, doc_id, coalesce(d.score, 0) AS d, coalesce(s.score, 0) AS b FROM (SELECT * FROM de WHERE rank <= 80) d FULL JOIN sp s USING (query_id, doc_id)), m AS (SELECT query_id, min(b) AS lo, max(b) AS hi FROM c GROUP BY ALL), "
+    "re AS (SELECT query_id, doc_id, round(CAST(boost AS DOUBLE) * (CAST(0.6 AS DOUBLE) * least(1.0, greatest(0.0, (d + 1) / 2)) + CAST(0.4 AS DOUBLE) * CASE WHEN hi > lo THEN (b - lo) / (hi - lo) ELSE 0.5 END), 4) AS score FROM c JOIN m USING (query_id) JOIN bo USING (doc_id)), "
+    "al AS (SELECT query_id, doc_id, score, 0 AS a FROM de UNION ALL SELECT query_id, doc_id, score, 1 FROM hy UNION ALL SELECT query_id, doc_id, score, 2 FROM re), "
+    "ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM al JOIN qk USING (query_id, a)), rh AS (SELECT query_id, doc_id, score, a, rank, source, text FROM ra JOIN documents USING (doc_id) WHERE k <= 20 AND rank <= k), "
+    f"{greedy('source', 'rh')}"
+)
+
+
+def strategies(spark: SparkSession, sf_dir: str) -> dict[str, retrieval.Strategy]:
+    """Dense, hybrid and section-aware retrieval over the documents; the index is stored once for both that use it."""
+    from corpusloom.operators import dense
+
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    vectors = document_vectors(spark, sf_dir)
+    name = F.element_at(F.array(*map(F.lit, SECTIONS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    boosts = table(spark, sf_dir, "documents").select("doc_id", T.section_boost(name).alias("boost"))
+
+    def similar(q: DataFrame, k: int) -> DataFrame:
+        return dense.dense_topk(vectors, q.select("query_id", T.hash_embedding(F.col("query")).alias("embedding")), k, "doc_id")
+
+    def hybrid(q: DataFrame, k: int) -> DataFrame:
+        return fusion.reciprocal_rank(similar(q, 4 * k), lexical.top_k(lexical.score(*index, q), 4 * k), k)
+
+    def research(q: DataFrame, k: int) -> DataFrame:
+        return fusion.section_rerank(similar(q, 4 * k), stored(lexical.score(*index, q), "scores"), boosts, k)
+
+    return {"document_rag": similar, "hybrid_rag": hybrid, "research_rag": research}
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries by turns to three architectures, with a number of hits of their own; some ask for more than is allowed."""
+    i = F.col("query_id")
+    asked = text_queries(spark, sf_dir).withColumns({"top_k": F.when(i % 7 == 6, 21).when(i % 7 == 0, None).otherwise(i % 7 + 3).cast("int"), "architecture": F.element_at(F.array(*map(F.lit, ("document_rag", "hybrid_rag", "research_rag"))), (i % 3 + 1).cast("int"))})
+    return retrieval.retrieve(asked, strategies(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+@query(f"{RETRIEVED} SELECT acc.query_id, acc.doc_id, acc.rank, rh.score, CASE rh.a WHEN 0 THEN 'cosine_similarity' WHEN 1 THEN 'rrf' ELSE 'lexical_dense' END AS score_type, '[Source: ' || rh.source || ']' AS citation FROM acc JOIN rh USING (query_id, doc_id)")
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The retrieval pipeline: hits, citations and the size of the context, for all queries in one plan."""
-    hits = top_hits(spark, sf_dir, 5)
-    n = hits.groupBy("query_id").agg(F.count("*").alias("n_context"))
-    return hits.join(n, "query_id").select("query_id", "doc_id", "score", T.citation(F.col("source"), F.lit(None), F.lit(None)).alias("citation"), "n_context")
+    """The retrieval call: strategy by architecture, cap of k, deduplicated and cited hits, for all queries in one plan."""
+    return retrieved(spark, sf_dir)
+
+
+@query(f"{RETRIEVED} SELECT query_id, sha256(string_agg('--- [Source: ' || rh.source || '] (chk_' || doc_id || ') ---' || chr(10) || rh.text, chr(10) || chr(10) ORDER BY acc.rank)) AS context_sha256, count(*) AS n_hits FROM acc JOIN rh USING (query_id, doc_id) GROUP BY query_id")
+def retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context that the retrieval call hands to a model."""
+    hits = stored(retrieved(spark, sf_dir), "retrieved")
+    c = retrieval.contexts(hits, table(spark, sf_dir, "documents"), F.concat(F.lit("chk_"), F.col("doc_id").cast("string")))
+    return c.join(hits.groupBy("query_id").agg(F.count("*").alias("n_hits")), "query_id").select("query_id", F.sha2("context", 256).alias("context_sha256"), "n_hits")
 
 
 @query("WITH c AS (SELECT doc_id, source, n_chars, lang, doc_id % 7 + 1 AS page FROM documents) SELECT doc_id FROM c WHERE source IN ('src1', 'src2', 'src3') AND page IN (1, 2, 3) AND lang = 'en'")
@@ -280,11 +337,24 @@ def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(fusion.passes_filter(["src1", "src2", "src3"], None, [1, 2, 3], ["en"], "EN")).select("doc_id")
 
 
-@query("WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, " + FACT + " AS fact FROM documents), c AS (SELECT source, n, 'What does it say about ' || regexp_extract(fact, '^[\\p{L}]+') || '?' AS question FROM s WHERE n <= 81), f AS (SELECT source, question, min(n) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) AS r FROM f) SELECT source, question, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 4")
+ASKED = "d AS (SELECT source, doc_id, CASE doc_id % 9 WHEN 0 THEN text || chr(10) || 'x \"What does the report of number ' || doc_id || ' say?\"' WHEN 1 THEN text || chr(10) || '## Design Goal' WHEN 2 THEN text || chr(10) || 'Have you forgot your login and password?' ELSE text END AS text, CASE WHEN doc_id % 11 = 0 THEN '3. ' || ['Workflow step', 'Rule book', 'Methods (new)'][doc_id % 3 + 1] END AS heading FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM d), c AS (SELECT * FROM n WHERE n <= 81 AND source <> 'src3'), l AS (SELECT source, n, i, trim(s[i], ' ' || chr(9)) AS line FROM (SELECT source, n, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM c))"
+SUGGESTED = (
+    f"WITH {ASKED}, qs AS (SELECT source, n, i, trim(regexp_extract(line, '([A-Z][^\\n\\.\\?!]{{10,85}}\\?)', 1)) AS q FROM l), q1 AS (SELECT source, q, 1 AS p, min(n * 100000 + i) AS o FROM qs WHERE q <> '' AND NOT regexp_matches(q, '(?i)(forgot|sign in|login|password|cookie|click|subscribe|account)') AND len(regexp_extract_all(q, '\\S+')) >= 4 GROUP BY ALL), "
+    "sc AS (SELECT source, trim(regexp_extract(line, '^(?:#{1,3}\\s+|[0-9]{1,2}\\.\\s+)([A-Za-z][A-Za-z0-9\\s\\-_]{3,45})$', 1)) AS t, 0 AS z, min(n * 100000 + i) AS o FROM l GROUP BY ALL), he AS (SELECT source, trim(regexp_replace(heading, '^[0-9]+[\\.\\)]\\s*', '')) AS t, 1 AS z, min(n * 100000) AS o FROM c WHERE heading IS NOT NULL GROUP BY ALL), "
+    "se AS (SELECT source, lower(t) AS low, arg_min(t, z * 100000000000 + o) AS t, min(z * 100000000000 + o) AS o FROM (SELECT * FROM sc WHERE len(t) > 3 UNION ALL SELECT * FROM he WHERE len(t) > 3) GROUP BY source, lower(t)), sn AS (SELECT source, o, trim(regexp_replace(regexp_replace(t, '[^\\w\\s\\-_/]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM se), "
+    "q2 AS (SELECT source, CASE WHEN regexp_matches(lower(s), 'goal|purpose|overview|introduction') THEN 'What is the ' || lower(s) || ' of this document?' WHEN regexp_matches(lower(s), 'principle|guideline|rule') THEN 'Explain the key ' || lower(s) || '.' WHEN regexp_matches(lower(s), 'architecture|system|component|pipeline') THEN 'What are the key ' || lower(s) || ' components?' "
+    "WHEN regexp_matches(lower(s), 'workflow|how it works|process|step|implementation') THEN 'Explain the ' || lower(s) || ' workflow.' ELSE 'What does this document explain about ' || s || '?' END AS q, 2 AS p, o FROM sn WHERE len(s) >= 3), "
+    "q3 AS (SELECT source, unnest(['What is the main purpose of ' || source || '?', 'Explain the key concepts and architecture.', 'What are the main implementation steps or workflow?', 'Summarize the important sections of this document.']) AS q, 3 AS p, unnest([1, 2, 3, 4]) AS o FROM (SELECT DISTINCT source FROM d)), "
+    "a AS (SELECT source, q, min(p * 1000000000000 + o) AS o FROM (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3) GROUP BY source, q), r AS (SELECT source, q AS question, CAST(row_number() OVER (PARTITION BY source ORDER BY o) AS INTEGER) AS rank FROM a) SELECT * FROM r WHERE rank <= 4"
+)
+
+
+@query(SUGGESTED)
 def suggest_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four different questions of a source from the opening words of its first 81 documents."""
-    word = F.regexp_extract(T.declarative_fact(F.col("text")), r"^[\p{L}]+", 0)
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("What does it say about "), word, F.lit("?")).alias("question"))
-    first = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 81")
-    distinct = first.groupBy("source", "question").agg(F.min("n").alias("n"))
-    return distinct.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("n"))).where("rank <= 4").select("source", "question", "rank")
+    """Four questions a source from its first 81 documents. Some documents get a question, a heading or a line about logins by
+    id; one source has no documents to read, so that fallbacks occur."""
+    k = F.col("doc_id")
+    extra = F.when(k % 9 == 0, F.concat(F.lit('\nx "What does the report of number '), k.cast("string"), F.lit(' say?"'))).when(k % 9 == 1, "\n## Design Goal").when(k % 9 == 2, "\nHave you forgot your login and password?").otherwise("")
+    heading = F.when(k % 11 == 0, F.concat(F.lit("3. "), F.element_at(F.array(*map(F.lit, ("Workflow step", "Rule book", "Methods (new)"))), (k % 3 + 1).cast("int"))))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat("text", extra).alias("text"), F.array_compact(F.array(heading)).alias("heading_path"))
+    return questions.suggest_questions(d.where("source <> 'src3'"), d.select("source").distinct().withColumn("name", F.col("source")))

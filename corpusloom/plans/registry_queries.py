@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import registry
+from corpusloom.operators import fusion, registry
 from corpusloom.plans.registry import query, table
 
 # artifact = source; two versions of it; a build a version, of which some are shared or not completed.
@@ -16,13 +16,17 @@ A = "ar AS (SELECT artifact_id, CASE WHEN artifact_id IN ('src1', 'src2') THEN N
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a source and version; members are gathered from ids alone, texts are not read."""
+    """One row a source, version and member; texts are not read."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
     tenth = F.floor(F.col("doc_id") / 20) % 10
     inside = F.when(F.col("v") == 0, tenth < 8).otherwise(tenth > 1)
     name = F.when(F.col("source").isin("src5", "src6"), "x").otherwise(F.col("source"))
-    g = d.where(inside).groupBy(F.col("source").alias("artifact_id"), F.col("v").alias("version_id"), F.concat(F.lit("b"), name, F.lit("_"), F.col("v").cast("string")).alias("build_id"))
-    return g.agg(F.array_sort(F.collect_list("doc_id")).alias("source_ids"), F.count("*").alias("n_chunks"))
+    return d.where(inside).select(F.col("source").alias("artifact_id"), F.col("v").alias("version_id"), F.concat(F.lit("b"), name, F.lit("_"), F.col("v").cast("string")).alias("build_id"), F.col("doc_id").alias("source_id"))
+
+
+def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions without their members."""
+    return versions(spark, sf_dir).select("artifact_id", "version_id", "build_id").distinct()
 
 
 def builds(v: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def builds(v: DataFrame) -> DataFrame:
 
 @query(f"WITH {V}, {B}, {A}, r AS (SELECT ar.artifact_id, coalesce(active_version_id, 1) AS version_id FROM ar) SELECT r.artifact_id, r.version_id, ve.build_id, CASE WHEN bu.status IS NULL THEN 'no build' WHEN bu.status <> 'completed' THEN 'not completed' END AS failure FROM r JOIN ve USING (artifact_id, version_id) LEFT JOIN bu ON bu.build_id = ve.build_id")
 def active_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = versions(spark, sf_dir)
+    v = version_rows(spark, sf_dir)
     artifacts = v.select("artifact_id").distinct().withColumn("active_version_id", F.when(~F.col("artifact_id").isin("src1", "src2"), 0))
     return registry.active_builds(artifacts, v, builds(v))
 
@@ -47,7 +51,7 @@ def source_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V}, {B} SELECT build_id FROM bu WHERE build_id IN (SELECT build_id FROM ve WHERE artifact_id IN ('src4', 'src5')) AND build_id NOT IN (SELECT build_id FROM ve WHERE artifact_id NOT IN ('src4', 'src5'))")
 def unreferenced_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds that only the deleted artifacts src4 and src5 used."""
-    v = versions(spark, sf_dir)
+    v = version_rows(spark, sf_dir)
     deleted = v.where(F.col("artifact_id").isin("src4", "src5")).select("artifact_id").distinct()
     return registry.unreferenced_builds(builds(v), v, deleted).select("build_id")
 
@@ -68,28 +72,23 @@ def cascade_detach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.detach(rows, "refs", "src2", F.col("conv_id") == 2).select("conv_id", F.concat_ws(",", F.array_sort("refs")).alias("refs"))
 
 
-@query(f"WITH {V} SELECT a.artifact_id, array_to_string(list_sort(list_filter(b.ids, lambda x: NOT list_contains(a.ids, x))), ',') AS added, array_to_string(list_sort(list_filter(a.ids, lambda x: NOT list_contains(b.ids, x))), ',') AS removed, len(list_intersect(a.ids, b.ids)) AS n_retained, CAST(len(b.ids) AS BIGINT) - len(a.ids) AS chunk_delta FROM ve a JOIN ve b ON a.artifact_id = b.artifact_id AND a.version_id = 0 AND b.version_id = 1")
+@query(f"WITH {V} SELECT a.artifact_id, len(list_filter(b.ids, lambda x: NOT list_contains(a.ids, x))) AS n_added, len(list_filter(a.ids, lambda x: NOT list_contains(b.ids, x))) AS n_removed, len(list_intersect(a.ids, b.ids)) AS n_retained, CAST(len(b.ids) AS BIGINT) - len(a.ids) AS chunk_delta FROM ve a JOIN ve b ON a.artifact_id = b.artifact_id AND a.version_id = 0 AND b.version_id = 1")
 def version_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    d = registry.version_delta(v.where("version_id = 0"), v.where("version_id = 1"))
-    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
-    return d.select("artifact_id", text(F.col("added")).alias("added"), text(F.col("removed")).alias("removed"), F.size("retained").cast("long").alias("n_retained"), "chunk_delta")
+    return registry.version_delta(v.where("version_id = 0"), v.where("version_id = 1"))
 
 
-@query("SELECT doc_id, 'added' AS change FROM documents WHERE doc_id % 10 >= 8 UNION ALL SELECT doc_id, 'removed' FROM documents WHERE doc_id % 10 <= 1 UNION ALL SELECT doc_id, 'retained' FROM documents WHERE doc_id % 10 BETWEEN 2 AND 7")
+@query("SELECT source AS artifact_id, doc_id AS source_id, CASE WHEN doc_id // 20 % 10 >= 8 THEN 'added' WHEN doc_id // 20 % 10 <= 1 THEN 'removed' ELSE 'retained' END AS change FROM documents")
 def source_set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set operations on two versions of the id list."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    old, new = d.where("doc_id % 10 < 8"), d.where("doc_id % 10 > 1")
-    parts = {"added": new.exceptAll(old), "removed": old.exceptAll(new), "retained": old.intersect(new)}
-    named = [p.withColumn("change", F.lit(k)) for k, p in parts.items()]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    """Members of each artifact's two versions, as rows."""
+    v = versions(spark, sf_dir)
+    return registry.set_changes(v.where("version_id = 0"), v.where("version_id = 1"), ["artifact_id", "source_id"])
 
 
 @query("SELECT lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(DISTINCT source) AS n FROM documents GROUP BY lang")
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("s"))
-    return g.select("lang", F.concat_ws(",", "s").alias("sources"), F.size("s").cast("long").alias("n"))
+    g = registry.distinct_sorted(table(spark, sf_dir, "documents"), "lang", "source")
+    return g.select("lang", F.concat_ws(",", "values").alias("sources"), F.size("values").cast("long").alias("n"))
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
@@ -100,12 +99,11 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.concat_ws(",", F.transform("rs", lambda r: r["role"])).alias("roles"))
 
 
-@query("SELECT source, array_to_string(list_distinct(list_concat(['en', 'de'], list_sort(list_distinct(list(lang))))), ',') IS NOT NULL AS merged, len(list_distinct(list_concat(['en', 'de'], list(lang)))) AS n FROM documents GROUP BY source")
+@query("WITH l AS (SELECT source, list_sort(list_distinct(list(lang))) AS ls FROM documents GROUP BY source) SELECT source, array_to_string(list_concat(['en', 'de'], list_filter(ls, lambda x: x NOT IN ('en', 'de'))), ',') AS merged FROM l")
 def merge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New members merged into a list that has some of them."""
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
-    merged = F.array_union(F.array(F.lit("en"), F.lit("de")), "langs")
-    return g.select("source", F.concat_ws(",", merged).isNotNull().alias("merged"), F.size(merged).cast("long").alias("n"))
+    g = registry.distinct_sorted(table(spark, sf_dir, "documents"), "source", "lang")
+    return g.select("source", F.concat_ws(",", registry.merge_ids(F.array(F.lit("en"), F.lit("de")), "values")).alias("merged"))
 
 
 @query("SELECT conv_id, count(*) AS n_messages, min_by(text, turn) FILTER (role = 'user') AS title, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
@@ -120,18 +118,17 @@ def date_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.vec_id, d.source, sha256(d.text) AS source_hash, e.label FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 2")
 def source_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector with its document's source and hash; the hash is taken before the join, so no text is shuffled."""
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") / 2).alias("k"), "source", F.sha2("text", 256).alias("source_hash")).where("k = floor(k)").select(F.col("k").cast("long").alias("vec_id"), "source", "source_hash")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label").join(d, "vec_id", "left").select("vec_id", "source", "source_hash", "label")
+    """Every vector with the name and hash of its document, the one of twice its number."""
+    chunks = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") * 2).alias("doc_id"))
+    return registry.provenance(chunks, table(spark, sf_dir, "documents"), "doc_id").select("vec_id", "source", "source_hash", "label")
 
 
 @query("SELECT a.vec_id, coalesce(b.vec_id, a.vec_id) AS target, b.vec_id IS NOT NULL AS has_parent FROM embeddings a LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) b ON b.vec_id = a.vec_id // 4 * 4")
 def parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Child to parent, falling back to the child where the parent is gone."""
     e = table(spark, sf_dir, "embeddings").select("vec_id")
-    parents = e.where("vec_id % 3 <> 0").withColumnRenamed("vec_id", "parent")
-    j = e.withColumn("parent", F.floor(F.col("vec_id") / 4) * 4).join(parents.withColumn("found", F.lit(True)), "parent", "left")
-    return j.select("vec_id", F.when(F.col("found"), F.col("parent")).otherwise(F.col("vec_id")).alias("target"), F.coalesce("found", F.lit(False)).alias("has_parent"))
+    children = e.withColumn("parent_id", F.floor(F.col("vec_id") / 4) * 4)
+    return fusion.parent_of(children, e.where("vec_id % 3 <> 0"), "vec_id").select("vec_id", "target", "has_parent")
 
 
 @query()

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import dense, fusion, lexical
+from corpusloom.operators import chunking, dense, fusion, lexical, profile
+from corpusloom.plans.chunk_queries import PART_COLUMNS, part_sheet
 from corpusloom.plans.registry import query, table
+from corpusloom.storage import stored
 
 K = 5
 SECTIONS = ["Abstract", "Introduction", "Methods", "Results", "Discussion", "Conclusion", "References"]
 
-Q = "q AS (SELECT item_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:12], ' ') AS query FROM benchmark)"
+Q = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TERMS = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS doc_len FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM t) AS tokens)"
 SCORES = (
     "qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+')) AS term FROM q) GROUP BY ALL), "
@@ -26,9 +28,8 @@ VEC = f"v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedd
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id and query: the first 12 words of every benchmark passage."""
-    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(words, 1, 12)).alias("query"))
+    """query_id and query: every benchmark passage."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +37,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lexical.score(lexical.postings(docs), lexical.corpus_stats(docs), text_queries(spark, sf_dir))
+    return lexical.score(*lexical.build_index(table(spark, sf_dir, "documents")), text_queries(spark, sf_dir))
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def dense_documents(spark: SparkSession, sf_dir: str, pool: int) -> DataFrame:
 
 @query(f"WITH {TERMS} SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf, n AS n_docs, tokens AS n_tokens FROM tf JOIN df USING (term), st GROUP BY ALL")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    terms = lexical.term_stats(lexical.postings(docs)).crossJoin(F.broadcast(lexical.corpus_stats(docs)))
+    index, stats = lexical.build_index(table(spark, sf_dir, "documents"))
+    terms = lexical.term_stats(index).crossJoin(F.broadcast(stats))
     return terms.select("term", "df", "cf", F.round(lexical.idf(F.col("df"), F.col("n_docs")), 6).alias("idf"), "n_docs", "n_tokens")
 
 
@@ -106,9 +106,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q}, {TERMS}, {SCORES}, {DENSE_DOCS} SELECT query_id, doc_id, d.rank IS NOT NULL AS dense, s.rank IS NOT NULL AS sparse FROM (SELECT * FROM de WHERE rank <= 20) d FULL JOIN (SELECT * FROM sp WHERE rank <= 20) s USING (query_id, doc_id)")
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of either side, once each, with where they came from."""
-    d = dense_documents(spark, sf_dir, 20).select("query_id", "doc_id", F.lit(True).alias("d"), F.lit(False).alias("s"))
-    s = lexical.top_k(bm25_scores(spark, sf_dir), 20).select("query_id", "doc_id", F.lit(False).alias("d"), F.lit(True).alias("s"))
-    return d.unionByName(s).groupBy("query_id", "doc_id").agg(F.bool_or("d").alias("dense"), F.bool_or("s").alias("sparse"))
+    return fusion.candidate_union(dense_documents(spark, sf_dir, 20), lexical.top_k(bm25_scores(spark, sf_dir), 20))
 
 
 BOOSTED = "bo AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 1.25 WHEN 1 THEN 1.05 WHEN 2 THEN 1.15 WHEN 3 THEN 1.2 WHEN 5 THEN 1.2 ELSE 1.0 END AS boost FROM documents)"
@@ -119,13 +117,13 @@ def section_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents take one of seven section headings by id; the BM25 side is not cut."""
     name = F.element_at(F.array(*map(F.lit, SECTIONS)), (F.col("doc_id") % 7 + 1).cast("int"))
     boosts = table(spark, sf_dir, "documents").select("doc_id", T.section_boost(name).alias("boost"))
-    hits = fusion.section_rerank(dense_documents(spark, sf_dir, 20), bm25_scores(spark, sf_dir), boosts, K)
+    hits = fusion.section_rerank(dense_documents(spark, sf_dir, 20), stored(bm25_scores(spark, sf_dir), "scores"), boosts, K)
     return hits.select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {Q}, {TERMS}, {SCORES}, m AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM bm GROUP BY ALL) SELECT query_id, doc_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END, 5) AS scaled FROM bm JOIN m USING (query_id)")
 def minmax_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.minmax(bm25_scores(spark, sf_dir), "score").select("query_id", "doc_id", F.round("score_scaled", 5).alias("scaled"))
+    return fusion.minmax(stored(bm25_scores(spark, sf_dir), "scores"), "score").select("query_id", "doc_id", F.round("score_scaled", 5).alias("scaled"))
 
 
 @query(f"WITH {Q}, {TERMS}, {SCORES}, c AS (SELECT query_id, source AS corpus, doc_id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS cr FROM bm JOIN documents USING (doc_id)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + cr), 6) DESC, score DESC, doc_id) AS INTEGER) AS rank FROM c WHERE cr <= 5) SELECT query_id, corpus, doc_id, CAST(round(1.0 / (60 + cr), 6) AS DOUBLE) AS rrf_score, score AS raw_score, rank FROM r WHERE rank <= 8")
@@ -139,25 +137,31 @@ def multi_corpus_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored vector asked again must find itself first, with cosine 0.7 at least."""
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    first = dense.dense_topk(e, asked, 1)
-    return first.select(F.col("query_id").alias("vec_id"), "score", ((F.col("vec_id") == F.col("query_id")) & (F.col("score") >= 0.7)).alias("consistent"))
+    return dense.self_consistency(e, e.where("vec_id % 10 = 0"))
 
 
-PARTS = "ch AS (SELECT 'part-' || p_partkey AS chunk_id, CASE WHEN p_partkey % 50 = 0 THEN 'schema' ELSE 'rows' END AS chunk_type, lower(p_name || '; ' || p_brand || '; ' || p_type || '; size ' || p_size) AS low FROM part)"
-PQ = "pq AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 400 = 0 THEN 'total size of ' ELSE 'about ' END || p_name || ' ' || p_brand AS query FROM part WHERE p_partkey % 200 = 0)"
+PARTS = (
+    "ch AS (SELECT 'part-' || p_partkey AS chunk_id, 'rows' AS chunk_type, lower(p_name || '; ' || p_brand || '; ' || p_type || '; size ' || p_size) AS low FROM part "
+    "UNION ALL SELECT 'part-schema', 'schema', lower('Dataset: part' || chr(10) || 'Sheet: main' || chr(10) || 'Total Rows: ' || count(*) || chr(10) || 'Total Columns: 3' || chr(10) || 'Columns & Types: p_name (string), p_brand (string), p_size (integer)') FROM part)"
+)
+PQ = "pq AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 200 = 0 THEN 'total size of ' ELSE 'about ' END || p_name || ' ' || p_brand AS query FROM part WHERE p_partkey % 100 = 0)"
 MATCH = "m AS (SELECT query_id, chunk_id, round(least(1.0, round(len(list_filter(ws, lambda w: contains(low, w))) / CAST(len(ws) AS DOUBLE), 4) + CASE WHEN chunk_type = 'schema' AND len(list_filter(ws, lambda w: contains(low, w))) > 0 THEN 0.1 ELSE 0 END), 4) AS score FROM (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+')) AS ws FROM pq) a, ch), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM m WHERE score > 0)"
 
 
 def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk a part and the schema chunk of the sheet."""
     p = table(spark, sf_dir, "part")
     text = F.concat(F.col("p_name"), F.lit("; "), F.col("p_brand"), F.lit("; "), F.col("p_type"), F.lit("; size "), F.col("p_size").cast("string"))
-    return p.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.when(F.col("p_partkey") % 50 == 0, "schema").otherwise("rows").alias("chunk_type"), text.alias("text"))
+    rows = p.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.lit("rows").alias("chunk_type"), text.alias("text"))
+    sheet = part_sheet(spark, sf_dir)
+    schema = chunking.schema_chunk(sheet, "part", PART_COLUMNS, profile.column_profile(profile.long_cells(sheet, PART_COLUMNS, F.col("position"))))
+    return rows.unionByName(schema.select(F.lit("part-schema").alias("chunk_id"), F.lit("schema").alias("chunk_type"), "text"))
 
 
 def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 200 = 0")
-    return p.select(F.col("p_partkey").alias("query_id"), F.concat(F.when(F.col("p_partkey") % 400 == 0, "total size of ").otherwise("about "), "p_name", F.lit(" "), "p_brand").alias("query"))
+    """Every part whose key is divisible by 100 asks for its name and brand, every second one for a total."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
+    return p.select(F.col("p_partkey").alias("query_id"), F.concat(F.when(F.col("p_partkey") % 200 == 0, "total size of ").otherwise("about "), "p_name", F.lit(" "), "p_brand").alias("query"))
 
 
 @query(f"WITH {PARTS}, {PQ}, {MATCH} SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(r AS INTEGER) AS rank FROM r WHERE r <= {K}")
@@ -166,15 +170,15 @@ def structured_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PARTS}, {PQ}, {MATCH}, cv AS (SELECT chunk_id, {HASHED.format('low')} AS v FROM ch), qv AS (SELECT query_id, {HASHED.format('query')} AS v FROM pq WHERE query NOT LIKE 'total%'), d AS (SELECT query_id, chunk_id, {COS} AS score FROM cv a, qv b), "
-    f"dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(substr(chunk_id, 6) AS BIGINT)) AS r FROM d) SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, 'structured_match' AS score_type FROM r WHERE r <= {K} AND query_id % 400 = 0 UNION ALL SELECT query_id, chunk_id, score, 'cosine_similarity' FROM dr WHERE r <= {K}"
+    f"WITH {PARTS}, {PQ}, {MATCH}, cv AS (SELECT chunk_id, {HASHED.format('low')} AS v FROM ch WHERE chunk_type = 'rows'), qv AS (SELECT query_id, {HASHED.format('query')} AS v FROM pq WHERE query NOT LIKE 'total%'), d AS (SELECT query_id, chunk_id, {COS} AS score FROM cv a, qv b), "
+    f"dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(substr(chunk_id, 6) AS BIGINT)) AS r FROM d) SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, 'structured_match' AS score_type FROM r WHERE r <= {K} AND query_id % 200 = 0 UNION ALL SELECT query_id, chunk_id, score, 'cosine_similarity' FROM dr WHERE r <= {K}"
 )
 def structured_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantitative queries match tokens, the others go to the dense list; the split is a column, not a loop."""
     q = part_queries(spark, sf_dir)
     chunks = part_chunks(spark, sf_dir)
     exact = fusion.structured_match(q.where(T.is_quantitative(F.col("query"))), chunks, K).withColumn("score_type", F.lit("structured_match"))
-    vectors = chunks.select(F.substring("chunk_id", 6, 20).cast("long").alias("n"), T.hash_embedding(F.lower("text")).alias("embedding"))
+    vectors = chunks.where("chunk_type = 'rows'").select(F.expr("try_cast(substring(chunk_id, 6) AS long)").alias("n"), T.hash_embedding(F.lower("text")).alias("embedding"))
     asked = q.where(~T.is_quantitative(F.col("query"))).select("query_id", T.hash_embedding(F.col("query")).alias("embedding"))
     similar = dense.dense_topk(vectors, asked, K, "n").select("query_id", F.concat(F.lit("part-"), F.col("n").cast("string")).alias("chunk_id"), "score", F.lit("cosine_similarity").alias("score_type"))
     return exact.select("query_id", "chunk_id", "score", "score_type").unionByName(similar)

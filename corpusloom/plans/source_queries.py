@@ -14,13 +14,28 @@ from corpusloom.streaming import ingest
 SAMPLES = ["", "%PDF-1.7 x", '<?xml version="1.0"?><a/>', '{"a": 1}', "a\tb\n1\t2", "a,b\n1,2", "# T\n- x\n- y", "plain"]
 
 
-@query("WITH f AS (SELECT 'p' || page_id AS path, html AS c FROM pages UNION ALL SELECT 'd' || doc_id, ['', '%PDF-1.7 x', '<?xml version=\"1.0\"?><a/>', '{\"a\": 1}', 'a' || chr(9) || 'b' || chr(10) || '1' || chr(9) || '2', 'a,b' || chr(10) || '1,2', '# T' || chr(10) || '- x' || chr(10) || '- y', 'plain'][doc_id % 8 + 1] FROM documents) SELECT path, CASE WHEN path[1] = 'p' THEN 'html' ELSE ['empty', 'pdf', 'xml', 'json', 'tsv', 'csv', 'md', 'txt'][CAST(substr(path, 2) AS BIGINT) % 8 + 1] END AS format FROM f")
+FORMATS = ["empty", "pdf", "xml", "json", "tsv", "csv", "md", "txt"]
+MADE = "['', '%PDF-1.7 x', '<?xml version=\"1.0\"?><a/>', '{\"a\": 1}', 'a' || chr(9) || 'b' || chr(10) || '1' || chr(9) || '2', 'a,b' || chr(10) || '1,2', '# T' || chr(10) || '- x' || chr(10) || '- y', 'plain']"
+
+
+def _even(mark: str) -> str:
+    return f"(len(five) > 1 AND list_min(list_transform(five, lambda l: len(l) - len(replace(l, {mark}, '')))) > 0 AND list_min(list_transform(five, lambda l: len(l) - len(replace(l, {mark}, '')))) = list_max(list_transform(five, lambda l: len(l) - len(replace(l, {mark}, '')))))"
+
+
+@query(
+    f"WITH d AS (SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.TXT' ELSE '' END AS path, CASE WHEN doc_id % 16 < 8 THEN {MADE}[doc_id % 16 + 1] ELSE text END AS c FROM documents), "
+    "l AS (SELECT path, trim(c, ' ' || chr(10)) AS h, list_filter(list_transform(string_split(substr(c, 1, 4096), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1:20] AS lines FROM d), v AS (SELECT *, lines[1:5] AS five FROM l), "
+    f"f AS (SELECT path, CASE WHEN h = '' THEN 'empty' WHEN starts_with(h, '%PDF-') THEN 'pdf' WHEN starts_with(h, '<?xml') THEN 'xml' WHEN starts_with(h, '{{') OR starts_with(h, '[') THEN 'json' WHEN {_even('chr(9)')} THEN 'tsv' WHEN {_even(repr(','))} OR {_even(repr(';'))} THEN 'csv' WHEN len(list_filter(lines, lambda x: starts_with(x, '#') OR starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '> ') OR starts_with(x, chr(96) || chr(96) || chr(96)) OR (contains(x, '|') AND contains(x, '-|-')))) >= 2 THEN 'md' ELSE 'txt' END AS format FROM v) "
+    "SELECT path, format, contains(path, '.') AND lower(string_split(path, '.')[2]) <> format AS mismatch FROM f UNION ALL SELECT 'p' || page_id || '.html', 'html', false FROM pages"
+)
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as they are, and for every document a small file of a format by its id."""
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    made = F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("doc_id") % len(SAMPLES) + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.encode(made, "UTF-8").alias("content"))
-    return files.detect_format(pages.unionByName(docs)).select("path", "format")
+    """Pages and documents as files with extensions; half of the documents are small files of a format by id."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    k = F.col("doc_id")
+    made = F.element_at(F.array(*map(F.lit, SAMPLES)), F.least(k % 16, F.lit(7)).cast("int") + 1)
+    end = F.when(k % 3 == 0, ".csv").when(k % 3 == 1, ".TXT").otherwise("")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), k.cast("string"), end).alias("path"), F.encode(F.when(k % 16 < 8, made).otherwise(F.col("text")), "UTF-8").alias("content"))
+    return files.detect_format(pages.unionByName(docs))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer")
@@ -31,19 +46,22 @@ def read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_delimited(spark, path, "\t")
 
 
-@query("SELECT event_id, event_type, user_id, round(value, 2) AS value FROM events")
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN user_id % 3 = 0 THEN 'yes' END AS vip FROM events")
 def read_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as JSON objects and read again."""
+    """Events written as JSON objects, some with a key more, and read again."""
     path = shared_path(spark, "json")
-    table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.round("value", 2).alias("value")).write.json(path)
-    return spark.read.schema("event_id long, event_type string, user_id long, value double").json(path)
+    table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.when(F.col("user_id") % 3 == 0, "yes").alias("vip")).write.json(path)
+    return files.read_json_records(spark, path)
 
 
-@query("SELECT event_id, 'k' AS key_path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'tags[0]', event_type FROM events UNION ALL SELECT event_id, 'tags[1].n', CAST(user_id AS VARCHAR) FROM events")
+@query(
+    "WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS t, CAST(user_id AS VARCHAR) AS u FROM events) SELECT event_id, CAST(0 AS INTEGER) AS block_index, 'paragraph' AS type, CAST(NULL AS INTEGER) AS level, 'k' AS key_path, 'k: ' || k AS content FROM e "
+    "UNION ALL SELECT event_id, 1, 'heading', 1, 'tags', 'tags' FROM e UNION ALL SELECT event_id, 2, 'paragraph', NULL, 'tags[0]', t FROM e UNION ALL SELECT event_id, 3, 'paragraph', NULL, 'tags[1].n', 'n: ' || u FROM e UNION ALL SELECT event_id, 4, 'heading', 2, 'tags[1].deep', 'deep' FROM e UNION ALL SELECT event_id, 5, 'paragraph', NULL, 'tags[1].deep.ok', 'ok: True' FROM e"
+)
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The props of every event with a nested list added."""
     e = table(spark, sf_dir, "events")
-    doc = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "tags": ["'), "event_type", F.lit('", {"n": '), F.col("user_id").cast("string"), F.lit("}]}"))
+    doc = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "tags": ["'), "event_type", F.lit('", {"n": '), F.col("user_id").cast("string"), F.lit(', "deep": {"ok": true}}]}'))
     return files.json_flatten(e.select("event_id", doc.alias("doc")), "event_id", "doc")
 
 
@@ -63,19 +81,38 @@ def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.xml_flatten(s.select("s_suppkey", doc.alias("doc")), "s_suppkey", "doc")
 
 
+@query("WITH s AS (SELECT s_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n, count(*) OVER (PARTITION BY s_nationkey) AS c FROM supplier) SELECT s_nationkey, CAST(n AS INTEGER) AS record, unnest(['key', 'name']) AS field, unnest([CAST(s_suppkey AS VARCHAR), s_name]) AS value FROM s WHERE c >= 2 AND s_nationkey % 3 <> 0")
+def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of each nation as an XML text; every third nation's first record has a field more, so it is no table."""
+    s = table(spark, sf_dir, "supplier")
+    item = F.concat(F.lit("<item><key>"), F.col("s_suppkey").cast("string"), F.lit("</key><name>"), "s_name", F.lit("</name></item>"))
+    g = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", item.alias("x")))).alias("xs"))
+    more = F.when(F.col("s_nationkey") % 3 == 0, "<item><a/><b/><c/></item>").otherwise("")
+    doc = F.concat(F.lit("<items>"), more, F.concat_ws("", F.transform("xs", lambda x: x["x"])), F.lit("</items>"))
+    return files.xml_records(g.select(F.col("s_nationkey").cast("long").alias("s_nationkey"), doc.alias("doc")), "s_nationkey", "doc")
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>\\s*(.*?)\\s*</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of every page that has a block."""
+    return files.html_to_blocks(table(spark, sf_dir, "pages")).select("page_id", "title").distinct()
+
+
 @query()
 def html_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every page; order, kinds and dropped elements are tested in tests/."""
     return files.html_to_blocks(table(spark, sf_dir, "pages")).select("page_id", "block_index", "type", "level", F.sha2("content", 256).alias("digest"))
 
 
-@query("SELECT label, count(*) AS n, CAST(64 AS INTEGER) AS dimension FROM embeddings GROUP BY label")
+@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dimension, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors written as a build's index, read back with its count checked."""
+    """Vectors written as two builds of an index, one of them read back with its count checked."""
     e = table(spark, sf_dir, "embeddings")
     path = shared_path(spark, "index")
     files.write_index(e, path, "b1")
-    return files.read_index(spark, path, "b1", e.count()).groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimension"))
+    files.write_index(e.where("label = 0"), path, "b2")
+    back = files.read_index(spark, path, "b1", e.count())
+    return back.select("vec_id", "label", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
 @query("SELECT 'p' || page_id AS path, CASE WHEN page_id % 10 = 0 THEN 'undeclared' WHEN page_id % 10 = 1 THEN 'mismatch' WHEN page_id % 10 = 2 THEN 'missing' ELSE 'ok' END AS state FROM pages")
@@ -93,14 +130,12 @@ def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, sha256(text) = first_value(sha256(text)) OVER (PARTITION BY sha256(text)) AS known FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id FROM documents")
 def streaming_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry after the whole stream; every row's first document must have its content."""
+    """The registry after the whole stream (one file, so one batch): every row names the first document of its content."""
     path = shared_path(spark, "registry")
     ingest.register_sources(document_stream(spark, sf_dir), path, shared_path(spark, "registry-state")).awaitTermination()
-    r = spark.read.parquet(path)
-    first = r.select(F.col("doc_id").alias("first_doc_id"), F.col("sha256").alias("first_sha256"))
-    return r.join(first, "first_doc_id").select("doc_id", "sha256", (F.col("sha256") == F.col("first_sha256")).alias("known"))
+    return spark.read.parquet(path).select("doc_id", "sha256", "first_doc_id")
 
 
 @query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term UNION ALL SELECT NULL, (SELECT count(*) FROM documents), (SELECT count(*) FROM t)")
@@ -111,12 +146,12 @@ def streaming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.merged_stats(spark, stats)
 
 
-@query("WITH d AS (SELECT date_trunc('day', ts) AS start, value FROM events) SELECT start, count(*) AS n FROM d WHERE start < (SELECT max(start) FROM d) GROUP BY start")
+@query("WITH d AS (SELECT date_trunc('day', ts) AS start, value FROM events) SELECT start, count(*) AS n, quantile_disc(value, 0.5) FILTER (value > 0) AS p50, quantile_disc(value, 0.95) FILTER (value > 0) AS p95 FROM d WHERE start < (SELECT max(start) FROM d) GROUP BY start")
 def streaming_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed day windows of the event stream. Percentiles are approximate there, so the count is what SQL checks."""
+    """Closed day windows of the event stream. The sketch keeps up to 10,000 values of a window exactly; it gives one of them."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     path = shared_path(spark, "latency")
     q = ingest.windowed_latency(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, "latency-state")).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
-    return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "p50", "p95")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -84,31 +86,113 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.toDF(*[c.strip() if c.strip() and not c.startswith("_c") else f"col_{i}" for i, c in enumerate(df.columns)])
 
 
-def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or one object a line: columns are the union of keys."""
-    return spark.read.json(path, multiLine=True)
+#: Records that decide whether JSON is a table, and records whose keys become its columns.
+JSON_LOOK, JSON_KEYS = 50, 100
+
+
+def read_json_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """A file with an array of objects, or files with one object a line, as strings; None if the first 50 items are not all
+    objects (such data goes to :func:`json_flatten`).
+
+    Columns are the keys of the first 100 records in the order in which they are first seen. Only those records are looked
+    at by the driver; all others are read once, as variants.
+    """
+    first = spark.read.text(path).where(F.col("value").rlike(r"\S")).first()
+    array = first is not None and first["value"].lstrip().startswith("[")
+    head = _first_items(spark.read.text(path, wholetext=True), JSON_KEYS) if array else [json.loads(r["value"]) for r in spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(JSON_KEYS).collect()]
+    if not head or not all(isinstance(x, dict) for x in head[:JSON_LOOK]):
+        return None
+    keys = dict.fromkeys(k for x in head if isinstance(x, dict) for k in x)
+    records = spark.read.option("multiLine", array).option("singleVariantColumn", "v").json(path)
+    if array:
+        records = spark.sql("SELECT e.value AS v FROM {files}, LATERAL variant_explode(v) AS e", files=records)
+    return records.select(*[F.try_variant_get("v", "$[" + json.dumps(k) + "]", "string").alias(k) for k in keys])
+
+
+def _first_items(texts: DataFrame, n: int) -> list:
+    """The first n items of each text's array, cut off in its task."""
+    ready(texts.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b.iloc[:, 0]:
+                items, at, end = [], raw.index("[") + 1, re.compile(r"[\s,]*")
+                while len(items) < n and (at := end.match(raw, at).end()) < len(raw) and raw[at] != "]":
+                    item, at = json.JSONDecoder().raw_decode(raw, at)
+                    items.append(json.dumps(item))
+                yield pd.DataFrame({"item": items}, dtype=object)
+
+    return [json.loads(r["item"]) for r in texts.mapInPandas(run, "item string").limit(n).collect()]
 
 
 def json_flatten(rows: DataFrame, key: str, doc: str) -> DataFrame:
-    """(key, key_path, value) of every leaf of a JSON text, level by level until nothing is nested.
+    """(key, block_index, type, level, key_path, content) of a JSON text in document order: a heading for a key that holds a
+    container (level 6 at most), 'key: value' for a leaf, the value alone for an item of a list.
 
-    Containers are exploded as variants; the number of levels is that of the deepest document, each one Spark stage.
+    A text that is no JSON gives no block. Each document is parsed once, in its task, with a stack and at any depth that the
+    parser takes.
     """
-    level = rows.select(key, F.lit("").alias("key_path"), F.try_parse_json(F.col(doc)).alias("v")).where("v IS NOT NULL")
-    leaves = None
-    for _ in range(32):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        done = level.where(~nested).select(key, "key_path", F.col("v").cast("string").alias("value"))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        deeper = level.where(nested)
-        if deeper.limit(1).isEmpty():
-            return leaves
-        deeper.createOrReplaceTempView("_json_level")
-        step = rows.sparkSession.sql(f"SELECT {key}, key_path, e.pos, e.key AS k, e.value AS v FROM _json_level, LATERAL variant_explode(v) AS e")
-        part = F.when(F.col("k").isNull(), F.concat("key_path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("key_path") == "", F.col("k")).otherwise(F.concat("key_path", F.lit("."), "k"))
-        level = step.select(key, part.alias("key_path"), "v")
-    raise ValueError("a document is nested deeper than 32 levels")
+    ready(rows.sparkSession)
+
+    def walk(doc: object) -> Iterator[tuple[str, int | None, str, str]]:
+        stack: list[tuple] = [("value", doc, "", 1, "")]
+        while stack:
+            kind, node, path, level, name = stack.pop()
+            if kind == "member" and isinstance(node, dict | list):
+                yield "heading", min(level, 6), path, name
+                stack.append(("value", node, path, level + 1, ""))
+            elif kind == "member":
+                yield "paragraph", None, path, f"{name}: {node}"
+            elif isinstance(node, dict):
+                stack += [("member", v, f"{path}.{k}" if path else k, level, k) for k, v in reversed(node.items())]
+            elif isinstance(node, list):
+                stack += [("value", v, f"{path}[{i}]", level, "") for i, v in reversed(list(enumerate(node)))]
+            else:
+                yield "paragraph", None, path, str(node)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
+                try:
+                    out += [(k, i, *block) for i, block in enumerate(walk(json.loads(raw)))]
+                except (ValueError, TypeError, RecursionError):
+                    continue
+            frame = pd.DataFrame(out, columns=[key, "block_index", "type", "level", "key_path", "content"])
+            frame["level"] = frame["level"].astype("Int32")
+            yield frame
+
+    return rows.select(key, doc).mapInPandas(run, f"{key} long, block_index int, type string, level int, key_path string, content string")
+
+
+#: Children of an XML root that decide whether it is a table.
+XML_LOOK = 10
+
+
+def xml_records(rows: DataFrame, key: str, doc: str) -> DataFrame:
+    """(key, record, field, value) of XML texts that are tables: two children at least, of which the first ten have the same
+    number of fields, not zero. Fields are those of the first record, values strings or null. Other texts give no row; they go
+    to :func:`xml_flatten`."""
+    ready(rows.sparkSession)
+    plain = lambda node: node.tag.rpartition("}")[2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
+                try:
+                    records = list(ElementTree.fromstring(raw or ""))
+                except ElementTree.ParseError:
+                    continue
+                if len(records) < 2 or not len(records[0]) or any(len(r) != len(records[0]) for r in records[:XML_LOOK]):
+                    continue
+                fields = dict.fromkeys(map(plain, records[0]))
+                for n, r in enumerate(records):
+                    own = {plain(c): (c.text or "").strip() or None for c in r}
+                    out += [(k, n, f, own.get(f)) for f in fields]
+            yield pd.DataFrame(out, columns=[key, "record", "field", "value"])
+
+    return rows.select(key, doc).mapInPandas(run, f"{key} long, record int, field string, value string")
 
 
 def read_xml_records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
@@ -212,7 +296,8 @@ class _Blocks(HTMLParser):
 
 
 def html_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, block_index, type, level, content): headings, paragraphs, list items, tables, quotes and code of every page."""
+    """(key, block_index, type, level, content, title): headings, paragraphs, list items, tables, quotes and code of every page,
+    each with the page's title."""
     ready(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,12 +307,12 @@ def html_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -
                 p = _Blocks()
                 p.feed(raw or "")
                 p._close()
-                rows += [(k, i, t, lvl, c) for i, (t, lvl, c) in enumerate(p.out)]
-            out = pd.DataFrame(rows, columns=[key, "block_index", "type", "level", "content"])
+                rows += [(k, i, t, lvl, c, p.title) for i, (t, lvl, c) in enumerate(p.out)]
+            out = pd.DataFrame(rows, columns=[key, "block_index", "type", "level", "content", "title"])
             out["level"] = out["level"].astype("Int32")
             yield out
 
-    return pages.select(key, html).mapInPandas(run, f"{key} long, block_index int, type string, level int, content string")
+    return pages.select(key, html).mapInPandas(run, f"{key} long, block_index int, type string, level int, content string, title string")
 
 
 def write_index(vectors: DataFrame, path: str, build_id: str) -> None:

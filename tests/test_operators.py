@@ -30,9 +30,38 @@ def test_normalize(spark):
     assert one(spark, "Text. --- Page 4 End --- 45-10th Unit_2.indd 45 28-11\nmore", T.normalize_for_dedup) == "text. more"
 
 
-@pytest.mark.parametrize("query,want", [("wat is the auther?", "What is the author?"), ("young seagull", "young seagull"), ("how does it work!!", "How does it work?"), ("", "")])
-def test_standardize(spark, query, want):
-    assert one(spark, query, T.standardize_query) == want
+CASES = [
+    ("wat is the auther?", "What is the author?", ["auther -> author", "wat is -> what is"]),
+    ("young seagull", "young seagull", []),
+    ("how does it work!!", "How does it work?", []),
+    ("", "", []),
+    ("Dr. Smith's?", "Who is Dr. Smith?", ["resolved malformed possessive entity"]),
+    ("Young Seagull’s", "Young Seagull", ["resolved malformed possessive entity"]),
+    ("what is Young Seagull's ?", "What is Young Seagull?", ["resolved malformed possessive entity"]),
+    ("The Grumble Family auther name?", "What is the author of The Grumble Family?", ["auther -> author", "formulated natural author question"]),
+    ("who is the author?", "Who is the author?", []),
+    ("author of book", "What is the author of the book?", ["normalized informal author query"]),
+    ("summary of the author", "summary of the author", []),
+]
+
+
+@pytest.mark.parametrize("query,want,changes", CASES)
+def test_standardize(spark, query, want, changes):
+    got = one(spark, query, T.standardized)
+    assert got["query"] == want and sorted(got["changes"]) == sorted(changes)
+
+
+def test_word_sets_have_boundaries(spark):
+    """Words with a letter of another script or an accent give nothing, not their fragments."""
+    assert sorted(one(spark, "Die Straße ist größer, über_alles naïve code_42 été abc", T.word_set)) == ["abc", "code_42", "die", "ist"]
+    assert one(spark, "ünd xé", T.word_set) == []
+
+
+def test_canonical_hash(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(2, "x")], "b int, a string")
+    assert df.select(T.canonical_hash("b", "a").alias("h")).first()["h"] == hashlib.sha256(b'{"a":"x","b":2}').hexdigest()
 
 
 @pytest.mark.parametrize("heading,section", [("2. Related Work", "related_work"), ("System Design", "methodology"), ("Concluding remarks", "conclusion"), ("Chapter One", "body")])
@@ -44,12 +73,19 @@ def test_answer_cleaning():
     repeated = "The cat sat on the mat today. The cat sat on the mat today. Dogs run in the park every day."
     assert clean_text(repeated) == "The cat sat on the mat today. Dogs run in the park every day."
     assert clean_text("A full sentence stands here now. And an unfinished") == "A full sentence stands here now."
-    assert clean_text("") == ""
-    assert one_paragraph(clean_text("One two three four five six seven.\n\nOne two three four five six seven."))
+    assert clean_text("") == "" and clean_text(" \n ") == " \n "
+    assert clean_text("One two three four five six seven.\n\nOne two three four five six seven.") == "One two three four five six seven."
 
 
-def one_paragraph(text):
-    return "\n\n" not in text and text
+def test_answer_cleaning_of_short_sentences_and_citations():
+    assert clean_text("Yes. Yes. It is so and stays so for long.") == "Yes. It is so and stays so for long."
+    assert clean_text("The sky is blue over the town. [chk_a1]\n\n[chk_b2]") == "The sky is blue over the town. [chk_a1] [chk_b2]"
+    assert clean_text("The sky is blue over the town [chk_a1] and more") == "The sky is blue over the town [chk_a1]"
+    assert clean_text("45-10th Unit_2.indd 45\nThe text goes on after a footer line here.") == "The text goes on after a footer line here."
+    first, second = "alpha beta gamma delta epsilon zeta.", "alpha beta gamma delta epsilon omega."
+    assert clean_text(f"{first} {second}") == first  # 5 of 7 words, in one paragraph
+    assert clean_text(f"{first}\n\nalpha beta gamma other words here.\n\nalpha beta gamma delta epsilon things.") == f"{first}\n\nalpha beta gamma other words here."
+    assert clean_text("A whole sentence that stands alone here.\n\nThe poem describes how") == "A whole sentence that stands alone here."
 
 
 def test_token_safe_split_keeps_all_words(spark):
@@ -89,9 +125,91 @@ def test_markdown(spark):
 def test_html(spark):
     html = "<html><head><title>T</title><script>x</script></head><body><nav>menu</nav><h2>Head</h2><p>Some  <b>bold</b> text</p><ul><li>a</li></ul><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>2</td></tr></table><pre>a\n b</pre></body></html>"
     got = [(r["type"], r["level"], r["content"]) for r in files.html_to_blocks(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("block_index").collect()]
+    assert {r["title"] for r in files.html_to_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()} == {"T"}
     assert got == [("heading", 2, "Head"), ("paragraph", None, "Some bold text"), ("list_item", None, "a"), ("table", None, "k | v\n--- | ---\n1 | 2"), ("code", None, "a\n b")]
 
 
+def test_samples(spark):
+    from corpusloom.operators import sampling
+
+    rows = spark.createDataFrame([(i, "g" if i % 3 else "h") for i in range(47)], "k long, g string")
+    at = {r["k"]: r["position"] for r in sampling.numbered(rows, "g", "k").collect()}
+    assert all(at[k] == n for g in ("g", "h") for n, k in enumerate(k for k in range(47) if ("g" if k % 3 else "h") == g))
+    for n, want in ((11, 6), (5, 5), (6, 6), (1000, 6)):
+        assert sampling.systematic(spark.range(n).selectExpr("id AS k", "'x' AS g"), "g", "k").count() == want
+    for n, parts in ((8, {"first": 8}), (12, {"first": 10, "last": 5}), (18, {"first": 10, "last": 5, "sampled": 10}), (40, {"first": 10, "last": 5, "sampled": 10})):
+        got = sampling.dataset_sample(spark.range(n).withColumnRenamed("id", "k"), "k").collect()
+        assert {p: sum(r["part"] == p for r in got) for p in {r["part"] for r in got}} == parts
+        drawn = [r["k"] for r in got if r["part"] == "sampled"]
+        assert n <= 20 or all(10 <= k < n - 5 for k in drawn)
+
+
+def test_document_sample_is_trimmed(spark):
+    from corpusloom.operators import sampling
+
+    lines = ["# x"] + [" ".join(f"w{k}" for k in range(900)) for _ in range(8)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "a\nb")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in sampling.document_sample(chunking.line_documents(docs)).collect()}
+    assert len(rows[1]["middle"]) == 1500 and len(rows[1]["tail"]) == 1000 and rows[2]["middle"] is None and rows[2]["head"] == "a\n\nb"
+    assert rows[1]["tokens"] == int(len("\n".join([rows[1]["head"], rows[1]["middle"], rows[1]["tail"]]).split()) * 1.33)
+
+
+def test_suggested_questions(spark):
+    from corpusloom.operators import questions
+
+    chunks = spark.createDataFrame([("a", 1, "x\nHow does the pump work in winter?\n2. Design Goal\nsee", ["1. Safety rules", "Page 3"]), ("a", 2, "Did you forgot your password or login?", [])], "source string, doc_id long, text string, heading_path array<string>")
+    names = spark.createDataFrame([("a", "my_file.pdf"), ("b", "")], "source string, name string")
+    got = {}
+    for r in questions.suggest_questions(chunks, names).orderBy("source", "rank").collect():
+        got.setdefault(r["source"], []).append(r["question"])
+    assert got["a"] == ["How does the pump work in winter?", "What is the design goal of this document?", "Explain the key safety rules.", "What is the main purpose of my file?"]
+    assert got["b"][0] == "What is the main purpose of this document?" and len(got["b"]) == 4
+
+
+def test_retrieval_caps_and_strategies(spark):
+    from corpusloom.operators import retrieval
+
+    chunks = spark.createDataFrame([(i, f"s{i % 2}", f"text number {i} of the corpus") for i in range(30)], "doc_id long, source string, text string")
+    asked = spark.createDataFrame([(1, "q", None, "document_rag"), (2, "q", 20, "hybrid_rag"), (3, "q", 21, "document_rag"), (4, "q", 3, "graph_rag")], "query_id long, query string, top_k int, architecture string")
+    strategy = lambda q, k: q.select("query_id").crossJoin(chunks.select("doc_id", (F.col("doc_id") + 1).alias("rank"), (1 - F.col("doc_id") / 100).alias("score"))).where(F.col("rank") <= k)
+    hits = retrieval.retrieve(asked, {"document_rag": strategy, "hybrid_rag": strategy}, chunks).collect()
+    n = {i: sum(r["query_id"] == i for r in hits) for i in (1, 2, 3, 4)}
+    assert n == {1: 5, 2: 20, 3: 0, 4: 0} and {r["query_id"] for r in retrieval.invalid_queries(asked).collect()} == {3}
+    assert {r["score_type"] for r in hits if r["query_id"] == 2} == {"rrf"}
+
+
+def test_judge_and_analyzer_slots(spark):
+    from corpusloom.operators import slots
+
+    answers = spark.createDataFrame([(1, "The cat sleeps on a warm mat.", "a warm mat and a cat that sleeps", False), (2, "I cannot find it.", "", True)], "answer_id long, answer string, context string, out_of_domain boolean")
+    own = {r["answer_id"]: (r["n_claims"], r["n_supported"], r["disclaimer_ok"]) for r in slots.judge(answers).collect()}
+    assert own == {1: (1, 1, True), 2: (1, 0, True)}
+
+    def model():
+        import pandas as pd
+
+        return lambda b: pd.DataFrame({"answer_id": b["answer_id"], "n_claims": 7, "n_supported": 3, "disclaimer_ok": True})
+
+    assert {r["n_claims"] for r in slots.judge(answers, model).collect()} == {7}
+    docs = spark.createDataFrame([(1, "The patient of the Hospital")], "doc_id long, text string")
+    r = slots.analyze(docs).first()
+    assert (r["domain"], r["entities"]) == ("healthcare", ["Hospital"])
+
+
+def test_masked_mean(spark):
+    from corpusloom.operators.embedding import mean_pool
+
+    rows = spark.createDataFrame([(1, [3.0, 0.0], True), (1, [3.0, 8.0], True), (1, [100.0, 1.0], False), (2, [0.0, 0.0], True)], "k long, embedding array<float>, mask boolean")
+    assert {r["k"]: r["embedding"] for r in mean_pool(rows, "k").collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+
+
+def test_schema_chunk(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
+    kinds = profile.column_profile(profile.long_cells(rows, ["n", "s"], F.col("n")))
+    text = chunking.schema_chunk(rows, "d", ["n", "s"], kinds).first()["text"]
+    assert text == "Dataset: d\nSheet: main\nTotal Rows: 2\nTotal Columns: 2\nColumns & Types: n (integer), s (string)"
+
+
 def test_zip_members(spark):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
@@ -101,10 +219,31 @@ def test_zip_members(spark):
     assert got == {"a.docx": ("docx", False), "b.txt": ("zip", True), "c.pdf": ("pdf", False), "d.md": ("txt", True), "e.doc": ("cfbf", True)}
 
 
-def test_json_levels(spark):
-    df = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}]}, "d": "x"}'), (2, "not json"), (3, None)], "id long, doc string")
-    got = {(r["id"], r["key_path"]): r["value"] for r in files.json_flatten(df, "id", "doc").collect()}
-    assert got == {(1, "a.b[0]"): "1", (1, "a.b[1].c"): None, (1, "d"): "x"}
+def test_json_blocks(spark):
+    deep = '{"x": ' * 200 + "1" + "}" * 200
+    df = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}]}, "d": "x"}'), (2, "not json"), (3, None), (4, '[true, 1.5]'), (5, deep)], "id long, doc string")
+    rows = files.json_flatten(df, "id", "doc").orderBy("id", "block_index").collect()
+    got = [(r["id"], r["type"], r["level"], r["key_path"], r["content"]) for r in rows if r["id"] < 5]
+    assert got == [
+        (1, "heading", 1, "a", "a"), (1, "heading", 2, "a.b", "b"), (1, "paragraph", None, "a.b[0]", "1"), (1, "paragraph", None, "a.b[1].c", "c: None"), (1, "paragraph", None, "d", "d: x"),
+        (4, "paragraph", None, "[0]", "True"), (4, "paragraph", None, "[1]", "1.5"),
+    ]
+    assert len([r for r in rows if r["id"] == 5]) == 200 and max(r["level"] or 0 for r in rows) == 6
+
+
+def test_json_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"b": 1, "a": "x"}, {"c": true, "b": null}]')
+    df = files.read_json_records(spark, str(tmp_path / "a.json"))
+    assert df.columns == ["b", "a", "c"] and [tuple(r) for r in df.collect()] == [("1", "x", None), (None, None, "true")]
+    (tmp_path / "b.json").write_text("[1, 2]")
+    assert files.read_json_records(spark, str(tmp_path / "b.json")) is None
+
+
+def test_xml_tables(spark):
+    table = "<r><i><a>1</a><b> x </b></i><i><a/><b>y</b></i></r>"
+    df = spark.createDataFrame([(1, table), (2, "<r><i><a>1</a></i></r>"), (3, "<r><i><a>1</a></i><i><a/><b/></i></r>"), (4, "<r>t</r>"), (5, "no xml"), (6, None), (7, '<n:r xmlns:n="u"><n:i><n:a>1</n:a></n:i><n:i><n:a>2</n:a></n:i></n:r>')], "id long, doc string")
+    got = sorted(((r["id"], r["record"], r["field"], r["value"]) for r in files.xml_records(df, "id", "doc").collect()), key=repr)
+    assert got == [(1, 0, "a", "1"), (1, 0, "b", "x"), (1, 1, "a", None), (1, 1, "b", "y"), (7, 0, "a", "1"), (7, 1, "a", "2")]
 
 
 def test_index_checks(spark, tmp_path):
@@ -134,10 +273,50 @@ def test_corpus_dedup_equals_greedy_hits(spark, sf_dir):
     assert {r["id"] for r in dedup.dedupe_corpus(docs, []).collect()} == greedy
 
 
-def test_independent_set(spark):
-    nodes = spark.createDataFrame([(i,) for i in range(6)], "id long")
-    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4)], "a long, b long")
-    assert {r["id"] for r in dedup.first_independent(nodes, edges).collect()} == {0, 2, 4, 5}
+def greedy_kept(n, edges):
+    kept = set()
+    for b in range(n):
+        if not any(a in kept for a, x in edges if x == b):
+            kept.add(b)
+    return kept
+
+
+@pytest.mark.parametrize("rounds,most", [(8, 200_000), (1, 200_000), (2, 5)])
+def test_independent_set(spark, rounds, most):
+    """A chain of 60, a clique, a star and random edges: rounds, components in one task, and components too large for one."""
+    import random
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(i, j) for i in range(70, 78) for j in range(i + 1, 78)] + [(80, j) for j in range(81, 95)]
+    edges += [tuple(sorted(rng.sample(range(100, 140), 2))) for _ in range(60)]
+    nodes = spark.range(150).toDF("id")
+    got = dedup.first_independent(nodes, spark.createDataFrame(edges, "a long, b long"), rounds, most)
+    assert {r["id"] for r in got.collect()} == greedy_kept(150, edges)
+    assert dedup.first_independent(nodes, spark.createDataFrame([], "a long, b long")).count() == 150
+
+
+def test_large_groups_are_one_node(spark):
+    """Texts of one word set in other orders, and a second set near to it: only first rows decide."""
+    import random
+
+    rng = random.Random(1)
+    base = [f"word{k}" for k in range(40)]
+    rows = []
+    for i in range(60):
+        ws = base[:] if i % 2 else [*base[:-1], "other"]
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws), "x"))
+    rows += [(100, "too few words here", "x"), (101, "few words too here", "x"), (102, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["id"] for r in dedup.dedupe_corpus(docs, []).collect()} == {0, 100, 101}
+
+
+def test_hits_of_two_corpora_stay_apart(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, 1, "c1", "a", text), (1, 2, "c2", "a", text), (1, 3, "c1", "b", text), (1, 4, "c1", "a", "other text"), (1, 5, "c2", "b", "")]
+    hits = spark.createDataFrame(rows, "query_id long, rank long, corpus string, doc_id string, text string")
+    got = [(r["corpus"], r["doc_id"], r["rank"]) for r in dedup.dedupe_hits(hits, ["corpus"], ["corpus", "doc_id"]).orderBy("rank").collect()]
+    assert got == [("c1", "a", 1), ("c2", "a", 2)]
 
 
 def test_percentiles(spark):
@@ -153,10 +332,10 @@ def test_quality_score_renormalizes(spark):
 
 
 def test_rules_at_their_borders(spark):
-    rows = [("a", "narrative_text", {"tabular_dataset": 0.2, "narrative_text": 0.8}, 0), ("b", "narrative_text", {"tabular_dataset": 0.21, "narrative_text": 0.79}, 0), ("c", "tabular_dataset", {"tabular_dataset": 0.8, "narrative_text": 0.2}, 0), ("d", "hierarchical_document", {"hierarchical_document": 0.5}, 1), ("e", "hierarchical_document", {"hierarchical_document": 0.5}, 2)]
+    rows = [("f", "slide_presentation", {"slide_presentation": 0.7, "tabular_dataset": 0.3}, 0), ("a", "narrative_text", {"tabular_dataset": 0.2, "narrative_text": 0.8}, 0), ("b", "narrative_text", {"tabular_dataset": 0.21, "narrative_text": 0.79}, 0), ("c", "tabular_dataset", {"tabular_dataset": 0.8, "narrative_text": 0.2}, 0), ("d", "hierarchical_document", {"hierarchical_document": 0.5}, 1), ("e", "hierarchical_document", {"hierarchical_document": 0.5}, 2)]
     df = spark.createDataFrame(rows, "source string, dominant string, shares map<string,double>, depth int").withColumn("domain", F.lit("general")).withColumn("dense_research", F.lit(False))
     got = {r["source"]: (r["rule"], r["level"]) for r in recommend.recommend(df).collect()}
-    assert got == {"a": ("default_document", "low"), "b": ("mixed_modality", "high"), "c": ("tabular_dominant", "high"), "d": ("default_document", "low"), "e": ("hierarchical_longform", "medium")}
+    assert got == {"f": ("default_document", "low"), "a": ("default_document", "low"), "b": ("mixed_modality", "high"), "c": ("tabular_dominant", "high"), "d": ("default_document", "low"), "e": ("hierarchical_longform", "medium")}
 
 
 def test_language_by_count_beats_first_hit(spark):
@@ -174,6 +353,8 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ingest.append_index(stream, str(tmp_path / "c"), str(tmp_path / "s"), str(tmp_path / "k")).awaitTermination()
     batch = chunking.chunk_boundary(chunking.by_document(blocks.line_blocks(docs))).select("chunk_id")
+    in_row = chunking.chunk_boundary(chunking.line_documents(docs)).select("chunk_id")
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, in_row.collect()))
     assert {r[0] for r in spark.read.parquet(str(tmp_path / "c")).select("chunk_id").collect()} == {r[0] for r in batch.collect()}
     ingest.register_sources(stream, str(tmp_path / "r"), str(tmp_path / "k2")).awaitTermination()
     reg = spark.read.parquet(str(tmp_path / "r"))
