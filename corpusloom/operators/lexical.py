@@ -7,7 +7,7 @@ the term join is an equi-join on small keys that the engine may broadcast or spl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -18,22 +18,34 @@ K1, B = 1.5, 0.75
 
 #: SQL: (term, tf) of every distinct token of the array t, counted by sorting it in the row.
 _COUNTED = (
-    "transform(array(array_sort(t)), s -> transform(array(filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])), "
-    "b -> transform(b, (i, k) -> named_struct('term', s[i], 'tf', cast(coalesce(get(b, k + 1), size(s)) - i AS bigint))))[0])[0]"
+    "transform(filter(array(sort_array(t)), s -> size(s) > 0), s -> transform(array(filter(sequence(1, size(s)), i -> i = 1 OR s[i - 1] <> s[i - 2])), "
+    "b -> transform(b, (i, k) -> named_struct('term', s[i - 1], 'tf', cast(coalesce(get(b, k + 1), size(s) + 1) - i AS bigint))))[0])[0]"
 )
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document and term: (key, doc_len, term, tf). Tokens are counted in the document's row, so nothing is shuffled."""
-    tokens = docs.select(key, T.tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    tokens = docs.select(key, T.tokens(F.col(text)).alias("t"))
     return tokens.select(key, F.size("t").cast("long").alias("doc_len"), F.explode(F.expr(_COUNTED)).alias("p")).select(key, "doc_len", "p.term", "p.tf")
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics): the texts are read and tokenized once; both come from the stored postings."""
-    index = stored(postings(docs, key, text), "postings")
-    tokens = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
-    return index, docs.agg(F.count("*").alias("n_docs")).crossJoin(tokens)
+def build_index(docs: DataFrame, queries: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics), from one pass over the texts: the number of documents and tokens is observed while the postings
+    are stored. With ``queries`` only the terms that they ask for are kept, which is all that scoring them needs."""
+    spark = docs.sparkSession
+    seen = Observation()
+    counted = docs.select(key, T.tokens(F.col(text)).alias("t")).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.greatest(F.size("t"), F.lit(0))), F.lit(0)).alias("n_tokens"))
+    if queries is None:
+        rows = counted.select(key, F.size("t").cast("long").alias("doc_len"), F.explode(F.expr(_COUNTED)).alias("p")).select(key, "doc_len", "p.term", "p.tf")
+    else:
+        wanted = queries.select(F.explode(T.tokens(F.col("query"))).alias("term")).distinct()
+        each = counted.select(key, F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+        rows = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")).select(key, "doc_len", "term", "tf")
+    totals = "n_docs long, n_tokens long"
+    if docs.isEmpty():
+        return spark.createDataFrame([], rows.schema), spark.createDataFrame([(0, 0)], totals)
+    index = stored(rows, "postings")
+    return index, spark.createDataFrame([(seen.get["n_docs"], seen.get["n_tokens"])], totals)
 
 
 def term_stats(index: DataFrame) -> DataFrame:

@@ -118,15 +118,20 @@ def words(text: Column) -> Column:
 
 
 def domain_of(ws: Column) -> Column:
-    scored = F.array(*[F.struct(F.size(F.array_intersect(ws, F.array(*map(F.lit, kw)))).alias("n"), F.lit(-i).alias("order"), F.lit(d).alias("d")) for i, (d, kw) in enumerate(DOMAINS.items())])
-    best = F.array_max(scored)
-    return F.when(best["n"] > 0, best["d"]).otherwise("general")
+    def best(w: Column) -> Column:
+        scored = F.array(*[F.struct(F.size(F.array_intersect(w, F.array(*map(F.lit, kw)))).alias("n"), F.lit(-i).alias("order"), F.lit(d).alias("d")) for i, (d, kw) in enumerate(DOMAINS.items())])
+        return F.array_max(scored)
+
+    return T.let(T.let(F.array_distinct(ws), best), lambda b: F.when(b["n"] > 0, b["d"]).otherwise("general"))
 
 
 def density_of(ws: Column) -> Column:
-    share = F.size(F.array_distinct(ws)) / F.size(ws)
-    length = F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w)) / F.size(ws)
-    return F.when(F.size(ws) == 0, "medium").when((share > 0.65) | (length > 6.5), "high").when(share < 0.35, "low").otherwise("medium")
+    def density(w: Column) -> Column:
+        share = F.try_divide(F.size(F.array_distinct(w)), F.size(w))
+        length = F.try_divide(F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)), F.size(w))
+        return F.when(F.size(w) == 0, "medium").when((share > 0.65) | (length > 6.5), "high").when(share < 0.35, "low").otherwise("medium")
+
+    return T.let(ws, density)
 
 
 def language_of(ws: Column) -> Column:

@@ -195,8 +195,8 @@ RANKED = f"WITH {PROBES}, {TERMS}, {PSCORES}, rk AS (SELECT pb.probe_id, CAST(s.
 def probe_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ranks of the probes in domain and all their hits, each stored once."""
     p = stored(probes(spark, sf_dir).where("probe_type = 'in_domain'"), "probes")
-    index = lexical.build_index(table(spark, sf_dir, "documents"))
-    hits = stored(lexical.top_k(lexical.score(*index, p.select(F.col("probe_id").alias("query_id"), F.col("question").alias("query"))), 10), "probe-hits")
+    asked = p.select(F.col("probe_id").alias("query_id"), F.col("question").alias("query"))
+    hits = stored(lexical.top_k(lexical.score(*lexical.build_index(table(spark, sf_dir, "documents"), asked), asked), 10), "probe-hits")
     return evaluation.probe_ranks(p.select("probe_id", "doc_id"), hits), hits
 
 
@@ -292,7 +292,7 @@ def strategies(spark: SparkSession, sf_dir: str) -> dict[str, retrieval.Strategy
     """Dense, hybrid and section-aware retrieval over the documents; the index is stored once for both that use it."""
     from corpusloom.operators import dense
 
-    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    index = lexical.build_index(table(spark, sf_dir, "documents"), text_queries(spark, sf_dir))
     vectors = document_vectors(spark, sf_dir)
     name = F.element_at(F.array(*map(F.lit, SECTIONS)), (F.col("doc_id") % 7 + 1).cast("int"))
     boosts = table(spark, sf_dir, "documents").select("doc_id", T.section_boost(name).alias("boost"))

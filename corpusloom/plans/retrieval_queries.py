@@ -37,7 +37,8 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.score(*lexical.build_index(table(spark, sf_dir, "documents")), text_queries(spark, sf_dir))
+    asked = text_queries(spark, sf_dir)
+    return lexical.score(*lexical.build_index(table(spark, sf_dir, "documents"), asked), asked)
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
