@@ -21,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ class WordCoder:
         if any(not a or a.split() != [a] for a in added):
             raise ValueError("added tokens with white space cross words")
         self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
-        self.packed = [int(i).to_bytes(4, "little") for i in range(vocabulary_of(path))]
+        self.packed = [int(i).to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()))]
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
@@ -110,7 +111,7 @@ class WordCoder:
         known, plain, odd = self.pieces, [], []
         for w in new:
             core = w.strip(MARKS)
-            if core and not self.holds_added(w) and core.isalpha() and (core.isascii() or LATIN.issuperset(core)):
+            if core and core.isalpha() and (core.isascii() or LATIN.issuperset(core)) and not self.holds_added(w):
                 at = w.index(core)
                 plain.append((w, w[:at], core.lower(), w[at + len(core) :]))
             else:
@@ -145,6 +146,7 @@ def coder(path: str) -> WordCoder:
     return _coders[path]
 
 
+@cache
 def vocabulary_of(path: str, end_id: int = END_ID) -> int:
     """One more than the largest id that the tokenizer or the end mark can give."""
     from tokenizers import Tokenizer
