@@ -81,15 +81,15 @@ def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.xml_flatten(s.select("s_suppkey", doc.alias("doc")), "s_suppkey", "doc")
 
 
-@query("WITH s AS (SELECT s_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n, count(*) OVER (PARTITION BY s_nationkey) AS c FROM supplier) SELECT s_nationkey, CAST(n AS INTEGER) AS record, unnest(['key', 'name']) AS field, unnest([CAST(s_suppkey AS VARCHAR), s_name]) AS value FROM s WHERE c >= 2 AND s_nationkey % 3 <> 0")
+@query("WITH s AS (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer) SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(n AS INTEGER) AS record, unnest(['key', 'name']) AS field, unnest([CAST(c_custkey AS VARCHAR), c_name]) AS value FROM s WHERE c >= 2 AND c_nationkey % 3 <> 0")
 def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers of each nation as an XML text; every third nation's first record has a field more, so it is no table."""
-    s = table(spark, sf_dir, "supplier")
-    item = F.concat(F.lit("<item><key>"), F.col("s_suppkey").cast("string"), F.lit("</key><name>"), "s_name", F.lit("</name></item>"))
-    g = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", item.alias("x")))).alias("xs"))
-    more = F.when(F.col("s_nationkey") % 3 == 0, "<item><a/><b/><c/></item>").otherwise("")
+    """The customers of each nation as an XML text; every third nation's first record has a field more, so it is no table."""
+    c = table(spark, sf_dir, "customer")
+    item = F.concat(F.lit("<item><key>"), F.col("c_custkey").cast("string"), F.lit("</key><name>"), "c_name", F.lit("</name></item>"))
+    g = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("x")))).alias("xs"))
+    more = F.when(F.col("c_nationkey") % 3 == 0, "<item><a/><b/><c/></item>").otherwise("")
     doc = F.concat(F.lit("<items>"), more, F.concat_ws("", F.transform("xs", lambda x: x["x"])), F.lit("</items>"))
-    return files.xml_records(g.select(F.col("s_nationkey").cast("long").alias("s_nationkey"), doc.alias("doc")), "s_nationkey", "doc")
+    return files.xml_records(g.select(F.col("c_nationkey").cast("long").alias("c_nationkey"), doc.alias("doc")), "c_nationkey", "doc")
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>\\s*(.*?)\\s*</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
