@@ -179,6 +179,18 @@ def first_random_last_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.cap_samples(out, "sheet", {"first": 15, "sampled": 15, "last": 10})
 
 
+@query("(SELECT event_id, 'first' AS part FROM events ORDER BY event_id LIMIT 10) UNION ALL (SELECT event_id, 'last' FROM events ORDER BY event_id DESC LIMIT 5)")
+def first_last_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of the event table."""
+    return sampling.dataset_sample(table(spark, sf_dir, "events"), "event_id").where("part <> 'sampled'").select("event_id", "part")
+
+
+@query("SELECT event_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 10")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows by seeded hash order: the same rows for the same seed on any cluster."""
+    return table(spark, sf_dir, "events").select("event_id", sampling.seeded(42, "event_id").alias("h")).orderBy("h", "event_id").limit(10).select("event_id")
+
+
 ROUND = "r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents), o AS (SELECT source, row_number() OVER (ORDER BY md5('42' || source)) - 1 AS pos, count(*) OVER () AS s FROM (SELECT DISTINCT source FROM documents)), t AS (SELECT doc_id, source, (round - 1) * s + pos AS turn FROM r JOIN o USING (source))"
 
 

@@ -40,6 +40,12 @@ def dedupe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedupe_hits(top_hits(spark, sf_dir)).select("query_id", "doc_id", "rank")
 
 
+@query(f"{TOP}, {greedy(repr('x'))} SELECT query_id, doc_id, rank FROM acc")
+def dedupe_hits_one_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources as one scope."""
+    return dedup.dedupe_hits(top_hits(spark, sf_dir).withColumn("corpus", F.lit("x")), "corpus").select("query_id", "doc_id", "rank")
+
+
 TWICE = "tw AS (SELECT query_id, doc_id, 2 * rank - 1 + c AS rank, 'rag' || c AS corpus, text FROM h10, (VALUES (0), (1)) x(c) WHERE doc_id % 5 <> c)"
 
 
