@@ -161,8 +161,10 @@ def plant(docs: DataFrame, kinds: list[tuple[str, bool, str]] = KINDS, hosts: in
     """(doc_id, text, path, is_secret, planted): for each of ``hosts`` documents and each kind a line of the document with the
     planted string in its middle. The finding in it is known to be a secret or not."""
     where = (F.col(path) if path in docs.columns else F.lit(None)).cast("string").alias("path")
-    some = docs.select("doc_id", where, F.slice(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), 1, 400).alias("ws"), F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(0)), F.col(text)).alias("h"))
-    some = some.orderBy("h", "doc_id").limit(hosts)
+    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(0)), F.col(text)).alias("h")
+    keys = docs.select(h).orderBy("h").limit(hosts).distinct()  # hashes alone meet in one task, not texts
+    ws = F.slice(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), 1, 400).alias("ws")
+    some = docs.select("doc_id", where, text, h).join(F.broadcast(keys), "h", "left_semi").select("doc_id", "path", ws, "h").dropDuplicates(["h"])
     each = some.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("planted"), F.lit(1.0 if secret else 0.0).alias("is_secret")) for n, secret, _ in kinds])).alias("k")).select("*", "k.*")
     plain = F.filter("ws", lambda w: w.rlike("^[A-Za-z]{4,12}$"))
     salt = F.concat_ws("/", F.lit(seed), F.col("h"), "planted")
@@ -177,8 +179,8 @@ def plant(docs: DataFrame, kinds: list[tuple[str, bool, str]] = KINDS, hosts: in
 
 def planted_findings(docs: DataFrame, kinds: list[tuple[str, bool, str]] = KINDS, hosts: int = PLANTED, seed: int = 7, text: str = "text", path: str = "source") -> DataFrame:
     """The findings of :func:`plant`'s lines inside what was planted, with is_secret and planted; host words' own are left out."""
-    lines = stored(plant(docs, kinds, hosts, seed, text, path), "planted-lines")
-    keyed = lines.select(F.monotonically_increasing_id().alias("doc_id"), "text", "path", "is_secret", "planted", "written")
+    lines = plant(docs, kinds, hosts, seed, text, path)
+    keyed = stored(lines.select(F.xxhash64("planted", "written", "text").alias("doc_id"), "text", "path", "is_secret", "planted", "written"), "planted-lines")
     found = candidates(keyed.select("doc_id", "text", "path"), "text", "path")
     truth = keyed.select(F.col("doc_id").alias("_id"), "is_secret", "planted", "written")
     return found.join(truth, F.col("doc_id") == F.col("_id")).where(F.contains("written", "candidate") | ((F.col("kind") == "block") & F.startswith("written", F.lit("-----BEGIN")))).drop("_id", "written")
