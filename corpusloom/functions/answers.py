@@ -9,41 +9,60 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import LAYOUT_FOOTER, PAGE_MARK
+from corpusloom.functions.text import PAGE_MARK
 from corpusloom.shipping import ready
 
 #: A sentence keeps the bracket that follows its end mark; what a citation alone looks like; a word that counts.
 SENTENCE = re.compile(r"([^.!?]+(?:[.!?]+(?:\s*\[[a-zA-Z0-9_:\s,\.-]+\])?|$))")
 CITATION = re.compile(r"^\[(?:chk_[a-zA-Z0-9_]+|Source:[^\]]+)\]$")
 WORD = re.compile(r"\b[a-z0-9_]{3,}\b")
-FOOTER, MARK = re.compile(LAYOUT_FOOTER), re.compile(PAGE_MARK)
+MARK = re.compile(PAGE_MARK)
+#: The characters before the ending of a layout footer. A run of them is read once, whether an ending follows or not.
+FOOTER_RUN = re.compile(r"(?i)[a-zA-Z0-9_\s\-]++(\.indd[^\n\r]*)?")
 #: Words from which similarity counts and the similarity at which a repeat goes, inside a paragraph, across
 #: paragraphs, and of whole paragraphs; a fragment without an end mark has fewer words than the last.
 INSIDE, ACROSS, WHOLE, FRAGMENT = (4, 0.70), (4, 0.55), (6, 0.55), 8
 
 
+def _without_footers(text: str, instead: str = "") -> str:
+    return FOOTER_RUN.sub(lambda m: instead if m[1] else m[0], text) if ".indd" in text.lower() else text
+
+
 def _plain(text: str) -> str:
-    return " ".join(FOOTER.sub(" ", MARK.sub(" ", text)).split()).lower()
+    return " ".join(_without_footers(MARK.sub(" ", text), " ").split()).lower()
 
 
 class _Accepted:
-    """Texts accepted so far: equal ones and, from some words on, similar ones are known again."""
+    """Texts accepted so far: equal ones and, from some words on, similar ones are known again.
+
+    A text at the similarity lacks so few words of another that it has one of any few more: only texts with one of its
+    rarest words are compared.
+    """
 
     def __init__(self, rule: tuple[int, float], exact: bool) -> None:
         self.least, self.limit = rule
         self.exact: set[str] | None = set() if exact else None
-        self.bags: list[set[str]] = []
+        self.holders: dict[str, list[set[str]]] = {}
+
+    def _like(self, bag: set[str]) -> bool:
+        rare = sorted(bag, key=lambda w: len(self.holders.get(w, ())))[: int(len(bag) * (1 - self.limit) + 1e-9) + 1]
+        for b in (b for w in rare for b in self.holders.get(w, ())):
+            both = len(bag & b)
+            if both / (len(bag) + len(b) - both) >= self.limit:
+                return True
+        return False
 
     def repeats(self, plain: str) -> bool:
         """Whether the text is a repeat; if not, it is accepted."""
         if self.exact is not None and plain in self.exact:
             return True
         bag = set(WORD.findall(plain))
-        if len(bag) >= self.least and any(b and len(bag & b) / len(bag | b) >= self.limit for b in self.bags):
+        if len(bag) >= self.least and self._like(bag):
             return True
         if self.exact is not None:
             self.exact.add(plain)
-        self.bags.append(bag)
+        for w in bag:
+            self.holders.setdefault(w, []).append(bag)
         return False
 
 
@@ -67,7 +86,7 @@ def clean_text(text: str) -> str:
         return text
     paragraphs: list[str] = []
     said, whole = _Accepted(ACROSS, False), _Accepted(WHOLE, True)
-    for para in filter(None, (p.strip() for p in re.split(r"\n\s*\n", FOOTER.sub("", text)))):
+    for para in filter(None, (p.strip() for p in re.split(r"\n\s*\n", _without_footers(text)))):
         if CITATION.match(para):
             if paragraphs:
                 paragraphs[-1] += " " + para

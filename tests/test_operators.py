@@ -394,3 +394,11 @@ def test_members_of_equal_word_sets(spark):
     df = spark.createDataFrame([(1, "x", "red green blue"), (2, "x", "Blue red green red"), (3, None, "green blue red"), (4, None, "red green blue"), (5, "x", "other words"), (6, "x", "a b"), (7, "x", "")], "doc_id long, source string, text string")
     assert {r["doc_id"]: r["representative"] for r in dedup.set_members(df, []).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
     assert {r["doc_id"]: r["representative"] for r in dedup.set_members(df, ["source"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_answers_of_long_texts_without_marks():
+    run = "word and more\n" * 40_000
+    assert clean_text(run) == ""  # an unfinished end without any mark goes
+    assert clean_text("Alpha beta gamma delta.\n12-3rd some layout_file.indd 4\nMore words stand here now.") == "Alpha beta gamma delta. More words stand here now."
+    many = " ".join(f"Item{i} has value{i} under name{i} and place{i}." for i in range(5_000))
+    assert clean_text(many) == many
