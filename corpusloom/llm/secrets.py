@@ -202,7 +202,8 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7) -> Ran
     if sample.select("is_secret").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(featuresCol="_features", labelCol="is_secret", numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt")
-    return forest.fit(_assembled(sample.coalesce(1).sortWithinPartitions("is_secret", F.xxhash64("candidate"), "candidate")))
+    model = forest.fit(_assembled(sample.coalesce(1).sortWithinPartitions("is_secret", F.xxhash64("candidate"), "candidate")))
+    return model.copy()  # without the summary of its training, which holds the session and cannot always go to tasks
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:

@@ -381,6 +381,18 @@ def test_secret_verdict_does_not_depend_on_other_documents(spark):
     assert [r["score"] for r in secrets.scan_secrets(one, labelled=table).collect()] == [0.5]  # one class alone teaches nothing
 
 
+def test_secret_forest_in_a_session_that_observes(spark):
+    """The judged findings go to tasks after the session has used an observation, as streams and other queries do."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation("rows")
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    one = spark.createDataFrame([(1, "password=hunter2!x9&kQ in the settings of our shop", "app.env")], "doc_id long, text string, source string")
+    assert [r["is_secret"] for r in secrets.scan_secrets(one).collect()] == [True]
+
+
 def test_token_store_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
