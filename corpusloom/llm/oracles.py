@@ -75,3 +75,34 @@ def lines_sql() -> str:
 
 
 ORACLE_SQL = {"op1_license_scan": licence_sql(), "op2_quality_rules": rules_sql(), "op5_line_dedup": lines_sql(), "op6_url_filter": url_sql()}
+
+ORACLE_SQL["op12_prefix_trie"] = """
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY k) AS turns FROM t GROUP BY conv_id),
+-- crc32 of the decimal id: a -1 stands for one of the eight shifts after each byte
+crc AS (
+    SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 6 AS h
+    FROM whole
+), built AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+    FROM crc c LEFT JOIN whole b ON b.conv_id = c.conv_id - c.conv_id % 100
+), member AS (SELECT conv_id, turns[1:d] AS seq, d, len(turns) AS n FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM built)),
+node AS (
+    SELECT seq, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+    FROM member GROUP BY seq, d
+), linked AS (
+    SELECT v.*, p.conv_id AS parent_conv_id, coalesce(c.n, 0) AS n_children
+    FROM node v LEFT JOIN node p ON v.d > 0 AND p.seq = v.seq[1:v.d - 1]
+    LEFT JOIN (SELECT seq[1:d - 1] AS seq, count(*) AS n FROM node WHERE d > 0 GROUP BY 1) c ON c.seq = v.seq
+), below AS (
+    SELECT seq[1:a] AS seq, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT seq, unnest(range(d + 1)) AS a, (n_children = 0)::BIGINT AS leaf, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(seq[d].x) END AS saved FROM linked) GROUP BY 1
+)
+SELECT l.conv_id, l.d AS depth, l.parent_conv_id, l.n_convs, l.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, l.ends_sha256
+FROM linked l JOIN below b ON b.seq = l.seq
+"""

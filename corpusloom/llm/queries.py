@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, licenses, line_dedup, quality_crf, quality_rules, secrets, simhash, token_store, url_filter
+from corpusloom.llm import bpe, decontaminate, licenses, line_dedup, periodic_runs, prefix_trie, quality_crf, quality_rules, secrets, simhash, token_counts, token_store, url_filter
 from corpusloom.llm.common import documents
 from corpusloom.llm.oracles import ORACLE_SQL
 
@@ -64,4 +64,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_documents(documents(spark, sf_dir), words=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_bpe, op5_line_dedup, op6_url_filter, op7_quality_classifier, op8_secret_scan, op9_token_store, op10_simhash)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=True)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(documents(spark, sf_dir), repeat=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_bpe, op5_line_dedup, op6_url_filter, op7_quality_classifier, op8_secret_scan, op9_token_store, op10_simhash, op11_token_counts, op12_prefix_trie, op13_periodic_runs)}
