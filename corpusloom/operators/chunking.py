@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import packing
 
 #: What the folds read of a block.
 BLOCK = ["block_index", "type", "level", "content", "page_number"]
@@ -142,22 +143,21 @@ def schema_chunk(rows: DataFrame, name: str, columns: list[str], kinds: DataFram
     return rows.agg(F.count("*").alias("n")).crossJoin(typed).select(F.lit("tabular_schema").alias("chunk_type"), text.alias("text"))
 
 
-def chunk_tabular(rows: DataFrame, name: str, columns: list[str], position: str, size: int = 512, per_range: int = 2_000, sheet: str = "main") -> DataFrame:
-    """(range, in_range, first_row, last_row, text): rows as 'Row n: column: value; ...' packed to ``size`` tokens under a
-    header with their range; :func:`schema_chunk` is the sheet's other chunk.
+def chunk_tabular(rows: DataFrame, name: str, columns: list[str], position: str, size: int = 512, sheet: str = "main", span: int | None = None) -> DataFrame:
+    """(chunk_index, first_row, last_row, text): rows as 'Row n: column: value; ...' packed greedily to ``size`` tokens under
+    a header with their range; :func:`schema_chunk` is the sheet's other chunk.
 
-    A table is unbounded, so it is cut into ranges of ``per_range`` consecutive rows first and each range is packed on its
-    own: chunks equal those of one long fold up to the first range border, and no task sees the whole table. ``position``
-    counts the rows from 0 without gaps (:func:`corpusloom.operators.sampling.numbered` gives it).
+    ``position`` counts the rows from 0 without gaps (:func:`corpusloom.operators.sampling.numbered` gives it). The chunks
+    are those of one fold over the whole table, and no task sees more than ``span`` rows and the ``size`` after them
+    (:mod:`corpusloom.operators.packing`).
     """
     filled = F.array_compact(F.array(*[F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns]))
     number = (F.col(position) + 1).cast("long")
     line = F.concat(F.lit("Row "), number.cast("string"), F.lit(": "), F.concat_ws("; ", filled))
-    numbered = rows.select(F.floor(F.col(position) / per_range).alias("range"), F.struct(number.alias("block_index"), F.lit("row").alias("type"), line.alias("content"), T.token_count(line).alias("tok")).alias("b"))
-    ranges = numbered.groupBy("range").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    text = f"concat('Dataset: {name} | Sheet: {sheet} (Rows ', cast(bs[c.s].block_index AS string), '–', cast(bs[c.e - 1].block_index AS string), ')\\n', {TEXT.replace(chr(92) + 'n' + chr(92) + 'n', chr(92) + 'n').format('c.s', 'c.e')})"
-    chunks = F.expr(f"transform({_cuts('bs', size, 0, False)}, c -> named_struct('first_row', bs[c.s].block_index, 'last_row', bs[c.e - 1].block_index, 'text', {text}))")
-    return ranges.select("range", F.posexplode(chunks).alias("in_range", "c")).select("range", "in_range", "c.*")
+    lines = rows.select((number - 1).alias("position"), line.alias("line"), T.token_count(line).alias("tok"))
+    header = F.concat(F.lit(f"Dataset: {name} | Sheet: {sheet} (Rows "), F.col("first_row").cast("string"), F.lit("–"), F.col("last_row").cast("string"), F.lit(")\n"))
+    packed = packing.pack(lines, size, span or max(packing.SPAN, size))
+    return packed.select("chunk_index", (F.col("first") + 1).alias("first_row"), (F.col("last") + 1).alias("last_row"), "lines").select("chunk_index", "first_row", "last_row", F.concat(header, F.array_join("lines", "\n")).alias("text"))
 
 
 def token_safe_split(chunks: DataFrame, limit: int = 512, overlap: int = 50, key: str = "chunk_id") -> DataFrame:

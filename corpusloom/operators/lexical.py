@@ -1,76 +1,27 @@
-"""BM25 as tables: postings, mergeable statistics, and scores of many queries in one plan.
+"""BM25's parts: distinct tokens of a text with their counts, inverse document frequency, the best k of each query.
 
-``index`` tables have (doc_id, doc_len, term, tf); :func:`build_index` stores one and takes the statistics from it. Statistics are kept as counts (df, documents, tokens), never as idf, so
-they merge when a corpus grows. Scoring joins the few query terms with the postings: only matching postings move, and
-the term join is an equi-join on small keys that the engine may broadcast or split.
+:mod:`corpusloom.operators.segments` stores the index and searches it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
-from corpusloom.storage import stored
-
 K1, B = 1.5, 0.75
 
 
 #: SQL: (term, tf) of every distinct token of the array t, counted by sorting it in the row.
 _COUNTED = (
-    "transform(filter(array(sort_array(t)), s -> size(s) > 0), s -> transform(array(filter(sequence(1, size(s)), i -> i = 1 OR s[i - 1] <> s[i - 2])), "
-    "b -> transform(b, (i, k) -> named_struct('term', s[i - 1], 'tf', cast(coalesce(get(b, k + 1), size(s) + 1) - i AS bigint))))[0])[0]"
+    "get(transform(filter(array(sort_array(t)), s -> size(s) > 0), s -> get(transform(array(filter(sequence(1, size(s)), i -> i = 1 OR s[i - 1] <> s[i - 2])), "
+    "b -> transform(b, (i, k) -> named_struct('term', s[i - 1], 'tf', cast(coalesce(get(b, k + 1), size(s) + 1) - i AS bigint)))), 0)), 0)"
 )
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document and term: (key, doc_len, term, tf). Tokens are counted in the document's row, so nothing is shuffled."""
-    tokens = docs.select(key, T.tokens(F.col(text)).alias("t"))
-    return tokens.select(key, F.size("t").cast("long").alias("doc_len"), F.explode(F.expr(_COUNTED)).alias("p")).select(key, "doc_len", "p.term", "p.tf")
-
-
-def build_index(docs: DataFrame, queries: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics), from one pass over the texts: the number of documents and tokens is observed while the postings
-    are stored. With ``queries`` only the terms that they ask for are kept, which is all that scoring them needs."""
-    spark = docs.sparkSession
-    seen = Observation()
-    counted = docs.select(key, T.tokens(F.col(text)).alias("t")).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.greatest(F.size("t"), F.lit(0))), F.lit(0)).alias("n_tokens"))
-    if queries is None:
-        rows = counted.select(key, F.size("t").cast("long").alias("doc_len"), F.explode(F.expr(_COUNTED)).alias("p")).select(key, "doc_len", "p.term", "p.tf")
-    else:
-        wanted = queries.select(F.explode(T.tokens(F.col("query"))).alias("term")).distinct()
-        each = counted.select(key, F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-        rows = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")).select(key, "doc_len", "term", "tf")
-    totals = "n_docs long, n_tokens long"
-    if docs.isEmpty():
-        return spark.createDataFrame([], rows.schema), spark.createDataFrame([(0, 0)], totals)
-    index = stored(rows, "postings")
-    return index, spark.createDataFrame([(seen.get["n_docs"], seen.get["n_tokens"])], totals)
-
-
-def term_stats(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n_docs and n_tokens (documents without a token count too)."""
-    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(T.tokens(F.col(text)))), F.lit(0)).cast("long").alias("n_tokens"))
-
-
 def idf(df: F.Column, n: F.Column) -> F.Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def score(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score) of every document that shares a term with the query; repeated query terms count again."""
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    known = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = known.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (idf(F.col("df"), F.col("n_docs")) * F.col("qtf")).alias("w"), (F.col("n_tokens") / F.col("n_docs")).alias("avg_len"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return known.join(weights, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-
-
 def top_k(hits: DataFrame, k: int, key: str = "doc_id", by: str = "score") -> DataFrame:
     """The k best hits of each query with their rank; equal scores in order of the key."""
     w = Window.partitionBy("query_id").orderBy(F.desc(by), F.asc(key))

@@ -124,19 +124,19 @@ def part_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE nr AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part), src AS (SELECT CAST(n // 2000 AS BIGINT) AS doc_id, n AS block_index, 'row' AS type, 'Row ' || (n + 1) || ': p_name: ' || p_name || '; p_brand: ' || p_brand || '; p_size: ' || p_size AS content FROM nr), {folded('src', 512, 0, False)} "
-    "SELECT 'tabular_row' AS chunk_type, doc_id AS range, k AS in_range, doc_id * 2000 + s + 1 AS first_row, doc_id * 2000 + e AS last_row, sha256('Dataset: part | Sheet: main (Rows ' || (doc_id * 2000 + s + 1) || '–' || (doc_id * 2000 + e) || ')' || chr(10) || replace(text, chr(10) || chr(10), chr(10))) AS digest FROM ct "
-    "UNION ALL SELECT 'tabular_schema', NULL, NULL, NULL, NULL, sha256('Dataset: part' || chr(10) || 'Sheet: main' || chr(10) || 'Total Rows: ' || count(*) || chr(10) || 'Total Columns: 3' || chr(10) || 'Columns & Types: p_name (string), p_brand (string), p_size (integer)') FROM part"
+    f"WITH RECURSIVE nr AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part), src AS (SELECT CAST(0 AS BIGINT) AS doc_id, n AS block_index, 'row' AS type, 'Row ' || (n + 1) || ': p_name: ' || p_name || '; p_brand: ' || p_brand || '; p_size: ' || p_size AS content FROM nr), {folded('src', 512, 0, False)} "
+    "SELECT 'tabular_row' AS chunk_type, CAST(k AS BIGINT) AS chunk_index, CAST(s + 1 AS BIGINT) AS first_row, CAST(e AS BIGINT) AS last_row, sha256('Dataset: part | Sheet: main (Rows ' || (s + 1) || '–' || e || ')' || chr(10) || replace(text, chr(10) || chr(10), chr(10))) AS digest FROM ct "
+    "UNION ALL SELECT 'tabular_schema', NULL, NULL, NULL, sha256('Dataset: part' || chr(10) || 'Sheet: main' || chr(10) || 'Total Rows: ' || count(*) || chr(10) || 'Total Columns: 3' || chr(10) || 'Columns & Types: p_name (string), p_brand (string), p_size (integer)') FROM part"
 )
 def chunk_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema chunk of a sheet and its row chunks."""
+    """The schema chunk of a sheet and its row chunks, those of one fold over the whole table."""
     p = part_sheet(spark, sf_dir)
     rows = chunking.chunk_tabular(p, "part", PART_COLUMNS, "position")
     kinds = profile.column_profile(profile.long_cells(p, PART_COLUMNS, F.col("position")))
     schema = chunking.schema_chunk(p, "part", PART_COLUMNS, kinds)
     digest = F.sha2("text", 256).alias("digest")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("range", "long"), ("in_range", "int"), ("first_row", "long"), ("last_row", "long"))]
-    return rows.select(F.lit("tabular_row").alias("chunk_type"), "range", "in_range", "first_row", "last_row", digest).unionByName(schema.select("chunk_type", *none, digest))
+    none = [F.lit(None).cast("long").alias(c) for c in ("chunk_index", "first_row", "last_row")]
+    return rows.select(F.lit("tabular_row").alias("chunk_type"), "chunk_index", "first_row", "last_row", digest).unionByName(schema.select("chunk_type", *none, digest))
 
 
 @query()

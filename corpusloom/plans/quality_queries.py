@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import dedup, evaluation, fusion, grounding, lexical, questions, registry, retrieval
+from corpusloom.operators import dedup, evaluation, fusion, grounding, questions, registry, retrieval, segments
 from corpusloom.plans.chunk_queries import ROUND
 from corpusloom.plans.registry import query, table
-from corpusloom.plans.retrieval_queries import BOOSTED, DENSE_DOCS, SCORES, SECTIONS, TERMS, Q, bm25_scores, document_vectors, text_queries
+from corpusloom.plans.retrieval_queries import BOOSTED, DENSE_DOCS, SCORES, SECTIONS, TERMS, Q, bm25_hits, document_index, document_vectors, text_queries
 from corpusloom.plans.text_queries import FACT, NORM, WORDS
 from corpusloom.storage import stored
 
@@ -18,7 +18,7 @@ TOP = f"WITH RECURSIVE {Q}, {TERMS}, {SCORES}, h10 AS (SELECT query_id, doc_id,
 
 def top_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The k best documents of every query with their text and source. The text joins k rows a query only."""
-    hits = lexical.top_k(bm25_scores(spark, sf_dir), k)
+    hits = bm25_hits(spark, sf_dir, k)
     return table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(hits, "doc_id")
 
 
@@ -202,7 +202,7 @@ def probe_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ranks of the probes in domain and all their hits, each stored once."""
     p = stored(probes(spark, sf_dir).where("probe_type = 'in_domain'"), "probes")
     asked = p.select(F.col("probe_id").alias("query_id"), F.col("question").alias("query"))
-    hits = stored(lexical.top_k(lexical.score(*lexical.build_index(table(spark, sf_dir, "documents"), asked), asked), 10), "probe-hits")
+    hits = segments.search(document_index(spark, sf_dir), asked, 10)
     return evaluation.probe_ranks(p.select("probe_id", "doc_id"), hits), hits
 
 
@@ -298,7 +298,7 @@ def strategies(spark: SparkSession, sf_dir: str) -> dict[str, retrieval.Strategy
     """Dense, hybrid and section-aware retrieval over the documents; the index is stored once for both that use it."""
     from corpusloom.operators import dense
 
-    index = lexical.build_index(table(spark, sf_dir, "documents"), text_queries(spark, sf_dir))
+    index = document_index(spark, sf_dir)
     vectors = document_vectors(spark, sf_dir)
     name = F.element_at(F.array(*map(F.lit, SECTIONS)), (F.col("doc_id") % 7 + 1).cast("int"))
     boosts = table(spark, sf_dir, "documents").select("doc_id", T.section_boost(name).alias("boost"))
@@ -307,10 +307,10 @@ def strategies(spark: SparkSession, sf_dir: str) -> dict[str, retrieval.Strategy
         return dense.dense_topk(vectors, q.select("query_id", T.hash_embedding(F.col("query")).alias("embedding")), k, "doc_id")
 
     def hybrid(q: DataFrame, k: int) -> DataFrame:
-        return fusion.reciprocal_rank(similar(q, 4 * k), lexical.top_k(lexical.score(*index, q), 4 * k), k)
+        return fusion.reciprocal_rank(similar(q, 4 * k), segments.search(index, q, 4 * k), k)
 
     def research(q: DataFrame, k: int) -> DataFrame:
-        return fusion.section_rerank(similar(q, 4 * k), stored(lexical.score(*index, q), "scores"), boosts, k)
+        return fusion.section_rerank(similar(q, 4 * k), stored(segments.score(index, q), "scores"), boosts, k)
 
     return {"document_rag": similar, "hybrid_rag": hybrid, "research_rag": research}
 

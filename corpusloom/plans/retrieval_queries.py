@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, dense, fusion, lexical, profile
+from corpusloom.operators import chunking, dense, fusion, lexical, profile, segments
 from corpusloom.plans.chunk_queries import PART_COLUMNS, part_sheet
 from corpusloom.plans.registry import query, table
 from corpusloom.storage import stored
@@ -36,9 +36,18 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> segments.Index:
+    """The stored index of the documents, built by the first query that asks for it."""
+    return segments.index_of(table(spark, sf_dir, "documents"))
+
+
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = text_queries(spark, sf_dir)
-    return lexical.score(*lexical.build_index(table(spark, sf_dir, "documents"), asked), asked)
+    return segments.score(document_index(spark, sf_dir), text_queries(spark, sf_dir))
+
+
+def bm25_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best documents of every query."""
+    return segments.search(document_index(spark, sf_dir), text_queries(spark, sf_dir), k)
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +61,8 @@ def dense_documents(spark: SparkSession, sf_dir: str, pool: int) -> DataFrame:
 
 @query(f"WITH {TERMS} SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf, n AS n_docs, tokens AS n_tokens FROM tf JOIN df USING (term), st GROUP BY ALL")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, stats = lexical.build_index(table(spark, sf_dir, "documents"))
-    terms = lexical.term_stats(index).crossJoin(F.broadcast(stats))
+    index = document_index(spark, sf_dir)
+    terms = index.terms.crossJoin(F.broadcast(index.stats()))
     return terms.select("term", "df", "cf", F.round(lexical.idf(F.col("df"), F.col("n_docs")), 6).alias("idf"), "n_docs", "n_tokens")
 
 
@@ -65,7 +74,7 @@ def bm25_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q}, {TERMS}, {SCORES} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, '[Source: ' || source || ']' AS citation FROM sp JOIN documents USING (doc_id) WHERE rank <= {K}")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: ranked, cited hits of every query. The last join reads two columns; a few hits are broadcast at run time."""
-    hits = lexical.top_k(bm25_scores(spark, sf_dir), K)
+    hits = bm25_hits(spark, sf_dir, K)
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sources.join(hits, "doc_id").select("query_id", "doc_id", "score", "rank", T.citation(F.col("source"), F.lit(None), F.lit(None)).alias("citation"))
 
@@ -100,14 +109,14 @@ def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q}, {TERMS}, {SCORES}, {DENSE_DOCS}, f AS (SELECT query_id, doc_id, round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 6) AS score FROM (SELECT * FROM de WHERE rank <= 30) d FULL JOIN (SELECT * FROM sp WHERE rank <= 30) s USING (query_id, doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM f) SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(r AS INTEGER) AS rank FROM r WHERE r <= {K}")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = max(4 * K, 30)
-    sparse = lexical.top_k(bm25_scores(spark, sf_dir), pool)
+    sparse = bm25_hits(spark, sf_dir, pool)
     return fusion.reciprocal_rank(dense_documents(spark, sf_dir, pool), sparse, K).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {Q}, {TERMS}, {SCORES}, {DENSE_DOCS} SELECT query_id, doc_id, d.rank IS NOT NULL AS dense, s.rank IS NOT NULL AS sparse FROM (SELECT * FROM de WHERE rank <= 20) d FULL JOIN (SELECT * FROM sp WHERE rank <= 20) s USING (query_id, doc_id)")
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of either side, once each, with where they came from."""
-    return fusion.candidate_union(dense_documents(spark, sf_dir, 20), lexical.top_k(bm25_scores(spark, sf_dir), 20))
+    return fusion.candidate_union(dense_documents(spark, sf_dir, 20), bm25_hits(spark, sf_dir, 20))
 
 
 BOOSTED = "bo AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 1.25 WHEN 1 THEN 1.05 WHEN 2 THEN 1.15 WHEN 3 THEN 1.2 WHEN 5 THEN 1.2 ELSE 1.0 END AS boost FROM documents)"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import registry
+from corpusloom.operators import registry, segments
 from corpusloom.plans.registry import query, table
+from corpusloom.plans.retrieval_queries import SCORES, TERMS, K, Q, text_queries
 from corpusloom.sources import files
 from corpusloom.storage import shared_path
 from corpusloom.streaming import ingest
@@ -124,26 +125,46 @@ def package_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.integrity_audit(p.where(k != 2), declared)
 
 
-def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a file stream, a file at a time."""
-    schema = table(spark, sf_dir, "documents").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
+def document_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """Documents as a file stream of one file a batch: dealt to files by id, so copies are spread over the batches."""
+    path = shared_path(spark, "arriving")
+    docs = table(spark, sf_dir, "documents")
+    docs.repartition(parts, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).write.parquet(path)
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, n_chars, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) < doc_id AS is_duplicate FROM (SELECT doc_id, text, length(text) AS n_chars FROM documents)")
 def streaming_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry after the whole stream (one file, so one batch): every row names the first document of its content."""
+    """The registry after a stream of several files in no order of ids: every row names the first document of its content."""
     path = shared_path(spark, "registry")
-    ingest.register_sources(document_stream(spark, sf_dir), path, shared_path(spark, "registry-state")).awaitTermination()
-    return spark.read.parquet(path).select("doc_id", "sha256", "first_doc_id")
+    for q in ingest.register_sources(document_stream(spark, sf_dir), path, shared_path(spark, "registry-state")):
+        q.awaitTermination()
+    return ingest.registry(spark, path).select("doc_id", "sha256", "n_chars", "first_doc_id", "is_duplicate")
+
+
+def streamed_index(spark: SparkSession, sf_dir: str) -> segments.Index:
+    """An index that four micro-batches filled."""
+    root = shared_path(spark, "segments")
+    ingest.append_index(document_stream(spark, sf_dir), shared_path(spark, "chunks"), root, shared_path(spark, "index-state")).awaitTermination()
+    return segments.open_index(spark, root)
 
 
 @query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term UNION ALL SELECT NULL, (SELECT count(*) FROM documents), (SELECT count(*) FROM t)")
 def streaming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term statistics merged over all batches of the stream; they equal those of one batch over everything."""
-    chunks, stats = shared_path(spark, "chunks"), shared_path(spark, "stats")
-    ingest.append_index(document_stream(spark, sf_dir), chunks, stats, shared_path(spark, "index-state")).awaitTermination()
-    return ingest.merged_stats(spark, stats)
+    return ingest.merged_stats(streamed_index(spark, sf_dir))
+
+
+@query(f"WITH {Q}, {TERMS}, {SCORES}, h AS (SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM sp WHERE rank <= {K}) SELECT 'segments' AS state, * FROM h UNION ALL SELECT 'compacted', * FROM h")
+def streaming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits over what the stream indexed, from its segments and again after they were compacted to one."""
+    index = streamed_index(spark, sf_dir)
+    asked = text_queries(spark, sf_dir)
+    before = segments.search(index, asked, K).select(F.lit("segments").alias("state"), "query_id", "doc_id", "score", "rank")
+    index = segments.compact(index)
+    after = segments.search(index, asked, K).select(F.lit("compacted").alias("state"), "query_id", "doc_id", "score", "rank")
+    segments.vacuum(index)
+    return before.unionByName(after)
 
 
 @query("WITH d AS (SELECT date_trunc('day', ts) AS start, value FROM events) SELECT start, count(*) AS n, quantile_disc(value, 0.5) FILTER (value > 0) AS p50, quantile_disc(value, 0.95) FILTER (value > 0) AS p95 FROM d WHERE start < (SELECT max(start) FROM d) GROUP BY start")

@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; where that is unset and all runs in one process (tests), under the warehouse."""
+def _root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset and all runs in one process (tests), a folder under the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fixed_path(spark: SparkSession, name: str) -> str:
+    """The same path for the same name, for tables that are built once and opened again."""
+    return f"{_root(spark)}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +33,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@dataclass
+class scratch_table:  # noqa: N801
+    """A stored table; as a context manager it is deleted at the end, when what was made of it is stored elsewhere."""
+
+    df: DataFrame
+    name: str
+
+    @property
+    def table(self) -> DataFrame:
+        return stored(self.df, self.name)
+
+    def __enter__(self) -> DataFrame:
+        spark = self.df.sparkSession
+        self._path = shared_path(spark, self.name)
+        self.df.write.parquet(self._path)
+        return spark.read.schema(self.df.schema).parquet(self._path)
+
+    def __exit__(self, *_: object) -> None:
+        remove_path(self.df.sparkSession, self._path)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    p, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
