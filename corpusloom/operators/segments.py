@@ -9,15 +9,16 @@ live ones and the batches that they hold, so a batch that is replayed, also afte
 that can still reach rank k:
 
 1. a query's strongest terms (by upper bound of their contribution, up to ``SEEDS`` postings a hit asked for) are scored
-   alone; the k-th best of these partial scores is a threshold that the final k-th score cannot be below;
-2. terms whose upper bounds together stay under the threshold cannot lift a document over it, so only postings of the other
-   terms are read, and documents whose partial score plus those bounds stays under it go;
-3. the documents that are left are scored in full from their own rows of ``documents``.
+   alone and the best documents by them in full; the k-th best of these is a threshold that the final k-th is not below;
+2. the weakest terms, as far as they cannot add three tenths of the threshold together, are left out: only postings of the other terms
+   are read, and documents whose partial score plus those bounds stays under the threshold go;
+3. for the documents that are left the weak terms' postings are looked up by (term, document).
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -25,14 +26,20 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.lexical import _COUNTED, B, K1, idf, top_k
-from corpusloom.storage import exists, fixed_path, remove_path, scratch_table, subfolders
-
-#: Folders of a segment's postings, postings that a hit asked for may cost when the threshold is looked for, and what
-#: rounding to six decimals can hide.
-BUCKETS, SEEDS, SLACK = 16, 200, 2e-6
+from corpusloom.storage import exists, fixed_path, remove_path, scratch_table, spread, stored, subfolders
+
+#: Folders of a segment's postings; what rounding to six decimals can hide.
+BUCKETS, SLACK = 16, 2e-6
+#: Looking for the threshold: postings that a hit asked for may cost, and documents scored in full for it. Any values give
+#: the same hits. The weakest terms are left out as long as they add less than this share of the threshold.
+SEEDS, TRIED, SKIPPED = 200, 4, 0.3
+#: Postings that all queries together may match to be scored without bounds.
+DIRECT = 100_000_000
+#: Part of the name of stored indexes; to be raised when tokens or tables change.
+FORMAT = 3
 
 _POSTINGS = "term string, {key} {type}, doc_len long, tf long, bucket int"
-_DOCUMENTS = "{key} {type}, doc_len long, ts array<struct<term: string, tf: bigint>>"
+_DOCUMENTS = "{key} {type}, doc_len long, terms array<string>, tfs array<bigint>"
 _TERMS = "term string, df long, cf long, max_tf long, min_len long"
 _MANIFEST = "segment string, first_batch long, last_batch long, n_docs long, n_tokens long"
 
@@ -100,7 +107,7 @@ def _write(index: Index, segment: str, buckets: int) -> None:
     """Postings and terms of a segment whose documents are written. Ranges of (bucket, term, key) also cut a word of every document."""
     place = f"segment={segment}"
     docs = index.spark.read.schema(_DOCUMENTS.format(key=index.key, type=index.key_type)).parquet(f"{index.root}/documents/{place}")
-    rows = docs.select(index.key, "doc_len", F.explode("ts").alias("p")).select("p.term", index.key, "doc_len", "p.tf")
+    rows = docs.select(index.key, "doc_len", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), index.key, "doc_len", F.col("p.tfs").alias("tf"))
     terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
     terms.write.mode("overwrite").parquet(f"{index.root}/terms/{place}")
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartitionByRange("bucket", "term", index.key)
@@ -113,9 +120,9 @@ def append(index: Index, docs: DataFrame, batch: int, text: str = "text", bucket
         return index
     segment = f"b{batch:010d}"
     seen = Observation()
-    counted = docs.select(index.key, T.tokens(F.col(text)).alias("t"))
+    counted = spread(docs.select(index.key, text)).select(index.key, T.tokens(F.col(text)).alias("t"))
     counted = counted.observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.greatest(F.size("t"), F.lit(0))), F.lit(0)).alias("n_tokens"))
-    rows = counted.select(index.key, F.size("t").cast("long").alias("doc_len"), F.expr(_COUNTED).alias("ts"))
+    rows = counted.select(index.key, F.size("t").cast("long").alias("doc_len"), F.expr(_COUNTED).alias("ts")).select(index.key, "doc_len", F.col("ts.term").alias("terms"), F.col("ts.tf").alias("tfs"))
     rows.write.mode("overwrite").parquet(f"{index.root}/documents/segment={segment}")
     _write(index, segment, buckets)
     totals = seen.get
@@ -151,7 +158,7 @@ def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     if not print_[0]:
         return Index(spark, "", key, docs.schema[key].dataType.simpleString(), ())
     name = "-".join(f"{x & 0xFFFFFFFFFFFFFFFF:x}" for x in print_)
-    index = open_index(spark, fixed_path(spark, f"lexical-{name}-{key}-{text}"), key, docs.schema[key].dataType.simpleString())
+    index = open_index(spark, fixed_path(spark, f"lexical{FORMAT}-{name}-{key}-{text}"), key, docs.schema[key].dataType.simpleString())
     return index if index.segments else append(index, docs, 0, text)
 
 
@@ -174,35 +181,49 @@ def score(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of every document that shares a term with the query, from the stored postings."""
     if not index.segments or not index.totals[1]:
         return queries.select("query_id", F.lit(None).cast(index.key_type).alias(index.key), F.lit(0.0).alias("score")).where("score > 0")
-    part = index.postings.join(_weights(index, queries).select("query_id", "term", "w"), "term").groupBy("query_id", index.key).agg(F.round(F.sum(_impact(index)), 6).alias("score"))
-    return part.where("score > 0")
+    return _rounded(_partial(index, _weights(index, queries), None), index.key)
+
+
+def _rounded(hits: DataFrame, key: str) -> DataFrame:
+    return hits.select("query_id", key, F.round("score", 6).alias("score")).where("score > 0")
 
 
-def search(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None, direct: int = DIRECT) -> DataFrame:
     """The k best documents of each query with rank: (query_id, key, score, rank), as :func:`score` and a cut would give.
 
-    ``allowed`` (query_id, key) restricts the documents of all queries before the cut (see ``filters.passing``).
+    ``allowed`` (query_id, key) restricts the documents of all queries before the cut (see ``fusion.passing``). Queries that
+    match up to ``direct`` postings, known from the stored df, are scored in one pass: the bounds cost some passes of their own.
     """
     key = index.key
     if not index.segments or not index.totals[1]:
         return top_k(score(index, queries), k, key)
-    with scratch_table(_weights(index, queries), "weights") as weights:
-        partial = lambda terms: _partial(index, terms, allowed)
+    with ExitStack() as scratch:
+        keep = lambda df, name: scratch.enter_context(scratch_table(df, name))
+        weights = _weights(index, queries)
         strong = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
         before = F.coalesce(F.sum("df").over(strong.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        seeds = weights.withColumn("cost", before).where(F.col("cost") < SEEDS * k)
-        best = top_k(partial(seeds), k, key).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+        weights = keep(weights.withColumn("seed", before < SEEDS * k), "weights")
+        if (weights.agg(F.sum("df")).first()[0] or 0) <= direct:
+            return stored(top_k(_rounded(_partial(index, weights, allowed), key), k, key), "hits")
+        likely = keep(top_k(_partial(index, weights.where("seed"), allowed), TRIED * k, key), "likely")
+        best = top_k(_full(index, likely, weights.where("NOT seed")), k, key).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
         threshold = best.where(F.col("n") == k).select("query_id", (F.col("least") - SLACK).alias("least"))
         weak_first = Window.partitionBy("query_id").orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = weights.join(threshold, "query_id", "left").withColumn("upto", F.sum("ub").over(weak_first))
-        ranked = ranked.withColumn("weak", F.coalesce(F.col("upto") < F.col("least"), F.lit(False)))
-        with scratch_table(ranked.select("query_id", "term", "w", "ub", "weak", "least"), "ranked") as ranked:
-            rest = ranked.groupBy("query_id").agg(F.sum(F.when(F.col("weak"), F.col("ub")).otherwise(0.0)).alias("rest"), F.max("least").alias("least"))
-            reach = partial(ranked.where(~F.col("weak"))).join(rest, "query_id").where(F.col("least").isNull() | (F.col("score") + F.col("rest") >= F.col("least")))
-            left = reach.select("query_id", key)
-            terms = index.documents.join(left, key).select("query_id", key, "doc_len", F.explode("ts").alias("p")).select("query_id", key, "doc_len", "p.term", "p.tf")
-            full = terms.join(ranked.select("query_id", "term", "w"), ["query_id", "term"]).groupBy("query_id", key).agg(F.round(F.sum(_impact(index)), 6).alias("score"))
-            return scratch_table(top_k(full.where("score > 0"), k, key), "hits").table
+        ranked = keep(ranked.withColumn("weak", F.coalesce(F.col("upto") < SKIPPED * F.col("least"), F.lit(False))), "ranked")
+        rest = ranked.groupBy("query_id").agg(F.sum(F.when(F.col("weak"), F.col("ub")).otherwise(0.0)).alias("rest"), F.max("least").alias("least"))
+        partial = _partial(index, ranked.where("NOT weak"), allowed).join(rest, "query_id")
+        reach = keep(partial.where(F.col("least").isNull() | (F.col("score") + F.col("rest") >= F.col("least"))).select("query_id", key, "score"), "reach")
+        return stored(top_k(_full(index, reach, ranked.where("weak")), k, key), "hits")
+
+
+def _full(index: Index, partial: DataFrame, rest: DataFrame) -> DataFrame:
+    """(query_id, key, score): partial scores plus what the query's other terms add. Only (term, document) pairs that are
+    asked for leave the postings."""
+    asked = partial.select("query_id", index.key).join(rest.select("query_id", "term", "w"), "query_id")
+    more = index.postings.join(asked, ["term", index.key]).select("query_id", index.key, _impact(index).alias("score"))
+    both = partial.select("query_id", index.key, "score").unionByName(more)
+    return both.groupBy("query_id", index.key).agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 def _partial(index: Index, terms: DataFrame, allowed: DataFrame | None) -> DataFrame:

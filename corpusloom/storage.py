@@ -35,17 +35,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt anew where an input has fewer parts than the cluster has cores (a few small files); else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 @dataclass
 class scratch_table:  # noqa: N801
-    """A stored table; as a context manager it is deleted at the end, when what was made of it is stored elsewhere."""
+    """A table stored while a ``with`` block runs; what is made of it must be stored elsewhere before the end."""
 
     df: DataFrame
     name: str
 
-    @property
-    def table(self) -> DataFrame:
-        return stored(self.df, self.name)
-
     def __enter__(self) -> DataFrame:
         spark = self.df.sparkSession
         self._path = shared_path(spark, self.name)
