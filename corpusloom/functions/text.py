@@ -38,6 +38,8 @@ OPENERS = "who|what|why|how|where|when|tell me|explain"
 ASKERS = "who|what|why|how|where|when|is|are|was|were|do|does|did|can|could|would|should"
 PAGE_MARK = r"(?i)--- Page \d+ (?:End|Start) ---"
 LAYOUT_FOOTER = r"(?i)(?:\d+[\s\-]*)?(?:\d+(?:st|nd|rd|th)[\s\-]*)?[a-zA-Z0-9_\s\-]+?\.indd[^\n\r]*"
+CHUNK_KEY = r"\[(chk_[a-zA-Z0-9_]+)\]"
+SOURCE_MARK = r"\[Source:\s*([^,\]]+)(?:,\s*p(?:age)?\.?\s*(\d+))?\]"
 NUMBER_MARK = r"(?i)[$€£₹]|\b\d+(\.\d+)?\b|\bQ[1-4]\b"
 ANSWER_MARKS = [r"\[chk_[a-zA-Z0-9_\-]+\]", r"\[Source:[^\]]+\]", r"(?i)\b(rag|source|version|page|build|chunk)=\"[^\"]*\"", r"(?i)\b(rag|source|version|page|build|chunk)='[^']*'", r"<[^>]+>"]
 #: A word of three or more ASCII letters, digits or underscores that stands alone: no letter or digit of any script beside it.
@@ -236,7 +238,14 @@ def rewrite_is_valid(raw: Column, rewritten: Column) -> Column:
 
 
 def citation_keys(answer: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[(chk_[a-zA-Z0-9_\-]+)\]"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(answer, F.lit(CHUNK_KEY), F.lit(1)))
+
+
+def source_citations(answer: Column) -> Column:
+    """Array of (name, page) of every [Source: name, p. N] in order, repeats included; page is null where none is given."""
+    marks = F.regexp_extract_all(answer, F.lit(SOURCE_MARK), F.lit(0))
+    page = lambda m: F.regexp_extract(m, SOURCE_MARK, 2)
+    return F.transform(marks, lambda m: F.struct(F.trim(F.regexp_extract(m, SOURCE_MARK, 1)).alias("name"), F.when(page(m) != "", page(m).try_cast("int")).alias("page")))
 
 
 def sanitize_answer(text: Column) -> Column:

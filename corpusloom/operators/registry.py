@@ -59,6 +59,33 @@ def version_delta(base: DataFrame, target: DataFrame, artifact: str = "artifact_
     return c.groupBy(artifact).agg(n("added").alias("n_added"), n("removed").alias("n_removed"), n("retained").alias("n_retained"), (n("added") - n("removed")).alias("chunk_delta"))
 
 
+def require(rows: DataFrame, failures: DataFrame, name: str, what: str) -> DataFrame:
+    """``rows``, unless ``failures`` has a row: then running the plan fails and names the least of them.
+
+    The check is part of the plan: one aggregated row whose filter raises, so nothing is counted on the driver and a plan
+    with a failing part gives no partial result.
+    """
+    message = F.concat(F.lit(f"{what} failed: "), F.coalesce(F.min(F.col(name).cast("string")), F.lit("null")), F.lit(" (of "), F.count("*").cast("string"), F.lit(")"))
+    checked = failures.agg(F.when(F.count("*") > 0, F.raise_error(message).cast("boolean")).alias("_failed"))
+    return rows.crossJoin(F.broadcast(checked)).where(F.col("_failed").isNull()).drop("_failed")
+
+
+def resolved_builds(artifacts: DataFrame, versions: DataFrame, builds: DataFrame) -> DataFrame:
+    """As :func:`active_builds` without the failures; any failure rejects the request."""
+    found = active_builds(artifacts, versions, builds)
+    return require(found.drop("failure"), found.where("failure IS NOT NULL"), "artifact_id", "artifact")
+
+
+def version_comparison(base: DataFrame, target: DataFrame, artifact: str = "artifact_id") -> DataFrame:
+    """Per artifact that has both versions: deltas of chunk_count, vector_count and sources_count, and whether manifest_hash
+    and embedding_model changed. Rows have one version each; :func:`set_changes` gives the sources themselves."""
+    counts = ["chunk_count", "vector_count", "sources_count"]
+    b = base.select(artifact, *(F.col(c).alias(f"_{c}") for c in (*counts, "manifest_hash", "embedding_model")))
+    j = b.join(target, artifact)
+    changed = [(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(f"{c}_changed") for c in ("manifest_hash", "embedding_model")]
+    return j.select(artifact, *((F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in counts), *changed)
+
+
 def provenance(chunks: DataFrame, sources: DataFrame, key: str = "source_id", text: str = "text") -> DataFrame:
     """Chunks with their source's name and hash (null where it is gone). The hash is taken before the join, so no text moves."""
     s = sources.select(key, "source", F.sha2(text, 256).alias("source_hash"))

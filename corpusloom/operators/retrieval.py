@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import dedup, grounding
+from corpusloom.storage import stored
 
 #: A query may ask for four times the default number of hits, and never for more than fifty.
 FACTOR, MOST = 4, 50
@@ -21,9 +22,13 @@ def allowed(default_k: int) -> int:
     return min(FACTOR * default_k, MOST)
 
 
-def invalid_queries(queries: DataFrame, default_k: int = 5) -> DataFrame:
-    """query_id of queries that ask for more hits than are allowed; :func:`retrieve` gives them none."""
-    return queries.where(F.coalesce("top_k", F.lit(default_k)) > allowed(default_k)).select("query_id")
+def invalid_queries(queries: DataFrame, strategies: dict[str, Strategy] | None = None, default_k: int = 5, architecture: str = "architecture") -> DataFrame:
+    """(query_id, reason) of queries that :func:`retrieve` gives no hits: too many hits asked for, or an architecture that has no
+    strategy (unknown or null)."""
+    reason = F.when(F.coalesce("top_k", F.lit(default_k)) > allowed(default_k), "too many hits")
+    if strategies is not None:
+        reason = reason.when(~F.coalesce(F.col(architecture).isin(*strategies), F.lit(False)), "no such architecture")
+    return queries.select("query_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def retrieve(queries: DataFrame, strategies: dict[str, Strategy], chunks: DataFrame, default_k: int = 5, key: str = "doc_id", architecture: str = "architecture") -> DataFrame:
@@ -31,12 +36,12 @@ def retrieve(queries: DataFrame, strategies: dict[str, Strategy], chunks: DataFr
 
     ``queries`` has query_id, query, top_k (null: the default) and an architecture. A strategy maps its queries and the
     largest k to ranked hits (query_id, key, rank, score); only strategies that are given run. ``chunks`` has key, source and
-    text: the text joins at most k rows a query.
+    text: the text joins at most k rows a query. Queries that get none are in :func:`invalid_queries`.
     """
     k = F.coalesce("top_k", F.lit(default_k))
     valid = queries.where(k <= allowed(default_k)).withColumn("_k", k)
-    parts = [s(valid.where(F.col(architecture) == a), allowed(default_k)).select("query_id", key, "rank", F.col("score").cast("double").alias("score"), F.lit(SCORE_TYPES.get(a, "cosine_similarity")).alias("score_type")) for a, s in strategies.items()]
-    hits = reduce(DataFrame.unionByName, parts).join(valid.select("query_id", "_k"), "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
+    parts = [s(valid.where(F.col(architecture) == a), allowed(default_k)).select("query_id", key, "rank", F.col("score").cast("double").alias("score"), F.lit(SCORE_TYPES.get(a, a)).alias("score_type")) for a, s in strategies.items()]
+    hits = stored(reduce(DataFrame.unionByName, parts).join(valid.select("query_id", "_k"), "query_id").where(F.col("rank") <= F.col("_k")).drop("_k"), "retrieved-hits")
     full = chunks.select(key, "source", "text").join(hits, key)
     kept = dedup.dedupe_hits(full, "source", key).select("query_id", F.col("rank").alias("_rank"), key)
     return hits.drop("rank").join(kept, ["query_id", key]).join(chunks.select(key, "source"), key).select("query_id", key, F.col("_rank").alias("rank"), "score", "score_type", T.citation(F.col("source"), F.lit(None), F.lit(None)).alias("citation"))

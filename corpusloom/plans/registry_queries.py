@@ -78,6 +78,25 @@ def version_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.version_delta(v.where("version_id = 0"), v.where("version_id = 1"))
 
 
+COMPARED = (
+    "cv AS (SELECT source AS artifact_id, v AS version_id, sum(n_chars // 500 + 1) AS chunks, sum(CASE WHEN v = 1 AND doc_id % 40 = 0 THEN 0 ELSE n_chars // 500 + 1 END) AS vectors, count(*) AS n, sha256(CAST(sum(doc_id) AS VARCHAR)) AS hash, "
+    "CASE WHEN source = 'src3' AND v = 1 THEN 'model-2' WHEN source <> 'src4' THEN 'model-1' END AS model FROM documents, (SELECT unnest([0, 1]) AS v) WHERE CASE WHEN v = 0 THEN doc_id // 20 % 10 < 8 ELSE doc_id // 20 % 10 > 1 END OR source = 'src5' GROUP BY source, v)"
+)
+
+
+@query(f"WITH {COMPARED} SELECT a.artifact_id, CAST(b.chunks - a.chunks AS BIGINT) AS chunk_count_delta, CAST(b.vectors - a.vectors AS BIGINT) AS vector_count_delta, b.n - a.n AS sources_count_delta, a.hash <> b.hash AS manifest_hash_changed, a.model IS DISTINCT FROM b.model AS embedding_model_changed FROM cv a JOIN cv b ON a.artifact_id = b.artifact_id AND a.version_id = 0 AND b.version_id = 1")
+def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions of every source: one keeps its members, one changes its model, one has none."""
+    i, tenth = F.col("doc_id"), F.floor(F.col("doc_id") / 20) % 10
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
+    d = d.where(F.when(F.col("v") == 0, tenth < 8).otherwise(tenth > 1) | (F.col("source") == "src5"))
+    chunks = F.floor(F.col("n_chars") / 500) + 1
+    counts = [F.sum(chunks).alias("chunk_count"), F.sum(F.when((F.col("v") == 1) & (i % 40 == 0), 0).otherwise(chunks)).alias("vector_count"), F.count("*").alias("sources_count"), F.sha2(F.sum("doc_id").cast("string"), 256).alias("manifest_hash")]
+    model = F.when((F.col("artifact_id") == "src3") & (F.col("version_id") == 1), "model-2").when(F.col("artifact_id") != "src4", "model-1")
+    v = d.groupBy(F.col("source").alias("artifact_id"), F.col("v").alias("version_id")).agg(*counts).withColumn("embedding_model", model)
+    return registry.version_comparison(v.where("version_id = 0").drop("version_id"), v.where("version_id = 1").drop("version_id"))
+
+
 @query("SELECT source AS artifact_id, doc_id AS source_id, CASE WHEN doc_id // 20 % 10 >= 8 THEN 'added' WHEN doc_id // 20 % 10 <= 1 THEN 'removed' ELSE 'retained' END AS change FROM documents")
 def source_set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of each artifact's two versions, as rows."""
