@@ -106,6 +106,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 
     For an exact repeat the place is that of its first equal line, for the rest that of the earliest near line.
     """
+    return _repeated(docs, min_words, near_words, text).drop("h1").distinct()
+
+
+def _repeated(docs: DataFrame, min_words: int, near_words: int, text: str) -> DataFrame:
+    """As :func:`repeated_lines` with the line's hash, which tells lines apart where rows share a doc_id."""
     lines = lines_of(docs, min_words, text)
     hashed = stored(lines.select("doc_id", "line_no", "n_words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.when(F.col("n_words") >= near_words, _halves()).alias("halves")), "line-hashes")
     place = F.struct("doc_id", "line_no")
@@ -120,19 +125,26 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     later = F.col("first") < place
     found = at.where(later | F.col("near_of").isNotNull())
     of = F.when(later, F.col("first")).otherwise(F.col("near_of"))
-    return found.select("doc_id", "line_no", F.when(later, "exact").otherwise("near").alias("kind"), of["doc_id"].alias("of_doc_id"), of["line_no"].alias("of_line")).distinct()
+    return found.select("doc_id", "line_no", "h1", F.when(later, "exact").otherwise("near").alias("kind"), of["doc_id"].alias("of_doc_id"), of["line_no"].alias("of_line"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """The documents with their repeated lines taken out, all columns kept (n_chars follows the text if it is there).
 
-    A document that loses every line with a word is dropped; one that had none, or lost none, stays as it was.
+    A document that loses every line with a word is dropped; one that had none, or lost none, stays as it was. Rows that share
+    a doc_id are told apart by their lines: a line goes from a row only if it is the line that repeats.
     """
-    gone = repeated_lines(docs, min_words, near_words).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("gone"))
+    named = lambda i, h: F.concat_ws(":", i.cast("string"), h.cast("string"))
+    found = _repeated(docs, min_words, near_words, "text").select(F.col("doc_id").alias("id"), named(F.col("line_no"), F.col("h1")).alias("line"))
+    gone = found.groupBy("id").agg(F.collect_set("line").alias("gone"))
     joined = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("id"), "left")
-    cut = F.expr("transform(array(split(row.text, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\\n'))[0]")
-    kept = joined.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(cut).alias("left")).where("gone IS NULL OR left RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    every = F.transform(F.split(F.col("row.text"), "\n"), lambda x, i: named(i, F.xxhash64(_norm(x))))
+    keep = F.transform(F.array_except(every, "gone"), lambda k: F.substring_index(k, ":", 1).cast("int"))
+    joined = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), keep).alias("keep"))
+    cut = F.expr("transform(array(split(row.text, '\\n')), ls -> array_join(transform(keep, i -> ls[i]), '\\n'))[0]")
+    same = F.col("gone").isNull() | (F.size("keep") == F.size(F.split(F.col("row.text"), "\n")))
+    kept = joined.select("row", same.alias("same"), F.when(same, F.col("row.text")).otherwise(cut).alias("left")).where("same OR left RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col("same"), F.col("row.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
     return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -261,7 +261,7 @@ def _leaves(key: np.ndarray, t: np.ndarray, words: list[np.ndarray], tables: lis
         yield mine, first, size, met()
 
 
-def _join(spread: DataFrame, links: Callable[[list[np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
+def _join(spread: DataFrame, links: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``links`` over the rows of whole keys, a bounded number of rows at a time; rows come in the order of key and id."""
     n = int(ready(spread.sparkSession).conf.get("spark.sql.shuffle.partitions"))
 
@@ -274,11 +274,11 @@ def _join(spread: DataFrame, links: Callable[[list[np.ndarray]], pa.RecordBatch
             if size > WALK:  # rows come sorted by key: whole groups can go, the last one may go on
                 rows = [np.concatenate(c) for c in zip(*held, strict=True)]
                 done = rows[0] != rows[0][-1]
-                if done.any() and (got := links([r[done] for r in rows])) is not None:
-                    yield got
+                if done.any():
+                    yield from links([r[done] for r in rows])
                 held, size = [[r[~done] for r in rows]], int((~done).sum())
-        if size and (got := links([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
-            yield got
+        if size:
+            yield from links([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return spread.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(join, schema)
 
@@ -293,7 +293,7 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
     """
     n_words, total = len(prints.columns) - 1, budget if total is None else total
 
-    def links(rows: list[np.ndarray]) -> pa.RecordBatch | None:
+    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         ids, words = rows[2], rows[3:]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         top = np.arange(len(ids))
@@ -333,9 +333,9 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
                         apart = roots(i) != roots(j)
                         keep(i[apart], j[apart])
         if not found:
-            return None
+            return
         a, b = forest(*(np.concatenate(c) for c in zip(*found, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return _join(deal(prints, tables, budget, limit).select("key", "t", "id", *(f"f{k}" for k in range(n_words))), links, "a long, b long")
 
@@ -351,12 +351,11 @@ def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: in
     names = [c for c in prints.columns if c not in ("id", "n", "label")]
     whole = crowded is not None
 
-    def links(rows: list[np.ndarray]) -> pa.RecordBatch | None:
+    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, ids, n, label, words = rows[0], rows[2], rows[3], rows[4], rows[5:]
         keys, key_no = np.unique(key, return_inverse=True)
         dense = np.zeros(len(keys), bool)
         in_key = np.bincount(key_no)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def accepted(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok = (ids[i] != ids[j]) & (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
@@ -378,6 +377,10 @@ def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: in
             one = np.concatenate([[True], y[1:] != y[:-1]]) if len(y) else np.zeros(0, bool)
             return np.concatenate([i[~much], x[one]]), np.concatenate([j[~much], y[one]]), np.concatenate([d[~much], e[one]])
 
+        def batch(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "key"])
+
         for mine, first, size, met in _leaves(key, rows[1], words, tables, budget):
             found = [(np.zeros(0, np.int64),) * 3]
             held = 0
@@ -399,18 +402,21 @@ def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: in
                     for i, j in steps:
                         found.append(accepted(i, j))
                         held += len(found[-1][0])
+                        if whole and held > FRONTIER:
+                            yield batch(*thin(found)[:2])
+                            found, held = [(np.zeros(0, np.int64),) * 3], 0
                 if held > FRONTIER:
-                    found = [thin(found)]
+                    if whole:  # nothing is thinned out, so pairs go on as they are found
+                        yield batch(*thin(found)[:2])
+                        found = [(np.zeros(0, np.int64),) * 3]
+                    else:
+                        found = [thin(found)]
                     held = 0
-            i, j, _ = thin(found)
-            out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
-        pairs = np.unique(np.concatenate([np.stack(p, axis=1) for p in out]), axis=0)
+            yield batch(*thin(found)[:2])
         named = keys[dense]
-        if not len(pairs) + len(named):
-            return None
-        none = [None] * len(named)
-        columns = [pa.array([*pairs[:, 0].tolist(), *none], pa.int64()), pa.array([*pairs[:, 1].tolist(), *none], pa.int64()), pa.array([*[None] * len(pairs), *named.tolist()], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
+        if len(named):
+            none = pa.nulls(len(named), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(named, pa.int64())], names=["a", "b", "key"])
 
     spread = deal(prints, tables, budget, limit).select("key", "t", "id", "n", "label", *names)
     return _join(spread.join(crowded, "key", "left_semi") if whole else spread, links, "a long, b long, key long")
@@ -463,7 +469,7 @@ def near_plan(rows: int, budget: int = NEAR_BUDGET) -> tuple[int, list[tuple[int
     """(words a fingerprint, tables, budget, bounds of differing bits) for a corpus of ``rows`` rows.
 
     A table gets the fewest bits with which a row meets at most CHANCE others by chance, and there are as many tables as it
-    takes to meet a pair at 0.8 with probability RECALL: 20 bits and 11 tables for 200 thousand rows, 27 and 22 for 15 million.
+    takes to meet a pair at 0.8 with probability RECALL: 20 bits and 11 tables for 200 thousand rows, 27 and 25 for 15 million.
     """
     ball = lambda width: sum(math.comb(width, i) for i in range(budget + 1))
     width = next(w for w in range(4 * (budget + 1), 65) if rows * ball(w) <= CHANCE * 2**w or w == 64)

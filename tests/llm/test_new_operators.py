@@ -170,3 +170,33 @@ def test_runs_of_a_very_long_text():
     assert periodic_runs.runs_of(*periodic_runs.numbered([unit * 500])) == [(0, 500_000, 1000)]
     rng = random.Random(2)
     assert len(periodic_runs.runs_of(*periodic_runs.numbered([[rng.choice(b"ab") for _ in range(500_000)]]))) > 1000
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    """A line is cut from the row in which it repeats, not from the place of that number in another row of the id."""
+    from corpusloom.llm import line_dedup
+
+    same = "same line of a few words here"
+    df = spark.createDataFrame([(1, f"alpha beta\n{same}"), (2, f"{same}\nkeep one"), (2, "unique first line of row two b\nkeep two"), (3, same)], "doc_id long, text string")
+    got = sorted(r["text"] for r in line_dedup.drop_repeated_lines(df).collect())
+    assert got == sorted([f"alpha beta\n{same}", "keep one", "unique first line of row two b\nkeep two"])
+
+
+def test_pairs_of_a_crowd_leave_the_task_in_blocks(spark, monkeypatch):
+    """Templated pages below the similarity: every candidate pair is given once it is found, and none is a copy."""
+    from corpusloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "FRONTIER", 1000)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for k in range(120):
+        ws = list(base)
+        for p in rng.sample(range(300), 6):
+            ws[p] = f"own{k}x{p}"
+        texts.append((k, " ".join(ws)))
+    df = spark.createDataFrame([*texts, (500, texts[7][1].replace("own7x", "other7x", 1))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5, 42).tolist()) for r in df.collect()}
+    near = {b for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert set(got) == near and 500 in near
