@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,8 @@ from corpusloom.sources import files
 from corpusloom.storage import shared_path
 from corpusloom.streaming import ingest
 
-SAMPLES = ["", "%PDF-1.7 x", '<?xml version="1.0"?><a/>', '{"a": 1}', "a\tb\n1\t2", "a,b\n1,2", "# T\n- x\n- y", "plain"]
-
-
-FORMATS = ["empty", "pdf", "xml", "json", "tsv", "csv", "md", "txt"]
-MADE = "['', '%PDF-1.7 x', '<?xml version=\"1.0\"?><a/>', '{\"a\": 1}', 'a' || chr(9) || 'b' || chr(10) || '1' || chr(9) || '2', 'a,b' || chr(10) || '1,2', '# T' || chr(10) || '- x' || chr(10) || '- y', 'plain']"
+SAMPLES = ["", "%PDF-1.7 x", '<?xml version="1.0"?><a/>', '{"a": 1}', "a\tb\n1\t2", "a,b\n1,2", "# T\n- x\n- y", "plain", "<note>no declaration</note>", '{"a": unquoted}', "<p>x</p><html>", "  \n "]
+MADE = "['', '%PDF-1.7 x', '<?xml version=\"1.0\"?><a/>', '{\"a\": 1}', 'a' || chr(9) || 'b' || chr(10) || '1' || chr(9) || '2', 'a,b' || chr(10) || '1,2', '# T' || chr(10) || '- x' || chr(10) || '- y', 'plain', '<note>no declaration</note>', '{\"a\": unquoted}', '<p>x</p><html>', '  ' || chr(10) || ' ']"
 
 
 def _even(mark: str) -> str:
@@ -24,27 +23,34 @@ def _even(mark: str) -> str:
 
 
 @query(
-    f"WITH d AS (SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.TXT' ELSE '' END AS path, CASE WHEN doc_id % 16 < 8 THEN {MADE}[doc_id % 16 + 1] ELSE text END AS c FROM documents), "
-    "l AS (SELECT path, trim(c, ' ' || chr(10)) AS h, list_filter(list_transform(string_split(substr(c, 1, 4096), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1:20] AS lines FROM d), v AS (SELECT *, lines[1:5] AS five FROM l), "
-    f"f AS (SELECT path, CASE WHEN h = '' THEN 'empty' WHEN starts_with(h, '%PDF-') THEN 'pdf' WHEN starts_with(h, '<?xml') THEN 'xml' WHEN starts_with(h, '{{') OR starts_with(h, '[') THEN 'json' WHEN {_even('chr(9)')} THEN 'tsv' WHEN {_even(repr(','))} OR {_even(repr(';'))} THEN 'csv' WHEN len(list_filter(lines, lambda x: starts_with(x, '#') OR starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '> ') OR starts_with(x, chr(96) || chr(96) || chr(96)) OR (contains(x, '|') AND contains(x, '-|-')))) >= 2 THEN 'md' ELSE 'txt' END AS format FROM v) "
-    "SELECT path, format, contains(path, '.') AND lower(string_split(path, '.')[2]) <> format AS mismatch FROM f UNION ALL SELECT 'p' || page_id || '.html', 'html', false FROM pages"
+    f"WITH d AS (SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.TXT' ELSE '' END AS path, CASE doc_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'txt' ELSE '' END AS ext, CASE WHEN doc_id % 16 < 12 THEN {MADE}[doc_id % 16 + 1] ELSE text END AS c FROM documents), "
+    "l AS (SELECT path, ext, c, ltrim(c, ' ' || chr(10)) AS h, list_filter(list_transform(string_split(substr(c, 1, 4096), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1:20] AS lines FROM d), v AS (SELECT *, lines[1:5] AS five FROM l), "
+    f"f AS (SELECT path, ext, CASE WHEN c = '' THEN 'empty 1.0 size_check' WHEN starts_with(h, '%PDF-') THEN 'pdf 1.0 magic_bytes' WHEN starts_with(h, '<') AND contains(h, '<html') THEN 'html 0.9 html_tags' WHEN starts_with(h, '<') AND contains(h, '>') THEN 'xml 0.95 xml_declaration' WHEN contains(h, '<html') THEN 'html 0.95 html_tags' WHEN (starts_with(h, '{{') OR starts_with(h, '[')) AND json_valid(c) THEN 'json 1.0 json_parse' WHEN len(lines) = 0 THEN 'unknown 0.1 unknown' WHEN {_even('chr(9)')} THEN 'tsv 0.95 delimiter_sniff' WHEN {_even(repr(','))} OR {_even(repr(';'))} THEN 'csv 0.95 delimiter_sniff' "
+    "WHEN len(list_filter(lines, lambda x: starts_with(x, '#') OR starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '> ') OR starts_with(x, chr(96) || chr(96) || chr(96)) OR (contains(x, '|') AND contains(x, '-|-')))) >= 2 THEN 'md 0.8 markdown_syntax' WHEN ext = 'txt' THEN 'txt 0.85 text_encoding' ELSE 'txt 0.7 text_encoding' END AS f FROM v) "
+    "SELECT path, split_part(f, ' ', 1) AS format, CAST(split_part(f, ' ', 2) AS DOUBLE) AS confidence, split_part(f, ' ', 3) AS method, split_part(f, ' ', 1) NOT IN ('empty', ext) AS mismatch FROM f UNION ALL SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.htm' ELSE '.xml' END, 'html', CAST(0.9 AS DOUBLE), 'html_tags', page_id % 3 = 2 FROM pages"
 )
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and documents as files with extensions; half of the documents are small files of a format by id."""
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    """Pages and documents as files with extensions; three quarters of the documents are small files of a format by id."""
+    n = F.col("page_id")
+    named = F.concat(F.lit("p"), n.cast("string"), F.when(n % 3 == 0, ".html").when(n % 3 == 1, ".htm").otherwise(".xml"))
+    pages = table(spark, sf_dir, "pages").select(named.alias("path"), F.encode("html", "UTF-8").alias("content"))
     k = F.col("doc_id")
-    made = F.element_at(F.array(*map(F.lit, SAMPLES)), F.least(k % 16, F.lit(7)).cast("int") + 1)
+    made = F.element_at(F.array(*map(F.lit, SAMPLES)), F.least(k % 16, F.lit(11)).cast("int") + 1)
     end = F.when(k % 3 == 0, ".csv").when(k % 3 == 1, ".TXT").otherwise("")
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), k.cast("string"), end).alias("path"), F.encode(F.when(k % 16 < 8, made).otherwise(F.col("text")), "UTF-8").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), k.cast("string"), end).alias("path"), F.encode(F.when(k % 16 < 12, made).otherwise(F.col("text")), "UTF-8").alias("content"))
     return files.detect_format(pages.unionByName(docs))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer")
+@query("SELECT sep, CAST(c_custkey AS VARCHAR) AS c_custkey, 'a;b, ' || c_name || chr(9) || '|' || chr(10) || 'second line' AS _count, CAST(c_nationkey AS VARCHAR) AS col_2, c_mktsegment FROM customer, (SELECT unnest([',', 'tab', ';', '|']) AS sep)")
 def read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written with tabs and read again as strings."""
-    path = shared_path(spark, "delimited")
-    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.csv(path, header=True, sep="\t")
-    return files.read_delimited(spark, path, "\t")
+    """Customers written with four separators, with quoted separators and line ends and a blank name, and read again."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("a;b, "), "c_name", F.lit("\t|\nsecond line")).alias("_count"), F.col("c_nationkey").alias(" "), "c_mktsegment")
+    parts = []
+    for sep, name in ((",", ","), ("\t", "tab"), (";", ";"), ("|", "|")):
+        path = shared_path(spark, "delimited")
+        c.write.csv(path, header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        parts.append(files.read_delimited(spark, path).withColumn("sep", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN user_id % 3 = 0 THEN 'yes' END AS vip FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -20,58 +21,100 @@ from corpusloom.shipping import ready
 HEAD = 4096
 
 
-def text_format(head: Column) -> Column:
-    """Format by content signals on the first characters: empty, pdf, zip, cfbf, xml, html, json, tsv, csv, md or txt."""
-    h = T.strip(head)
-    low = F.lower(F.substring(h, 1, 500))
-    lines = F.slice(F.filter(F.transform(F.split(head, "\n"), T.strip), lambda x: x != ""), 1, 20)
+#: Up to so many bytes a JSON text is parsed (of its first characters) and not only looked at.
+JSON_PARSED, JSON_SNIPPET = 100_000, 10_000
+
+
+def _detected(kind: str, sure: float, method: str) -> Column:
+    return F.struct(F.lit(kind).alias("format"), F.lit(sure).alias("confidence"), F.lit(method).alias("method"))
+
+
+def _text_signals(head: Column, snippet: Column, size: Column, extension: Column) -> Column:
+    """(format, confidence, method) of what is no binary container, by content first; null for no known text."""
+    h = F.regexp_replace(head, "^[\\ufeff \\t\\r\\n]+", "")
+    low = F.lower(h)
+    lines = F.slice(F.filter(F.transform(F.split(head, "\r\n|\r|\n"), T.strip), lambda x: x != ""), 1, 20)
     five = F.slice(lines, 1, 5)
 
     def even(mark: str) -> Column:
         counts = F.transform(five, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit(""))))
         return (F.size(five) > 1) & (F.array_min(counts) > 0) & (F.array_min(counts) == F.array_max(counts))
 
-    signals = F.size(F.filter(lines, lambda x: x.startswith("#") | x.startswith("- ") | x.startswith("* ") | x.startswith("> ") | x.startswith("```") | (x.contains("|") & x.contains("-|-"))))
+    marked = F.size(F.filter(lines, lambda x: x.startswith("#") | x.startswith("- ") | x.startswith("* ") | x.startswith("> ") | x.startswith("```") | (x.contains("|") & x.contains("-|-"))))
+    tag = h.startswith("<?xml") | (h.startswith("<") & F.substring(h, 1, 200).contains(">"))
+    html = low.contains("<html") | low.contains("<!doctype html")
+    opened = h.startswith("{") | h.startswith("[")
+    whole = (size < JSON_PARSED) & F.try_parse_json(T.strip(F.substring(snippet, 1, JSON_SNIPPET))).isNotNull()
+    is_md, is_txt = extension.isin("md", "markdown"), extension == "txt"
     return (
-        F.when(h == "", "empty")
-        .when(head.startswith("%PDF-"), "pdf")
-        .when(head.startswith("PK\x03\x04"), "zip")
-        .when(h.startswith("<?xml"), "xml")
-        .when(low.contains("<!doctype html") | low.contains("<html"), "html")
-        .when(h.startswith("{") | h.startswith("["), "json")
-        .when(even("\t"), "tsv")
-        .when(even(",") | even(";"), "csv")
-        .when(signals >= 2, "md")
-        .otherwise("txt")
+        F.when(tag & html, _detected("html", 0.9, "html_tags"))
+        .when(tag, _detected("xml", 0.95, "xml_declaration"))
+        .when(F.substring(low, 1, 500).contains("<!doctype html") | F.substring(low, 1, 500).contains("<html"), _detected("html", 0.95, "html_tags"))
+        .when(opened & whole, _detected("json", 1.0, "json_parse"))
+        .when(opened & (size >= JSON_PARSED), _detected("json", 0.85, "json_sniff"))
+        .when(head.contains("\x00") | (F.size(lines) == 0), F.lit(None))
+        .when(even("\t"), _detected("tsv", 0.95, "delimiter_sniff"))
+        .when(even(",") | even(";"), _detected("csv", 0.95, "delimiter_sniff"))
+        .when(is_md, _detected("md", 0.9, "markdown_syntax"))
+        .when(marked >= 2, _detected("md", 0.8, "markdown_syntax"))
+        .when(is_txt, _detected("txt", 0.85, "text_encoding"))
+        .otherwise(_detected("txt", 0.7, "text_encoding"))
     )
 
 
+def text_format(text: Column) -> Column:
+    """Format of a text without a name: empty, xml, html, json, tsv, csv, md, txt or unknown."""
+    found = _text_signals(F.substring(text, 1, HEAD), text, F.octet_length(text), F.lit(""))["format"]
+    return F.when(text == "", "empty").otherwise(F.coalesce(found, F.lit("unknown")))
+
+
+#: Extensions that go with a format other than its own name.
+ALSO = {"html": "htm", "md": "markdown"}
+
+
 def detect_format(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """path, format and mismatch (the extension says otherwise) of binary files; ZIP archives are told apart by members."""
-    kind = text_format(F.make_valid_utf8(F.substring(F.col(content), 1, HEAD).cast("string")))
-    cfbf = F.hex(F.substring(F.col(content), 1, 8)) == "D0CF11E0A1B11AE1"
+    """path, format, confidence, method and mismatch (the extension says otherwise) of binary files.
+
+    Content decides, in this order: size, PDF, ZIP members, compound files (doc or xls), tags, JSON (parsed if it is under
+    100 kB), delimiters, Markdown, text; what is none of these is unknown. An empty file mismatches nothing.
+    """
     ready(files.sparkSession)
 
-    @F.pandas_udf("string")
-    def members(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(raw: bytes) -> str:
+    @F.pandas_udf("format string, confidence double, method string")
+    def members(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(raw: bytes) -> tuple:
             try:
-                names = zipfile.ZipFile(io.BytesIO(raw)).namelist()
-            except zipfile.BadZipFile:
-                return "zip"
-            for part, name in (("word/", "docx"), ("ppt/", "pptx"), ("xl/", "xlsx")):
-                if any(n.startswith(part) for n in names):
-                    return name
-            return "epub" if "META-INF/container.xml" in names else "zip"
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    names = set(z.namelist())
+                    if "mimetype" in names and b"application/epub+zip" in z.read("mimetype"):
+                        return "epub", 1.0, "container_manifest"
+            except Exception:  # anything may be wrong with a file that only looks like an archive
+                return "unknown", 0.4, "corrupted_zip"
+            if "META-INF/container.xml" in names:
+                return "epub", 0.9, "container_manifest"
+            if "[Content_Types].xml" in names:
+                for part, name in (("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx")):
+                    if any(n.startswith(part) for n in names):
+                        return name, 1.0, "container_manifest"
+            return "unknown", 0.1, "unknown"
 
         for s in batches:
-            yield s.map(one)
+            yield pd.DataFrame(list(map(one, s)), columns=["format", "confidence", "method"])
 
-    first = files.select(path, content, F.when(cfbf, "cfbf").otherwise(kind).alias("format"))
-    plain = first.where("format <> 'zip'").select(path, "format")
-    packed = first.where("format = 'zip'").select(path, members(F.col(content)).alias("format"))
+    raw = F.col(content)
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return plain.unionByName(packed).select(path, "format", ((extension != "") & (extension != F.col("format"))).alias("mismatch"))
+    decoded = lambda n: F.make_valid_utf8(F.substring(raw, 1, n).cast("string"))
+    head = decoded(HEAD)
+    cfbf = F.when(extension == "xls", _detected("xls", 0.9, "magic_bytes_and_ext")).when(extension == "doc", _detected("doc", 0.9, "magic_bytes_and_ext")).when(head.contains("WordDocument"), _detected("doc", 0.7, "cfbf_signature")).otherwise(_detected("xls", 0.7, "cfbf_signature"))
+    kind = F.when(F.octet_length(raw) == 0, _detected("empty", 1.0, "size_check")).when(head.startswith("%PDF-"), _detected("pdf", 1.0, "magic_bytes")).when(F.hex(F.substring(raw, 1, 8)) == "D0CF11E0A1B11AE1", cfbf)
+    kind = kind.otherwise(F.coalesce(_text_signals(head, decoded(4 * JSON_SNIPPET), F.octet_length(raw), extension), _detected("unknown", 0.1, "unknown")))
+    zipped = F.hex(F.substring(raw, 1, 4)) == "504B0304"
+    rows = files.select(path, content, zipped.alias("_zip"))
+    plain = rows.where("NOT _zip").select(path, kind.alias("f"))
+    packed = rows.where("_zip").select(path, members(raw).alias("f"))
+    also = F.coalesce(F.create_map(*[F.lit(x) for kv in ALSO.items() for x in kv])[F.col("f.format")], F.lit(""))
+    mismatch = ~F.col("f.format").isin("empty") & (extension != F.col("f.format")) & ((also == "") | (extension != also))
+    return plain.unionByName(packed).select(path, "f.format", "f.confidence", "f.method", mismatch.alias("mismatch"))
 
 
 def normalize_cells(rows: DataFrame) -> DataFrame:
@@ -80,10 +123,39 @@ def normalize_cells(rows: DataFrame) -> DataFrame:
     return rows.select(*[(T.strip(F.col(f"`{c}`")) if c in strings else F.col(f"`{c}`")).alias(c.strip()) for c in rows.columns])
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A delimited file with a header; all columns strings, blank names become col_i, short rows are padded with null."""
+#: Separators that are told apart, and lines and characters of the head that tell them.
+SEPARATORS, LOOK_LINES, LOOK_CHARS = ",\t;|", 50, 65_536
+
+
+def sniff_delimiter(head: str, default: str = ",") -> str:
+    """The separator with which the records of a head have most often the same number of fields, more than one.
+
+    Quotes count: separators and line ends inside them do not. The last record may be cut off and is left out if there are
+    others. Of equal separators the one with more fields wins; a head that none divides gets the default.
+    """
+    best = (0.0, 0, default)
+    for mark in SEPARATORS:
+        records = [r for r in csv.reader(io.StringIO(head), delimiter=mark) if r]
+        widths = [len(r) for r in (records[:-1] if len(records) > 2 else records)]
+        if widths and (width := max(set(widths), key=lambda w: (widths.count(w), w))) > 1:
+            share = widths.count(width) / len(widths)
+            if widths[0] == width and (share, width) > best[:2]:
+                best = (share, width, mark)
+    return best[2]
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Delimited files with a header; all columns strings, blank names become col_i, short rows are padded with null.
+
+    Without ``sep`` it is found from the first lines (:func:`sniff_delimiter`; without any sign a tab for .tsv, else a comma).
+    """
+    lines = spark.read.text(path).select(F.substring("value", 1, LOOK_CHARS // 8).alias("value")).limit(LOOK_LINES).collect()
+    head = "\n".join(r["value"] for r in lines)[:LOOK_CHARS].removeprefix("\ufeff")
+    sep = sep or sniff_delimiter(head, "\t" if path.lower().endswith(".tsv") else ",")
     df = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", quote='"', escape='"', multiLine=True)
-    return df.toDF(*[c.strip() if c.strip() and not c.startswith("_c") else f"col_{i}" for i, c in enumerate(df.columns)])
+    own = next((r for r in csv.reader(io.StringIO(head), delimiter=sep) if r), [])
+    blank = [i < len(own) and not own[i].strip() for i in range(len(df.columns))]
+    return df.toDF(*[f"col_{i}" if b or not c.strip() else c.strip() for i, (c, b) in enumerate(zip(df.columns, blank, strict=True))])
 
 
 #: Records that decide whether JSON is a table, and records whose keys become its columns.

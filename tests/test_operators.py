@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -210,13 +211,35 @@ def test_schema_chunk(spark):
     assert text == "Dataset: d\nSheet: main\nTotal Rows: 2\nTotal Columns: 2\nColumns & Types: n (integer), s (string)"
 
 
-def test_zip_members(spark):
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("word/document.xml", "x")
-    rows = [("a.docx", raw.getvalue()), ("b.txt", b"PK\x03\x04broken"), ("c.pdf", b"%PDF-1.4"), ("d.md", b"\xff\xfe plain"), ("e.doc", bytes.fromhex("D0CF11E0A1B11AE1"))]
-    got = {r["path"]: (r["format"], r["mismatch"]) for r in files.detect_format(spark.createDataFrame(rows, "path string, content binary")).collect()}
-    assert got == {"a.docx": ("docx", False), "b.txt": ("zip", True), "c.pdf": ("pdf", False), "d.md": ("txt", True), "e.doc": ("cfbf", True)}
+def test_formats_of_files(spark):
+    def zipped(*names, mimetype=None):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for n in names:
+                z.writestr(n, mimetype or "x")
+        return raw.getvalue()
+
+    cfbf = bytes.fromhex("D0CF11E0A1B11AE1")
+    rows = [
+        ("a.docx", zipped("[Content_Types].xml", "word/document.xml")), ("a.zip", zipped("word/document.xml")), ("e.epub", zipped("mimetype", mimetype="application/epub+zip")), ("f.epub", zipped("META-INF/container.xml")), ("b.txt", b"PK\x03\x04broken"),
+        ("c.pdf", b"%PDF-1.4"), ("d.md", b"\xff\xfe plain"), ("e.doc", cfbf), ("e.xls", cfbf), ("x.bin", cfbf + b"..WordDocument"), ("y.bin", cfbf), ("fake.pdf", b"col1,col2\nv1,v2\n"), ("z.dat", b"a\x00b"), ("n", b""),
+        ("u.xml", b"\xef\xbb\xbf <root>x</root>"), ("x.htm", b'<?xml version="1.0"?><html xmlns="x"></html>'), ("bad.json", b"{not json"), ("big.json", b"[" + b"1, " * 60_000), ("m.markdown", b"just words"), ("w.txt", b" \n"),
+    ]
+    got = {r["path"]: (r["format"], r["confidence"], r["mismatch"]) for r in files.detect_format(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {
+        "a.docx": ("docx", 1.0, False), "a.zip": ("unknown", 0.1, True), "e.epub": ("epub", 1.0, False), "f.epub": ("epub", 0.9, False), "b.txt": ("unknown", 0.4, True),
+        "c.pdf": ("pdf", 1.0, False), "d.md": ("md", 0.9, False), "e.doc": ("doc", 0.9, False), "e.xls": ("xls", 0.9, False), "x.bin": ("doc", 0.7, True), "y.bin": ("xls", 0.7, True), "fake.pdf": ("csv", 0.95, True), "z.dat": ("unknown", 0.1, True), "n": ("empty", 1.0, False),
+        "u.xml": ("xml", 0.95, False), "x.htm": ("html", 0.9, False), "bad.json": ("txt", 0.7, True), "big.json": ("json", 0.85, False), "m.markdown": ("md", 0.9, False), "w.txt": ("unknown", 0.1, True),
+    }
+
+
+def test_delimiters_are_found():
+    rows = [["id", "a name", "note"], ["1", "x, y; z", "line one\nline two"], ["2", "p|q", 'says "hi"\tand'], ["3", "", ""]]
+    for sep in ",\t;|":
+        out = io.StringIO()
+        csv.writer(out, delimiter=sep).writerows(rows)
+        assert files.sniff_delimiter(out.getvalue()) == sep
+    assert files.sniff_delimiter("one column\nonly words here") == "," and files.sniff_delimiter("", "\t") == "\t"
 
 
 def test_json_blocks(spark):
