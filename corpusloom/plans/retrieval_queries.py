@@ -84,6 +84,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.dense_topk(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), K)
 
 
+@query("SELECT count(*) AS n_queries, count(*) * 5 AS n_true, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
+def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the approximate mode against the exact ones of the same queries: nine of ten are found at least."""
+    e, asked = table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir)
+    r = dense.recall(dense.approximate_topk(e, asked, K), dense.dense_topk(e, asked, K))
+    return r.select("n_queries", "n_true", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query(f"WITH {VEC}, p AS (SELECT query_id, vec_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM h WHERE rank <= 4 * {K} AND label < 5) SELECT query_id, vec_id, label, score, CAST(r AS INTEGER) AS rank FROM p WHERE r <= {K}")
 def post_filter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over-fetch four times, filter by label, keep the first k that pass."""

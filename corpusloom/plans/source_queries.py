@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import registry, segments
+from corpusloom.operators import registry, segments, sketches
 from corpusloom.plans.registry import query, table
 from corpusloom.plans.retrieval_queries import SCORES, TERMS, K, Q, text_queries
 from corpusloom.sources import files
@@ -182,3 +182,23 @@ def streaming_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = ingest.windowed_latency(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, "latency-state")).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
     return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "p50", "p95")
+
+
+@query("SELECT event_type, count(value) AS n, max(value) AS most, round(avg(value), 6) AS mean, true AS quantiles_hold, true AS distinct_holds FROM events GROUP BY event_type")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of every day and event type, stored, merged to event types, and held against the exact rows: the rank of each
+    quantile and the number of users are within the stated errors."""
+    e = table(spark, sf_dir, "events")
+    path = shared_path(spark, "summaries")
+    sketches.summarize(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value", "user_id").write.parquet(path)
+    shares = [0.05, 0.5, 0.95]
+    merged = sketches.read(sketches.merge(spark.read.parquet(path), ["event_type"]), shares)
+    rows = e.select("event_type", "value", "user_id").join(merged.select("event_type", "quantile_values", "distinct"), "event_type")
+    bounds = [b for i, _ in enumerate(shares) for b in (F.count_if(F.col("value") < F.col("quantile_values")[i]).alias(f"below{i}"), F.count_if(F.col("value") <= F.col("quantile_values")[i]).alias(f"upto{i}"))]
+    true = rows.groupBy("event_type").agg(*bounds, F.count("value").alias("all"), F.count_distinct("user_id").alias("users"))
+    held = F.lit(True)
+    for i, s in enumerate(shares):
+        slack = sketches.RANK_ERROR * F.col("all") + 1
+        held = held & (F.col(f"below{i}") <= s * F.col("all") + slack) & (F.col(f"upto{i}") >= s * F.col("all") - slack)
+    counted = F.abs(F.col("distinct") - F.col("users")) <= sketches.COUNT_ERROR * F.col("users") + 1
+    return merged.join(true, "event_type").select("event_type", "n", "most", F.round("mean", 6).alias("mean"), held.alias("quantiles_hold"), counted.alias("distinct_holds"))
