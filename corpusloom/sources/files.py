@@ -7,13 +7,15 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as T
 from corpusloom.shipping import ready
@@ -197,6 +199,48 @@ def _first_items(texts: DataFrame, n: int) -> list:
     return [json.loads(r["item"]) for r in texts.mapInPandas(run, "item string").limit(n).collect()]
 
 
+#: Rows that a flattening task gives on at a time.
+GIVEN = 5_000
+
+
+def _each_text(rows: DataFrame, key: str, doc: str, fields: str, parse: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """key and ``fields`` of every tuple that ``parse`` makes of a text. Texts become Python objects one by one and rows leave
+    in bounded batches, so a task holds one text with what comes of it. Keys have any type; a text that ``parse`` refuses
+    (ValueError) gives no row."""
+    kind = rows.schema[key].dataType
+    names = [f.split()[0] for f in fields.split(", ")]
+    types = {"int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(key, to_arrow_type(kind)), *((f.split()[0], types[f.split()[1]]) for f in fields.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        out: list[tuple] = []
+
+        def given() -> pa.RecordBatch:
+            columns = [pa.array([r[c] for r in out], t) for c, t in zip(range(len(names)), schema.types[1:], strict=True)]
+            batch = pa.RecordBatch.from_arrays([pa.array(keys, schema.types[0]), *columns], schema=schema)
+            keys.clear()
+            out.clear()
+            return batch
+
+        for b in batches:
+            for k, raw in zip(b.column(0), b.column(1), strict=True):
+                try:
+                    made = list(parse(raw.as_py() or ""))
+                except (ValueError, RecursionError, ElementTree.ParseError):
+                    continue
+                for at in range(0, len(made), GIVEN):
+                    part = made[at : at + GIVEN]
+                    keys.extend([k.as_py()] * len(part))
+                    out.extend(part)
+                    if len(out) >= GIVEN:
+                        yield given()
+        yield given()
+
+    ready(rows.sparkSession)
+    return rows.select(key, doc).mapInArrow(run, f"`{key}` {kind.simpleString()}, {fields}")
+
+
 def json_flatten(rows: DataFrame, key: str, doc: str) -> DataFrame:
     """(key, block_index, type, level, key_path, content) of a JSON text in document order: a heading for a key that holds a
     container (level 6 at most), 'key: value' for a leaf, the value alone for an item of a list.
@@ -204,7 +248,6 @@ def json_flatten(rows: DataFrame, key: str, doc: str) -> DataFrame:
     A text that is no JSON gives no block. Each document is parsed once, in its task, with a stack and at any depth that the
     parser takes.
     """
-    ready(rows.sparkSession)
 
     def walk(doc: object) -> Iterator[tuple[str, int | None, str, str]]:
         stack: list[tuple] = [("value", doc, "", 1, "")]
@@ -222,19 +265,8 @@ def json_flatten(rows: DataFrame, key: str, doc: str) -> DataFrame:
             else:
                 yield "paragraph", None, path, str(node)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple] = []
-            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                try:
-                    out += [(k, i, *block) for i, block in enumerate(walk(json.loads(raw)))]
-                except (ValueError, TypeError, RecursionError):
-                    continue
-            frame = pd.DataFrame(out, columns=[key, "block_index", "type", "level", "key_path", "content"])
-            frame["level"] = frame["level"].astype("Int32")
-            yield frame
-
-    return rows.select(key, doc).mapInPandas(run, f"{key} long, block_index int, type string, level int, key_path string, content string")
+    blocks = lambda raw: ((i, *block) for i, block in enumerate(walk(json.loads(raw))))
+    return _each_text(rows, key, doc, "block_index int, type string, level int, key_path string, content string", blocks)
 
 
 #: Children of an XML root that decide whether it is a table.
@@ -245,26 +277,18 @@ def xml_records(rows: DataFrame, key: str, doc: str) -> DataFrame:
     """(key, record, field, value) of XML texts that are tables: two children at least, of which the first ten have the same
     number of fields, not zero. Fields are those of the first record, values strings or null. Other texts give no row; they go
     to :func:`xml_flatten`."""
-    ready(rows.sparkSession)
     plain = lambda node: node.tag.rpartition("}")[2]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple] = []
-            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                try:
-                    records = list(ElementTree.fromstring(raw or ""))
-                except ElementTree.ParseError:
-                    continue
-                if len(records) < 2 or not len(records[0]) or any(len(r) != len(records[0]) for r in records[:XML_LOOK]):
-                    continue
-                fields = dict.fromkeys(map(plain, records[0]))
-                for n, r in enumerate(records):
-                    own = {plain(c): (c.text or "").strip() or None for c in r}
-                    out += [(k, n, f, own.get(f)) for f in fields]
-            yield pd.DataFrame(out, columns=[key, "record", "field", "value"])
+    def cells(raw: str) -> Iterator[tuple]:
+        records = list(ElementTree.fromstring(raw))
+        if len(records) < 2 or not len(records[0]) or any(len(r) != len(records[0]) for r in records[:XML_LOOK]):
+            return
+        fields = dict.fromkeys(map(plain, records[0]))
+        for n, r in enumerate(records):
+            own = {plain(c): (c.text or "").strip() or None for c in r}
+            yield from ((n, f, own.get(f)) for f in fields)
 
-    return rows.select(key, doc).mapInPandas(run, f"{key} long, record int, field string, value string")
+    return _each_text(rows, key, doc, "record int, field string, value string", cells)
 
 
 def read_xml_records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
@@ -276,36 +300,25 @@ def read_xml_records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
 def xml_flatten(rows: DataFrame, key: str, doc: str) -> DataFrame:
     """(key, block_index, type, level, content) of an XML text: a heading a container, 'tag: text' a leaf, in document order.
 
-    Namespaces are dropped; a text that is no XML gives no block. Rows stream through the task one by one.
+    Namespaces are dropped; a text that is no XML gives no block.
     """
-    ready(rows.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple] = []
-            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                try:
-                    stack = [(ElementTree.fromstring(raw or ""), 1)]
-                except ElementTree.ParseError:
-                    continue
-                n = 0
-                while stack:
-                    node, level = stack.pop()
-                    tag = node.tag.rpartition("}")[2]
-                    text = " ".join((node.text or "").split())
-                    if len(node):
-                        out.append((k, n, "heading", min(level, 6), tag))
-                        stack += [(child, level + 1) for child in reversed(node)]
-                    elif text:
-                        out.append((k, n, "paragraph", None, f"{tag}: {text}"))
-                    else:
-                        continue
-                    n += 1
-            frame = pd.DataFrame(out, columns=[key, "block_index", "type", "level", "content"])
-            frame["level"] = frame["level"].astype("Int32")
-            yield frame
-
-    return rows.select(key, doc).mapInPandas(run, f"{key} long, block_index int, type string, level int, content string")
+    def blocks(raw: str) -> Iterator[tuple]:
+        stack, n = [(ElementTree.fromstring(raw), 1)], 0
+        while stack:
+            node, level = stack.pop()
+            tag = node.tag.rpartition("}")[2]
+            text = " ".join((node.text or "").split())
+            if len(node):
+                yield n, "heading", min(level, 6), tag
+                stack += [(child, level + 1) for child in reversed(node)]
+            elif text:
+                yield n, "paragraph", None, f"{tag}: {text}"
+            else:
+                continue
+            n += 1
+
+    return _each_text(rows, key, doc, "block_index int, type string, level int, content string", blocks)
 
 
 class _Blocks(HTMLParser):
@@ -370,21 +383,14 @@ class _Blocks(HTMLParser):
 def html_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, block_index, type, level, content, title): headings, paragraphs, list items, tables, quotes and code of every page,
     each with the page's title."""
-    ready(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                p = _Blocks()
-                p.feed(raw or "")
-                p._close()
-                rows += [(k, i, t, lvl, c, p.title) for i, (t, lvl, c) in enumerate(p.out)]
-            out = pd.DataFrame(rows, columns=[key, "block_index", "type", "level", "content", "title"])
-            out["level"] = out["level"].astype("Int32")
-            yield out
-
-    return pages.select(key, html).mapInPandas(run, f"{key} long, block_index int, type string, level int, content string, title string")
+    def blocks(raw: str) -> Iterator[tuple]:
+        p = _Blocks()
+        p.feed(raw)
+        p._close()
+        return ((i, t, level, content, p.title) for i, (t, level, content) in enumerate(p.out))
+
+    return _each_text(pages, key, html, "block_index int, type string, level int, content string, title string", blocks)
 
 
 def write_index(vectors: DataFrame, path: str, build_id: str) -> None:

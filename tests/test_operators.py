@@ -422,3 +422,58 @@ def test_answers_of_long_texts_without_marks():
     assert clean_text("Alpha beta gamma delta.\n12-3rd some layout_file.indd 4\nMore words stand here now.") == "Alpha beta gamma delta. More words stand here now."
     many = " ".join(f"Item{i} has value{i} under name{i} and place{i}." for i in range(5_000))
     assert clean_text(many) == many
+
+
+def test_flattening_takes_string_keys_and_large_texts(spark):
+    """Keys of any type; 60 texts of 1 MB give their blocks one text at a time; broken texts give none."""
+    big = "[" + ",".join(f'{{"n": {i}, "pad": "{"x" * 90}"}}' for i in range(9_000)) + "]"
+    df = spark.range(60).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 20 == 7, "{broken").otherwise(F.lit(big)).alias("doc"))
+    got = files.json_flatten(df, "name", "doc").groupBy("name").agg(F.count("*").alias("n"), F.max("block_index").alias("last")).collect()
+    assert len(got) == 57 and {(r["n"], r["last"]) for r in got} == {(18_000, 17_999)} and {r["name"] for r in got} >= {"k0", "k59"}
+    pages = spark.createDataFrame([("a", "<title>T</title><h1>H</h1><p>x</p>"), ("b", None), (None, "<p>only</p>")], "url string, html string")
+    assert [tuple(r) for r in files.html_to_blocks(pages, "url", "html").collect()] == [("a", 0, "heading", 1, "H", "T"), ("a", 1, "paragraph", None, "x", "T"), (None, 0, "paragraph", None, "only", "")]
+    xml = spark.createDataFrame([(1.5, "<r><a>x</a><b><c>y</c></b></r>"), (2.5, "no xml"), (3.5, None)], "n double, doc string")
+    assert [tuple(r) for r in files.xml_flatten(xml, "n", "doc").collect()] == [(1.5, 0, "heading", 1, "r"), (1.5, 1, "paragraph", None, "a: x"), (1.5, 2, "heading", 2, "b"), (1.5, 3, "paragraph", None, "c: y")]
+
+
+def brute_split(text, limit, overlap):
+    """The rules of token_safe_split, one text at a time."""
+    tokens = lambda x: max(1, int(len(x.split()) * 1.33)) if x.split() else 0
+    if tokens(text) <= limit:
+        return [text]
+    units = []
+    for para in text.strip(" ").split("\n\n"):
+        for u in re.split(r"(?<=[.!?])\s+", para) if tokens(para) > limit // 2 else [para]:
+            if not u.strip(" "):
+                continue
+            if tokens(u.strip(" ")) <= limit:
+                units.append(u.strip(" "))
+                continue
+            held, n = [], 0
+            for w in u.split():
+                t = max(1, int(len(w) * 0.35))
+                if held and n + t > limit:
+                    units.append(" ".join(held))
+                    held, n = [], 0
+                held.append(w)
+                n += t
+            units.append(" ".join(held))
+    out, held = [], []
+    for u in units:
+        if held and sum(map(tokens, held)) + tokens(u) > limit:
+            out.append("\n\n".join(held))
+            while held and sum(map(tokens, held)) > overlap:
+                held.pop(0)
+        held.append(u)
+    return [*out, "\n\n".join(held)]
+
+
+def test_token_safe_split_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).select(F.col("doc_id").alias("chunk_id"), "text")
+    more = spark.createDataFrame([(10**6, "word " * 2000), (10**6 + 1, "One. Two! " * 300 + "\n\n" + "a b c. " * 200), (10**6 + 2, "short")], "chunk_id long, text string")
+    for limit, overlap in ((64, 20), (512, 50)):
+        both = docs.unionByName(more)
+        got = {}
+        for r in chunking.token_safe_split(both, limit, overlap).orderBy("chunk_id", "sub_index").collect():
+            got.setdefault(r["chunk_id"], []).append(r["text"])
+        assert got == {r["chunk_id"]: brute_split(r["text"], limit, overlap) for r in both.collect()}
