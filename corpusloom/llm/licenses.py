@@ -15,6 +15,7 @@ Extra columns of the input are ignored. Places of the method may overlap; one pl
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -80,35 +81,46 @@ def build_index(templates: list[tuple[str, str, str]] = TEMPLATES) -> list[dict]
     """Per template: its words in order with IDF weights, the positions of its rarest words, and the key phrase's place."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    split = [(label, words.split(), key.split()) for label, words, key in templates]
+    split = [(label, words_of(words), words_of(key)) for label, words, key in templates]
     df = Counter(w for _, words, _ in split for w in set(words))
     out = []
     for label, words, key in split:
         idf = [math.log(1 + len(split) / df[w]) for w in words]
         at = next((i for i in range(len(words)) if words[i : i + len(key)] == key), None)
-        if at is None:
+        if at is None or not key:
             raise ValueError(f"the key phrase {' '.join(key)!r} is not in its template")
         rare = sorted(range(len(words)), key=lambda i: (-idf[i], i))[:ANCHORS]
         out.append({"label": label, "words": words, "idf": idf, "rare": rare, "key_at": at, "key": key})
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a template as the scan takes them from a file."""
+    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _literal(values: list) -> str:
-    return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}D" for v in values) + ")"
+    return "array(" + ", ".join(_quoted(v) if isinstance(v, str) else f"{v!r}D" for v in values) + ")"
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES, min_mass: float = MIN_MASS) -> DataFrame:
     """doc_id, n_words, base hits (n_base, first_word, last_word, base_labels), labels, score and the matches themselves.
 
     ``matches`` lists every verified place as (label, start, mass); ``score`` is the largest mass, 1 at a base phrase.
+    ``templates`` are (label, words, key phrase), cut into words as a file is (so "author's" is two); with none only the base
+    phrases are found.
     """
     index = build_index(templates)
-    notices = ", ".join(f"named_struct('label', '{t['label']}', 'words', {_literal(t['words'])}, 'idf', {_literal(t['idf'])}, 'total', {sum(t['idf'])!r}D, 'key_at', {t['key_at']}, 'key', {_literal(t['key'])})" for t in index)
+    notices = ", ".join(f"named_struct('label', {_quoted(t['label'])}, 'words', {_literal(t['words'])}, 'idf', {_literal(t['idf'])}, 'total', {sum(t['idf'])!r}D, 'key_at', {t['key_at']}, 'key', {_literal(t['key'])})" for t in index)
     of_word: dict[str, list[str]] = {}
     for k, t in enumerate(index):
         for i in t["rare"]:
             of_word.setdefault(t["words"][i], []).append(f"named_struct('notice', {k}, 'pos', {i})")
-    postings = ", ".join(f"'{w}', array({', '.join(ps)})" for w, ps in of_word.items())
+    postings = ", ".join(f"{_quoted(w)}, array({', '.join(ps)})" for w, ps in of_word.items())
     phrases = ", ".join(f"named_struct('words', {_literal(p.split())}, 'label', '{label}')" for p, label in BASE)
     rare = sorted({t["words"][i] for t in index for i in t["rare"]} | {p.split()[0] for p, _ in BASE})
     looked_up = ", ".join(f"'{w}'" for w in rare)
@@ -119,6 +131,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
         f"flatten(transform(coalesce(try_element_at(map({postings}), get(ws, i)), cast(array() AS array<struct<notice: int, pos: int>>)), p -> transform(filter(array(array({notices})[p.notice]), "
         f"n -> i >= p.pos AND slice(ws, i - p.pos + n.key_at + 1, size(n.key)) = n.key), n -> named_struct('label', n.label, 'start', i - p.pos, 'mass', {mass}))))"
     )
+    if not index:
+        proposed = "cast(array() AS array<struct<label: string, start: int, mass: double>>)"
     based = f"transform(filter(array({phrases}), b -> slice(ws, i + 1, size(b.words)) = b.words), b -> named_struct('label', b.label, 'start', i, 'mass', 1D))"
     scan = (
         "transform(array(regexp_extract_all(translate(coalesce(_text, ''), '" + UPPER + "', '" + LOWER + "'), _pattern, 0)), ws -> transform(array(" + kept + "), at -> named_struct("

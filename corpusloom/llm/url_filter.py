@@ -1,7 +1,8 @@
 """URL filter: allow and block entries in a trie over reversed host labels and path segments, longest match first.
 
-The rule list is configuration. It is collected only after its count is checked (``max_rules``), built into one trie
-and broadcast; pages are judged in a narrow stage without a shuffle. A longer list is not collected: the trie's levels
+The rule list is configuration. It is collected only after its count and bytes are checked (``max_rules``, ``max_bytes``; a
+trie takes some 60 times the bytes of its rules), built into one trie and broadcast; pages are judged in a narrow stage
+without a shuffle. A longer list is not collected: the trie's levels
 become keys (host suffix, whole path segments), and the different addresses meet the rules in an equi-join. A null URL, or
 one without ``://``, has an empty host and path and so fits no rule. Repeated rows each give a row, an empty table none;
 of equal entries with different verdicts the block counts. Columns of ``pages`` besides the key and the URL are not read.
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from corpusloom.shipping import ready
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-MAX_RULES = 2_000_000
+MAX_RULES, MAX_BYTES = 50_000, 1 << 20
 
 #: The method's own verdict on what no entry covers. Host labels (whole, or between hyphens) that name spam
 #: shops, and marks of made-up hosts: an address of digits, many hyphens, many digits, or a label that is too long.
@@ -98,11 +99,12 @@ def own_verdict(host: Column) -> Column:
     return F.when(host.rlike(SPAM_LABEL) | host.rlike(ODD_HOST), "block").otherwise("allow")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", max_rules: int = MAX_RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", max_rules: int = MAX_RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """key, host, path, rule and verdict for every row of ``pages``. ``rules`` has host, path, verdict (allow or block)."""
-    listed = rules.select("host", "path", "verdict").limit(max_rules + 1).collect()
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))).first()
+    many = n > max_rules or size > max_bytes
     cut = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    judged = _by_join(cut, rules) if len(listed) > max_rules else _by_trie(cut, [tuple(r) for r in listed])
+    judged = _by_join(cut, rules) if many else _by_trie(cut, [tuple(r) for r in rules.select("host", "path", "verdict").collect()])
     return judged.select(key, "host", "path", "rule", F.coalesce("ruled", own_verdict(F.col("host"))).alias("verdict"))
 
 
