@@ -77,6 +77,15 @@ def _paths(blocks: str) -> str:
     )
 
 
+def block_paths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, block_index, path) of every block of ``docs`` (key, bs): the headings that it stands under, itself included. One
+    fold over the headings; a heading's path is given to all blocks up to the next one."""
+    first = "named_struct('at', 0, 'path', cast(array() AS array<string>))"
+    spans = f"transform(array(concat(array({first}), {_paths('bs')})), ps -> transform(ps, (p, n) -> named_struct('s', p.at, 'e', coalesce(get(ps, n + 1).at, size(bs)), 'path', p.path)))[0]"
+    each = f"flatten(transform(filter({spans}, p -> p.e > p.s), p -> transform(slice(bs, p.s + 1, p.e - p.s), b -> named_struct('block_index', b.block_index, 'path', p.path))))"
+    return docs.select(key, F.explode(F.expr(each)).alias("b")).select(key, "b.block_index", "b.path")
+
+
 def _chunks(docs: DataFrame, key: str, prefix: str, size: int, overlap: int, at_headings: bool, strict: bool) -> DataFrame:
     """One row a chunk: its range, text, tokens, id, page and heading path.
 

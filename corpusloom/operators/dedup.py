@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.storage import stored
+from corpusloom.storage import remove, stored
 
 THRESHOLD, MIN_WORDS = 0.85, 15
 
@@ -112,7 +112,8 @@ def first_independent(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS,
         dropped = stored(free.select("b").distinct(), "dropped")
         left = live.join(free.select("a").distinct(), "a", "left_anti").join(dropped, "b", "left_anti")
         left = left.join(dropped.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b")
-        live, done = stored(left, "edges"), done + 1
+        before, (live, done) = live, (stored(left, "edges"), done + 1)
+        remove(before)
         dropped_all = dropped if dropped_all is None else dropped_all.unionAll(dropped)
     return undecided if dropped_all is None else undecided.join(dropped_all.select(F.col("b").alias("id")), "id", "left_anti")
 
@@ -148,8 +149,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(lowest, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "low").alias("low"))
         own = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
         after = stored(step.join(own, F.col("low") == F.col("at"), "left").select("node", "old", F.least("low", "beyond").alias("root")), "labels")
+        remove(labels)
         labels = after.select("node", "root")
         if after.where("root <> old").isEmpty():
+            remove(both)
             return labels
 
 

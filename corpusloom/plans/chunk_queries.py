@@ -87,9 +87,7 @@ def markdown_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES}, {MARKED} SELECT doc_id, block_index, CASE WHEN type = 'heading' AND level = 1 THEN content ELSE (SELECT content FROM mk a WHERE a.doc_id = mk.doc_id AND a.block_index = 0) || CASE WHEN block_index >= 10 THEN ' > ' || (['Abstract', 'Introduction', 'Methods', 'Results', 'Discussion', 'Conclusion', 'References'][(block_index // 10 - 1) % 7 + 1]) ELSE '' END END AS path FROM mk")
 def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = marked_documents(spark, sf_dir)
-    each = docs.select("doc_id", "bs", F.explode(F.sequence(F.lit(0), F.size("bs") - 1)).alias("i"))
-    return each.select("doc_id", F.expr("bs[i].block_index").alias("block_index"), F.concat_ws(" > ", F.expr(chunking.heading_path("bs", "i + 1"))).alias("path"))
+    return chunking.block_paths(marked_documents(spark, sf_dir)).select("doc_id", "block_index", F.concat_ws(" > ", "path").alias("path"))
 
 
 @query(f"WITH RECURSIVE {LINES}, {MARKED}, {folded('mk', 512, 64, False)} SELECT ct.doc_id, k AS chunk_index, 'chk_' || substr(CAST(ct.doc_id AS VARCHAR), 1, 8) || '_bnd_' || lpad(CAST(k AS VARCHAR), 5, '0') || '_' || substr(sha256(text), 1, 8) AS chunk_id, {TOK.format('text')} AS token_count, p.page_number FROM ct JOIN ag USING (doc_id) JOIN bl p ON p.doc_id = ct.doc_id AND p.pos = least(n - 1, e)")

@@ -140,13 +140,13 @@ def language_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENT = "list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9]{2,}') AND lower(w) NOT IN ('the', 'this', 'and', 'for', 'with', 'from'))"
-FIRSTS = f"en AS (SELECT doc_id, source, entity FROM (SELECT doc_id, source, e AS entity, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (SELECT doc_id, source, e, min(p) AS p FROM (SELECT doc_id, source, unnest({ENT}) AS e, generate_subscripts({ENT}, 1) AS p FROM documents) GROUP BY ALL)) WHERE r <= 8)"
+FIRSTS = f"en AS (SELECT doc_id, source, entity, r FROM (SELECT doc_id, source, e AS entity, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (SELECT doc_id, source, e, min(p) AS p FROM (SELECT doc_id, source, unnest({ENT}) AS e, generate_subscripts({ENT}, 1) AS p FROM documents) GROUP BY ALL)) WHERE r <= 8)"
 
 
-@query(f"WITH {FIRSTS} SELECT doc_id, count(entity) AS n, coalesce(string_agg(entity, ',' ORDER BY entity), '') AS entities FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN en USING (doc_id) GROUP BY doc_id")
+@query(f"WITH {FIRSTS} SELECT doc_id, count(entity) AS n, coalesce(string_agg(entity, ',' ORDER BY r), '') AS entities FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN en USING (doc_id) GROUP BY doc_id")
 def key_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "documents").select("doc_id", profile.entities_of(F.col("text")).alias("e"))
-    return e.select("doc_id", F.size("e").cast("long").alias("n"), F.concat_ws(",", F.array_sort("e")).alias("entities"))
+    return e.select("doc_id", F.size("e").cast("long").alias("n"), F.concat_ws(",", "e").alias("entities"))
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,21 +88,21 @@ def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.xml_flatten(s.select("s_suppkey", doc.alias("doc")), "s_suppkey", "doc")
 
 
-@query("WITH s AS (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer) SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(n AS INTEGER) AS record, unnest(['key', 'name']) AS field, unnest([CAST(c_custkey AS VARCHAR), c_name]) AS value FROM s WHERE c >= 2 AND c_nationkey % 3 <> 0")
+@query("WITH s AS (SELECT c_custkey // 50 AS batch, c_custkey, c_name, row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS n, count(*) OVER (PARTITION BY c_custkey // 50) AS c FROM customer) SELECT CAST(batch AS BIGINT) AS batch, CAST(n AS INTEGER) AS record, unnest(['key', 'name']) AS field, unnest([CAST(c_custkey AS VARCHAR), c_name]) AS value FROM s WHERE c >= 2 AND batch % 3 <> 0")
 def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers of each nation as an XML text; every third nation's first record has a field more, so it is no table."""
-    c = table(spark, sf_dir, "customer")
+    """Batches of at most fifty customers as XML texts; every third text's first record has a field more, so it is no table."""
+    c = table(spark, sf_dir, "customer").withColumn("batch", F.floor(F.col("c_custkey") / 50))
     item = F.concat(F.lit("<item><key>"), F.col("c_custkey").cast("string"), F.lit("</key><name>"), "c_name", F.lit("</name></item>"))
-    g = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("x")))).alias("xs"))
-    more = F.when(F.col("c_nationkey") % 3 == 0, "<item><a/><b/><c/></item>").otherwise("")
+    g = c.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("x")))).alias("xs"))
+    more = F.when(F.col("batch") % 3 == 0, "<item><a/><b/><c/></item>").otherwise("")
     doc = F.concat(F.lit("<items>"), more, F.concat_ws("", F.transform("xs", lambda x: x["x"])), F.lit("</items>"))
-    return files.xml_records(g.select(F.col("c_nationkey").cast("long").alias("c_nationkey"), doc.alias("doc")), "c_nationkey", "doc")
+    return files.xml_records(g.select("batch", doc.alias("doc")), "batch", "doc")
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>\\s*(.*?)\\s*</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title of every page that has a block."""
-    return files.html_to_blocks(table(spark, sf_dir, "pages")).select("page_id", "title").distinct()
+    """The title of every page."""
+    return files.html_titles(table(spark, sf_dir, "pages"))
 
 
 @query()
@@ -122,6 +122,18 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("vec_id", "label", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, 'text of ' || vec_id AS text, label, CAST(len(embedding) AS INTEGER) AS dimension, (SELECT count(*) FROM embeddings) AS chunk_count, 'model-1' AS embedding_model FROM embeddings")
+def build_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build of chunks, vectors and manifest, written and read again with its checks."""
+    e = table(spark, sf_dir, "embeddings").withColumn("chunk_id", F.col("vec_id").cast("string"))
+    path = shared_path(spark, "builds")
+    chunks = e.select("chunk_id", F.concat(F.lit("text of "), "chunk_id").alias("text"), "label")
+    files.write_build(chunks, e.select("chunk_id", "embedding"), path, "b1", "model-1")
+    found, vectors, manifest = files.read_build(spark, path, "b1")
+    both = found.join(vectors, "chunk_id").select("chunk_id", "text", "label", F.size("embedding").alias("dimension"))
+    return both.withColumns({"chunk_count": F.lit(manifest["chunk_count"]).cast("long"), "embedding_model": F.lit(manifest["embedding_model"])})
+
+
 @query("SELECT 'p' || page_id AS path, CASE WHEN page_id % 10 = 0 THEN 'undeclared' WHEN page_id % 10 = 1 THEN 'mismatch' WHEN page_id % 10 = 2 THEN 'missing' ELSE 'ok' END AS state FROM pages")
 def package_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as packaged files; some have no declared hash, some another one, some are gone."""

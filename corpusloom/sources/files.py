@@ -393,6 +393,18 @@ def html_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -
     return _each_text(pages, key, html, "block_index int, type string, level int, content string, title string", blocks)
 
 
+def html_titles(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, title) of every page, also of one without a block; "" where there is none."""
+
+    def title(raw: str) -> Iterator[tuple]:
+        p = _Blocks()
+        p.feed(raw)
+        p._close()
+        yield (p.title,)
+
+    return _each_text(pages, key, html, "title string", title)
+
+
 def write_index(vectors: DataFrame, path: str, build_id: str) -> None:
     """Append a build's vectors; refuses vectors of different or no dimension before anything is written."""
     d = vectors.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.count("*").alias("n"), F.count("embedding").alias("filled")).first()
@@ -407,3 +419,45 @@ def read_index(spark: SparkSession, path: str, build_id: str, expected: int | No
     if expected is not None and (n := df.count()) != expected:
         raise ValueError(f"the index holds {n} rows, its manifest says {expected}")
     return df
+
+
+#: What the manifest of a build says of it.
+MANIFEST = "build_id string, embedding_model string, chunk_count long, vector_count long, dimension int, ids_digest long"
+
+
+def _counted(chunks: DataFrame, vectors: DataFrame, key: str) -> dict:
+    """Counts, dimension and an order-free digest of the ids, in one aggregation over both tables."""
+    c = chunks.select(F.col(key), F.lit(1).alias("c"), F.lit(0).alias("v"), F.lit(None).cast("int").alias("d"))
+    v = vectors.select(F.col(key), F.lit(0).alias("c"), F.lit(1).alias("v"), F.when(F.col("embedding").isNull(), 0).otherwise(F.size("embedding")).alias("d"))
+    each = c.unionByName(v).groupBy(key).agg(F.sum("c").alias("c"), F.sum("v").alias("v"), F.min("d").alias("low"), F.max("d").alias("high"))
+    total = each.agg(F.sum("c").alias("chunk_count"), F.sum("v").alias("vector_count"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if((F.col("c") != 1) | (F.col("v") != 1) | F.col(key).isNull()).alias("odd"), F.bit_xor(F.xxhash64(key)).alias("ids_digest"))
+    return total.first().asDict()
+
+
+def write_build(chunks: DataFrame, vectors: DataFrame, path: str, build_id: str, embedding_model: str, key: str = "chunk_id") -> None:
+    """Chunks, their vectors (key, embedding) and a manifest as one build under ``path``; the manifest is written last, so a
+    build without one was never finished. Refuses repeated or null ids, chunks without a vector or vectors without a chunk, and
+    vectors of different or no dimension, before anything is written."""
+    n = _counted(chunks, vectors, key)
+    if n["odd"]:
+        raise ValueError(f"{n['odd']} ids are null, repeated, or have a chunk or a vector only")
+    if n["chunk_count"] and (n["low"] != n["high"] or n["low"] < 1):
+        raise ValueError(f"vectors are missing or differ in dimension: {n['low']} to {n['high']}")
+    at = f"{path}/build_id={build_id}"
+    chunks.write.mode("errorifexists").parquet(f"{at}/chunks")
+    vectors.select(key, "embedding").write.mode("errorifexists").parquet(f"{at}/vectors")
+    row = (build_id, embedding_model, n["chunk_count"] or 0, n["vector_count"] or 0, n["low"], n["ids_digest"])
+    chunks.sparkSession.createDataFrame([row], MANIFEST).coalesce(1).write.json(f"{at}/manifest")
+
+
+def read_build(spark: SparkSession, path: str, build_id: str, key: str = "chunk_id") -> tuple[DataFrame, DataFrame, dict]:
+    """(chunks, vectors, manifest) of a finished build; refuses one whose tables are not what its manifest says."""
+    at = f"{path}/build_id={build_id}"
+    manifest = spark.read.schema(MANIFEST).json(f"{at}/manifest").first()
+    chunks, vectors = spark.read.parquet(f"{at}/chunks"), spark.read.parquet(f"{at}/vectors")
+    n = _counted(chunks, vectors, key)
+    said = {"chunk_count": manifest["chunk_count"], "vector_count": manifest["vector_count"], "ids_digest": manifest["ids_digest"], "low": manifest["dimension"], "high": manifest["dimension"]}
+    found = {k: (n[k] or 0) if k.endswith("count") else n[k] for k in said}
+    if found != said:
+        raise ValueError(f"build {build_id} holds {found}, its manifest says {said}")
+    return chunks, vectors, manifest.asDict()

@@ -77,3 +77,9 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
 def remove_path(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the table made by :func:`stored` that ``df`` reads and nothing else needs any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove_path(df.sparkSession, folder)

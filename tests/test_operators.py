@@ -477,3 +477,33 @@ def test_token_safe_split_against_brute_force(spark, sf_dir):
         for r in chunking.token_safe_split(both, limit, overlap).orderBy("chunk_id", "sub_index").collect():
             got.setdefault(r["chunk_id"], []).append(r["text"])
         assert got == {r["chunk_id"]: brute_split(r["text"], limit, overlap) for r in both.collect()}
+
+
+def test_builds_are_checked(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, text string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<double>")
+    path = str(tmp_path / "builds")
+    files.write_build(chunks, vectors, path, "one", "m")
+    c, v, manifest = files.read_build(spark, path, "one")
+    assert c.count() == v.count() == 2 and (manifest["dimension"], manifest["chunk_count"], manifest["embedding_model"]) == (2, 2, "m")
+    for bad_chunks, bad_vectors, why in (
+        (chunks.unionByName(chunks.limit(1)), vectors, "ids"), (chunks.where("chunk_id = 'a'"), vectors, "ids"), (chunks, vectors.where("chunk_id = 'a'"), "ids"),
+        (chunks, vectors.withColumn("embedding", F.when(F.col("chunk_id") == "a", F.array(F.lit(1.0))).otherwise(F.col("embedding"))), "dimension"), (chunks, vectors.withColumn("embedding", F.when(F.col("chunk_id") == "a", F.col("embedding"))), "dimension"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            files.write_build(bad_chunks, bad_vectors, path, "bad", "m")
+    assert not (tmp_path / "builds" / "build_id=bad").exists()
+    vectors.limit(1).select(F.lit("c").alias("chunk_id"), "embedding").write.mode("append").parquet(f"{path}/build_id=one/vectors")
+    with pytest.raises(ValueError, match="manifest"):
+        files.read_build(spark, path, "one")
+    files.write_build(chunks.limit(0), vectors.limit(0), path, "none", "m")
+    assert files.read_build(spark, path, "none")[2]["chunk_count"] == 0
+
+
+def test_paths_of_blocks(spark):
+    kinds = [("p", None, "before"), ("h", 1, "A"), ("h", 2, "B"), ("p", None, "x"), ("h", 3, "C"), ("p", None, "y"), ("h", 2, "D"), ("h", 1, "E"), ("h", 4, "F"), ("p", None, "z")]
+    rows = [(1, i, "heading" if k == "h" else "paragraph", lvl, c, 1) for i, (k, lvl, c) in enumerate(kinds)] + [(2, 0, "paragraph", None, "alone", 1), (3, 0, "heading", None, "H", 1)]
+    docs = chunking.by_document(spark.createDataFrame(rows, "doc_id long, block_index int, type string, level int, content string, page_number int"))
+    got = {(r["doc_id"], r["block_index"]): r["path"] for r in chunking.block_paths(docs).collect()}
+    assert [got[1, i] for i in range(10)] == [[], ["A"], ["A", "B"], ["A", "B"], ["A", "B", "C"], ["A", "B", "C"], ["A", "D"], ["E"], ["E", "F"], ["E", "F"]]
+    assert got[2, 0] == [] and got[3, 0] == ["H"] and len(got) == 12
