@@ -340,19 +340,23 @@ def trie_links(prints: DataFrame, tables: list[tuple[int, int, int]] = [(0, 0, W
     return _join(deal(prints, tables, budget, limit).select("key", "t", "id", *(f"f{k}" for k in range(n_words))), links, "a long, b long")
 
 
-def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, total: tuple[int, int], limit: int = LIMIT, crowded: DataFrame | None = None) -> DataFrame:
+def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: int, total: tuple[int, int], limit: int = LIMIT, crowded: DataFrame | None = None, wide: DataFrame | None = None) -> DataFrame:
     """Candidate pairs (a, b), a < b, of ``prints`` (id, n, label, f0, f1, ...), met as in :func:`trie_links`.
 
     ``total`` bounds the differing bits, first of pairs with a set of up to four members, then of all others. Sets of n
     members can't have a similarity of 0.8 if their sizes are further apart than that, nor is a pair of one label asked
     for. Without ``crowded``, a key with over DENSE pairs a row gives one pair a row only, and a row (null, null, key) that
-    names it: with ``crowded`` (key), these keys give every pair that is left between different labels.
+    names it: with ``crowded`` (key), these keys give every pair that is left between different labels. ``wide`` (id, wide) has
+    more bits of the rows of these keys: among many texts of a similarity somewhat under 0.8, as pages of a template are, the
+    bits of ``prints`` tell few apart, all of WIDER nearly every one.
     """
     names = [c for c in prints.columns if c not in ("id", "n", "label")]
     whole = crowded is not None
+    levels = [(w, bounds(w)) for w in WIDER if w > len(names)]
 
     def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, ids, n, label, words = rows[0], rows[2], rows[3], rows[4], rows[5:]
+        key, ids, n, label, words = rows[0], rows[2], rows[3], rows[4], rows[5 : 5 + len(names)]
+        more = np.frombuffer(b"".join(rows[-1]), np.uint64).reshape(len(ids), -1) if whole else None
         keys, key_no = np.unique(key, return_inverse=True)
         dense = np.zeros(len(keys), bool)
         in_key = np.bincount(key_no)
@@ -361,8 +365,18 @@ def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: in
             ok = (ids[i] != ids[j]) & (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             d = _differing(words, i, j)
-            near = d <= np.where(np.minimum(n[i], n[j]) <= 4, *total)
-            return i[near], j[near], d[near]
+            small = np.minimum(n[i], n[j]) <= 4
+            near = d <= np.where(small, *total)
+            i, j, d, small = i[near], j[near], d[near], small[near]
+            at = len(names)
+            for upto, bound in levels if whole else ():
+                if not len(i):
+                    break
+                for c in range(at - len(names), upto - len(names)):
+                    d = d + np.bitwise_count(more[i, c] ^ more[j, c])
+                near = d <= np.where(small, *bound)
+                i, j, d, small, at = i[near], j[near], d[near], small[near], upto
+            return i, j, d
 
         def thin(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """All pairs, but of a dense key the nearest of smaller row number for each row."""
@@ -419,7 +433,7 @@ def trie_pairs(prints: DataFrame, tables: list[tuple[int, int, int]], budget: in
             yield pa.RecordBatch.from_arrays([none, none, pa.array(named, pa.int64())], names=["a", "b", "key"])
 
     spread = deal(prints, tables, budget, limit).select("key", "t", "id", "n", "label", *names)
-    return _join(spread.join(crowded, "key", "left_semi") if whole else spread, links, "a long, b long, key long")
+    return _join(spread.join(crowded, "key", "left_semi").join(wide, "id").select(*spread.columns, "wide") if whole else spread, links, "a long, b long, key long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -465,6 +479,16 @@ DIFFER, SMALL_DIFFER, CHANCE, RECALL, DEVIATIONS = 0.1515, 0.19, 64, 0.996, 4
 NEAR_WORDS, NEAR_BUDGET = 8, 2
 
 
+#: Words of a fingerprint after which pairs of crowded keys are tested again, from the first ones to all.
+WIDER = (16, 32, 64, 128)
+
+
+def bounds(words: int) -> tuple[int, int]:
+    """Most differing bits of so many words that a similarity of 0.8 makes likely: for sets of up to four shingles, for all others."""
+    most = lambda p: round(p * 64 * words + DEVIATIONS * math.sqrt(64 * words * p * (1 - p)))
+    return most(SMALL_DIFFER), most(DIFFER)
+
+
 def near_plan(rows: int, budget: int = NEAR_BUDGET) -> tuple[int, list[tuple[int, int, int]], int, tuple[int, int]]:
     """(words a fingerprint, tables, budget, bounds of differing bits) for a corpus of ``rows`` rows.
 
@@ -476,8 +500,7 @@ def near_plan(rows: int, budget: int = NEAR_BUDGET) -> tuple[int, list[tuple[int
     met = sum(math.comb(width, i) * DIFFER**i * (1 - DIFFER) ** (width - i) for i in range(budget + 1))
     count, each = math.ceil(math.log(1 - RECALL) / math.log(1 - met)), 64 // width
     words = max(NEAR_WORDS, -(-count // each))
-    most = lambda p: round(p * 64 * words + DEVIATIONS * math.sqrt(64 * words * p * (1 - p)))
-    return words, [(k // each, k % each * width, width) for k in range(count)], budget, (most(SMALL_DIFFER), most(DIFFER))
+    return words, [(k // each, k % each * width, width) for k in range(count)], budget, bounds(words)
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int, prints: int, text: str = "text") -> DataFrame:
@@ -497,6 +520,17 @@ def shingle_sets(docs: DataFrame, words: int, seed: int, prints: int, text: str
     return map_documents(docs, rows, ", ".join(["doc_id long, id long, n int", *rest]), text)
 
 
+def wide_prints(docs: DataFrame, words: int, seed: int, prints: int, text: str = "text") -> DataFrame:
+    """id and wide: the words of a fingerprint of WIDER[-1] words after the first ``prints``, one row a set."""
+
+    def rows(ids: list, texts: list[str]) -> dict:
+        sets = [np.unique(shingle_hashes(t, words, seed)) for t in texts]
+        wide = [np.array([fingerprint(mix(s, k)) for k in range(prints, WIDER[-1])], np.uint64).tobytes() for s in sets]
+        return {"id": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), "wide": wide}
+
+    return map_documents(docs, rows, "id long, wide binary", text).dropDuplicates(["id"])
+
+
 def similar(pairs: DataFrame, least: DataFrame, docs: DataFrame, words: int, seed: int, text: str = "text") -> DataFrame:
     """The pairs (a, b) of set ids whose shingle sets have a Jaccard similarity of 0.8 or more. Only their documents are read."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
@@ -511,7 +545,8 @@ def similar(pairs: DataFrame, least: DataFrame, docs: DataFrame, words: int, see
 def near_links(docs: DataFrame, least: DataFrame, words: int, seed: int, plan: tuple, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """Links (a, b) of set ids, each of similarity 0.8 or more, that connect what the candidates' links connect.
 
-    Of crowded keys one pair a row is verified first; then every candidate pair whose rows these links leave apart.
+    Of crowded keys one pair a row is verified first; then every candidate pair, by all of WIDER's bits, whose rows these links
+    leave apart.
     """
     names = [f"f{k}" for k in range(plan[0])]
     first = stored(trie_pairs(least.select("id", "n", F.col("id").alias("label"), *names), *plan[1:], limit), "candidates")
@@ -522,7 +557,11 @@ def near_links(docs: DataFrame, least: DataFrame, words: int, seed: int, plan: t
         return links
     labels = components(links)
     labelled = least.join(labels, least["id"] == labels["node"], "left").select("id", "n", F.coalesce("root", "id").alias("label"), *names)
-    more = stored(trie_pairs(labelled, *plan[1:], limit, crowded).select("a", "b").distinct(), "candidates")
+    members = deal(least.select("id", *names), plan[1], plan[2], limit).join(crowded, "key", "left_semi").select("id").distinct()
+    theirs = least.join(members, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    wide = stored(wide_prints(docs.select("doc_id", text).join(theirs, "doc_id", "left_semi"), words, seed, plan[0], text), "wide-prints")
+    more = stored(trie_pairs(labelled, *plan[1:], limit, crowded, wide).select("a", "b").distinct(), "candidates")
+    remove(wide)
     return links.unionAll(similar(more, least, docs, words, seed, text))
 
 
