@@ -8,10 +8,10 @@ characters also between any two characters that stand together in no piece. Thes
 
 Plan. One pass counts the pre-tokens of the corpus (map-side combined); each distinct one is counted once with the
 library, which gives a table (pre-token, frequency, tokens). A second pass makes each document's pre-token frequencies.
-They meet the table in two ways that are one join split by frequency: the ``HEAD`` most frequent pre-tokens of at most
-``LONG`` characters (some 45 MB in a Python worker, 120 MB at the most, on any corpus) go to every task, so frequent pre-tokens are never shuffled; the
-rest - (row, pre-token, frequency) of rare pre-tokens - meets the rest of the table in an equi-join whose keys are rare by
-construction: one has at most a 400,000th of all occurrences, however many copies a text has.
+They meet the table in two ways that are one join split by frequency: at most ``HEAD`` of the most frequent pre-tokens, of
+at most ``LONG`` characters (some 45 MB in a Python worker, 120 MB at the most, on any corpus), go to every task, so
+frequent pre-tokens are never shuffled; the rest - (row, pre-token, frequency) of rare pre-tokens - meets the rest of the
+table in an equi-join whose keys are rare by construction, however many copies a text has.
 
 Null and empty texts have no bytes and no tokens. Repeated rows each give a row, an empty table none; columns besides
 doc_id and the text are not read. A special token's string in a text is ordinary text, as for the library.
@@ -34,6 +34,8 @@ from corpusloom.shipping import ready
 
 #: Frequent pre-tokens that every task holds; characters beyond which a pre-token is cut further and never among them.
 HEAD, LONG = 400_000, 48
+#: Steps of the histogram of frequencies between a number and its double.
+STEPS = 16
 #: Distinct pre-tokens that a counting task holds before it gives its counts on.
 HELD = 300_000
 #: Fixed value: the mark of a blank in pieces.
@@ -160,12 +162,25 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return words.mapInArrow(measure, TABLE)
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` words, no rarer than any other: those above a frequency that a histogram of some hundred steps gives, so
+    nothing is sorted and no task gathers words."""
+    step = F.floor(F.log2("freq") * STEPS)
+    least, n = None, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        n += r["n"]
+        if n > most:
+            break
+        least = r["step"]
+    return words.where(F.lit(False) if least is None else step >= least)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "text", head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every row; ``path`` names a sentencepiece model on every executor."""
     spark = ready(docs.sparkSession)
     pieces(path).check()
     words = stored(word_table(docs, path, text), "words")
-    top = words.where(F.length("word") <= LONG).orderBy(F.desc("freq"), "word").limit(head)
+    top = frequent(words.where(F.length("word") <= LONG), head)
     known = spark.sparkContext.broadcast({w: n for w, n in top.select("word", "tokens").toLocalIterator()})
     id_type = docs.schema["doc_id"].dataType
     schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("n_bytes", pa.int64()), ("known", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
