@@ -1,4 +1,4 @@
-"""The ten operators against brute force, libraries and planted cases, with nulls, empty and repeated rows."""
+"""The operators of the first rounds against brute force, libraries and planted cases, with nulls, empty and repeated rows."""
 
 from __future__ import annotations
 
