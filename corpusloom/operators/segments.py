@@ -35,6 +35,9 @@ BUCKETS, SLACK = 16, 2e-6
 SEEDS, TRIED, SKIPPED = 200, 4, 0.3
 #: Postings that all queries together may match to be scored without bounds.
 DIRECT = 100_000_000
+#: Where these are scored: in the documents' own rows if the queries match at least this share of all tokens and have at most
+#: so many (query, term) rows, which are broadcast then; else from the postings of their terms. Both give the same hits.
+ROW_SHARE, ROW_TERMS = 0.25, 100_000
 #: Part of the name of stored indexes; to be raised when tokens or tables change.
 FORMAT = 3
 
@@ -203,8 +206,10 @@ def search(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None =
         strong = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
         before = F.coalesce(F.sum("df").over(strong.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         weights = keep(weights.withColumn("seed", before < SEEDS * k), "weights")
-        if (weights.agg(F.sum("df")).first()[0] or 0) <= direct:
-            return stored(top_k(_rounded(_partial(index, weights, allowed), key), k, key), "hits")
+        met, n_terms = weights.agg(F.coalesce(F.sum("df"), F.lit(0)), F.count("*")).first()
+        if met <= direct:
+            in_rows = met >= ROW_SHARE * index.totals[1] and n_terms <= ROW_TERMS
+            return stored(top_k(_rounded((_in_rows if in_rows else _partial)(index, weights, allowed), key), k, key), "hits")
         likely = keep(top_k(_partial(index, weights.where("seed"), allowed), TRIED * k, key), "likely")
         best = top_k(_full(index, likely, weights.where("NOT seed")), k, key).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
         threshold = best.where(F.col("n") == k).select("query_id", (F.col("least") - SLACK).alias("least"))
@@ -226,6 +231,15 @@ def _full(index: Index, partial: DataFrame, rest: DataFrame) -> DataFrame:
     return both.groupBy("query_id", index.key).agg(F.round(F.sum("score"), 6).alias("score"))
 
 
+def _in_rows(index: Index, terms: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """As :func:`_partial`, from the documents' rows: a document's terms are summed in its task, so one row a query and document
+    is shuffled, not one a term."""
+    rows = index.documents.select(index.key, "doc_len", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(index.key, "doc_len", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    met = rows.join(F.broadcast(terms.select("query_id", "term", "w")), "term")
+    scored = met.groupBy("query_id", index.key).agg(F.sum(_impact(index)).alias("score"))
+    return scored if allowed is None else scored.join(allowed, ["query_id", index.key], "left_semi")
+
+
 def _partial(index: Index, terms: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """(query_id, key, score) from the postings of some of the queries' terms."""
     met = index.postings.join(terms.select("query_id", "term", "w"), "term")
