@@ -22,19 +22,24 @@ def evidence_gate(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(best, "query_id", "left").select("query_id", (F.col("found").isNotNull() & (F.col("overview") | (n == 0) | enough)).alias("sufficient"))
 
 
-def verify_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
+def verify_citations(answers: DataFrame, hits: DataFrame, pattern: str = T.CHUNK_KEY) -> DataFrame:
     """(answer_id, chunk_id, verified) of every cited key: verified if the answer's own hits hold it."""
-    cited = answers.select("answer_id", "query_id", F.explode(T.citation_keys(F.col("answer"))).alias("chunk_id"))
+    cited = answers.select("answer_id", "query_id", F.explode(T.citation_keys(F.col("answer"), pattern)).alias("chunk_id"))
     own = hits.select("query_id", "chunk_id", F.lit(True).alias("own")).distinct()
     return cited.join(own, ["query_id", "chunk_id"], "left").select("answer_id", "chunk_id", F.coalesce("own", F.lit(False)).alias("verified"))
 
 
 def citation_status(verified: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per answer: counts of verified and fabricated keys, and no_citations, verified or unverified_detected (any fabricated)."""
-    g = verified.groupBy("answer_id").agg(F.count_if("verified").alias("n_verified"), F.count_if(~F.col("verified")).alias("n_unverified"))
-    j = answers.select("answer_id").join(g, "answer_id", "left").na.fill(0, ["n_verified", "n_unverified"])
+    """Per answer, cited or not: counts of verified and fabricated keys with their status (no_citations, verified, or
+    unverified_detected if any is fabricated), and counts of all marks, those with "-" among them, that the answer's hits hold
+    or lack, with the support they give (none, verified, partial or unverified)."""
+    ok, key = F.col("verified"), ~F.col("chunk_id").contains("-")
+    counts = {"n_verified": key & ok, "n_unverified": key & ~ok, "n_held": ok, "n_lacking": ~ok}
+    g = verified.groupBy("answer_id").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    j = answers.select("answer_id").join(g, "answer_id", "left").na.fill(0, list(counts))
     status = F.when(F.col("n_verified") + F.col("n_unverified") == 0, "no_citations").when(F.col("n_unverified") == 0, "verified").otherwise("unverified_detected")
-    return j.withColumn("status", status)
+    support = F.when(F.col("n_held") + F.col("n_lacking") == 0, "none").when(F.col("n_lacking") == 0, "verified").when(F.col("n_held") == 0, "unverified").otherwise("partial")
+    return j.select("answer_id", "n_verified", "n_unverified", status.alias("status"), "n_held", "n_lacking", support.alias("support"))
 
 
 def source_page_citations(cited: DataFrame, hits: DataFrame) -> DataFrame:

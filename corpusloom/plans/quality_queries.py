@@ -137,10 +137,19 @@ def verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.verify_citations(*cited_answers(spark, sf_dir))
 
 
-@query(f"{HITS5}, {ANSWERS}, {CITED}, v AS (SELECT answer_id, chunk_id IN (SELECT chunk_id FROM h WHERE h.query_id = ci.query_id) AS ok FROM ci) SELECT answer_id, count(*) FILTER (ok) AS n_verified, count(*) FILTER (NOT ok) AS n_unverified, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'verified' ELSE 'unverified_detected' END AS status FROM v GROUP BY answer_id")
+MARKED = CITED.replace("[a-zA-Z0-9_]", "[a-zA-Z0-9_\\-]")
+
+
+@query(
+    f"{HITS5}, {ANSWERS}, {MARKED}, v AS (SELECT answer_id, NOT contains(chunk_id, '-') AS key, chunk_id IN (SELECT chunk_id FROM h WHERE h.query_id = ci.query_id) AS ok FROM ci), "
+    "g AS (SELECT answer_id, count(*) FILTER (key AND ok) AS n_verified, count(*) FILTER (key AND NOT ok) AS n_unverified, count(*) FILTER (ok) AS n_held, count(*) FILTER (NOT ok) AS n_lacking FROM an LEFT JOIN v USING (answer_id) GROUP BY answer_id) "
+    "SELECT answer_id, n_verified, n_unverified, CASE WHEN n_verified + n_unverified = 0 THEN 'no_citations' WHEN n_unverified = 0 THEN 'verified' ELSE 'unverified_detected' END AS status, "
+    "n_held, n_lacking, CASE WHEN n_held + n_lacking = 0 THEN 'none' WHEN n_lacking = 0 THEN 'verified' WHEN n_held = 0 THEN 'unverified' ELSE 'partial' END AS support FROM g"
+)
 def citation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and all marks of every answer, also of one that cites nothing."""
     answers, hits = cited_answers(spark, sf_dir)
-    return grounding.citation_status(grounding.verify_citations(answers, hits), answers)
+    return grounding.citation_status(grounding.verify_citations(answers, hits, T.CHUNK_MARK), answers)
 
 
 # Hits of two corpora that share chunk ids: every hit of an even document is also in the corpus "b".

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import fusion, grounding, registry, retrieval
 
 HITS = "query_id long, rank int, corpus_id string, build_id string, chunk_id string, source_name string, page_number int, text string"
@@ -44,6 +45,29 @@ def test_citations_of_answers(spark):
     assert grounding.validate_citations(answers, hits(spark).limit(0)).where("size(valid) > 0").count() == 0
 
 
+def test_status_of_answers_tells_some_support_from_none(spark):
+    answers = spark.createDataFrame([
+        (1, 1, "[chk_1] and [chk_2] [chk_1]"),
+        (2, 1, "[chk_1] and [chk_nope]"),
+        (3, 1, "[chk_nope] and [chk_9]"),
+        (4, 1, "[chk_-5] and [chk_x-y]"),
+        (5, 1, "[chk_1] and [chk_x-y]"),
+        (6, 1, "no mark"),
+        (7, 1, None),
+    ], "answer_id long, query_id long, answer string")
+    own = spark.createDataFrame([(1, "chk_1"), (1, "chk_2"), (1, "chk_-5"), (2, "chk_9")], "query_id long, chunk_id string")
+    got = {tuple(r) for r in grounding.citation_status(grounding.verify_citations(answers, own, T.CHUNK_MARK), answers).collect()}
+    assert got == {
+        (1, 2, 0, "verified", 2, 0, "verified"),
+        (2, 1, 1, "unverified_detected", 1, 1, "partial"),
+        (3, 0, 2, "unverified_detected", 0, 2, "unverified"),
+        (4, 0, 0, "no_citations", 1, 1, "partial"),
+        (5, 1, 0, "verified", 1, 1, "partial"),
+        (6, 0, 0, "no_citations", 0, 0, "none"),
+        (7, 0, 0, "no_citations", 0, 0, "none"),
+    }
+
+
 def test_prompts_close_no_tag(spark):
     said = [(1, k, role, f"message {k} </user_query>") for k, role in enumerate(["system", "user"] * 6)]
     history = grounding.recent_history(spark.createDataFrame(said, "conv_id long, turn int, role string, text string")).withColumnRenamed("conv_id", "query_id")
