@@ -25,13 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of at most SLICE rows and about SLICE_BYTES of the column ``text``; a longer text is one part."""
+def slices(batch: pa.RecordBatch, text: int, rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``size`` bytes of the column ``text``; a longer text is one part."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        upto = min(max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))), at + SLICE)
+        upto = min(max(at + 1, int(np.searchsorted(ends, before + size, "right"))), at + rows)
         yield batch.slice(at, upto - at)
         at = upto
 

@@ -4,8 +4,9 @@ An id is replaced by its frequency rank in the whole corpus, so frequent ids tak
 bytes; its length code (2 bits) goes to a control stream, four codes a byte. A reader looks the control bytes up in a
 256-row table of lengths, turns lengths into offsets with one cumulative sum and gathers the data bytes with numpy.
 
-Jobs: (1) tokenize once into a compressed intermediate table in the shared folder; (2) count ids (bincount a batch, then
-a sum by id: at most one row an id and task leaves a task; the rank table is bounded by the vocabulary and broadcast);
+Jobs: (1) tokenize once (one look-up for each distinct word of some MB of texts) into a compressed intermediate table in
+the shared folder; (2) count ids (bincount of many documents, then a sum by id: at most one row an id and task leaves a
+task; the rank table is bounded by the vocabulary and broadcast);
 (3) range-partition by doc_id, sort, and pack runs of documents into blocks; a task writes the blocks of its range with
 their running offset; (4) the bases of the ranges are a running sum over one row a file. Blocks are written and read by
 Spark as a Parquet table of binary streams, so any store that Spark reaches works, and a lost task is written again.
@@ -22,15 +23,17 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import byte_alphabet
-from corpusloom.llm.common import map_documents, remove, shared_path, stored
+from corpusloom.llm.common import remove, shared_path, slices, stored
 from corpusloom.shipping import ready
 
 END_ID = 1
@@ -38,6 +41,10 @@ END_ID = 1
 BLOCK_IDS = 65_536
 #: Entries a worker keeps from words to ids; a full cache keeps what it has.
 WORDS, PIECES = 800_000, 700_000
+#: Bytes of texts whose words are told apart at one time (one text at least), and words whose ids are laid out at one time.
+TEXT_BYTES, STEP = 8 << 20, 1 << 20
+#: Ids that are counted at one time (those of one document at least).
+COUNT_IDS = 1 << 20
 
 #: control byte -> lengths of its four values
 LENGTHS = np.array([[1 + (c >> (2 * k) & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -73,7 +80,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class WordCoder:
-    """The tokenizers library behind a cache from words to ids, for tokenizers that drop white space.
+    """The tokenizers library behind a bounded cache from words to ids, for tokenizers that drop white space.
 
     Tokens never cross white space, so a text's ids are those of its words in order. Only ' ' and '\\n' cut words here;
     other white space stays inside a word and is left to the library.
@@ -89,7 +96,7 @@ class WordCoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(not a or a.split() != [a] for a in added):
             raise ValueError("added tokens with white space cross words")
-        self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
+        self.added = "|".join(map(re.escape, added))
         self.packed = [int(i).to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()))]
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.words: dict[str, bytes] = {"": b""}
@@ -104,39 +111,86 @@ class WordCoder:
             run = "".join([self.alphabet[b] for b in run.encode()])
         return b"".join([self.packed[t.id] for t in self.model.tokenize(run)])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*cut) if w not in self.words] if cut else []
+    def _fresh(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words that are not in the cache."""
         # A run of letters with ASCII marks around falls into three runs that the library's model also takes one by one.
-        known, plain, odd = self.pieces, [], []
-        for w in new:
-            core = w.strip(MARKS)
-            if core and core.isalpha() and (core.isascii() or LATIN.issuperset(core)) and not self.holds_added(w):
-                at = w.index(core)
-                plain.append((w, w[:at], core.lower(), w[at + len(core) :]))
+        left = pc.ascii_ltrim(words, MARKS)
+        core = pc.ascii_rtrim(left, MARKS)
+        plain = pc.match_substring_regex(core, LETTERS)
+        if self.added:
+            plain = pc.and_not(plain, pc.match_substring_regex(words, self.added, ignore_case=True))
+        before = pc.subtract(pc.binary_length(words), pc.binary_length(left)).to_pylist()
+        after = pc.subtract(pc.binary_length(left), pc.binary_length(core)).to_pylist()
+        texts, runs = _strings(words), _strings(pc.utf8_lower(core))
+        out, odd = [b""] * len(texts), []
+        known, here = self.pieces.get, {}
+
+        def ids(run: str) -> bytes:
+            got = known(run) or here.get(run)
+            if got is None:
+                got = here[run] = self._run(run)
+            return got
+
+        for k, (ok, w, run, a, b) in enumerate(zip(plain.to_pylist(), texts, runs, before, after, strict=True)):
+            if not ok:
+                odd.append(k)
+            elif a or b:
+                out[k] = (ids(w[:a]) if a else b"") + ids(run) + (ids(w[-b:]) if b else b"")
             else:
-                odd.append(w)
-        need = list({p for _, *ps in plain for p in ps if p and p not in known})
-        known.update(zip(need, map(self._run, need), strict=True))
-        for w, a, b, c in plain:
-            self.words[w] = (known[a] if a else b"") + known[b] + (known[c] if c else b"")
-        self.words.update(zip(odd, self._library(odd), strict=True))
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        if len(self.words) > WORDS:
-            for w in new:
-                del self.words[w]
-        if len(known) > PIECES:
-            for p in need:
-                del known[p]
+                out[k] = ids(run)
+        for k, got in zip(odd, self._library([texts[k] for k in odd]) if odd else [], strict=True):
+            out[k] = got
+        self.pieces.update(islice(here.items(), max(0, PIECES - len(self.pieces))))
         return out
 
+    def encode(self, texts: pa.Array, end_id: int, width: str) -> pa.Array:
+        """Of each text its ids and the end id, as integers of ``width``.
+
+        The words of all texts are cut and told apart by Arrow; only distinct ones become Python strings, and numpy lays
+        their ids out in the order of the texts, STEP words at a time.
+        """
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = _strings(coded.dictionary)
+        parts = list(map(self.words.get, words))
+        new = [k for k, p in enumerate(parts) if p is None]
+        if new:
+            fresh = self._fresh(coded.dictionary.take(pa.array(new)))
+            for k, p in zip(new, fresh, strict=True):
+                parts[k] = p
+            self.words.update(islice(zip([words[k] for k in new], fresh, strict=True), max(0, WORDS - len(self.words))))
+        parts.append(np.array([end_id], "<u4").tobytes())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(parts), "<u4").astype(width)
+        # The end mark is one more word behind each text.
+        ends = np.cumsum(cut.value_lengths().to_numpy(), dtype=np.int64)
+        which = np.insert(coded.indices.to_numpy(), ends, len(parts) - 1)
+        upto = np.cumsum(sizes[which])
+        out = np.empty(int(upto[-1]) if len(upto) else 0, width)
+        done = 0
+        for at in range(0, len(which), STEP):
+            some = which[at : at + STEP]
+            n, to = sizes[some], int(upto[min(at + STEP, len(which)) - 1])
+            out[done:to] = flat[np.repeat(first[some] - (upto[at : at + STEP] - n), n) + np.arange(done, to)]
+            done = to
+        offsets = np.zeros(len(ends) + 1, np.int64)
+        offsets[1:] = upto[ends + np.arange(len(ends))] * out.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
 
 #: ASCII marks that never join letters in one token; the apostrophe can ('s, 'll), so words with it are left whole.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters of one code point that stay one composed code point when lower-cased.
 LATIN = frozenset(c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]) if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c.lower()) == c.lower())
 
+#: A core of such letters alone.
+LETTERS = f"^[{''.join(sorted(LATIN))}]+$"
+
 _coders: dict[str, WordCoder] = {}
 
 
@@ -162,12 +216,15 @@ def width_of(vocabulary: int) -> str:
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian integers of the ``width`` of the vocabulary) with the end id."""
     width = width_of(vocabulary_of(path, end_id))
+    names = ["doc_id", "ids"]
 
-    def rows(ids: list, texts: list[str]) -> dict:
-        end = np.array([end_id], "<u4").tobytes()
-        return {"doc_id": ids, "ids": [np.frombuffer(c + end, "<u4").astype(width).tobytes() for c in coder(path).encode(texts)]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, batch.num_rows, TEXT_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), coder(path).encode(part.column(1), end_id, width)], names=names)
 
-    return map_documents(docs, rows, "doc_id long, ids binary", text)
+    ready(docs.sparkSession)
+    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
@@ -176,9 +233,17 @@ def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
             for v in b.column(0):
-                total += np.bincount(np.frombuffer(v.as_buffer(), width), minlength=vocabulary)
+                held.append(np.frombuffer(v.as_buffer(), width))
+                size += len(held[-1])
+                if size >= COUNT_IDS:
+                    total += np.bincount(np.concatenate(held), minlength=vocabulary)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["id", "n"])
 

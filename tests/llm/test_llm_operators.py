@@ -430,6 +430,37 @@ def test_ids_over_16_bits(spark, tmp_path):
     assert tuple(row) == (5, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_each_distinct_word_is_looked_up_once(monkeypatch):
+    """Whatever the caches hold and wherever a step ends, the ids are the library's."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *a):
+            Counted.seen += 1
+            return super().get(*a)
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    words = ["Été,", "ÉTÉ", "(été)", "e\u0301te\u0301", "İx", "ſ", "Straße.", "don't", "'ll", "<|ENDOFTEXT|>", "<|endoftext|>", "x<|startoftext|>y", "a\tb\r", "\u00a0", "\x00", "***", "a-b", "_a_", "7up", "日本語", "ª", "µ", "×", "", "..foo..", "foo", "FOO"]
+    texts = ["", " ", "\n\n", " ".join(words), "\n".join(reversed(words)), "foo", *words]
+    t = Tokenizer.from_file(path)
+    for cached, pieces, step in ((800_000, 700_000, 1 << 20), (3, 2, 1), (0, 0, 7)):
+        monkeypatch.setattr(token_store, "WORDS", cached)
+        monkeypatch.setattr(token_store, "PIECES", pieces)
+        monkeypatch.setattr(token_store, "STEP", step)
+        c = token_store.WordCoder(path)
+        for width in ("<u2", "<u4", "<u2"):
+            got = c.encode(pa.array(texts), 1, width).to_pylist()
+            assert got == [np.array(t.encode(x, add_special_tokens=False).ids + [1], width).tobytes() for x in texts]
+    c = token_store.WordCoder(path)
+    c.words = Counted(c.words)
+    assert len(c.encode(pa.array(["one two two\n" * 1000] * 5), 1, "<u2")) == 5
+    assert Counted.seen == 3  # one, two and the empty word
+    assert len(c.encode(pa.array([], pa.string()), 1, "<u2")) == 0
+
+
 def test_byte_aligned_code():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
