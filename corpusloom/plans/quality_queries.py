@@ -115,9 +115,9 @@ def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS = "an AS (SELECT query_id AS answer_id, query_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1] || ' [' || CASE WHEN query_id % 5 = 0 THEN 'chk_none' ELSE chunk_id END || '] and [' || chunk_id || '_x].' AS answer FROM h WHERE rank = 1)"
 
 
-def cited_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def cited_answers(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers made of the best hit's first sentence with two keys, of which the second (and every fifth first) is made up."""
-    hits = top_hits(spark, sf_dir, 5).withColumn("chunk_id", F.concat(F.lit("chk_"), F.col("doc_id").cast("string")))
+    hits = (top_hits(spark, sf_dir, 5) if hits is None else hits).withColumn("chunk_id", F.concat(F.lit("chk_"), F.col("doc_id").cast("string")))
     key = F.when(F.col("query_id") % 5 == 0, "chk_none").otherwise(F.col("chunk_id"))
     text = F.concat(F.get(T.sentences(F.col("text")), F.lit(0)), F.lit(" ["), key, F.lit("] and ["), "chunk_id", F.lit("_x]."))
     return hits.where("rank = 1").select(F.col("query_id").alias("answer_id"), "query_id", text.alias("answer")), hits
@@ -147,8 +147,8 @@ MARKED = CITED.replace("[a-zA-Z0-9_]", "[a-zA-Z0-9_\\-]")
     "n_held, n_lacking, CASE WHEN n_held + n_lacking = 0 THEN 'none' WHEN n_lacking = 0 THEN 'verified' WHEN n_held = 0 THEN 'unverified' ELSE 'partial' END AS support FROM g"
 )
 def citation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys and all marks of every answer, also of one that cites nothing."""
-    answers, hits = cited_answers(spark, sf_dir)
+    """Keys and all marks of every answer, also of one that cites nothing. The hits are read three times and stored once."""
+    answers, hits = cited_answers(spark, sf_dir, stored(top_hits(spark, sf_dir, 5), "hits"))
     return grounding.citation_status(grounding.verify_citations(answers, hits, T.CHUNK_MARK), answers)
 
 
