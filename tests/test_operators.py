@@ -522,3 +522,14 @@ def test_titles(spark):
     ]
     got = files.html_titles(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).orderBy("page_id").collect()
     assert [r["title"] for r in got] == ["a && b&amp", "x = &quot", "", "", None, "", "&lt; <b> \"q\" ' &eacute;", ""]
+
+
+def test_window_percentiles_of_many_values(spark):
+    """Over 10,000 values a window, repeated ones, windows with none that counts, and the borders of the ranks."""
+    rows = [(1, float(x * x % 30_011) / 7 + 0.01) for x in range(25_000)] + [(2, 5.0)] * 19 + [(2, 9.0)] + [(3, 0.0), (3, None)] + [(4, 1e300), (4, 1e-300), (4, -1.0)]
+    stream = spark.createDataFrame(rows, "day int, value double").withColumn("ts", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, day)"))
+    got = {r["start"].day: (r["n"], r["p50"], r["p95"]) for r in ingest.window_percentiles(ingest.windowed_latency(stream)).collect()}
+    for day in (1, 2, 3, 4):
+        values = sorted(v for d, v in rows if d == day and v and v > 0)
+        at = lambda p, values=values: values[-(-len(values) * p // 100) - 1] if values else None
+        assert got[day + 1] == (sum(d == day for d, _ in rows), at(50), at(95))
