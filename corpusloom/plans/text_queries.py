@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import embedding, profile
+from corpusloom.operators import dense, embedding, profile
 from corpusloom.plans.registry import query, table
 from corpusloom.sources import files
 
@@ -117,8 +117,7 @@ def infer_scalar_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against the stated query set (ids divisible by 100)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.crossJoin(q).select("vec_id", "query_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 5).alias("cosine"))
+    return dense.all_cosines(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(e, e)), 5) AS before, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS first_unit, 1.0::DOUBLE AS after FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings)")

@@ -533,3 +533,15 @@ def test_window_percentiles_of_many_values(spark):
         values = sorted(v for d, v in rows if d == day and v and v > 0)
         at = lambda p, values=values: values[-(-len(values) * p // 100) - 1] if values else None
         assert got[day + 1] == (sum(d == day for d, _ in rows), at(50), at(95))
+
+
+def test_all_cosines(spark):
+    """Vectors of several lengths, zero and missing ones, in one pass and in several: as the column function, without a row lost or twice."""
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(3 + i % 2)]) for i in range(90)] + [(90, [0.0] * 3), (91, []), (92, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 9 = 0 OR vec_id > 89").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = v.crossJoin(q.withColumnRenamed("embedding", "q")).select("vec_id", "query_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 5).alias("c")).collect()
+    for block in (2048, 4):
+        plan = dense.all_cosines(v, q, block=block)
+        assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+        assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, want))
